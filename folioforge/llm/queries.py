@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm import common, exact_dedup
+from folioforge.llm import common, exact_dedup, simhash
+
+
+def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:
