@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm import common, exact_dedup, simhash
+from folioforge.llm import bpe, common, exact_dedup, simhash
 
 
 def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
+def op6_bpe_round_trip(spark, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_digests(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(common.table(spark, sf_dir, "documents"))
 

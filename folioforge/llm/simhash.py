@@ -121,7 +121,8 @@ def allocate(n: int, p: np.ndarray, parts: list[list[int]], radius: int) -> tupl
 
 def plan_parts(n: int, both: np.ndarray, radius: int) -> list[tuple[int, list[int]]]:
     """[(threshold, bits)] of the cheapest cut into 1 to radius + 2 parts."""
-    p = np.diag(both) / max(n, 1)
+    n = max(n, 1000)  # below that every cut is cheap, and few probes are best
+    p = np.diag(both) / n
     cuts = [group_bits(n, both, m) for m in range(1, radius + 3)]
     costs = [allocate(n, p, c, radius) for c in cuts]
     at = min(range(len(cuts)), key=lambda i: costs[i][0])
@@ -138,18 +139,18 @@ def _mask(bits) -> int:
 
 def _visits(fps: DataFrame, plan: list[tuple[int, list[int]]]) -> DataFrame:
     """[fp, part, key, home]: the bucket a fingerprint lives in (home) and those that its part reaches within t bits."""
-    rows = []
+    reached = []
     for part, (t, bits) in enumerate(plan):
-        for j in range(t + 1):
-            for flip in combinations(bits, j):
-                rows.append(F.struct(F.lit(part).alias("part"), F.col("fp").bitwiseXOR(F.lit(_mask(flip))).bitwiseAND(F.lit(_mask(bits))).alias("key"), F.lit(j == 0).alias("home")))
-    return fps.select("fp", F.explode(F.array(*rows)).alias("x")).select("fp", "x.part", "x.key", "x.home")
+        flips = F.lit([_mask(flip) for j in range(t + 1) for flip in combinations(bits, j)])
+        one = lambda m, part=part, bits=bits: F.struct(F.lit(part).alias("part"), F.col("fp").bitwiseXOR(m).bitwiseAND(F.lit(_mask(bits))).alias("key"), (m == 0).alias("home"))
+        reached.append(F.transform(flips, one))
+    return fps.select("fp", F.explode(F.concat(*reached)).alias("x")).select("fp", "x.part", "x.key", "x.home")
 
 
 def _long_way(fps: DataFrame, radius: int) -> DataFrame:
     """Edges [u, v] that join all of ``fps`` within ``radius`` bits, without pairs: half-way places, each with its smallest visitor."""
     reach = [_mask(flip) for j in range(radius // 2 + 1) for flip in combinations(range(64), j)]
-    places = fps.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(m)) for m in reach])).alias("place"))
+    places = fps.select("fp", F.explode(F.transform(F.lit(reach), lambda m: F.col("fp").bitwiseXOR(m))).alias("place"))
     least = places.groupBy("place").agg(F.min("fp").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     return places.join(least, "place").filter("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v"))
 
