@@ -6,7 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm import bpe, common, exact_dedup, simhash
+from folioforge.llm import bpe, common, exact_dedup, packing, simhash
+
+
+BYTE_BPE = "byte_bpe_50k.json"
+
+
+def op2_pack_documents(spark, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(common.table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), with_ids=False)
 
 
 def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
@@ -14,7 +21,7 @@ def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe_round_trip(spark, sf_dir: str) -> DataFrame:
-    return bpe.round_trip_digests(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return bpe.round_trip_digests(common.table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:
