@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm import bpe, common, exact_dedup, packing, simhash
+from folioforge.llm import bpe, common, exact_dedup, packing, quality, simhash
 
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -16,6 +16,11 @@ def op2_pack_documents(spark, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), with_ids=False)
 
 
+def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return quality.quality_rules(docs, quality.train(docs, common.table(spark, sf_dir, "labels")))
+
+
 def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
 
