@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm import bpe, common, exact_dedup, packing, quality, simhash
+from folioforge.llm import bpe, common, exact_dedup, packing, quality, secret_scan, simhash
 
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -21,6 +21,10 @@ def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs, quality.train(docs, common.table(spark, sf_dir, "labels")))
 
 
+def op4_secret_scan(spark, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(common.table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
 
