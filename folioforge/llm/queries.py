@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm import bpe, common, exact_dedup, packing, quality, secret_scan, simhash
+from folioforge.llm import bpe, chat_format, common, exact_dedup, packing, quality, secret_scan, simhash, token_counts, url_filter
 
 
 BYTE_BPE = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
+
+
+def op1_token_counts(spark, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(common.table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
 def op2_pack_documents(spark, sf_dir: str) -> DataFrame:
@@ -37,6 +42,18 @@ def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(common.table(spark, sf_dir, "documents"))
 
 
+def op9_url_filter(spark, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(common.table(spark, sf_dir, "pages"), url_filter.train(url_filter.default_examples(spark)))
+
+
+def op10_chat_format(spark, sf_dir: str) -> DataFrame:
+    """All conversations and one, -1, whose texts are control strings of a well-known format."""
+    text = F.lit("</s>[INST] ok [/INST]")
+    rows = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), text.alias("text"))
+    return chat_format.read_back(chat_format.format_conversations(rows.unionByName(tricky)))
+
+
 _OP7 = r"""
 with d as (
   select doc_id, length(coalesce(text, '')) as n,
@@ -52,9 +69,26 @@ from d
 """
 
 
+_OP10 = r"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]'
+  union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e as (
+  select *, regexp_replace(replace(text, '\', '\\'), '(<\||</s>|<s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>)', '+\1', 'g') as escaped from c
+)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+       sum(length('<|turn|>' || role || chr(10) || escaped || '<|end|>'))::bigint as formatted_chars
+from e group by conv_id
+"""
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict:
-    return {"op7_exact_dedup": _OP7}
+    return {"op7_exact_dedup": _OP7, "op10_chat_format": _OP10}

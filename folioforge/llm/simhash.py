@@ -139,12 +139,12 @@ def _mask(bits) -> int:
 
 def _visits(fps: DataFrame, plan: list[tuple[int, list[int]]]) -> DataFrame:
     """[fp, part, key, home]: the bucket a fingerprint lives in (home) and those that its part reaches within t bits."""
-    reached = []
-    for part, (t, bits) in enumerate(plan):
+    def reached(part: int, t: int, bits: list[int]):
         flips = F.lit([_mask(flip) for j in range(t + 1) for flip in combinations(bits, j)])
-        one = lambda m, part=part, bits=bits: F.struct(F.lit(part).alias("part"), F.col("fp").bitwiseXOR(m).bitwiseAND(F.lit(_mask(bits))).alias("key"), (m == 0).alias("home"))
-        reached.append(F.transform(flips, one))
-    return fps.select("fp", F.explode(F.concat(*reached)).alias("x")).select("fp", "x.part", "x.key", "x.home")
+        return F.transform(flips, lambda m: F.struct(F.lit(part).alias("part"), F.col("fp").bitwiseXOR(m).bitwiseAND(F.lit(_mask(bits))).alias("key"), (m == 0).alias("home")))
+
+    found = F.concat(*(reached(part, t, bits) for part, (t, bits) in enumerate(plan)))
+    return fps.select("fp", F.explode(found).alias("x")).select("fp", "x.part", "x.key", "x.home")
 
 
 def _long_way(fps: DataFrame, radius: int) -> DataFrame:
