@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm import bpe, chat_format, common, exact_dedup, packing, quality, secret_scan, simhash, token_counts, url_filter
+from folioforge.llm import bpe, chat_format, common, exact_dedup, license_scan, packing, quality, secret_scan, simhash, token_counts, url_filter
 
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -42,6 +42,11 @@ def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(common.table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(common.table(spark, sf_dir, "documents"), license_scan.prepare(spark))
+    return found.select("doc_id", "n_licenses", "licenses")
+
+
 def op9_url_filter(spark, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(common.table(spark, sf_dir, "pages"), url_filter.train(url_filter.default_examples(spark)))
 
