@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from folioforge.plans import structure
+
+_ALL = {k: v for m in (structure,) for k, v in m.QUERIES.items()}
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for k, (f, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: s for k, (_, s) in _ALL.items() if s}
