@@ -49,9 +49,12 @@ def _joined(lines: DataFrame, *keys: str, text: str = "line", name: str = "text"
     return lines.groupBy(*keys).agg(F.array_join(F.transform(rows, lambda r: r.x), "\n").alias(name))
 
 
-def explode_lines(df: DataFrame) -> DataFrame:
-    """[doc_id, line_no, line, in_fence], line numbers from 0."""
-    return _fenced(df.select("doc_id", "text").repartition("doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")))
+def explode_lines(df: DataFrame, placed: bool = False) -> DataFrame:
+    """[doc_id, line_no, line, in_fence], line numbers from 0 (D1). ``placed``: the documents already lie by doc_id, so
+    they are not exchanged first."""
+    docs = df.select("doc_id", "text")
+    docs = docs if placed else docs.repartition("doc_id")
+    return _fenced(docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")))
 
 
 def page_blocks(df: DataFrame) -> DataFrame:
@@ -65,18 +68,19 @@ def page_blocks(df: DataFrame) -> DataFrame:
 
 
 def strip_page_markers(df: DataFrame) -> DataFrame:
-    """[doc_id, text, n_stripped]: markers outside fences go, then runs of blank lines outside fences shrink to one (D3)."""
+    """[doc_id, text, n_stripped]: markers outside fences go, then runs of blank lines outside fences shrink to one (D3).
+
+    Markers never open or close a fence, so the fence flags of what is left are those of the lines before.
+    """
     whole = ~F.col("in_fence") & strip(F.col("line")).rlike(PAGE)
-    tail = ~F.col("in_fence") & ~whole & F.col("line").rlike(PAGE_TAIL)
-    marked = explode_lines(df).withColumns({"whole": whole, "tail": tail})
-    marked = marked.withColumn("n", F.sum((F.col("whole") | F.col("tail")).cast("int")).over(Window.partitionBy("doc_id")))
-    cut = F.when(F.col("tail"), rstrip(F.regexp_replace("line", PAGE_TAIL, ""))).otherwise(F.col("line"))
-    kept = _fenced(marked.select("doc_id", "line_no", F.when(~F.col("whole"), cut).alias("line"), "n", "whole").filter(~F.col("whole")))
-    blank = ~F.col("in_fence") & is_blank(F.col("line"))
-    kept = kept.withColumn("blank", blank).withColumn("again", F.coalesce(F.lag("blank").over(_doc()), F.lit(False)) & F.col("blank"))
-    texts = _joined(kept.filter(~F.col("again")), "doc_id")
-    total = marked.groupBy("doc_id").agg(F.max("n").alias("n_stripped"))
-    return total.join(texts, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("n_stripped").cast("int").alias("n_stripped"))
+    tail = ~F.col("in_fence") & ~F.col("whole") & F.col("line").rlike(PAGE_TAIL)
+    rows = explode_lines(df).withColumn("whole", whole).withColumn("tail", tail)
+    rows = rows.withColumn("line", F.when(F.col("tail"), rstrip(F.regexp_replace("line", PAGE_TAIL, ""))).otherwise(F.col("line")))
+    rows = rows.withColumn("blank", F.when(~F.col("whole"), ~F.col("in_fence") & is_blank(F.col("line"))))
+    again = F.coalesce(F.last("blank", ignorenulls=True).over(_before()), F.lit(False)) & F.col("blank")
+    kept = F.when(~F.col("whole") & ~F.col("again"), F.struct("line_no", "line"))
+    out = rows.withColumn("again", again).groupBy("doc_id").agg(F.array_sort(F.collect_list(kept)).alias("l"), F.sum((F.col("whole") | F.col("tail")).cast("int")).cast("int").alias("n_stripped"))
+    return out.select("doc_id", F.array_join(F.transform("l", lambda x: x.line), "\n").alias("text"), "n_stripped")
 
 
 def heading_lines(lines: DataFrame) -> DataFrame:
@@ -85,9 +89,9 @@ def heading_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumns({"level": F.when(is_heading, F.length(F.regexp_extract("line", HEADING, 1))), "title": F.when(is_heading, F.regexp_extract("line", HEADING, 2))})
 
 
-def numbered_lines(df: DataFrame) -> DataFrame:
+def numbered_lines(df: DataFrame, placed: bool = False) -> DataFrame:
     """[doc_id, line_no, line, in_fence, level, num, title]: headings carry their new number."""
-    rows = heading_lines(explode_lines(df)).withColumn("title", unnumbered(F.col("title")))
+    rows = heading_lines(explode_lines(df, placed)).withColumn("title", unnumbered(F.col("title")))
     at = lambda k: F.coalesce(F.col("level") == k, F.lit(False))
     c2 = rows.withColumn("c2", _count(at(2), _so_far()))
     w3 = Window.partitionBy("doc_id", "c2").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
