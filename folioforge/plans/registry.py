@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioforge.plans import structure, windows
+from folioforge.plans import catalogue, logs, structure, windows
 
-_ALL = {k: v for m in (structure, windows) for k, v in m.QUERIES.items()}
+_ALL = {k: v for m in (structure, windows, catalogue, logs) for k, v in m.QUERIES.items()}
 
 
 def queries() -> dict:
