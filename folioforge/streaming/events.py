@@ -27,7 +27,8 @@ def replay(events: DataFrame, last_id: Column | int, cap: int = 4000, live: Data
 
 
 def replay_stream(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["_id"])
+    """T1 over a stream: an ``_id`` passes once within ``delay`` of event time, which also bounds the state."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["_id"])
 
 
 def is_critical(channel: Column) -> Column:
@@ -37,7 +38,7 @@ def is_critical(channel: Column) -> Column:
 
 def drop_report(drops: DataFrame, every: str = "60 seconds", delay: str | None = None) -> DataFrame:
     """[subscriber, minute, dropped, critical] (T2), event time; give ``delay`` for a stream."""
-    rows = drops if delay is None else drops.withWatermark("ts", delay)
+    rows = drops if delay is None else drops.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     out = rows.groupBy(F.window("ts", every).alias("w"), "subscriber").agg(F.count(F.lit(1)).alias("dropped"), F.count(F.when(is_critical(F.col("channel")), 1)).alias("critical"))
     return out.select("subscriber", F.col("w.start").alias("minute"), "dropped", "critical")
 
