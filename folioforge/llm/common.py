@@ -26,9 +26,15 @@ def documents(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn, schema: str, rows: int = 512) -> DataFrame:
+    """``mapInArrow`` over slices of ``rows`` rows, which bounds the Python objects alive at a time."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def sliced(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(b.slice(i, rows) for b in parts for i in range(0, b.num_rows, rows))
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(sliced, schema)
 
 
 def raw_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:

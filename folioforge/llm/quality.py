@@ -44,7 +44,7 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word)
         if len(word) <= 64:
-            if len(self) >= 300_000:
+            if len(self) >= 200_000:
                 self.clear()
             self[word] = h
         return h
@@ -175,6 +175,7 @@ def quality_rules(docs: DataFrame, model: QualityModel | None, threshold: float
         for b in parts:
             cols = list(zip(*(judge(t, model, threshold) for t in raw_texts(b)))) or [[]] * len(fields)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, (_, k) in zip(cols, fields))], ["doc_id", *(n for n, _ in fields)])
+        _HASHES.clear()  # the worker's next tasks may be of another operator
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double"
     return map_arrow(documents(docs), run, schema)
@@ -187,5 +188,6 @@ def keep_good(docs: DataFrame, model: QualityModel | None, threshold: float = TH
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             yield b.filter(pa.array([judge(t, model, threshold)[6] for t in raw_texts(b)], pa.bool_())).select(["row"])
+        _HASHES.clear()
 
     return map_arrow(rows, run, f"row {rows.schema['row'].dataType.simpleString()}").select("row.*")
