@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.functions.text import wrap_callout  # noqa: F401
-from folioforge.operators import blocks, citations, conversations, lines
+from folioforge.operators import blocks, citations, conversations
 from folioforge.plans import fixtures as fx
 from folioforge.plans.catalogue import chunks_of
 from folioforge.plans.fixtures import table
@@ -84,7 +83,7 @@ def x3_assemble(spark, sf):
 
 
 @query("with " + fx.BLOCKS + """, tx as (select doc_id, 'b' || ord as block, content from blocks), m as (select distinct doc_id, block, unnest(regexp_extract_all(content, '\\[\\[c:(\\d+)\\]\\]', 1))::int as n from tx),
-r as (select doc_id, block, n, doc_id % 200 as ref_doc, label from tx, range(0, 4) g(n), (select 3 as label)), live as (select distinct vec_id // 7 as doc_id from embeddings where label = 3)
+r as (select doc_id, block, n::int as n, doc_id % 200 as ref_doc, label from tx, range(0, 4) g(n), (select 3 as label)), live as (select distinct vec_id // 7 as doc_id from embeddings where label = 3)
 select m.doc_id, m.block, m.n, 'dangling' as problem from m anti join r using (doc_id, block, n) union all select r.doc_id, r.block, r.n, 'unused' from r anti join m using (doc_id, block, n)
 union all select r.doc_id, r.block, r.n, 'stale' from r where r.n <> 2 and ref_doc not in (select doc_id from live)""")
 def x4_audit_citations(spark, sf):

@@ -122,7 +122,7 @@ def f12_fingerprints(spark, sf):
     return d.select("doc_id", t.sha_text(F.replace("text", F.lit("\n"), F.lit("\r\n"))).alias("of_text"), t.sha_json(b=F.col("n_chars"), a=F.col("source")).alias("of_json"), t.sha_parts(F.col("source"), F.col("lang")).alias("of_parts"))
 
 
-@query("with " + fx.LINES + " select doc_id, line_no, line, in_fence from lines")
+@query("with " + fx.LINES + " select doc_id, line_no::int as line_no, line, in_fence from lines")
 def d1_lines(spark, sf):
     return lines.explode_lines(fx.fenced(spark, sf))
 
