@@ -1,6 +1,7 @@
 import re
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from test_packing import check_pieces
 from test_quality import brute as brute_quality
 from test_secret_scan import brute_base
@@ -12,6 +13,9 @@ from folioforge.llm import common, quality, secret_scan
 
 def test_every_stage_against_brute_force(spark, sf):
     docs = common.table(spark, sf, "documents")
+    near = docs.orderBy(F.desc("n_chars")).limit(8).selectExpr("doc_id + 1000000 as doc_id", "concat(text, ' end.') as text", "lang", "source", "n_chars + 5 as n_chars")
+    docs = docs.unionByName(near).withColumn("text", F.when(F.col("doc_id") % 10 == 3, F.concat("text", F.lit("\ntoken=abcdef123456"))).otherwise(F.col("text")))
+    docs = common.materialize(docs.withColumn("n_chars", F.char_length("text").cast("long")))
     before = docs.collect()
     model = quality.train(docs, common.table(spark, sf, "labels"))
     for name, stage in corpus_pipeline.STAGES:
