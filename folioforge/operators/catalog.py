@@ -30,8 +30,8 @@ def effective_config(docs: DataFrame, kbs: DataFrame, presets: DataFrame, kind:
     inherited = F.try_element_at(F.from_json("kb_config", "map<string,string>"), F.coalesce("doc_type", F.lit("doc")))
     if kind == "gen":
         first = presets.groupBy(F.coalesce("group", F.lit("doc")).alias("doc_type")).agg(F.min_by("id", "ord").alias("own_preset"))
-        any_ = presets.agg(F.min_by("id", "ord").alias("any_preset"))
-        rows = rows.join(F.broadcast(first), "doc_type", "left").join(F.broadcast(any_))  # one row
+        any_ = presets.agg(F.lit(0).alias("_one"), F.min_by("id", "ord").alias("any_preset"))
+        rows = rows.join(F.broadcast(first), "doc_type", "left").withColumn("_one", F.lit(0)).join(F.broadcast(any_), "_one")
         built_in = F.to_json(F.struct(F.coalesce("own_preset", "any_preset").alias("presetId")))
     else:
         built_in = F.lit('{"components":{"summary":false,"images":false},"plugins":[]}')

@@ -262,10 +262,21 @@ def s4_pages_to_document(spark, sf):
     return io.pages_to_document(io.ocr_pages(_ocr_lines(spark, sf)))
 
 
+def _crawled(spark, sf) -> DataFrame:
+    return table(spark, sf, "pages").selectExpr("case when page_id % 17 = 0 then concat('ftp', url) else url end as url", "case when page_id % 13 = 0 then 404 else 200 end as status", "case when page_id % 11 = 0 then 'application/pdf' else 'text/html; charset=utf-8' end as content_type", "html")
+
+
 @query()
 def s5_ingest_pages(spark, sf):
-    p = table(spark, sf, "pages").selectExpr("case when page_id % 17 = 0 then concat('ftp', url) else url end as url", "case when page_id % 13 = 0 then 404 else 200 end as status", "case when page_id % 11 = 0 then 'application/pdf' else 'text/html; charset=utf-8' end as content_type", "html")
-    return io.ingest_pages(p)
+    return io.ingest_pages(_crawled(spark, sf))
+
+
+@query(r"""with p as (select case when page_id % 17 = 0 then 'ftp' || url else url end as url,
+  trim(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&#x27;', ''''), '&nbsp;', chr(160)), '&amp;', '&')) as title,
+  case when page_id % 17 = 0 then 'URL 无效（仅支持 http/https）' when page_id % 13 = 0 then '网页抓取失败：HTTP 404' when page_id % 11 = 0 then '链接不是网页' end as error from pages)
+select url, case when error is null and title <> '' then left(title, 120) else left(case when starts_with(url, 'ftp') then url else regexp_replace(regexp_extract(url, '^https?://([^/?#]+)', 1), '^www\.', '') end, 60) end as name, case when error is null then title end as title, error from p""")
+def s5_page_names(spark, sf):
+    return io.ingest_pages(_crawled(spark, sf)).select("url", "name", "title", "error")
 
 
 @query("""with c as (select vec_id as id, vec_id // 7 as doc_id, case when vec_id % 2 = 0 then 'summary' else 'organized' end as artifact, 'old' as text from embeddings)

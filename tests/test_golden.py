@@ -186,3 +186,11 @@ def test_rerank_and_embedding(spark):
     assert [r.embedding for r in retrieval.embed(df, "text", lambda x: [[float(v)] for v in x]).collect()] == [[float(i)] for i in range(20)]
     with pytest.raises(Exception, match="vectors"):
         retrieval.embed(df, "text", lambda x: [[0.0]]).collect()
+
+
+def test_document_chunks_follow_the_config(spark):
+    docs = spark.createDataFrame([(d, "k", "p", "## A\nbody ![x](i.png)") for d in (1, 2)], "doc_id long, kb_id string, preset_id string, text string")
+    arts = spark.createDataFrame([(d, a, f"@@{a} 1\n{a} text\n@@end") for d in (1, 2) for a in ("summary", "tip", "quiz")], "doc_id long, artifact string, text string")
+    config = spark.createDataFrame([(1, True, True, ["tip"]), (2, False, False, [])], "doc_id long, summary boolean, images boolean, plugins array<string>")
+    got = {(r.doc_id, r.anchor, r.kind) for r in chunks.chunk_documents(docs, arts, config).collect()}
+    assert got == {(1, "organized:1", "section"), (1, "summary:1", "summary"), (1, "tip:1", "plugin"), (1, "image:1:i.png", "image"), (2, "organized:1", "section")}
