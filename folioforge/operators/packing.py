@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.functions.text import SPACE, estimate_tokens, is_blank, tail_by_tokens
-from folioforge.operators.lines import recent_headings, split_sections
+from folioforge.functions.text import SPACE, estimate_tokens, is_blank, num_of, tail_by_tokens
+from folioforge.operators.lines import explode_lines, heading_lines, recent_headings
 
 
 def _greedy(weights, cap: int, joiner: int) -> list[int]:
@@ -60,23 +60,36 @@ def para_windows(df: DataFrame, target_chars: int) -> DataFrame:
 
 
 def pass2_items(df: DataFrame, max_tokens: int) -> DataFrame:
-    """[doc_id, key, num, content]: a ``##`` section if it fits, else its ``###`` parts, else paragraph windows."""
-    fits = estimate_tokens(F.col("content")) <= max_tokens
-    chars = max(1000, int(max_tokens * 1.2))
-    secs = split_sections(df, 2).withColumnRenamed("ord", "o2")
-    whole = secs.filter(fits).select("doc_id", "o2", F.lit(0).alias("o3"), F.lit(0).alias("o4"), "num", "content")
-    big = secs.filter(~fits).select(F.struct("doc_id", "o2", "num").alias("doc_id"), F.col("content").alias("text"))
-    subs = split_sections(big, 3)
-    subs = subs.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("doc_id"))).filter("n > 1")
-    sub_rows = subs.select("doc_id.doc_id", "doc_id.o2", F.col("ord").alias("o3"), "num", "content")
-    small = sub_rows.filter(fits).select("doc_id", "o2", "o3", F.lit(0).alias("o4"), "num", "content")
-    split = sub_rows.filter(~fits).select(F.struct("doc_id", "o2", "o3", "num").alias("doc_id"), F.col("content").alias("text"))
-    uncut = big.join(subs.select("doc_id").distinct(), "doc_id", "left_anti").select(F.struct("doc_id.doc_id", "doc_id.o2", F.lit(0).cast("long").alias("o3"), "doc_id.num").alias("doc_id"), "text")
-    split = split.select(F.struct("doc_id.doc_id", "doc_id.o2", F.col("doc_id.o3").cast("long").alias("o3"), "doc_id.num").alias("doc_id"), "text").unionByName(uncut)
-    cut = para_windows(split, chars).select("doc_id.doc_id", "doc_id.o2", "doc_id.o3", F.col("ord").alias("o4"), "doc_id.num", F.col("text").alias("content"))
-    rows = whole.unionByName(small).unionByName(cut)
-    key = F.row_number().over(Window.partitionBy("doc_id").orderBy("o2", "o3", "o4")) - 1
-    return rows.select("doc_id", key.alias("key"), "num", "content")
+    """[doc_id, key, num, content]: a ``##`` section if it fits, else its ``###`` parts, else paragraph windows.
+
+    One exchange by document: lines are grouped once by section and part, and a section is put together from its parts.
+    """
+    doc, sec = Window.partitionBy("doc_id"), Window.partitionBy("doc_id", "o2")
+    so_far = Window.unboundedPreceding
+    lines = heading_lines(explode_lines(df))
+    is_ = lambda k: F.coalesce(F.col("level") == k, F.lit(False)).cast("int")
+    lines = lines.withColumn("o2", F.sum(is_(2)).over(doc.orderBy("line_no").rowsBetween(so_far, 0)))
+    lines = lines.withColumn("o3", F.sum(is_(3)).over(sec.orderBy("line_no").rowsBetween(so_far, 0)))
+    rows = F.array_sort(F.collect_list(F.struct("line_no", "line", "level", "title")))
+    parts = lines.groupBy("doc_id", "o2", "o3").agg(rows.alias("l"))
+    head = F.get("l", F.lit(0))
+    starts = F.coalesce(head.level == F.when(F.col("o3") > 0, 3).otherwise(2), F.lit(False))
+    parts = parts.select("doc_id", "o2", "o3", F.when(starts, num_of(head.title)).alias("num"), F.array_join(F.transform("l", lambda x: x.line), "\n").alias("content"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o3", "content")).over(sec)), lambda x: x.content), "\n")
+    parts = parts.withColumns({"whole": whole, "num2": F.max(F.when(F.col("o3") == 0, F.col("num"))).over(sec), "n3": F.max("o3").over(sec), "n2": F.max("o2").over(doc)})
+    parts = parts.withColumn("counts", (F.col("n3") > 0) & ((F.col("o3") > 0) | ~is_blank(F.col("content"))))
+    parts = parts.withColumn("n", F.sum(F.col("counts").cast("int")).over(sec))
+    parts = parts.filter((F.col("o2") > 0) | (F.col("n2") == 0) | ~is_blank(F.col("whole")))
+    fits = lambda c: estimate_tokens(F.col(c)) <= max_tokens
+    by_part = ~fits("whole") & (F.col("n") > 1)
+    parts = parts.filter(F.when(by_part, F.col("counts")).otherwise(F.col("o3") == 0))
+    parts = parts.withColumns({"text": F.when(by_part, F.col("content")).otherwise(F.col("whole")), "num": F.when(by_part, F.col("num")).otherwise(F.col("num2"))})
+    paras = F.when(~fits("text"), F.filter(F.split("text", rf"\n{SPACE}*\n"), lambda p: ~is_blank(p)))
+    parts = parts.withColumn("p", paras).withColumn("w", pack(F.transform("p", lambda x: F.length(x)), max(1000, int(max_tokens * 1.2)), 2))
+    pieces = F.when(F.col("p").isNull(), F.array("text")).when(F.size("p") > 0, _groups(F.col("p"), F.col("w"), "\n\n")).otherwise(F.array().cast("array<string>"))
+    out = parts.select("doc_id", "o2", "o3", "num", F.posexplode(pieces).alias("o4", "content"))
+    key = F.row_number().over(doc.orderBy("o2", "o3", "o4")) - 1
+    return out.select("doc_id", key.alias("key"), "num", "content")
 
 
 def split_long_pieces(paras: Column, windows: Column) -> Column:

@@ -58,7 +58,24 @@ def p3_paragraph_windows(spark, sf):
     return packing.para_windows(fx.md_docs(spark, sf), 1500)
 
 
-@query()
+_ITEMS = f"with recursive {fx.MD}, fenced as (select doc_id, text from md)" + fx.NUMBERED[len(fx.FENCED):] + f""",
+ln as (select doc_id, line_no, line, level, sum(case when level = 2 then 1 else 0 end) over (partition by doc_id order by line_no) as o2 from numbered),
+s2 as (select doc_id, o2, string_agg(line, chr(10) order by line_no) as content, arg_min(line, line_no) as head, max(o2) over (partition by doc_id) as m from ln group by doc_id, o2),
+s2k as (select *, case when o2 > 0 then regexp_extract(head, '^## (\\d+(?:\\.\\d+)*) ', 1) end as num, {est("content")} as tk from s2 where o2 > 0 or m = 0 or regexp_matches(content, '\\S')),
+l3 as (select ln.doc_id, ln.o2, line_no, line, sum(case when level = 3 then 1 else 0 end) over (partition by ln.doc_id, ln.o2 order by line_no) as o3 from ln join s2k using (doc_id, o2) where tk > 300),
+s3 as (select doc_id, o2, o3, string_agg(line, chr(10) order by line_no) as content, arg_min(line, line_no) as head, max(o3) over (partition by doc_id, o2) as m from l3 group by doc_id, o2, o3),
+s3k as (select *, regexp_extract(head, '^###? (\\d+(?:\\.\\d+)*) ', 1) as num, {est("content")} as tk, count(*) over (partition by doc_id, o2) as n from s3 where m > 0 and (o3 > 0 or regexp_matches(content, '\\S'))),
+cut as (select doc_id, o2, o3, nullif(num, '') as num, content from s3k where n > 1 and tk > 300
+  union all select doc_id, o2, 0, num, content from s2k s where tk > 300 and not exists (select 1 from s3k t where t.doc_id = s.doc_id and t.o2 = s.o2 and t.n > 1)),
+pa as (select doc_id || '/' || o2 || '/' || o3 as key, list_filter(regexp_split_to_array(content, '\\n\\s*\\n'), lambda p: regexp_matches(p, '\\S')) as a from cut),
+{_walk("items as (select key, generate_subscripts(a, 1) as i, unnest(a) as p, length(unnest(a)) as w from pa)", 1000, 2)},
+wins as (select key, win, string_agg(p, chr(10) || chr(10) order by i) as content from packed join items using (key, i) group by key, win),
+every as (select doc_id, o2, 0 as o3, 0 as o4, num, content from s2k where tk <= 300 union all select doc_id, o2, o3, 0, nullif(num, ''), content from s3k where n > 1 and tk <= 300
+  union all select c.doc_id, c.o2, c.o3, w.win, c.num, w.content from cut c join wins w on w.key = c.doc_id || '/' || c.o2 || '/' || c.o3)
+select doc_id, (row_number() over (partition by doc_id order by o2, o3, o4) - 1)::int as key, num, content from every"""
+
+
+@query(_ITEMS)
 def p4_pass2_items(spark, sf):
     return packing.pass2_items(lines.number_headings(fx.md_docs(spark, sf))[0], 300)
 
