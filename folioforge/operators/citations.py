@@ -8,10 +8,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.functions.text import cite_numbers, is_blank, valid_target, wrap_callout
-from folioforge.operators.lines import build_toc, headings_of, numbered_lines, section_spans, strip_page_markers
+from folioforge.functions.text import SPACE, cite_numbers, valid_target, wrap_callout
+from folioforge.operators.lines import numbered_lines, strip_page_markers
 
 CIRCLED = "①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳"
+#: Marks a callout at a section's end until the blank lines before it are settled.
+SLOT = "\u0001"
 REF = ["n", "chunk_id", "kb_id", "ref_doc", "doc_name", "anchor", "breadcrumb", "section_num", "text", "kind"]
 
 
@@ -60,34 +62,41 @@ def assemble(docs: DataFrame, summaries: DataFrame, blocks: DataFrame, entries:
     ``summaries`` [doc_id, num, content] go right after their heading, ``blocks`` [doc_id, part, num, content, header] to the
     end of their section; at one place earlier parts come first and within a part deeper numbers before their ancestors.
     Invalid and missing numbers are left out. ``entries`` is the appendix. Blank lines before a callout at a section's end
-    shrink to one.
+    shrink to one. Each input is exchanged once, by document; the rest happens inside a document's row.
     """
     numbered = numbered_lines(strip_page_markers(docs).select("doc_id", "text"), placed=True)
-    spans = section_spans(numbered)
-    last = F.max("line_no").over(Window.partitionBy("doc_id"))
-    rank = lambda k, part=None, num=None: (F.lit(k).alias("rank"), (F.lit(0) if part is None else part).cast("int").alias("part"), (F.lit("") if num is None else num).alias("num"))
-    body = numbered.withColumn("last", last).select("doc_id", "line_no", *rank(0), F.col("line").alias("x"), F.lit("line").alias("kind"), "last")
-    place = spans.select("doc_id", "num", "line_start", "line_end")
-    s = summaries.filter(valid_target(F.col("num"))).join(place, ["doc_id", "num"])
-    pad = lambda k: s.select("doc_id", F.col("line_start").alias("line_no"), *rank(k), F.lit("").alias("x"), F.lit("line").alias("kind"))
-    top = s.select("doc_id", F.col("line_start").alias("line_no"), *rank(2), wrap_callout(F.lit("> [!note] 本节摘要"), F.col("content")).alias("x"), F.lit("summary").alias("kind"))
-    b = blocks.filter(valid_target(F.col("num"))).join(place, ["doc_id", "num"])
-    end = b.select("doc_id", F.col("line_end").alias("line_no"), *rank(4, F.col("part"), F.col("num")), F.concat(F.lit("\n"), wrap_callout(F.col("header"), F.col("content"))).alias("x"), F.lit("slot").alias("kind"))
-    lasts = body.groupBy("doc_id").agg(F.max("line_no").alias("last"))
-    after = b.select("doc_id", F.col("line_end").alias("line_no")).distinct().join(lasts, "doc_id").filter("line_no < last").select("doc_id", "line_no", *rank(5), F.lit("").alias("x"), F.lit("after").alias("kind"))
-    rows = body.drop("last").unionByName(pad(1)).unionByName(top).unionByName(pad(3)).unionByName(end).unionByName(after)
-    order = Window.partitionBy("doc_id").orderBy("line_no", "rank", "part", F.desc("num"))
-    following = F.first(F.when(~is_blank(F.col("x")), F.col("kind")), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    rows = rows.withColumn("n", F.row_number().over(order)).withColumn("next", following)
-    rows = rows.filter(~(is_blank(F.col("x")) & (F.col("kind") == "line") & (F.coalesce("next", F.lit("")) == "slot")))
-    texts = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("l")).select("doc_id", F.regexp_replace(F.array_join(F.transform("l", lambda r: r.x), "\n"), r"^\n+|\n+$", "").alias("body"))
-    tocs = build_toc(headings_of(numbered))
+    lined = numbered.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line", "level", "num", "title"))).alias("l"))
+    lined = lined.withColumn("h", F.filter("l", lambda x: x.num.isNotNull()))
+    s = summaries.filter(valid_target(F.col("num"))).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("num", "content"))).alias("s"))
+    order = F.struct("part", "num", "header", "content")
+    by_place = lambda a, b: F.when(a.part != b.part, F.when(a.part < b.part, -1).otherwise(1)).when(a.num > b.num, -1).when(a.num < b.num, 1).otherwise(0)
+    b = blocks.filter(valid_target(F.col("num"))).groupBy("doc_id").agg(F.array_sort(F.collect_list(order), by_place).alias("b"))
     notes = entries.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "line"))).alias("e")).select("doc_id", F.array_join(F.transform("e", lambda r: r.line), "\n").alias("notes"))
-    rows = docs.join(texts, "doc_id").join(tocs, "doc_id", "left").join(notes, "doc_id", "left")
+    rows = docs.drop("text").join(lined, "doc_id").join(s, "doc_id", "left").join(b, "doc_id", "left").join(notes, "doc_id", "left")
+
+    def end_of(x: Column) -> Column:
+        below = F.filter("h", lambda y: (y.line_no > x.line_no) & (y.level <= x.level))
+        return F.coalesce(F.array_min(F.transform(below, lambda y: y.line_no)) - 1, F.size("l") - 1)
+
+    none = F.array().cast("array<string>")
+    ends = F.map_from_entries(F.transform("h", lambda x: F.struct(x.num, end_of(x))))
+    rows = rows.withColumn("ends", ends)
+    rows = rows.withColumn("b", F.filter(F.transform("b", lambda x: F.struct(F.try_element_at("ends", x.num).alias("at"), F.concat(F.lit(SLOT), wrap_callout(x.header, x.content)).alias("x"))), lambda x: x["at"].isNotNull()))
+
+    def line(x: Column) -> Column:
+        own = F.filter("s", lambda y: y.num == x.num)
+        top = F.flatten(F.transform(own, lambda y: F.array(F.lit(""), wrap_callout(F.lit("> [!note] 本节摘要"), y.content), F.lit(""))))
+        slots = F.transform(F.filter("b", lambda y: y["at"] == x.line_no), lambda y: y.x)
+        after = F.when((F.size(slots) > 0) & (x.line_no < F.size("l") - 1), F.array(F.lit(""))).otherwise(none)
+        return F.concat(F.array(x.line), F.coalesce(top, none), F.coalesce(F.concat(slots, after), none))
+
+    body = F.array_join(F.flatten(F.transform("l", line)), "\n")
+    body = F.regexp_replace(F.regexp_replace(body, rf"(?:\n{SPACE}*)?\n{SLOT}", "\n\n"), r"^\n+|\n+$", "")
+    shown = F.array_join(F.transform("h", lambda x: F.concat(F.repeat(F.lit("  "), x.level - 2), F.lit("- "), x.num, F.lit(" "), x.title)), "\n")
     header = F.concat(F.lit("> [!info] 知识库："), "kb_name", F.lit(" ｜ 源文件：`"), "source_name", F.lit(f"` ｜ 生成：{generated}\n\n# "), "title", F.lit("\n\n"))
-    contents = F.concat(F.lit("## 目录\n\n"), F.coalesce("toc", F.lit("")), F.lit("\n\n")) if toc else F.lit("")
+    contents = F.concat(F.lit("## 目录\n\n"), shown, F.lit("\n\n")) if toc else F.lit("")
     tail = F.when(F.col("notes").isNotNull(), F.concat(F.lit("\n## 引用来源\n\n"), "notes", F.lit("\n"))).otherwise("")
-    return rows.select("doc_id", F.concat(header, contents, "body", F.lit("\n"), tail).alias("text"))
+    return rows.select("doc_id", F.concat(header, contents, body, F.lit("\n"), tail).alias("text"))
 
 
 def audit_citations(texts: DataFrame, refs: DataFrame, chunks: DataFrame) -> DataFrame:
