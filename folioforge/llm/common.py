@@ -13,6 +13,8 @@ from folioforge.session import broadcast_if_small, materialize, ship_package
 
 __all__ = ["SPACES", "broadcast_if_small", "documents", "drop_losers", "first_ordinal", "map_arrow", "materialize", "raw_texts", "table", "unsigned_hex"]
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 #: The white space of all text contracts: blank and U+0009 to U+000D.
 SPACES = b" \t\n\x0b\x0c\r"
 
@@ -27,8 +29,13 @@ def documents(df: DataFrame) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, fn, schema: str, rows: int = 512) -> DataFrame:
-    """``mapInArrow`` over slices of ``rows`` rows, which bounds the Python objects alive at a time."""
+    """``mapInArrow`` over slices of ``rows`` rows, which bounds the Python objects alive at a time.
+
+    Texts can be very long, so where the session still has Spark's default of 10000 rows a batch, it is set to 1000.
+    """
     ship_package(df.sparkSession)
+    if df.sparkSession.conf.get(BATCH_ROWS) == "10000":
+        df.sparkSession.conf.set(BATCH_ROWS, "1000")
 
     def sliced(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from fn(b.slice(i, rows) for b in parts for i in range(0, b.num_rows, rows))
