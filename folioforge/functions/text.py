@@ -10,17 +10,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"[\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: The same as plain characters: trimming and deleting by list is several times faster than by pattern.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 CJK = r"[\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\uff00-\uffef]"
 NUMBERED = r"^(\d+(?:\.\d+)*)\s+(.*)$"
 CITE = r"\[\[c:(\d+)\]\]"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(c, F.lit(SPACES))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, f"{SPACE}+$", "")
+    return F.rtrim(c, F.lit(SPACES))
 
 
 def is_blank(c: Column) -> Column:
@@ -48,7 +50,7 @@ def tail_by_tokens(c: Column, max_tokens: int) -> Column:
 
 
 def norm_ws(c: Column) -> Column:
-    return F.lower(F.regexp_replace(c, f"{SPACE}+", ""))
+    return F.lower(F.translate(c, SPACES, ""))
 
 
 def html_title(c: Column) -> Column:
