@@ -112,16 +112,16 @@ def _hashes(words: list[bytes]) -> np.ndarray:
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, rounds: int = 300) -> QualityModel:
     """Ridge logistic regression by accelerated gradient steps on three rows of four, calibrated on the fourth."""
     held = np.arange(len(y)) % 4 == 3
-    xs, ys = x[~held], y[~held]
+    xs, ys, x = x[~held], y[~held], x[held]
     n_good, n_bad = max(ys.sum(), 1), max((1 - ys).sum(), 1)
     weight = np.where(ys > 0, 0.5 / n_good, 0.5 / n_bad).astype(np.float32)  # both classes weigh the same; calibration restores the odds
-    w = np.zeros(x.shape[1], np.float32)
+    w = np.zeros(xs.shape[1], np.float32)
     ahead, rate = w, 2.0
     for k in range(rounds):
         p = 1 / (1 + np.exp(-(xs @ ahead)))
         step = ahead - rate * (xs.T @ ((p - ys) * weight) + ridge * ahead)
         ahead, w = step + k / (k + 3) * (step - w), step
-    m, t = x[held] @ w, y[held]
+    m, t = x @ w, y[held]
     a, b = 1.0, 0.0
     for _ in range(100):  # Newton steps of Platt's two parameters; a small ridge keeps them finite where classes separate
         p = 1 / (1 + np.exp(-np.clip(a * m + b, -30, 30)))
@@ -150,7 +150,9 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 3000, least: i
     y = np.array([r.quality for r in rows], np.float32)
     if min((y > 0).sum(), (y <= 0).sum()) < least:
         return None
-    return fit(np.stack([np.frombuffer(r.x, np.float32) for r in rows]), (y > 0).astype(np.float32))
+    x = [np.stack([np.frombuffer(r.x, np.float32) for r in rows])]
+    del rows
+    return fit(x.pop(), (y > 0).astype(np.float32))  # no second reference: fit lets the whole matrix go
 
 
 def judge(raw: bytes, model: QualityModel | None, threshold: float) -> tuple:
