@@ -3,7 +3,8 @@
 Three patterns are searched in the text itself, and then in everything that can be unwrapped from it: percent escapes,
 Unicode escapes, base64 runs, and zlib or gzip data inside those. Each decoded layer keeps, for each of its characters, the
 stretch of the original text it came from, so that finds map back to original spans however deep they lie. Layers wait
-in a worklist; one whose text was seen before is not scanned again, which also ends cycles.
+in a worklist; one seen before with the same text in the same places is not scanned again, which also ends cycles: only
+packed data can grow, and all its characters share one place.
 
 Defined results: null text counts as empty and has no spans; overlapping finds are all reported; repeated rows give
 repeated rows; data that unpacks to more than ``UNPACK_LIMIT`` bytes is not opened (a decompression bomb, not a text).
@@ -16,6 +17,7 @@ import binascii
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -159,20 +161,30 @@ def _base64(layer: Layer) -> Iterator[Layer]:
         yield plain, new_lo, new_hi
 
 
+def _steps(layer: Layer) -> Iterator[Layer]:
+    yield from _unescape(layer, PERCENT, _percent)
+    yield from _unescape(layer, UNICODE, _unicode)
+    yield from _base64(layer)
+
+
+def _place(layer: Layer) -> bytes:
+    """Digest of a layer's text and places: layers equal in both have the same finds, the same text elsewhere has others."""
+    text, lo, hi = layer
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass") + array("q", lo).tobytes() + array("q", hi).tobytes(), digest_size=16).digest()
+
+
 def decoded_spans(text: str) -> set[tuple[int, int, int]]:
     """(start, kind, end) in original places of what shows only after decoding."""
     found: set[tuple[int, int, int]] = set()
-    seen = {text}
+    seen: set[bytes] = set()
     work: list[Layer] = [(text, list(range(len(text))), list(range(1, len(text) + 1)))]
     while work:
-        layer = work.pop()
-        for steps in (_unescape(layer, PERCENT, _percent), _unescape(layer, UNICODE, _unicode), _base64(layer)):
-            for inner in steps:
-                if inner[0] in seen:
-                    continue
-                seen.add(inner[0])
-                work.append(inner)
-                found |= {(inner[1][a], k, inner[2][b - 1]) for a, k, b in base_spans(inner[0])}
+        for inner in _steps(work.pop()):
+            if (key := _place(inner)) in seen:
+                continue
+            seen.add(key)
+            work.append(inner)
+            found |= {(inner[1][a], k, inner[2][b - 1]) for a, k, b in base_spans(inner[0])}
     return found
 
 

@@ -112,3 +112,13 @@ def test_edge_rows_and_redaction(spark):
     texts = {(r.doc_id or 0): (r.text, r.n_chars) for r in clean.collect()}
     assert texts[3] == ("a [secret] b", 12) and texts[1] == (None, 0) and texts[5][0].startswith("[secret]") and texts[4][1] == 300000
     assert secret_scan.scan_secrets(df.limit(0)).count() == 0
+
+
+def test_every_occurrence_of_an_encoded_secret_is_found():
+    for w in (wrap_url, wrap_unicode, wrap_64, wrap_zip, wrap_gzip, lambda s: wrap_64("x " + wrap_url(s) + " y"), lambda s: wrap_url("x " + wrap_64(s))):
+        part = w("token=abcdef1234")
+        text = f"a {part} b\na {part} b\nc {part} {part}"
+        places = [m.start() for m in re.finditer(re.escape(part), text)]
+        found = {(s, e) for s, k, e in secret_scan.scan(text.encode())[1] if k == 0}
+        assert len(places) == 4 and all(any(p <= s and e <= p + len(part) for s, e in found) for p in places), part
+        assert part[-12:] not in secret_scan.redacted(text.encode())
