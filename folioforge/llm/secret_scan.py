@@ -1,24 +1,26 @@
 """Secret scans with a recursive decoding worklist.
 
 Three patterns are searched in the text itself, and then in everything that can be unwrapped from it: percent escapes,
-Unicode escapes, base64 runs, and zlib or gzip data inside those. Each decoded layer keeps, for each of its characters, the
+Unicode escapes, base64 runs (also wrapped over lines, or joined to other words of the same letters), and zlib or gzip data
+anywhere inside those. Decoded bytes are read as Latin-1, one character a byte, so no byte is lost or rejected; the patterns
+and encodings are ASCII, so this finds what UTF-8 would. Each decoded layer keeps, for each of its characters, the
 stretch of the original text it came from, so that finds map back to original spans however deep they lie. Layers wait
 in a worklist; one seen before with the same text in the same places is not scanned again, which also ends cycles: only
 packed data can grow, and all its characters share one place.
 
 Defined results: null text counts as empty and has no spans; overlapping finds are all reported; repeated rows give
-repeated rows; data that unpacks to more than ``UNPACK_LIMIT`` bytes is not opened (a decompression bomb, not a text).
+repeated rows; data of which one member unpacks to more than ``UNPACK_LIMIT`` bytes is not opened (a decompression bomb, not a text).
 """
 
 from __future__ import annotations
 
-import base64
 import binascii
 import hashlib
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,9 +40,30 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2})+")
 ONE_ESCAPE = re.compile(r"\\[ux]\{?([0-9A-Fa-f]+)\}?")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+(?:\r\n?|\n)[ \t>]*+[A-Za-z0-9+/_-]++)+={0,2}")
+LETTERS = re.compile(r"[A-Za-z0-9+/_-]+")
 URL_SAFE = str.maketrans("-_", "+/")
+PACKED = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]")
+#: Whatever a decoded layer can be opened or searched for; bytes without any of it need no layer.
+WORTH = re.compile(rb"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[ux]|[A-Za-z0-9+/_\-\s>]{16}|" + PACKED.pattern)
 
-Layer = tuple[str, list[int], list[int]]  # text, and where each character starts and ends in the original
+Layer = tuple[str, Sequence[int], Sequence[int]]  # text, and where each character starts and ends in the original
+
+
+class Same(Sequence):
+    """``n`` times one place, as all characters of unpacked data have; unpacked data can be long."""
+
+    def __init__(self, place: int, n: int):
+        self.place, self.n = place, n
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __iter__(self) -> Iterator[int]:
+        return repeat(self.place, self.n)
+
+    def __getitem__(self, i):
+        return Same(self.place, len(range(*i.indices(self.n)))) if isinstance(i, slice) else self.place
 
 
 def base_spans(text: str, raw: bytes | None = None) -> list[tuple[int, int, int]]:
@@ -58,17 +81,8 @@ def base_spans(text: str, raw: bytes | None = None) -> list[tuple[int, int, int]
 
 
 def _percent(m: re.Match) -> Iterator[tuple[str, int, int]]:
-    data = bytes.fromhex(m[0].replace("%", ""))
-    try:
-        chars = data.decode()
-    except UnicodeDecodeError:
-        chars = data.decode("latin-1")
-    at = m.start()
-    wide = len(chars) != len(data)
-    for c in chars:
-        n = 3 * len(c.encode()) if wide else 3
-        yield c, at, at + n
-        at += n
+    for i, c in enumerate(bytes.fromhex(m[0].replace("%", "")).decode("latin-1")):
+        yield c, m.start() + 3 * i, m.start() + 3 * i + 3
 
 
 def _unicode(m: re.Match) -> Iterator[tuple[str, int, int]]:
@@ -108,76 +122,95 @@ def _unescape(layer: Layer, pattern: re.Pattern, decode) -> Iterator[Layer]:
                 new_hi.append(hi[b - 1])
             at = m.end()
         out.append(text[at:end])
-        yield "".join(out), new_lo + lo[at:end], new_hi + hi[at:end]
+        new_lo += lo[at:end]
+        new_hi += hi[at:end]
+        yield "".join(out), new_lo, new_hi
         done = end
 
 
-def unpack(data: bytes) -> bytes | None:
-    """The contents of zlib or gzip data, else None."""
-    if data[:2] != b"\x1f\x8b" and not (data[:1] == b"\x78" and len(data) > 1 and (data[0] * 256 + data[1]) % 31 == 0):
-        return None
+def unpack(data: bytes | memoryview) -> tuple[bytes, int] | None:
+    """The contents of the zlib stream or gzip member that ``data`` starts with and its length there, else None."""
     try:
         opener = zlib.decompressobj(47)
         out = opener.decompress(data, UNPACK_LIMIT)
     except zlib.error:
         return None
-    return out if out and not opener.unconsumed_tail else None
+    if opener.unconsumed_tail or not (out or opener.eof):
+        return None
+    return out, len(data) - len(opener.unused_data)
 
 
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and text.translate({9: 32, 10: 32, 13: 32}).isprintable() else None
+def unpacked(data: bytes) -> Iterator[tuple[str, int, int]]:
+    """Contents, start and end of what is packed anywhere in ``data``; members that follow each other are one text."""
+    done, view = 0, memoryview(data)
+    for m in PACKED.finditer(data):
+        if m.start() < done:
+            continue
+        parts, size, at = [], 0, m.start()
+        while PACKED.match(data, at) and (one := unpack(view[at:])):
+            if parts and size + len(one[0]) > UNPACK_LIMIT:  # the next text begins with the last member, for what lies across
+                yield b"".join(parts).decode("latin-1"), m.start(), at
+                parts, size = parts[-1:], len(parts[-1])
+            parts.append(one[0])
+            size += len(one[0])
+            at += one[1]
+        if size:
+            yield b"".join(parts).decode("latin-1"), m.start(), at
+        done = at
+
+
+def _packed(layer: Layer) -> Iterator[Layer]:
+    text, lo, hi = layer
+    for plain, a, b in unpacked(text.encode("latin-1", "replace")):  # no part of packed data stands for one character
+        yield plain, Same(lo[a], len(plain)), Same(hi[b - 1], len(plain))
+
+
+def _opened(run: str, lo, hi, end: int) -> Iterator[Layer]:
+    """A run read from each of four letters on, as what precedes the data in a run may have any length."""
+    run = run.rstrip("=").translate(URL_SAFE)
+    for a in range(min(4, len(run))):
+        n = len(run) - a
+        n -= n % 4 == 1
+        data = binascii.a2b_base64(run[a : a + n] + "=" * (-n % 4))
+        if not WORTH.search(data):
+            continue
+        places = range(len(data))
+        new_lo = [lo[a + i * 8 // 6] for i in places]
+        new_hi = [hi[a + (i * 8 + 7) // 6] for i in places]
+        yield data.decode("latin-1"), new_lo, new_hi
+        for plain, s, e in unpacked(data):
+            yield plain, Same(new_lo[s], len(plain)), Same(end if e == len(data) else new_hi[e - 1], len(plain))
 
 
 def _base64(layer: Layer) -> Iterator[Layer]:
     text, lo, hi = layer
     for m in BASE64.finditer(text):
-        run = m[0].rstrip("=")
-        if len(run) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(run.translate(URL_SAFE) + "=" * (-len(run) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        packed = False
-        while (inner := unpack(data)) is not None and inner != data:
-            data, packed = inner, True
-        plain = _readable(data)
-        if plain is None:
-            continue
-        a = m.start()
-        if packed:  # no part of the run stands for one character
-            yield plain, [lo[a]] * len(plain), [hi[m.end() - 1]] * len(plain)
-            continue
-        new_lo, new_hi, at = [], [], 0
-        for c in plain:
-            n = len(c.encode())
-            new_lo.append(lo[a + at * 8 // 6])
-            new_hi.append(hi[a + ((at + n) * 8 - 1) // 6])
-            at += n
-        yield plain, new_lo, new_hi
+        yield from _opened(m[0], lo[m.start() : m.end()], hi[m.start() : m.end()], hi[m.end() - 1])
+    for m in WRAPPED.finditer(text):
+        lines = [x.span() for x in LETTERS.finditer(text, m.start(), m.end())]
+        if sum(b - a for a, b in lines) >= 16:
+            new_lo, new_hi = [x for a, b in lines for x in lo[a:b]], [x for a, b in lines for x in hi[a:b]]
+            yield from _opened("".join([text[a:b] for a, b in lines]), new_lo, new_hi, hi[m.end() - 1])
 
 
 def _steps(layer: Layer) -> Iterator[Layer]:
     yield from _unescape(layer, PERCENT, _percent)
     yield from _unescape(layer, UNICODE, _unicode)
     yield from _base64(layer)
+    yield from _packed(layer)
 
 
 def _place(layer: Layer) -> bytes:
     """Digest of a layer's text and places: layers equal in both have the same finds, the same text elsewhere has others."""
     text, lo, hi = layer
-    return hashlib.blake2b(text.encode("utf-8", "surrogatepass") + array("q", lo).tobytes() + array("q", hi).tobytes(), digest_size=16).digest()
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass") + b"".join(b"%d" % x.place if isinstance(x, Same) else array("q", x).tobytes() for x in (lo, hi)), digest_size=16).digest()
 
 
 def decoded_spans(text: str) -> set[tuple[int, int, int]]:
     """(start, kind, end) in original places of what shows only after decoding."""
     found: set[tuple[int, int, int]] = set()
     seen: set[bytes] = set()
-    work: list[Layer] = [(text, list(range(len(text))), list(range(1, len(text) + 1)))]
+    work: list[Layer] = [(text, range(len(text)), range(1, len(text) + 1))]
     while work:
         for inner in _steps(work.pop()):
             if (key := _place(inner)) in seen:
@@ -192,13 +225,7 @@ def scan(raw: bytes) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
     """Base spans, and all spans, each (start, kind, end) in order."""
     text = raw.decode()
     base = base_spans(text, raw)
-    wrapped = b"%" in raw and PERCENT.search(text) or b"\\" in raw and UNICODE.search(text) or any(_base64_text(m[0]) for m in BASE64.finditer(text))
-    return base, sorted({*base, *decoded_spans(text)}) if wrapped else base
-
-
-def _base64_text(run: str) -> bool:
-    """Whether a run opens to anything readable; most long words do not, and then no layer is built."""
-    return any(True for _ in _base64((run, [0] * len(run), [1] * len(run))))
+    return base, sorted({*base, *decoded_spans(text)})
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:

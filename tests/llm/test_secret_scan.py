@@ -122,3 +122,50 @@ def test_every_occurrence_of_an_encoded_secret_is_found():
         found = {(s, e) for s, k, e in secret_scan.scan(text.encode())[1] if k == 0}
         assert len(places) == 4 and all(any(p <= s and e <= p + len(part) for s, e in found) for p in places), part
         assert part[-12:] not in secret_scan.redacted(text.encode())
+
+
+def shown(text):
+    return [text[s:e] for s, k, e in secret_scan.scan(text.encode())[1] if k == 0]
+
+
+def test_odd_characters_do_not_hide_a_layer():
+    for odd in ("\u00a0", "\u3000", "\ufeff", "\u00ad", "\u200b", "\f", "\v", "\0"):
+        for w in (wrap_64, wrap_zip, wrap_gzip):
+            assert shown(f"a {w(odd + ' ' + SECRET + ' ' + odd)} b"), (odd, w)
+    data = b"\xff\xfe " + SECRET.encode() + b" \x80"
+    assert shown(base64.b64encode(data).decode()) and shown(base64.b64encode(zlib.compress(data)).decode())
+
+
+def test_base64_joined_to_other_letters():
+    for before in ("id_", "/blob/", "a-", "x+y+", "u/v/w_", "ab", "abc/"):
+        for after in ("", "/x", "_tail", "-y-z"):
+            for w in (wrap_64, wrap_zip, wrap_gzip):
+                part = w(SECRET).rstrip("=")
+                found = shown(f"see {before}{part}{after} end")
+                assert found and all(before not in f and f in part + after for f in found), (before, after, w)
+
+
+def test_wrapped_base64():
+    long = ("filler, no secret here. " * 4 + SECRET + "\n") * 3
+    for data in (long.encode(), zlib.compress(long.encode()), gzip.compress(long.encode(), mtime=0)):
+        code = base64.b64encode(data).decode()
+        for width in (64, 76, 20, 7):
+            for end in ("\n", "\r\n", "\n    ", " \n> "):
+                text = "-----BEGIN DATA-----\n" + end.join(code[i : i + width] for i in range(0, len(code), width)) + "\n-----END DATA-----"
+                assert shown(text), (width, end)
+    inside = wrap_64("x" * 9 + SECRET)
+    (part,) = shown(inside[:20] + "\n" + inside[20:])
+    assert part.replace("\n", "") == inside[12:].rstrip("=")
+
+
+def test_packed_bytes_of_escape_runs_and_further_members():
+    data = zlib.compress(SECRET.encode())
+    assert shown("a " + "".join(f"%{b:02x}" for b in data) + " b")
+    assert shown("a " + urllib.parse.quote(data) + " b")
+    assert shown("a " + "".join(f"\\x{b:02x}" for b in data) + " b")
+    assert shown("a " + "".join(f"\\u{b:04x}" for b in gzip.compress(SECRET.encode(), mtime=0)) + " b")
+    two = gzip.compress(b"nothing here", mtime=0) + gzip.compress(SECRET.encode(), mtime=0)
+    assert shown(base64.b64encode(two).decode())
+    across = gzip.compress(b"password = hunt", mtime=0) + gzip.compress(b"er2hunter2", mtime=0)
+    assert shown(base64.b64encode(across).decode())
+    assert shown(base64.b64encode(b"head " + zlib.compress(zlib.compress(SECRET.encode()))).decode())
