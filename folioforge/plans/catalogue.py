@@ -99,6 +99,59 @@ def r5_context(spark, sf):
     return retrieval.context_text(hits_of(spark, sf), chunks_of(spark, sf), _names(spark, sf))
 
 
+def grown_asked_of(spark, sf) -> DataFrame:
+    """Every hundredth vector asks, so the queries grow with the table; ids and variants go by vec_id div 100."""
+    q = table(spark, sf, "embeddings").filter("vec_id % 100 = 0").selectExpr("vec_id div 100 as query_id", "embedding as vec", "label")
+    return q.selectExpr("query_id", "vec", "case when query_id % 2 = 0 then cast(array() as array<int>) else array(label) end as kb_ids", "case when query_id % 10 = 9 then ' ' else 'question' end as text", "query_id % 3 = 0 as strict")
+
+
+def _grown(name: str) -> str:
+    """The twin of a query of twenty, asked by every hundredth vector."""
+    asked = CHUNKS[CHUNKS.index("asked as") :]
+    return QUERIES[name][1].replace(asked, asked.replace("vec_id", "(vec_id // 100)").replace("(vec_id // 100) < 20", "vec_id % 100 = 0"))
+
+
+def _grown_hits(spark, sf) -> DataFrame:
+    return retrieval.retrieve(grown_asked_of(spark, sf), chunks_of(spark, sf), _excluded(spark, sf))
+
+
+@query(_grown("r1_cosine_topk"))
+def r1_cosine_topk_grown(spark, sf):
+    return retrieval.cosine_topk(grown_asked_of(spark, sf), chunks_of(spark, sf), 20, _excluded(spark, sf))
+
+
+@query(_grown("r1_cosine_topk_sql"))
+def r1_cosine_topk_sql_grown(spark, sf):
+    return retrieval.cosine_topk(grown_asked_of(spark, sf), chunks_of(spark, sf), 20, _excluded(spark, sf), method="sql")
+
+
+@query(_grown("r2_retrieve"))
+def r2_retrieve_grown(spark, sf):
+    return _grown_hits(spark, sf)
+
+
+@query(_grown("r3_apply_rerank"))
+def r3_apply_rerank_grown(spark, sf):
+    hits = _grown_hits(spark, sf)
+    scores = hits.selectExpr("query_id", "rank as pos", "7 - rank + case when query_id % 4 = 0 then 99 else 0 end as idx", "cast((rank * 11 % 7) / 10.0 as double) as relevance")
+    return retrieval.apply_rerank(hits, scores)
+
+
+@query(_grown("r4_refusal_guard"))
+def r4_refusal_guard_grown(spark, sf):
+    return retrieval.refusal_guard(grown_asked_of(spark, sf), _grown_hits(spark, sf), chunks_of(spark, sf))
+
+
+@query(_grown("r5_citations"))
+def r5_citations_grown(spark, sf):
+    return retrieval.citations(_grown_hits(spark, sf), chunks_of(spark, sf), _names(spark, sf))
+
+
+@query(_grown("r5_context"))
+def r5_context_grown(spark, sf):
+    return retrieval.context_text(_grown_hits(spark, sf), chunks_of(spark, sf), _names(spark, sf))
+
+
 def _frags(spark, sf) -> DataFrame:
     return table(spark, sf, "events").selectExpr("user_id as session_id", "event_id as seq", "event_id % 3 as doc_id", "case when event_id % 11 = 0 then '' else concat('organized:', event_id % 13) end as anchor")
 
