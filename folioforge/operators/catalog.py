@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import norm_ws
+from folioforge.session import materialize
 
 RUNNING = ("parsing", "generating", "fetching")
 
@@ -186,6 +187,16 @@ def kb_overview(docs: DataFrame, current: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("cur").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda r: r.x), "\n").alias("overview"))
 
 
+def kb_lines(docs: DataFrame) -> DataFrame:
+    """[kb_id, doc_id, place, line, own_line] for every document (K13): its line in the overviews of the others and the place
+    of that, null where it is not shown, and its line in its own. An overview is the kb's lines by place without the current
+    document's, then the current one's own; nothing is copied per document."""
+    shown = F.coalesce("enabled", F.lit(True)) & F.col("preset_id").isNotNull() & F.coalesce("organized", F.lit(False))
+    rows = docs.select("kb_id", F.col("id").alias("doc_id"), "created_at", shown.alias("shown"), _brief(F.lit(False)).alias("line"), _brief(F.lit(True)).alias("own_line"))
+    rows = number_within(rows, "n", "kb_id", F.desc("shown"), "created_at", "doc_id")
+    return rows.select("kb_id", "doc_id", F.when(F.col("shown"), F.col("n")).alias("place"), "line", "own_line")
+
+
 def lookup_toc(tocs: DataFrame, allowed: DataFrame, most: int = 8000) -> DataFrame:
     """[doc_id, toc] of allowed documents, cut."""
     return tocs.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.left("toc", F.lit(most)).alias("toc"))
@@ -209,12 +220,29 @@ def dedupe_normalized(df: DataFrame, text: Column, kind: str, order: str) -> Dat
     return rows.join(first, [kind, "_h", order], "left_semi").drop("_h")
 
 
+def number_rows(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
+    """``df`` with the place of each row, from 1, in ``order``, which leaves no ties: places within ranges, plus the rows of
+    the ranges before; only one count a range meets in one task."""
+    ranged = materialize(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).select("_p", before.alias("_b"))
+    own = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return ranged.withColumn("_k", own).join(F.broadcast(offsets), "_p").select(*df.columns, (F.col("_k") + F.col("_b")).cast("int").alias(name))
+
+
+def number_within(df: DataFrame, name: str, key: str, *order: str | Column) -> DataFrame:
+    """``df`` with the place of each row, from 1, within its ``key``; a large key lies in many ranges."""
+    rows = number_rows(df, "_n", key, *order)
+    first = rows.groupBy(F.col(key).alias("_key")).agg(F.min("_n").alias("_f"))
+    return rows.join(F.broadcast(first), F.col(key).eqNullSafe(F.col("_key"))).select(*df.columns, (F.col("_n") - F.col("_f") + 1).alias(name))
+
+
 def group_components(df: DataFrame) -> DataFrame:
     """[grp, key, members] of [ord, name, where_id, where_text] (K16): by id if set, else by normalised text; groups and
     members in order of first appearance."""
     key = F.when(F.coalesce("where_id", F.lit("")) != "", F.concat(F.lit("id:"), "where_id")).otherwise(F.concat(F.lit("own:"), norm_ws(F.coalesce("where_text", F.lit("")))))
     rows = df.groupBy(key.alias("key")).agg(F.min("ord").alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]).alias("members"))
-    return rows.select(F.row_number().over(Window.orderBy("first")).alias("grp"), "key", "members")  # groups are few: a config table
+    return number_rows(rows, "grp", "first").select("grp", "key", "members")
 
 
 def quality_report(blocks: DataFrame, leaves: DataFrame, residue: DataFrame, summaries: DataFrame, h2: DataFrame, names: list[str]) -> DataFrame:

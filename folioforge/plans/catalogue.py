@@ -365,10 +365,20 @@ _BRIEF = """'- 《' || name || '》' || case when id % 4 = 0 then '（T' || id |
 @query("with " + CATALOGUE + f""", c as (select id as cur, kb_id from docs where id % 40 = 0)
 select cur as doc_id, string_agg({_BRIEF} || case when id = cur then '（本文档）' else '' end, chr(10) order by id = cur, created_at, id) as overview from c join docs using (kb_id) where id = cur or (id % 3 <> 0 and id % 7 <> 0 and id % 11 <> 0) group by cur""")
 def k13_kb_overview(spark, sf):
-    d = docs_of(spark, sf).selectExpr("id", "kb_id", "name", "case when id % 4 = 0 then concat('T', id) when id % 4 = 1 then name end as title", "case when id % 5 = 0 then 'D' else '' end as digest", "case when id % 3 = 0 then false when id % 3 = 1 then true end as enabled", "case when id % 7 <> 0 then 'p' end as preset_id", "id % 11 <> 0 as organized", "created_at")
+    d = _overview_docs(spark, sf)
     return catalog.kb_overview(d, d.filter("id % 40 = 0").select(F.col("id").alias("doc_id")))
 
 
+def _overview_docs(spark, sf) -> DataFrame:
+    return docs_of(spark, sf).selectExpr("id", "kb_id", "name", "case when id % 4 = 0 then concat('T', id) when id % 4 = 1 then name end as title", "case when id % 5 = 0 then 'D' else '' end as digest", "case when id % 3 = 0 then false when id % 3 = 1 then true end as enabled", "case when id % 7 <> 0 then 'p' end as preset_id", "id % 11 <> 0 as organized", "created_at")
+
+
+@query("with " + CATALOGUE + f""", s as (select *, id % 3 <> 0 and id % 7 <> 0 and id % 11 <> 0 as shown from docs)
+select kb_id, id as doc_id, case when shown then (row_number() over (partition by kb_id, shown order by created_at, id))::int end as place, {_BRIEF} as line, {_BRIEF} || '（本文档）' as own_line from s""")
+def k13_kb_lines(spark, sf):
+    return catalog.kb_lines(_overview_docs(spark, sf))
+
+
 @query("with " + fx.NUMBERED + " select doc_id, left(string_agg(repeat('  ', (level - 2)::int) || '- ' || num || ' ' || title, chr(10) order by ord), 200) as toc from headings where doc_id % 2 = 0 group by doc_id")
 def k14_lookup_toc(spark, sf):
     tocs = lines.build_toc(lines.number_headings(fx.fenced(spark, sf))[1])
@@ -391,10 +401,19 @@ def k15_dedupe_normalized(spark, sf):
 k as (select *, case when wid is not null then 'id:' || wid else 'own:here' || item_id_mod end as key from (select *, ord % 5 as item_id_mod from c)), g as (select key, min(ord) as first, string_agg(name, ',' order by ord) as members from k group by key)
 select (row_number() over (order by first))::int as grp, key, members from g""")
 def k16_group_components(spark, sf):
-    c = table(spark, sf, "benchmark").filter("item_id < 60").selectExpr("item_id as ord", "concat('n', item_id) as name", "case when item_id % 3 = 0 then concat('w', item_id % 4) end as where_id", "concat('Here  ', item_id % 5) as where_text")
+    return _components(table(spark, sf, "benchmark").filter("item_id < 60"))
+
+
+def _components(items: DataFrame) -> DataFrame:
+    c = items.selectExpr("item_id as ord", "concat('n', item_id) as name", "case when item_id % 3 = 0 then concat('w', item_id % 4) end as where_id", "concat('Here  ', item_id % 5) as where_text")
     return catalog.group_components(c).select("grp", "key", F.array_join("members", ",").alias("members"))
 
 
+@query(QUERIES["k16_group_components"][1].replace(" where item_id < 60", ""))
+def k16_group_components_all(spark, sf):
+    return _components(table(spark, sf, "benchmark"))
+
+
 @query("with " + fx.BLOCKS + """, n as (select doc_id, count(*) filter (where type = 'explain') as e from blocks group by doc_id)
 select doc_id, concat_ws('; ', case when doc_id % 100 > 50 then 'stray characters: ' || doc_id % 100 end, case when coalesce(e, 0) <> doc_id % 4 then 'explain: ' || coalesce(e, 0) || ' blocks, ' || doc_id % 4 || ' leaf sections' end,
   case when doc_id % 3 = 0 then 'summaries lost: 2' end, case when doc_id % 6 = 0 then 'single second-level heading' end) as warnings from documents left join n using (doc_id)""")

@@ -1,8 +1,9 @@
 """Queries over all of their tables: what a constant set of ids would leave out."""
 
 import duckdb
+from pyspark.sql import functions as F
 
-from folioforge.operators import retrieval
+from folioforge.operators import catalog, retrieval
 from folioforge.plans import registry
 
 
@@ -15,3 +16,30 @@ def test_queries_grow_with_the_table_and_fill_several_blocks(spark, sf, monkeypa
     want = set(con.execute(f"select query_id, rank, id from ({registry.oracle_sql()['r1_cosine_topk_grown']})").fetchall())
     asked = con.execute("select count(*) from embeddings where vec_id % 100 = 0").fetchone()[0]
     assert got == want and len({q for q, _, _ in got}) == asked > 2 * 7
+
+
+def test_components_of_the_whole_table(spark, sf):
+    sf = sf.replace("0.001", "0.1")
+    got = registry.queries()["k16_group_components_all"](spark, sf).collect()
+    con = duckdb.connect()
+    con.execute(f"create view benchmark as select * from '{sf}/benchmark.parquet'")
+    assert {tuple(r) for r in got} == set(con.execute(registry.oracle_sql()["k16_group_components_all"]).fetchall())
+    assert sum(len(r.members.split(",")) for r in got) == con.execute("select count(*) from benchmark").fetchone()[0] > 60
+
+
+def test_rows_are_numbered_over_ranges(spark):
+    rows = spark.range(1000).selectExpr("id * 7919 % 1000 as id")
+    got = catalog.number_rows(rows, "n", F.desc("id"))
+    assert sorted(tuple(r) for r in got.collect()) == [(i, 1000 - i) for i in range(1000)]
+    assert catalog.number_rows(rows.limit(0), "n", "id").count() == 0
+
+
+def test_lines_give_every_documents_overview(spark, sf):
+    rows = registry.queries()["k13_kb_lines"](spark, sf).collect()
+    assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    by_id, kbs = {r.doc_id: r for r in rows}, {}
+    for r in sorted((r for r in rows if r.place), key=lambda r: r.place):
+        kbs.setdefault(r.kb_id, []).append(r)
+    for r in registry.queries()["k13_kb_overview"](spark, sf).collect():
+        own = by_id[r.doc_id]
+        assert r.overview == "\n".join([*(x.line for x in kbs.get(own.kb_id, []) if x.doc_id != r.doc_id), own.own_line])
