@@ -135,8 +135,8 @@ def place_first(docs: DataFrame, kbs: DataFrame) -> DataFrame:
 
 
 def reorder(docs: DataFrame, orders: DataFrame) -> DataFrame:
-    """Docs with the given order [kb_id, ids]: 1000, 2000, ..; documents not named keep theirs."""
-    new = orders.select("kb_id", F.posexplode("ids").alias("pos", "id")).select("kb_id", "id", (1000.0 * (F.col("pos") + 1)).alias("_o"))
+    """Docs with the given order [kb_id, id, pos], pos from 1: 1000, 2000, ..; documents not named keep theirs."""
+    new = orders.select("kb_id", "id", (1000.0 * F.col("pos")).alias("_o"))
     return docs.join(new, ["kb_id", "id"], "left").withColumn("sort_order", F.coalesce("_o", "sort_order")).select(docs.columns)
 
 
@@ -150,7 +150,8 @@ def backfill_order(docs: DataFrame) -> DataFrame:
 
 
 def list_docs(docs: DataFrame, kb_id) -> DataFrame:
-    return docs.filter(F.col("kb_id") == kb_id).orderBy("sort_order", F.desc("created_at"), "id")
+    """One kb's documents with their place in its listing, from 1."""
+    return number_rows(docs.filter(F.col("kb_id") == kb_id), "place", "sort_order", F.desc("created_at"), "id")
 
 
 def recover_status(docs: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -6,12 +6,15 @@ row each until then, and nothing is shuffled for it.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import SPACE, estimate_tokens, is_blank, num_of, tail_by_tokens
 from folioforge.operators.lines import explode_lines, heading_lines, recent_headings
+from folioforge.session import materialize, ship_package
 
 
 def _greedy(weights, cap: int, joiner: int) -> list[int]:
@@ -35,12 +38,86 @@ def pack(weights: Column, cap: int, joiner: int = 0) -> Column:
     return run(weights)
 
 
+def _table(weights, cap: int, joiner: int) -> tuple[list[int], list[int], list[int], int]:
+    """What a stretch of weights does to any window it is entered with: (need, windows, used, total). Entered with ``u``
+    used, the first item with need > cap - u opens a window; from there ``windows`` open, the last with ``used``. Without
+    such an item ``total`` is added. Items beyond the first that overflows an empty window need no entry."""
+    n, far = len(weights), 0
+    sums = [0]
+    for w in weights:
+        sums.append(sums[-1] + w + joiner)
+    ahead = []
+    for i in range(n):
+        far = max(far, i + 1)
+        while far < n and sums[far] - sums[i] - joiner + weights[far] <= cap:
+            far += 1
+        ahead.append(far)
+    opened, used = [0] * n, [0] * n
+    for i in reversed(range(n)):
+        j = ahead[i]
+        opened[i], used[i] = (1, sums[n] - sums[i] - joiner) if j == n else (1 + opened[j], used[j])
+    need, at = [], []
+    for i, w in enumerate(weights):
+        if not need or sums[i] + w > need[-1]:
+            need.append(sums[i] + w)
+            at.append(i)
+        if need[-1] > cap:
+            break
+    return need, [opened[i] for i in at], [used[i] for i in at], sums[-1]
+
+
+def _entries(tables, cap: int) -> list[dict]:
+    """Window number and use at the start of each stretch of a key, from the tables in order; -1 before the first item."""
+    out, window, used = [], -1, 0
+    for t in tables:
+        out.append({"p": t["p"], "window": window, "used": used})
+        j = 0 if window < 0 else bisect_right(t["need"], cap - used)
+        if j < len(t["need"]):
+            window, used = window + t["windows"][j], t["used"][j]
+        else:
+            used += t["total"]
+    return out
+
+
+def _from(weights, window: int, used: int, cap: int, joiner: int) -> list[int]:
+    out = []
+    for w in weights:
+        if window < 0 or used + w > cap:
+            window, used = window + 1, w
+        else:
+            used += w + joiner
+        out.append(window)
+    return out
+
+
 def pack_windows(df: DataFrame, key: str, order: str, weight: Column, cap: int, joiner: int = 0) -> DataFrame:
-    """``df`` with window_id: rows of a key packed in order."""
+    """``df`` with window_id: rows of a key packed in order (P1, P2). Give it no more columns than are asked for.
+
+    A key may have any number of rows: they lie in ranges by key and order. Each stretch is summed up as the windows it makes
+    of any start; the few tables of a key give the true starts, and the stretches are packed from those.
+    """
     cols = [c for c in df.columns if c != key]
-    held = df.withColumn("_w", weight).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.col("_w"), F.struct(*cols).alias("_r")))).alias("a"))
-    held = held.withColumn("w", pack(F.transform("a", lambda x: x["_w"]), cap, joiner))
-    return held.select(key, F.explode(F.arrays_zip("a", "w")).alias("x")).select(key, "x.a._r.*", F.col("x.w").alias("window_id"))
+    ship_package(df.sparkSession)
+    rows = materialize(df.withColumn("_w", weight).repartitionByRange(key, order).withColumn("_p", F.spark_partition_id()))
+    held = rows.groupBy(F.col(key).alias("_key"), "_p").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.col("_w"), F.struct(*cols).alias("_r")))).alias("a"))
+    weights = F.transform("a", lambda x: x["_w"])
+
+    @F.pandas_udf("need array<bigint>, windows array<bigint>, used array<bigint>, total bigint")
+    def tables(w: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_table([int(y) for y in x], cap, joiner) for x in w], columns=["need", "windows", "used", "total"])
+
+    @F.pandas_udf("array<struct<p int, window bigint, used bigint>>")
+    def entries(t: pd.Series) -> pd.Series:
+        return pd.Series([_entries(x, cap) for x in t], dtype=object)
+
+    @F.pandas_udf("array<int>")
+    def run(w: pd.Series, window: pd.Series, used: pd.Series) -> pd.Series:
+        return pd.Series([_from([int(y) for y in x], a, b, cap, joiner) for x, a, b in zip(w, window, used)], dtype=object)
+
+    starts = held.select("_key", "_p", tables(weights).alias("t")).groupBy("_key").agg(entries(F.array_sort(F.collect_list(F.struct(F.col("_p").alias("p"), "t.need", "t.windows", "t.used", "t.total")))).alias("e"))
+    starts = starts.select(F.col("_key").alias("_k"), F.inline("e"))
+    held = held.join(starts, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_p") == F.col("p"))).withColumn("w", run(weights, "window", "used"))
+    return held.select(F.col("_key").alias(key), F.explode(F.arrays_zip("a", "w")).alias("x")).select(key, "x.a._r.*", F.col("x.w").alias("window_id"))
 
 
 def _groups(parts: Column, windows: Column, sep: str) -> Column:

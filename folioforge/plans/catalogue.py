@@ -329,7 +329,8 @@ def k9_place_first(spark, sf):
 @query("with " + CATALOGUE + ", o as (select id, row_number() over (partition by kb_id order by id desc) as p from docs where id % 2 = 1) select d.id, coalesce(1000.0 * p, sort_order)::double as sort_order from docs d left join o using (id)")
 def k9_reorder(spark, sf):
     d = docs_of(spark, sf)
-    return catalog.reorder(d, d.filter("id % 2 = 1").groupBy("kb_id").agg(F.sort_array(F.collect_list("id"), asc=False).alias("ids"))).select("id", "sort_order")
+    named = catalog.number_within(d.filter("id % 2 = 1").select("kb_id", "id"), "pos", "kb_id", F.desc("id"))
+    return catalog.reorder(d, named).select("id", "sort_order")
 
 
 _GROUP = "case {0}.status when 'parsing' then 0 when 'generating' then 0 when 'pending' then 1 when 'ready' then 2 when 'done' then 3 else 4 end"
@@ -343,8 +344,7 @@ def k9_backfill_order(spark, sf):
 
 @query("with " + CATALOGUE + " select id, (row_number() over (order by sort_order, created_at desc, id))::int as place from docs where kb_id = 'src1'")
 def k10_list_docs(spark, sf):
-    rows = catalog.list_docs(docs_of(spark, sf), "src1").agg(F.collect_list("id").alias("a"))  # one kb's listing
-    return rows.select(F.posexplode("a").alias("p", "id")).select("id", (F.col("p") + 1).alias("place"))
+    return catalog.list_docs(docs_of(spark, sf), "src1").select("id", "place")
 
 
 @query("with " + CATALOGUE + " select id, case when status in ('generating', 'queued') then 'ready' when status in ('parsing', 'fetching') then case when id % 3 = 0 then 'ready' else 'failed' end else status end as status from docs")

@@ -40,13 +40,13 @@ _PAGES = fx.MD + r""", pl as (
 @query(f"with recursive {_PAGES}, {_walk(f'items as (select doc_id as key, row_number() over (partition by doc_id order by ord) as i, ord, {est("text")} as w from pages)', 400)} select key as doc_id, ord::int as ord, win as window_id from packed join items using (key, i)")
 def p1_page_windows(spark, sf):
     pages = lines.page_blocks(fx.md_docs(spark, sf))
-    return packing.pack_windows(pages, "doc_id", "ord", estimate_tokens(F.col("text")), 400).select("doc_id", F.col("ord").cast("int").alias("ord"), "window_id")
+    return packing.pack_windows(pages.select("doc_id", "ord", estimate_tokens(F.col("text")).alias("tokens")), "doc_id", "ord", F.col("tokens"), 400).select("doc_id", F.col("ord").cast("int").alias("ord"), "window_id")
 
 
 @query(f"with recursive {_walk(f'items as (select source as key, row_number() over (partition by source order by doc_id) as i, doc_id, {est("text")} as w from documents)', 4000)} select key as source, doc_id, win as window_id from packed join items using (key, i)")
 def p2_item_windows(spark, sf):
-    docs = table(spark, sf, "documents").select("source", "doc_id", "text")
-    return packing.pack_windows(docs, "source", "doc_id", estimate_tokens(F.col("text")), 4000).select("source", "doc_id", "window_id")
+    docs = table(spark, sf, "documents").select("source", "doc_id", estimate_tokens(F.col("text")).alias("tokens"))
+    return packing.pack_windows(docs, "source", "doc_id", F.col("tokens"), 4000).select("source", "doc_id", "window_id")
 
 
 _PARAS = fx.MD + r""", pa as (select doc_id, list_filter(regexp_split_to_array(text, '\n\s*\n'), lambda p: regexp_matches(p, '\S')) as a from md),

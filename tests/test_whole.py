@@ -1,9 +1,11 @@
 """Queries over all of their tables: what a constant set of ids would leave out."""
 
+import random
+
 import duckdb
 from pyspark.sql import functions as F
 
-from folioforge.operators import catalog, retrieval
+from folioforge.operators import catalog, packing, retrieval
 from folioforge.plans import registry
 
 
@@ -43,3 +45,33 @@ def test_lines_give_every_documents_overview(spark, sf):
     for r in registry.queries()["k13_kb_overview"](spark, sf).collect():
         own = by_id[r.doc_id]
         assert r.overview == "\n".join([*(x.line for x in kbs.get(own.kb_id, []) if x.doc_id != r.doc_id), own.own_line])
+
+
+def test_windows_do_not_depend_on_the_cut_into_stretches():
+    rng = random.Random(5)
+    for _ in range(2000):
+        cap, joiner = rng.randint(1, 30), rng.choice([0, 0, 2])
+        w = [rng.choice([0, 1, 3, 7, rng.randint(0, 40)]) for _ in range(rng.randint(1, 40))]
+        cuts = sorted(rng.sample(range(1, len(w)), min(len(w) - 1, rng.randint(0, 5))))
+        parts = [w[a:b] for a, b in zip([0, *cuts], [*cuts, len(w)])]
+        tables = [dict(zip(("need", "windows", "used", "total"), packing._table(x, cap, joiner)), p=i) for i, x in enumerate(parts)]
+        starts = packing._entries(tables, cap)
+        got = [k for x, e in zip(parts, starts) for k in packing._from(x, e["window"], e["used"], cap, joiner)]
+        assert got == packing._greedy(w, cap, joiner)
+        assert all(len(t["need"]) <= cap + 2 for t in tables)
+
+
+def test_a_large_group_lies_in_no_single_row(spark):
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(3000).selectExpr("case when id % 3 = 0 then null else 'hot' end as source", "id as doc_id", "id * 37 % 90 as tokens")
+        got = packing.pack_windows(rows, "source", "doc_id", F.col("tokens"), 200)
+        found = {}
+        for r in got.orderBy("doc_id").collect():
+            found.setdefault(r.source, []).append((r.tokens, r.window_id))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert {k: len(v) for k, v in found.items()} == {None: 1000, "hot": 2000}
+    for v in found.values():
+        assert [n for _, n in v] == packing._greedy([t for t, _ in v], 200, 0)
