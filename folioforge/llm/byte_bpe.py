@@ -6,6 +6,8 @@ anew, until no pair can merge. Long pre-tokens use a heap over the same boundari
 
 Texts are split at single blanks between two non-blanks, where no pre-token can reach across, and what each piece
 encodes to is kept in a bounded table, as words repeat. A table that is full is emptied; results do not depend on it.
+Pre-tokens are independent of each other, so it changes nothing who cuts them: the compiled encoder cuts short pieces
+itself and is handed the single pre-tokens of long ones, as its stack does not bear a million blanks.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L
 INNER_BLANK = re.compile(r"(?<=\S) (?=\S)")
 SHORT = 64
 NEVER = 1 << 40
+#: Longer pieces are cut into pre-tokens here: the compiled encoder's own cutting recurses over a run of white space.
+COMPILED_CUT = 10_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -82,10 +86,8 @@ class ByteBPE:
     def _heap(self, part: list[int]) -> list[int]:
         n, rank = len(part), self.rank
         after, before, alive = [*range(1, n), -1], list(range(-1, n - 1)), [True] * n
-        heap = [(*rank[p], i, p) for i, p in enumerate(zip(part, part[1:])) if p in rank]
+        heap = [(rank[p][0], i, rank[p][1], p) for i, p in enumerate(zip(part, part[1:])) if p in rank]
         heapq.heapify(heap)
-        heap.sort(key=lambda x: (x[0], x[2]))
-        heap = [(r, i, new, p) for r, new, i, p in heap]
 
         def push(i: int) -> None:
             if i >= 0 and after[i] >= 0 and (found := rank.get(p := (part[i], part[after[i]]))):
@@ -166,7 +168,13 @@ def _by_library(path: str) -> tuple[ByteBPE, ChunkTable]:
 
     bpe = ByteBPE(path)
     core = tiktoken.Encoding("from-file", pat_str=PRE_TOKEN.pattern, mergeable_ranks=bpe.ids, special_tokens={})
-    return bpe, ChunkTable(core.encode_ordinary)
+
+    def encode(text: str) -> list[int]:
+        if len(text) <= COMPILED_CUT:
+            return core.encode_ordinary(text)
+        return [i for w in PRE_TOKEN.findall(text) for i in core._encode_single_piece(w.encode())]
+
+    return bpe, ChunkTable(encode)
 
 
 def encode_bytes(path: str, text: str, by_library: bool = False) -> bytes:

@@ -3,8 +3,8 @@
 Every document's ids, end mark included, are cut at multiples of the window; the full pieces are sequences of their own.
 The remainders of a block of documents are packed together: shallow combinations of lengths that fill a window exactly
 are enumerated, non-negative least squares finds how often to repeat each so that the length histogram is met, the
-counts are rounded down to what is there, and the remainders left over are laid end to end and cut at the window. The
-last stretch is cut into powers of two, which need no padding.
+counts are rounded and used as far as there are documents for them, and the remainders left over are laid end to end
+and cut at the window. The last stretch is cut into powers of two, which need no padding.
 
 A block is at most ``block_docs`` documents or ``block_tokens`` ids of one task, so memory is bounded, nothing is
 shuffled, and every block is solved from its own whole histogram.

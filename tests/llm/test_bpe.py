@@ -33,11 +33,18 @@ def test_same_ids_as_the_library(library, by_library):
         assert ids_of(t, by_library=by_library) == library.encode(t, add_special_tokens=False).ids, t
 
 
-def test_every_code_point_is_classed_alike(library):
+@pytest.mark.parametrize("by_library", [False, True])
+@pytest.mark.parametrize("text", ["x" + " " * 3_000_000 + "y", "x" + "\n" * 1_100_000 + "y", "a \t" * 100_000, "中文" * 50_000 + " \n" * 9000])
+def test_very_long_white_space(library, text, by_library):
+    assert ids_of(text, by_library=by_library) == library.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("by_library", [False, True])
+def test_every_code_point_is_classed_alike(library, by_library):
     pts = [c for c in range(0x30000) if not 0xD800 <= c < 0xE000 and c % 3 == 0 or c < 0x3000 and not 0xD800 <= c < 0xE000]
     for i in range(0, len(pts), 400):
         t = "".join(f"a{chr(c)}1{chr(c)} b" for c in pts[i : i + 400])
-        assert ids_of(t, by_library=True) == library.encode(t, add_special_tokens=False).ids, hex(pts[i])
+        assert ids_of(t, by_library=by_library) == library.encode(t, add_special_tokens=False).ids, hex(pts[i])
 
 
 def test_heap_and_scan_agree():

@@ -60,6 +60,14 @@ def test_small_blocks_and_edge_rows(spark):
     assert packing.pack_documents(twice, PATH, with_ids=False).count() >= 2
 
 
+def test_very_long_white_space(spark):
+    lib = Tokenizer.from_file(PATH)
+    rows = [(1, "x" + " " * 3_000_000 + "y"), (2, "x" + "\n" * 1_100_000 + "y"), (3, "plain")]
+    ids_of = {d: [*lib.encode(t, add_special_tokens=False).ids, 0] for d, t in rows}
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()
+    assert check_pieces(got, ids_of)[0] == 0
+
+
 def test_least_squares_fills_windows_exactly():
     lengths = [700] * 10 + [324] * 10 + [300] * 9 + [124] * 3
     got = packing.pack_block(lengths, 1024)
