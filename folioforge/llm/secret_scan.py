@@ -1,15 +1,22 @@
 """Secret scans with a recursive decoding worklist.
 
 Three patterns are searched in the text itself, and then in everything that can be unwrapped from it: percent escapes,
-Unicode escapes, base64 runs (also wrapped over lines, or joined to other words of the same letters), and zlib or gzip data
-anywhere inside those. Decoded bytes are read as Latin-1, one character a byte, so no byte is lost or rejected; the patterns
-and encodings are ASCII, so this finds what UTF-8 would. Each decoded layer keeps, for each of its characters, the
-stretch of the original text it came from, so that finds map back to original spans however deep they lie. Layers wait
-in a worklist; one seen before with the same text in the same places is not scanned again, which also ends cycles: only
-packed data can grow, and all its characters share one place.
+Unicode escapes, base64 runs (also wrapped over lines, or joined to other words of the same letters), zlib or gzip data
+anywhere inside those, raw deflate data at the start of a base64 run, and two-byte text (UTF-16) inside any of them.
+Decoded bytes are read as Latin-1, one character a byte, so no byte is lost or rejected; the patterns and encodings are
+ASCII, so this finds what UTF-8 would. Each decoded layer keeps, for each of its characters, the stretch of the original
+text it came from, so that finds map back to original spans however deep they lie. Layers wait in a worklist; one seen
+before with the same text in the same places is not scanned again, which also ends cycles: only packed data can grow, and
+all its characters share one place.
+
+Work is bounded by the text and what is packed in it. Unpacked data of any size is scanned in overlapping windows, so one
+window is held at a time; what is encoded once more across the edge of two windows is seen whole up to ``OVERLAP``. Escapes
+within escapes are scanned layer by layer ``DEEP`` times, and from there decoded at one go until none is left: a secret
+that survives to the end is found at any depth, and the views in between, which differ by the escapes' own digits, are
+passed over.
 
 Defined results: null text counts as empty and has no spans; overlapping finds are all reported; repeated rows give
-repeated rows; data of which one member unpacks to more than ``UNPACK_LIMIT`` bytes is not opened (a decompression bomb, not a text).
+repeated rows; broken packed data is read up to the break.
 """
 
 from __future__ import annotations
@@ -19,8 +26,8 @@ import hashlib
 import re
 import zlib
 from array import array
-from collections.abc import Iterator, Sequence
-from itertools import repeat
+from collections.abc import Generator, Iterator, Sequence
+from itertools import chain, repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +35,9 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.common import documents, map_arrow, raw_texts
 
-UNPACK_LIMIT = 64 << 20
+#: Characters of unpacked data held at a time, and what two windows share.
+WINDOW, OVERLAP = 16 << 20, 1 << 20
+DEEP = 32
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -42,10 +51,13 @@ ONE_ESCAPE = re.compile(r"\\[ux]\{?([0-9A-Fa-f]+)\}?")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+(?:\r\n?|\n)[ \t>]*+[A-Za-z0-9+/_-]++)+={0,2}")
 LETTERS = re.compile(r"[A-Za-z0-9+/_-]+")
+WIDE = re.compile(r"(?:[^\0]\0){8,}|(?:\0[^\0]){8,}")
+BLANKS = re.compile(rb" {1024,}")
+HEX_DIGITS = frozenset("0123456789abcdefABCDEF")
 URL_SAFE = str.maketrans("-_", "+/")
 PACKED = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]")
 #: Whatever a decoded layer can be opened or searched for; bytes without any of it need no layer.
-WORTH = re.compile(rb"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[ux]|[A-Za-z0-9+/_\-\s>]{16}|" + PACKED.pattern)
+WORTH = re.compile(rb"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[ux]|[A-Za-z0-9+/_\-\s>]{16}|(?:[^\0]\0){8}|(?:\0[^\0]){8}|" + PACKED.pattern)
 
 Layer = tuple[str, Sequence[int], Sequence[int]]  # text, and where each character starts and ends in the original
 
@@ -111,52 +123,132 @@ def _unescape(layer: Layer, pattern: re.Pattern, decode) -> Iterator[Layer]:
             continue
         start, end = text.rfind("\n", 0, first.start()) + 1, text.find("\n", first.start())
         end = len(text) if end < 0 else end
-        out, new_lo, new_hi, at = [], [], [], start
+        out, new_lo, new_hi, at = [], array("q"), array("q"), start
         for m in pattern.finditer(text, start, end):
             out.append(text[at : m.start()])
-            new_lo += lo[at : m.start()]
-            new_hi += hi[at : m.start()]
+            new_lo.extend(lo[at : m.start()])
+            new_hi.extend(hi[at : m.start()])
             for c, a, b in decode(m):
                 out.append(c)
                 new_lo.append(lo[a])
                 new_hi.append(hi[b - 1])
             at = m.end()
         out.append(text[at:end])
-        new_lo += lo[at:end]
-        new_hi += hi[at:end]
+        new_lo.extend(lo[at:end])
+        new_hi.extend(hi[at:end])
         yield "".join(out), new_lo, new_hi
         done = end
 
 
-def unpack(data: bytes | memoryview) -> tuple[bytes, int] | None:
-    """The contents of the zlib stream or gzip member that ``data`` starts with and its length there, else None."""
-    try:
-        opener = zlib.decompressobj(47)
-        out = opener.decompress(data, UNPACK_LIMIT)
-    except zlib.error:
+def _last_escape(out: list[str]) -> tuple[int, str] | None:
+    """Length and character of the escape that ``out`` ends with."""
+    last = out[-1]
+    if last in HEX_DIGITS:
+        if out[-3:-2] == ["%"] and out[-2] in HEX_DIGITS:
+            return 3, chr(int(out[-2] + last, 16))
+        n = 4 if out[-4:-2] == ["\\", "x"] else 6 if out[-6:-4] == ["\\", "u"] else 0
+        digits = out[2 - n :] if n else []
+    elif last == "}" and "{" in out[-8:]:
+        n = next(k for k in range(1, 9) if out[-k] == "{") + 2
+        digits = out[3 - n : -1] if out[-n : 2 - n] == ["\\", "u"] else []
+    else:
         return None
-    if opener.unconsumed_tail or not (out or opener.eof):
+    if not digits or not HEX_DIGITS.issuperset(digits):
         return None
-    return out, len(data) - len(opener.unused_data)
+    code = int("".join(digits), 16)
+    return n, chr(code) if code <= 0x10FFFF and not 0xD800 <= code < 0xE000 else "\ufffd"
+
+
+def _settled(layer: Layer) -> Iterator[Layer]:
+    """The layer with escapes decoded until none is left, in one pass. An escape's first character is in no other escape's
+    rest, so they never overlap and the end does not depend on the order of decoding."""
+    out, new_lo, new_hi = [], array("q"), array("q")
+    for c, a, b in zip(*layer):
+        out.append(c)
+        new_lo.append(a)
+        new_hi.append(b)
+        while found := _last_escape(out):
+            n, c = found
+            start, end = new_lo[-n], new_hi[-1]
+            del out[-n:], new_lo[-n:], new_hi[-n:]
+            out.append(c)
+            new_lo.append(start)
+            new_hi.append(end)
+    yield "".join(out), new_lo, new_hi
+
+
+def _inflate(view: memoryview, at: int, kind: int) -> Generator[bytes, None, int]:
+    """Pieces of what the stream at ``at`` unpacks to; returns where it ends. ``zlib.error`` where it breaks."""
+    opener = zlib.decompressobj(kind)
+    for i in range(at, len(view), 1 << 16):
+        rest = view[i : i + (1 << 16)]
+        fed = len(rest)
+        while True:
+            out = opener.decompress(rest, 1 << 20)
+            if out:
+                yield out
+            rest = opener.unconsumed_tail
+            if opener.eof:
+                return i + fed - len(opener.unused_data)
+            if not rest and len(out) < 1 << 20:
+                break
+    return len(view)
+
+
+def _members(data: bytes, at: int) -> Generator[bytes, None, tuple[int, int]]:
+    """Pieces of the zlib or gzip members from ``at`` on, which are one text; returns where they end, and the place before which
+    nothing else is to be looked for: broken data may hold other members inside."""
+    view = memoryview(data)
+    while PACKED.match(data, at):
+        try:
+            at = yield from _inflate(view, at, 47)
+        except zlib.error:
+            return len(data), at + 1
+    return at, at
+
+
+def _windows(pieces: Iterator[bytes]) -> Iterator[str]:
+    """Overlapping windows. Long runs of blanks are shortened, as no pattern minds how long they are."""
+    held, fresh = bytearray(), False
+    for piece in pieces:
+        held += piece
+        fresh = True
+        if len(held) >= WINDOW:
+            held = bytearray(BLANKS.sub(b" " * 1024, held))
+            yield held.decode("latin-1")
+            del held[:-OVERLAP]
+            fresh = False
+    if fresh:
+        yield BLANKS.sub(b" " * 1024, held).decode("latin-1")
+
+
+def _ended(pieces: Generator):
+    while True:
+        try:
+            next(pieces)
+        except StopIteration as end:
+            return end.value
 
 
 def unpacked(data: bytes) -> Iterator[tuple[str, int, int]]:
-    """Contents, start and end of what is packed anywhere in ``data``; members that follow each other are one text."""
-    done, view = 0, memoryview(data)
+    """Windows of the contents, start and end of what is packed anywhere in ``data``."""
+    done = 0
     for m in PACKED.finditer(data):
-        if m.start() < done:
-            continue
-        parts, size, at = [], 0, m.start()
-        while PACKED.match(data, at) and (one := unpack(view[at:])):
-            if parts and size + len(one[0]) > UNPACK_LIMIT:  # the next text begins with the last member, for what lies across
-                yield b"".join(parts).decode("latin-1"), m.start(), at
-                parts, size = parts[-1:], len(parts[-1])
-            parts.append(one[0])
-            size += len(one[0])
-            at += one[1]
-        if size:
-            yield b"".join(parts).decode("latin-1"), m.start(), at
-        done = at
+        if m.start() >= done:
+            end, done = _ended(_members(data, m.start()))
+            for plain in _windows(_members(data, m.start())):
+                yield plain, m.start(), end
+
+
+def deflated(data: bytes) -> Iterator[tuple[str, int]]:
+    """Windows of the contents, and the end, of raw deflate data that ``data`` starts with."""
+    try:
+        end = _ended(_inflate(memoryview(data), 0, -15))
+    except zlib.error:
+        return
+    for plain in _windows(_inflate(memoryview(data), 0, -15)):
+        if WORTH.search(plain.encode("latin-1")):
+            yield plain, end
 
 
 def _packed(layer: Layer) -> Iterator[Layer]:
@@ -172,14 +264,15 @@ def _opened(run: str, lo, hi, end: int) -> Iterator[Layer]:
         n = len(run) - a
         n -= n % 4 == 1
         data = binascii.a2b_base64(run[a : a + n] + "=" * (-n % 4))
+        ends = lambda e: end if e == len(data) else hi[a + (e * 8 - 1) // 6]  # noqa: B023, E731
+        for plain, e in deflated(data):
+            yield plain, Same(lo[a], len(plain)), Same(ends(e), len(plain))
         if not WORTH.search(data):
             continue
         places = range(len(data))
-        new_lo = [lo[a + i * 8 // 6] for i in places]
-        new_hi = [hi[a + (i * 8 + 7) // 6] for i in places]
-        yield data.decode("latin-1"), new_lo, new_hi
+        yield data.decode("latin-1"), array("q", [lo[a + i * 8 // 6] for i in places]), array("q", [hi[a + (i * 8 + 7) // 6] for i in places])
         for plain, s, e in unpacked(data):
-            yield plain, Same(new_lo[s], len(plain)), Same(end if e == len(data) else new_hi[e - 1], len(plain))
+            yield plain, Same(lo[a + s * 8 // 6], len(plain)), Same(ends(e), len(plain))
 
 
 def _base64(layer: Layer) -> Iterator[Layer]:
@@ -189,15 +282,32 @@ def _base64(layer: Layer) -> Iterator[Layer]:
     for m in WRAPPED.finditer(text):
         lines = [x.span() for x in LETTERS.finditer(text, m.start(), m.end())]
         if sum(b - a for a, b in lines) >= 16:
-            new_lo, new_hi = [x for a, b in lines for x in lo[a:b]], [x for a, b in lines for x in hi[a:b]]
+            new_lo, new_hi = (array("q", chain.from_iterable(x[a:b] for a, b in lines)) for x in (lo, hi))
             yield from _opened("".join([text[a:b] for a, b in lines]), new_lo, new_hi, hi[m.end() - 1])
 
 
-def _steps(layer: Layer) -> Iterator[Layer]:
-    yield from _unescape(layer, PERCENT, _percent)
-    yield from _unescape(layer, UNICODE, _unicode)
-    yield from _base64(layer)
-    yield from _packed(layer)
+def _wide(layer: Layer) -> Iterator[Layer]:
+    """Two-byte text: every other character is NUL."""
+    text, lo, hi = layer
+    if "\0" in text:
+        for m in WIDE.finditer(text):
+            a, b = m.span()
+            yield text[a + (text[a] == "\0") : b : 2], lo[a:b:2], hi[a + 1 : b : 2]
+
+
+def _steps(layer: Layer, depth: int) -> Iterator[tuple[Layer, int]]:
+    """What one step unwraps from a layer that is ``depth`` escapes deep, and how deep that is."""
+    escapes = [(p, d) for p, d in ((PERCENT, _percent), (UNICODE, _unicode)) if p.search(layer[0])]
+    if depth < DEEP:
+        for pattern, decode in escapes:
+            for inner in _unescape(layer, pattern, decode):
+                yield inner, depth + 1
+    elif escapes:
+        for inner in _settled(layer):
+            yield inner, depth + 1
+    for step in (_base64, _wide, _packed):
+        for inner in step(layer):
+            yield inner, 0
 
 
 def _place(layer: Layer) -> bytes:
@@ -210,13 +320,13 @@ def decoded_spans(text: str) -> set[tuple[int, int, int]]:
     """(start, kind, end) in original places of what shows only after decoding."""
     found: set[tuple[int, int, int]] = set()
     seen: set[bytes] = set()
-    work: list[Layer] = [(text, range(len(text)), range(1, len(text) + 1))]
+    work: list[tuple[Layer, int]] = [((text, range(len(text)), range(1, len(text) + 1)), 0)]
     while work:
-        for inner in _steps(work.pop()):
+        for inner, depth in _steps(*work.pop()):
             if (key := _place(inner)) in seen:
                 continue
             seen.add(key)
-            work.append(inner)
+            work.append((inner, depth))
             found |= {(inner[1][a], k, inner[2][b - 1]) for a, k, b in base_spans(inner[0])}
     return found
 

@@ -2,7 +2,9 @@ import base64
 import gzip
 import hashlib
 import json
+import random
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -88,9 +90,51 @@ def test_places_map_back_exactly():
     assert secret_scan.scan(emoji.encode())[1] == brute_base(emoji)
 
 
-def test_bombs_cycles_and_odd_input(monkeypatch):
-    monkeypatch.setattr(secret_scan, "UNPACK_LIMIT", 1000)
-    assert secret_scan.scan(wrap_zip(SECRET + " " * 5000).encode())[1] == []
+def test_unpacked_data_of_any_size_is_scanned_in_windows(monkeypatch):
+    monkeypatch.setattr(secret_scan, "WINDOW", 1 << 20)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 1 << 12)
+    rng = random.Random(3)
+    noise = lambda n: bytes(rng.choice(b"abcdefgh .,") for _ in range(64)) * (n // 64)
+    wrapped = lambda data: base64.b64encode(data).decode()
+    for before in (0, (1 << 20) - 9, (2 << 20) - 20, 5 << 20):
+        plain = noise(before + 64)[:before] + b" " + SECRET.encode() + noise(3 << 20)
+        for data in (zlib.compress(plain), gzip.compress(plain, mtime=0), zlib.compress(zlib.compress(plain))):
+            code = wrapped(data)
+            assert (0, 4, 4 + len(code)) in {(k, s, e + code.count("=")) for k, s, e in covered(f"see {code} end", code)}
+    assert shown(wrapped(zlib.compress(b"password" + b" " * (3 << 20) + b"= hunter2hunter2")))
+    assert shown(wrapped(zlib.compress(b"\0" * (80 << 20) + SECRET.encode())))
+    assert not shown(wrapped(zlib.compress(b"\0" * (80 << 20))))
+
+
+def test_broken_packed_data_is_read_up_to_the_break():
+    noise = random.Random(1).randbytes(300_000).hex()
+    data = zlib.compress((SECRET + " " + noise).encode())
+    assert shown(base64.b64encode(data[:-5] + b"\0" * 5).decode()) and shown(base64.b64encode(data[:100_000]).decode())
+
+
+def test_raw_deflate_and_two_byte_text():
+    raw = zlib.compressobj(wbits=-15)
+    data = raw.compress(("some words first. " + SECRET).encode()) + raw.flush()
+    for part in (base64.b64encode(data).decode().rstrip("="), base64.urlsafe_b64encode(data).decode().rstrip("=")):
+        assert shown(f"a {part} b") and shown(f"a {part}\nb")
+    for code in ("utf-16-le", "utf-16-be", "utf-16"):
+        data = ("é 日本 run: " + SECRET + " ok").encode(code)
+        for b in (data, zlib.compress(data)):
+            assert shown("x " + base64.b64encode(b).decode()), code
+
+
+def test_deep_escapes_cost_no_more_than_some_passes():
+    deep = "%" + "25" * 100_000 + "74oken=abcdef1234"
+    began = time.time()
+    assert (0, 0, len(deep)) in {(s, k, e) for s, k, e in secret_scan.decoded_spans(deep)}
+    assert time.time() - began < 60
+    both = SECRET
+    for k in range(80):
+        both = both.replace("%", "%25").replace("p", "%70") if k % 2 else both.replace("\\", "\\x5c").replace("=", "\\x3d")
+    assert shown(both)
+
+
+def test_bombs_cycles_and_odd_input():
     assert secret_scan.decoded_spans("%25%32%35" * 40) == set()
     for t in ("%", "%zz \\u12 \\ud800 \\ud800\\u0041 =====", "A" * 500, "%FF%FE", "\\u{110000}", "\\u{1F600} \\x41"):
         secret_scan.scan(t.encode())
@@ -169,3 +213,96 @@ def test_packed_bytes_of_escape_runs_and_further_members():
     across = gzip.compress(b"password = hunt", mtime=0) + gzip.compress(b"er2hunter2", mtime=0)
     assert shown(base64.b64encode(across).decode())
     assert shown(base64.b64encode(b"head " + zlib.compress(zlib.compress(SECRET.encode()))).decode())
+
+
+def naive_views(chars):
+    """Everything one step makes visible, from (character, start, end) triples, without regular expressions or prefilters."""
+    text = "".join(c for c, _, _ in chars)
+    hexes = "0123456789abcdefABCDEF"
+
+    def escapes(length):
+        out, i, any_ = [], 0, False
+        while i < len(chars):
+            n, code = length(i)
+            if n:
+                out.append((chr(code), chars[i][1], chars[i + n - 1][2]))
+                any_, i = True, i + n
+            else:
+                out.append(chars[i])
+                i += 1
+        return out if any_ else None
+
+    def percent(i):
+        t = text[i : i + 3]
+        return (3, int(t[1:], 16)) if len(t) == 3 and t[0] == "%" and all(c in hexes for c in t[1:]) else (0, 0)
+
+    def unicode(i):
+        for head, n in (("\\u", 6), ("\\x", 4)):
+            t = text[i : i + n]
+            if t.startswith(head) and len(t) == n and all(c in hexes for c in t[2:]):
+                return n, int(t[2:], 16)
+        return 0, 0
+
+    yield from filter(None, (escapes(percent), escapes(unicode)))
+    letters = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_")
+    i = 0
+    while i < len(text):
+        j = i
+        while j < len(text) and text[j] in letters:
+            j += 1
+        if j - i >= 16:
+            for a in range(i, min(i + 4, j)):
+                b = j - ((j - a) % 4 == 1)
+                bits = [(k, d) for k in range(a, b) for d in f"{('ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/'.index(text[k].replace('-', '+').replace('_', '/'))):06b}"]
+                groups = [bits[k : k + 8] for k in range(0, len(bits) - 7, 8)]
+                data = [(chr(int("".join(d for _, d in g), 2)), chars[g[0][0]][1], chars[g[-1][0]][2]) for g in groups]
+                yield data
+                raw = bytes(ord(c) for c, _, _ in data)
+                for k in range(len(raw)):
+                    if raw[k : k + 3] == b"\x1f\x8b\x08" or raw[k : k + 2] in (b"x\x9c", b"x\x01", b"x\x5e", b"x\xda"):
+                        d = zlib.decompressobj(47)
+                        try:
+                            plain = d.decompress(raw[k:])
+                        except zlib.error:
+                            continue
+                        end = len(raw) - len(d.unused_data)
+                        yield [(chr(x), data[k][1], data[end - 1][2]) for x in plain]
+        i = max(j, i + 1)
+
+
+def naive_spans(text):
+    found, seen, work = set(), set(), [[(c, i, i + 1) for i, c in enumerate(text)]]
+    while work:
+        chars = work.pop()
+        plain = "".join(c for c, _, _ in chars)
+        if len(chars) < 8 or tuple(chars) in seen:
+            continue
+        seen.add(tuple(chars))
+        found |= {(chars[s][1], k, chars[e - 1][2]) for s, k, e in brute_base(plain)}
+        work += naive_views(chars)
+    return found
+
+
+def test_planted_layers_against_a_naive_unwrapper(spark, sf):
+    """Nested layers planted in the texts of the table, in two and three wraps, against an unwrapper of another make."""
+    rng = random.Random(11)
+    wraps = [wrap_url, wrap_unicode, wrap_64, wrap_zip, wrap_gzip, lambda s: "".join(f"%{ord(c):02x}" if rng.random() < 0.4 else c for c in s)]
+    rows, planted = [], {}
+    for r in common.table(spark, sf, "documents").orderBy("doc_id").limit(60).collect():
+        part = rng.choice([SECRET, "api_key: 'abcDEF123456'", "id AKIA" + "A1" * 9, "hash " + "0a1b" * 8])
+        for w in rng.choices(wraps, k=rng.randint(1, 3)):
+            part = w(rng.choice(["", "x ", "see: "]) + part)
+        words = (r.text or "").split(" ")[:120]
+        at = rng.randint(0, len(words))
+        text = " ".join([*words[:at], part, *words[at:]])
+        rows.append((r.doc_id, text))
+        planted[r.doc_id] = text.index(part), text.index(part) + len(part)
+    hits = 0
+    for r in secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got = {(int(a), secret_scan.KINDS.index(k), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)}
+        want = naive_spans(dict(rows)[r.doc_id])
+        a, b = planted[r.doc_id]
+        assert want <= got, (r.doc_id, want - got)
+        assert all(any(s <= y and x <= e for x, _, y in want) for s, _, e in got - want), (r.doc_id, got - want)
+        hits += any(a <= s and e <= b for s, _, e in got)
+    assert hits == len(rows)
