@@ -1,11 +1,24 @@
 """License scans by MinHash bands over overlapping text windows, with exact containment to verify.
 
 All of it is DataFrame functions in one projection, without a shuffle. Words are runs of letters and digits of the
-lower-cased text; shingles are five words. For a template of m shingles, windows of m shingles start every m/8. Each of
-``BANDS`` bands is one MinHash, so a window with similarity s to the template is retrieved with probability
-1 - (1 - s)^BANDS: over 0.999999995 at 0.8, 0.996 at 0.37. A band can only agree if the window holds the very shingle that is the
-template's minimum, so windows without one are passed over, which loses none. What is retrieved is verified: the
-template's distinct shingles in the window and the stretch of m/8 on both sides, over all it has, at least ``least``.
+lower-cased text; shingles are five words. For a template of m shingles, windows of m shingles start every m/8. A window
+and a template meet if one of ``bands`` bands agrees, and a band agrees if each of its ``rows`` MinHashes does, so a window
+with similarity s is retrieved with probability 1 - (1 - s^rows)^bands:
+
+====================  ====  =====  =====================================================
+template              rows  bands  probability at s = 0.8, and at s = 0.6
+====================  ====  =====  =====================================================
+up to 16 shingles        1     12  over 0.999999995, and 0.99998
+longer                   2     24  over 0.99999999997, and 0.99997
+====================  ====  =====  =====================================================
+
+A copy in which a fifth of the shingles is replaced, as far as possible from a window's start, has s = 0.6; eight or more
+windows see it. A MinHash can only agree if the window holds the very shingle that is the template's minimum, so windows
+without those of a whole band are passed over, which loses none; they are found by one look-up per shingle, however many
+templates there are. What is retrieved is verified: the template's distinct shingles in the window and the stretch of m/8
+on both sides, over all it has, at least ``least``. Templates may contain each other; each is reported for itself.
+
+The template table is a literal of the plan: its size does not depend on the corpus.
 
 Defined results: null and short texts match nothing; repeated rows give repeated rows; an empty table gives an empty
 result; other columns are ignored. Templates under five words are refused.
@@ -13,41 +26,36 @@ result; other columns are ignored. Templates under five words are refused.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.llm.license_texts import TEMPLATES
+
 WORDS = 5
-BANDS = 12
-#: Notices and opening sentences of widely used licenses.
-TEMPLATES = {
-    "apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
-    "bsd-header": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
-    "gpl-3": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-3-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "isc-header": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "mit": "Released under the MIT License.",
-    "mit-header": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "unlicense": "This is free and unencumbered software released into the public domain.",
-}
+#: (longest template, bands, rows): the first that fits a template counts.
+BANDS = ((16, 12, 1), (1 << 30, 24, 2))
 
 
 @dataclass(frozen=True)
 class Template:
     name: str
-    shingles: list[int]  # distinct
-    minima: list[int]  # per band, the least value of the band's hash
-    leaders: list[int]  # the shingles that have it
     length: int
+    shingles: list[int]  # distinct
+    bands: list[list[tuple[int, int, int]]]  # per row: number of the hash, its least value, the shingle that has it
 
     @property
-    def stride(self) -> int:
-        return max(1, self.length // 8)
+    def leaders(self) -> list[int]:
+        return sorted({leader for band in self.bands for _, _, leader in band})
+
+    def row(self) -> dict:
+        bands = [[{"seed": k, "value": v, "leader": x} for k, v, x in band] for band in self.bands]
+        return {"name": self.name, "length": self.length, "step": max(1, self.length // 8), "shingles": self.shingles, "leaders": self.leaders, "bands": bands}
+
+
+_ROW = "array<struct<name: string, length: int, step: int, shingles: array<bigint>, leaders: array<bigint>, bands: array<array<struct<seed: int, value: bigint, leader: bigint>>>>>"
 
 
 def shingles(text: Column) -> Column:
@@ -61,43 +69,53 @@ def shingles(text: Column) -> Column:
     return F.get(F.transform(F.array(words), hashes), F.lit(0))
 
 
-def _banded(h: Column, band: int) -> Column:
-    return F.xxhash64(h, F.lit(band))
+def _banded(h: Column, seed: Column) -> Column:
+    return F.xxhash64(h, seed)
 
 
 def prepare(spark: SparkSession, templates: dict[str, str] = TEMPLATES) -> list[Template]:
-    """Signatures of the template table, whose size does not depend on the corpus."""
+    """Signatures of the template table."""
     if not templates:
         return []
-    names = list(templates)
-    rows = spark.range(1).select(F.posexplode(F.array(*(F.lit(templates[n]) for n in names))).alias("at", "text"))
-    rows = rows.select("at", shingles(F.col("text")).alias("h"))
-    least = lambda k: F.array_min(F.transform("h", lambda x: F.struct(_banded(x, k).alias("v"), x.alias("h"))))
-    found = rows.select("at", F.size("h").alias("n"), F.array_distinct("h").alias("s"), F.array(*(least(k) for k in range(BANDS))).alias("m")).collect()
+    rows = spark.createDataFrame(sorted(templates.items()), "name string, text string").select("name", shingles(F.col("text")).alias("h"))
+    seeds = max(b * r for _, b, r in BANDS)
+    least = F.transform(F.sequence(F.lit(0), F.lit(seeds - 1)), lambda k: F.array_min(F.transform("h", lambda x: F.struct(_banded(x, k).alias("v"), x.alias("x")))))
+    found = rows.select("name", F.size("h").alias("n"), F.array_distinct("h").alias("s"), least.alias("m")).collect()
     if any(r.n < 1 for r in found):
         raise ValueError(f"a template needs at least {WORDS} words")
-    return [Template(names[r.at], list(r.s), [x.v for x in r.m], sorted({x.h for x in r.m}), r.n) for r in sorted(found, key=lambda r: r.at)]
 
+    def bands(r) -> list[list[tuple[int, int, int]]]:
+        _, n_bands, n_rows = next(x for x in BANDS if r.n <= x[0])
+        return [[(k, r.m[k].v, r.m[k].x) for k in range(b * n_rows, (b + 1) * n_rows)] for b in range(n_bands)]
+
+    return [Template(r.name, r.n, list(r.s), bands(r)) for r in sorted(found, key=lambda r: r.name)]
+
+
+def _let(value: Column, then) -> Column:
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
-def containment(h: Column, t: Template) -> Column:
-    """Best verified containment of one template in the shingles ``h``; 0 where no window is retrieved."""
-    m, step = F.lit(t.length), t.stride
-    own = F.filter(F.transform(h, lambda x, i: F.when(x.isin(t.leaders), i)), lambda i: i.isNotNull())
-    around = lambda i: F.sequence(F.floor(F.greatest(i - m + 1, F.lit(0)) / step).cast("int") * step, i, F.lit(step))
-    starts = F.array_distinct(F.flatten(F.transform(own, around)))
 
-    def collides(s: Column) -> Column:
-        window = F.slice(h, s + 1, m)
-        test = F.lit(False)
-        for k, v in enumerate(t.minima):
-            test = test | (F.array_min(F.transform(window, lambda x: _banded(x, k))) == v)  # noqa: B023
-        return test
+def containment(h: Column, hits: Column, t: Column) -> Column:
+    """Best verified containment of template ``t`` in the shingles ``h``; null where no window is retrieved. ``hits`` are places and
+    values of the shingles that lead some MinHash."""
+    def around(own: Column) -> Column:
+        starts = lambda y: F.sequence(F.floor(F.greatest(y.i - t.length + 1, F.lit(0)) / t.step).cast("int") * t.step, y.i, t.step)
+        return _let(F.array_distinct(F.flatten(F.transform(own, starts))), lambda s: F.array_max(F.transform(F.filter(s, lambda x: collides(x, own)), held)))
+
+    def collides(s: Column, own: Column) -> Column:
+        def agrees(window: Column, seen: Column) -> Column:
+            led = lambda band: F.forall(band, lambda r: F.array_contains(seen, r.leader))
+            least = lambda band: F.forall(band, lambda r: F.array_min(F.transform(window, lambda x: _banded(x, r.seed))) == r.value)
+            return F.exists(t.bands, lambda band: F.when(led(band), least(band)).otherwise(F.lit(False)))
+
+        seen = F.transform(F.filter(own, lambda y: (y.i >= s) & (y.i < s + t.length)), lambda y: y.x)
+        return _let(F.struct(F.slice(h, s + 1, t.length).alias("window"), seen.alias("seen")), lambda p: agrees(p.window, p.seen))
 
     def held(s: Column) -> Column:
-        first = F.greatest(s - step, F.lit(0))
-        return F.size(F.array_intersect(F.slice(h, first + 1, s - first + m + step), F.lit(t.shingles))) / F.lit(len(t.shingles))
+        first = F.greatest(s - t.step, F.lit(0))
+        return F.size(F.array_intersect(F.slice(h, first + 1, s - first + t.length + t.step), t.shingles)) / F.size(t.shingles)
 
-    return F.coalesce(F.array_max(F.transform(F.filter(starts, collides), held)), F.lit(0.0))
+    return _let(F.filter(hits, lambda y: F.array_contains(t.leaders, y.x)), around)
 
 
 def scan_licenses(docs: DataFrame, templates: list[Template], least: float = 0.8) -> DataFrame:
@@ -106,11 +124,16 @@ def scan_licenses(docs: DataFrame, templates: list[Template], least: float = 0.8
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shingles(F.col("text").cast("string")).alias("h"))
     kind = "array<struct<name: string, containment: double>>"
     none = F.array().cast(kind)
+    table = F.from_json(F.lit(json.dumps([t.row() for t in sorted(templates, key=lambda t: t.name)])), _ROW)
 
-    def matches(h: Column) -> Column:
-        every = F.array(*(F.struct(F.lit(t.name).alias("name"), containment(h, t).alias("containment")) for t in sorted(templates, key=lambda t: t.name)))
+    def matches(hits: Column) -> Column:
+        likely = F.filter(table, lambda t: F.exists(hits, lambda y: F.array_contains(t.leaders, y.x)))
+        every = F.transform(likely, lambda t: F.struct(t["name"].alias("name"), F.coalesce(containment(F.col("h"), hits, t), F.lit(0.0)).alias("containment")))
         return F.filter(every, lambda x: x.containment >= least).cast(kind)
 
-    hit = F.exists("h", lambda x: x.isin(leaders)) if leaders else F.lit(False)
-    found = rows.select("doc_id", (F.when(hit, matches(F.col("h"))).otherwise(none) if templates else none).alias("matches"))
+    if not templates:
+        return rows.select("doc_id", F.lit(0).cast("long").alias("n_licenses"), F.lit("").alias("licenses"), none.alias("matches"))
+    hits = F.filter(F.transform("h", lambda x, i: F.when(x.isin(leaders), F.struct(i.alias("i"), x.alias("x")))), lambda y: y.isNotNull())
+    found = rows.select("doc_id", "h", hits.alias("hits"))
+    found = found.select("doc_id", F.when(F.size("hits") > 0, matches(F.col("hits"))).otherwise(none).alias("matches"))
     return found.select("doc_id", F.size("matches").cast("long").alias("n_licenses"), F.array_join(F.transform("matches", lambda x: x["name"]), ",").alias("licenses"), "matches")

@@ -1,5 +1,8 @@
+import random
 import re
 
+import pytest
+
 from folioforge.llm import common, license_scan
 
 
@@ -11,14 +14,19 @@ def grams(ws):
     return [tuple(ws[i : i + 5]) for i in range(len(ws) - 4)]
 
 
-def brute(text, templates=license_scan.TEMPLATES):
+GRAMS = {n: grams(words(t)) for n, t in license_scan.TEMPLATES.items()}
+
+
+def brute(text, least=0.8):
     """Best containment over every window start, with the same margins."""
     h, out = grams(words(text)), []
-    for name, t in sorted(templates.items()):
-        g = grams(words(t))
-        m, step = len(g), max(1, len(g) // 8)
-        best = max((len(set(h[max(s - step, 0) : s + m + step]) & set(g)) / len(set(g)) for s in range(len(h))), default=0)
-        if best >= 0.8:
+    every = set(h)
+    for name, g in sorted(GRAMS.items()):
+        own, m, step = set(g), len(g), max(1, len(g) // 8)
+        if len(own & every) < least * len(own):
+            continue  # not even the whole text holds enough
+        best = max((len(set(h[max(s - step, 0) : s + m + step]) & own) / len(own) for s in range(len(h))), default=0)
+        if best >= least:
             out.append(name)
     return ",".join(out)
 
@@ -42,7 +50,42 @@ def test_changed_copies_and_edge_rows(spark):
     got = sorted(((r.doc_id or 0), r.licenses) for r in license_scan.scan_licenses(df, found).collect())
     assert got == sorted(((d or 0), brute(t)) for d, t in rows)
     assert (1, "mit-header") in got and (2, "mit-header") in got
+    with pytest.raises(ValueError):
+        license_scan.prepare(spark, {"x": "four words are few"})
     assert license_scan.scan_licenses(df.limit(0), found).count() == 0
     assert license_scan.scan_licenses(df, []).filter("n_licenses > 0").count() == 0
     plan = license_scan.scan_licenses(df, found)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan.split("Physical Plan")[1])
+
+
+def edited(rng, text, share):
+    """About ``share`` of the text's words replaced, dropped or doubled, in stretches."""
+    ws = text.split()
+    for _ in range(round(share * len(ws) / 3)):
+        at = rng.randrange(len(ws))
+        ws[at : at + rng.randint(1, 3)] = [f"new{rng.randrange(99)}"] * rng.randint(0, 4)
+    return " ".join(ws)
+
+
+def test_recall_on_edited_whole_texts(spark):
+    """Whole texts, edited and set into other words, against every window start: nothing may be lost that is long enough."""
+    rng = random.Random(8)
+    names = sorted(n for n in license_scan.TEMPLATES if len(GRAMS[n]) <= 3000)
+    rows = []
+    for i in range(240):
+        name = names[i % len(names)]
+        filler = lambda: " ".join(f"w{rng.randrange(500)}" for _ in range(rng.randrange(400)))
+        rows.append((i, f"{filler()} {edited(rng, license_scan.TEMPLATES[name], rng.choice([0, 0.01, 0.02, 0.03, 0.05]))} {filler()}"))
+    got = {r.doc_id: set(r.licenses.split(",")) - {""} for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), license_scan.prepare(spark)).collect()}
+    want = {d: set(brute(t).split(",")) - {""} for d, t in rows}
+    held, found = sum(map(len, want.values())), sum(len(got[d] & want[d]) for d in want)
+    assert held > 150 and found >= 0.995 * held, (found, held)
+    assert all(got[d] <= want[d] for d in want)
+
+
+def test_long_licenses_are_told_apart(spark):
+    whole = {n: t for n, t in license_scan.TEMPLATES.items() if len(GRAMS[n]) > 1000}
+    rows = [(i, f"intro words here {t} and an end") for i, t in enumerate(whole.values())]
+    got = {r.doc_id: r.licenses.split(",") for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), license_scan.prepare(spark)).collect()}
+    assert all(n in got[i] for i, n in enumerate(whole)) and len(whole) >= 5
+    assert all(sum(x in whole for x in got[i]) == 1 for i in got)
