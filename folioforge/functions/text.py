@@ -1,22 +1,35 @@
 """Column functions over text: token estimates, tails, images, section numbers, citations, fingerprints.
 
-All are built-in expressions, so they stay in the JVM and inside code generation. White space is spelled out, because
-the engine's own class is ASCII only.
+All but the entities of titles are built-in expressions, so they stay in the JVM and inside code generation. White space
+is spelled out, because the engine's own class is ASCII only; ``(?d)`` keeps its patterns from ending lines elsewhere than
+at line feeds.
 """
 
 from __future__ import annotations
 
+import html
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# fixed values: character classes and patterns
 SPACE = r"[\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: The same as plain characters: trimming and deleting by list is several times faster than by pattern.
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+NO_SPACE = f"[^{SPACE[1:]}"
 CJK = r"[\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\uff00-\uffef]"
-NUMBERED = r"^(\d+(?:\.\d+)*)\s+(.*)$"
+NUMBER = r"\p{Nd}+(?:\.\p{Nd}+)*"
+NUMBERED = rf"(?d)^({NUMBER}){SPACE}+(.*)$"
 CITE = r"\[\[c:(\d+)\]\]"
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.trim(c, F.lit(SPACES))
 
@@ -26,7 +39,7 @@ def rstrip(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return ~c.rlike(f"[^{SPACE[1:]}")
+    return ~c.rlike(NO_SPACE)
 
 
 def estimate_tokens(c: Column) -> Column:
@@ -54,11 +67,15 @@ def norm_ws(c: Column) -> Column:
 
 
 def html_title(c: Column) -> Column:
-    """Text of the first title element: white space collapsed, common entities resolved, trimmed."""
+    """Text of the first title element: white space collapsed, entities and character references resolved, trimmed. Only
+    titles with ``&`` go through the standard library's table of entities, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def resolved(s: pd.Series) -> pd.Series:
+        return s.map(html.unescape, na_action="ignore")
+
     t = F.regexp_replace(F.regexp_extract(c, r"(?is)<title[^>]*>(.*?)</title>", 1), f"{SPACE}+", " ")
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        t = F.replace(t, F.lit(name), F.lit(char))
-    return strip(t)
+    return strip(F.coalesce(resolved(F.when(F.contains(t, F.lit("&")), t)), t))
 
 
 def is_image_line(c: Column, anywhere: bool = False) -> Column:
@@ -73,8 +90,8 @@ def drop_image_lines(c: Column, anywhere: bool = False) -> Column:
 def rewrite_images(c: Column, base: str) -> Column:
     """Put ``base`` before local image references; addresses, data and bracketed references stay."""
     at = base.replace("\\", "\\\\").replace("$", "\\$")
-    md = F.regexp_replace(c, r"(!\[[^\]]*\]\()(?!<|http|data:|//)([^)\s]+)(\))", f"$1{at}/$2$3")
-    return F.regexp_replace(md, r"(?i)(<img\b[^>]*?\bsrc\s*=\s*)([\"'])(?!http|data:|//)([^\"']*)([\"'])", f"$1$2{at}/$3$4")
+    md = F.regexp_replace(c, rf"(!\[[^\]]*\]\()(?!<|http|data:|//)([^){SPACE[1:-1]}]+)(\))", f"$1{at}/$2$3")
+    return F.regexp_replace(md, rf"(?i)(<img\b[^>]*?\bsrc{SPACE}*={SPACE}*)([\"'])(?!http|data:|//)([^\"']*)([\"'])", f"$1$2{at}/$3$4")
 
 
 def num_of(title: Column) -> Column:
@@ -87,7 +104,7 @@ def unnumbered(title: Column) -> Column:
 
 
 def valid_target(c: Column) -> Column:
-    return F.coalesce(c, F.lit("")).rlike(r"^\d+(\.\d+)*$")
+    return F.coalesce(c, F.lit("")).rlike(f"^{NUMBER}$")
 
 
 def ancestors(num: Column) -> Column:
@@ -135,15 +152,62 @@ def prompt_meta(c: Column) -> Column:
 def search_entries(c: Column) -> Column:
     """Entries [title, url, snippet] of a search dump, in order; those without title and address are dropped."""
     def entry(p: Column) -> Column:
-        title = F.regexp_extract(p, r"(?m)^Title:\s*(.+?)\s*$", 1)
-        url = F.regexp_extract(p, r"(?m)^(?:URL|URL Source):\s*(\S+)\s*$", 1)
-        body = F.when(p.rlike(r"(?m)^Highlights:"), F.regexp_replace(p, r"(?ms)\A.*?^Highlights:\s*\n?", "")).otherwise(p)
+        title = F.regexp_extract(p, rf"(?md)^Title:{SPACE}*(.+?){SPACE}*$", 1)
+        url = F.regexp_extract(p, rf"(?md)^(?:URL|URL Source):{SPACE}*({NO_SPACE}+){SPACE}*$", 1)
+        body = F.when(p.rlike(r"(?md)^Highlights:"), F.regexp_replace(p, rf"(?msd)\A.*?^Highlights:{SPACE}*\n?", "")).otherwise(p)
         return F.struct(F.when(title == "", url).otherwise(title).alias("title"), url.alias("url"), F.left(strip(body), F.lit(1200)).alias("snippet"))
 
-    chunks = F.transform(F.split(c, r"\n\s*---+\s*\n"), strip)
+    chunks = F.transform(F.split(c, rf"\n{SPACE}*---+{SPACE}*\n"), strip)
     return F.filter(F.transform(F.filter(chunks, lambda x: x != ""), entry), lambda e: e.title != "")
 
 
+def reader_entries(c: Column) -> Column:
+    """Entries [title, url, snippet] of a result list in line form: an entry starts with a ``Title: `` line; its first ``URL`` line with
+    an address counts; the lines after that are the snippet."""
+    text = F.regexp_replace(c, r"\r\n|[\r\x0b\f\x1c-\x1e\x85\u2028\u2029]", "\n")
+
+    def entry(lines: Column) -> Column:
+        is_url = lambda x: x.startswith("URL Source: ") | x.startswith("URL: ")
+        url = lambda x: strip(F.substr(x, F.instr(x, ": ") + 2))
+        at = F.coalesce(F.array_min(F.transform(lines, lambda x, i: F.when((i > 0) & is_url(x) & (url(x) != ""), i))), F.size(lines))
+        rest = F.filter(F.transform(F.slice(lines, at + 2, F.size(lines)), strip), lambda x: x != "")
+        snippet = F.array_join(F.transform(rest, lambda x: F.concat(x, F.lit(" "))), "")
+        return F.struct(strip(F.get(lines, F.lit(0))).alias("title"), F.coalesce(url(F.get(lines, at)), F.lit("")).alias("url"), F.left(snippet, F.lit(1200)).alias("snippet"))
+
+    parts = F.slice(F.split(F.concat(F.lit("\n"), text), "\nTitle: "), 2, 1 << 30)
+    return F.transform(parts, lambda p: let(F.split(p, "\n"), entry))
+
+
+def cut_meta_keys(c: Column, keys: tuple[str, ...]) -> Column:
+    """The text without the ``key: value`` lines of section ``meta`` that have one of ``keys``; a section left empty goes as a whole,
+    with the blank lines before it."""
+    text = F.replace(c, F.lit("\r\n"), F.lit("\n"))
+
+    def named(x: Column) -> Column:
+        s = strip(x)
+        return (F.instr(s, ":") > 0) & ~s.startswith("#") & strip(F.substring_index(s, ":", 1)).isin(*keys)
+
+    def parted(lines: Column) -> Column:
+        start = F.array_position(F.transform(lines, lambda x: strip(x) == "## meta"), True)
+        return let(F.struct(lines.alias("lines"), start.cast("int").alias("start"), F.slice(lines, start.cast("int") + 1, F.size(lines)).alias("after")), cut)
+
+    def cut(p: Column) -> Column:
+        stop = F.array_position(F.transform(p.after, lambda x: x.startswith("## ")), True).cast("int")
+        own = F.when(stop > 0, stop - 1).otherwise(F.size(p.after))
+        kept = F.filter(F.slice(p.after, F.lit(1), own), lambda x: ~named(x))
+        return let(F.struct(p.alias("p"), kept.alias("kept"), F.slice(p.after, own + 1, F.size(p.after)).alias("rest")), joined)
+
+    def joined(q: Column) -> Column:
+        before = F.slice(q.p.lines, F.lit(1), F.greatest(q.p.start - 1, F.lit(0)))
+        filled = F.coalesce(F.array_max(F.transform(before, lambda x, i: F.when(~is_blank(x), i + 1))), F.lit(0))
+        some = F.exists(q.kept, lambda x: ~is_blank(x))
+        lines = F.when(some, F.concat(F.slice(q.p.lines, F.lit(1), q.p.start), q.kept, q.rest)).otherwise(F.concat(F.slice(before, F.lit(1), filled), q.rest))
+        out = F.trim(F.array_join(lines, "\n"), F.lit("\n"))
+        return F.when(q.p.start == 0, F.array_join(q.p.lines, "\n")).otherwise(F.concat(out, F.when(out == "", "").otherwise("\n")))
+
+    return F.when(F.instr(text, "## meta") > 0, let(F.split(text, "\n"), parted)).otherwise(text)
+
+
 def sha_text(c: Column) -> Column:
     return F.sha2(F.replace(c, F.lit("\r\n"), F.lit("\n")), 256)
 

@@ -6,11 +6,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.functions.text import SPACE, strip, unnumbered
+from folioforge.functions.text import NO_SPACE, SPACE, strip, unnumbered
 from folioforge.operators.lines import HEADING
+from folioforge.session import broadcast_if_small
 
-END = r"(?i)^@@\s*end$"
-START = r"^@@([^\s@]+)(?:\s+(\S+))?$"
+# fixed values: patterns of lines, without the white space around them
+END = rf"(?i)^@@{SPACE}*end$"
+START = rf"^@@([^@{SPACE[1:-1]}]+)(?:{SPACE}+({NO_SPACE}+))?$"
 
 
 def _doc():
@@ -133,7 +135,7 @@ def split_raw(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _norm_title(c: Column) -> Column:
     t = unnumbered(F.coalesce(c, F.lit("")))
-    return strip(F.regexp_replace(t, r"[（(]\s*p\.[^）)]*[）)]\s*$", ""))
+    return strip(F.regexp_replace(t, rf"(?d)[（(]{SPACE}*p\.[^）)]*[）)]{SPACE}*$", ""))
 
 
 def assign_summaries(summaries: DataFrame, headings: DataFrame) -> DataFrame:
@@ -168,6 +170,6 @@ def _greedy(wanted: Column, offered: Column) -> Column:
 
 def keep_first_blocks(blocks: DataFrame, keys: list[str], order: list[str], allowed: DataFrame | None = None) -> DataFrame:
     """The first non-empty block of each document and key, of allowed types only (D16); ``allowed`` has a column type."""
-    rows = blocks if allowed is None else blocks.join(F.broadcast(allowed), "type", "left_semi")
+    rows = blocks if allowed is None else blocks.join(broadcast_if_small(allowed, 10_000), "type", "left_semi")
     rows = rows.filter("content <> ''").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", *keys).orderBy(*order)))
     return rows.filter("_n = 1").drop("_n").select(blocks.columns)

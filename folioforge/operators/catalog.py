@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.functions.text import norm_ws
-from folioforge.session import materialize
+from folioforge.functions.text import cut_meta_keys, norm_ws
+from folioforge.session import broadcast_if_small, materialize
 
 RUNNING = ("parsing", "generating", "fetching")
 
@@ -32,7 +32,7 @@ def effective_config(docs: DataFrame, kbs: DataFrame, presets: DataFrame, kind:
     if kind == "gen":
         first = presets.groupBy(F.coalesce("group", F.lit("doc")).alias("doc_type")).agg(F.min_by("id", "ord").alias("own_preset"))
         any_ = presets.agg(F.lit(0).alias("_one"), F.min_by("id", "ord").alias("any_preset"))
-        rows = rows.join(F.broadcast(first), "doc_type", "left").withColumn("_one", F.lit(0)).join(F.broadcast(any_), "_one")
+        rows = rows.join(broadcast_if_small(first, 10_000), "doc_type", "left").withColumn("_one", F.lit(0)).join(F.broadcast(any_), "_one")
         built_in = F.to_json(F.struct(F.coalesce("own_preset", "any_preset").alias("presetId")))
     else:
         built_in = F.lit('{"components":{"summary":false,"images":false},"plugins":[]}')
@@ -73,6 +73,13 @@ def index_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return rows.select("doc_id", "name", change.alias("change")).unionByName(both.filter("not same").select("doc_id", F.lit(None).cast("string").alias("name"), F.lit("FULL").alias("change")))
 
 
+def index_stale(configs: DataFrame, fps: DataFrame) -> DataFrame:
+    """[doc_id, stale] (K3) from effective index configs [id, config] and [id, index_fp, fp]: in the index, and what was indexed is
+    not what is there."""
+    rows = configs.join(fps, "id", "left")
+    return rows.select(F.col("id").alias("doc_id"), (index_enabled(F.col("config")) & ~F.col("index_fp").eqNullSafe(F.col("fp"))).alias("stale"))
+
+
 def stage_decision(params: DataFrame, recorded: DataFrame) -> DataFrame:
     """[doc_id, stage, decision] (K4): skip if the artifact is there and the recorded parameters are equal and done."""
     r = recorded.select("doc_id", "stage", F.col("params").alias("old"), "done")
@@ -149,6 +156,12 @@ def backfill_order(docs: DataFrame) -> DataFrame:
     return rows.withColumn("sort_order", 1000.0 * (before + own - 1)).select(docs.columns)
 
 
+def backfill_kbs(kbs: DataFrame) -> DataFrame:
+    """Kbs with sort_order 1000, 2000, .. by created_at, then id; numbered over ranges."""
+    cols = [c for c in kbs.columns if c != "sort_order"]
+    return number_rows(kbs.select(cols), "_n", "created_at", "id").withColumn("sort_order", 1000.0 * F.col("_n")).select(*cols, "sort_order")
+
+
 def list_docs(docs: DataFrame, kb_id) -> DataFrame:
     """One kb's documents with their place in its listing, from 1."""
     return number_rows(docs.filter(F.col("kb_id") == kb_id), "place", "sort_order", F.desc("created_at"), "id")
@@ -213,12 +226,13 @@ def lookup_summary(blocks: DataFrame, headings: DataFrame, allowed: DataFrame, m
     return rows.groupBy("doc_id").agg(F.left(text, F.lit(most)).alias("summary"))
 
 
-def dedupe_normalized(df: DataFrame, text: Column, kind: str, order: str) -> DataFrame:
-    """The first row of each kind and normalised text (K15). Copies meet in one aggregate, combined before the exchange;
-    the winners come back by a semi-join."""
-    rows = df.withColumn("_h", F.sha2(norm_ws(text), 256))
+def dedupe_normalized(df: DataFrame, text: Column, kind: str, order: str, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """The first row of each kind and normalised text (K15), not minding the meta lines with a key of ``ignore``. Copies meet
+    in one aggregate, combined before the exchange; the winners come back by a semi-join. Of rows equal in kind, text and
+    order one stays."""
+    rows = df.withColumn("_h", F.sha2(norm_ws(cut_meta_keys(text, ignore) if ignore else text), 256))
     first = rows.groupBy(kind, "_h").agg(F.min(order).alias(order))
-    return rows.join(first, [kind, "_h", order], "left_semi").drop("_h")
+    return rows.join(first, [kind, "_h", order], "left_semi").dropDuplicates([kind, "_h", order]).drop("_h")
 
 
 def number_rows(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
@@ -235,7 +249,7 @@ def number_within(df: DataFrame, name: str, key: str, *order: str | Column) -> D
     """``df`` with the place of each row, from 1, within its ``key``; a large key lies in many ranges."""
     rows = number_rows(df, "_n", key, *order)
     first = rows.groupBy(F.col(key).alias("_key")).agg(F.min("_n").alias("_f"))
-    return rows.join(F.broadcast(first), F.col(key).eqNullSafe(F.col("_key"))).select(*df.columns, (F.col("_n") - F.col("_f") + 1).alias(name))
+    return rows.join(broadcast_if_small(first), F.col(key).eqNullSafe(F.col("_key"))).select(*df.columns, (F.col("_n") - F.col("_f") + 1).alias(name))
 
 
 def group_components(df: DataFrame) -> DataFrame:

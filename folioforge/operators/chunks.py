@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.functions.text import estimate_tokens, is_blank, strip
+from folioforge.functions.text import SPACE, estimate_tokens, is_blank, strip
 from folioforge.operators.blocks import parse_blocks
 from folioforge.operators.lines import breadcrumbs, numbered_lines, section_spans, strip_page_markers
 from folioforge.operators.packing import pack, split_long_pieces
@@ -16,44 +16,53 @@ COLUMNS = ["doc_id", "ord", "artifact", "section_num", "anchor", "line_start", "
 
 
 def section_bodies(df: DataFrame) -> DataFrame:
-    """Sections with a non-empty body, which is the whole span: parents contain their children. One exchange, by document."""
+    """Sections with a non-empty body, which is the whole span: parents contain their children. One exchange, by document; a
+    document is one row of lines and sections until its bodies are cut out of it."""
     numbered = numbered_lines(strip_page_markers(df).select("doc_id", "text"), placed=True)
     spans = breadcrumbs(section_spans(numbered))
+    cols = ["ord", "level", "num", "title", "line_start", "line_end", "breadcrumb"]
+    heads = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("h"))
     held = numbered.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l")).select("doc_id", F.transform("l", lambda x: x.line).alias("l"))
-    body = strip(F.array_join(F.slice("l", F.col("line_start") + 2, F.col("line_end") - F.col("line_start")), "\n"))
-    rows = spans.join(held, "doc_id").withColumn("body", body).drop("l").filter("body <> ''")
+    body = lambda x: strip(F.array_join(F.slice("l", x.line_start + 2, x.line_end - x.line_start), "\n"))
+    found = F.transform("h", lambda x: F.struct(*(x[c].alias(c) for c in cols), body(x).alias("body")))
+    rows = heads.join(held, "doc_id").select("doc_id", F.inline(found)).filter("body <> ''")
     return rows.withColumn("tokens", estimate_tokens(F.col("body")))
 
 
 def chunk_sections(df: DataFrame) -> DataFrame:
     """One chunk per section (C1): over 1000 tokens in pieces, under 50 and below ``##`` appended to the last chunk of the
-    parent number, or kept at the end when there is none; such an orphan can take in a later short one."""
-    doc = Window.partitionBy("doc_id")
+    parent number, or kept at the end when there is none; such an orphan can take in a later short one.
+
+    A section's parent, if it is there, is the last section one level up, so windows look back one row per level.
+    """
+    so_far = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     rows = section_bodies(df).withColumn("short", (F.col("tokens") < MIN_SECTION_TOKENS) & (F.col("level") >= 3))
     long = ~F.col("short") & (F.col("tokens") > MAX_SECTION_TOKENS)
     rows = rows.withColumn("p", F.when(long, F.filter(F.split("body", "\n\n"), lambda p: ~is_blank(p))))
     rows = rows.withColumn("w", pack(F.transform("p", estimate_tokens), MAX_SECTION_TOKENS))
     rows = rows.withColumn("pieces", F.when(F.col("p").isNotNull(), split_long_pieces(F.col("p"), F.col("w"))).otherwise(F.array("body"))).drop("p", "w", "body")
     # where a short one goes: the parent's chunk; else, for level 4, a lone short parent; else nowhere
-    rows = rows.withColumn("parent", F.regexp_replace("num", r"\.[^.]*$", ""))
-    rows = rows.withColumn("chunked", F.collect_set(F.when(~F.col("short"), F.col("num"))).over(doc))
-    rows = rows.withColumn("lone", F.col("short") & ~F.array_contains("chunked", F.col("parent")))
-    rows = rows.withColumn("lone3", F.collect_set(F.when(F.col("lone") & (F.col("level") == 3), F.col("num"))).over(doc))
-    rows = rows.withColumn("hung", F.col("short") & (~F.col("lone") | (F.col("level") == 4) & F.array_contains("lone3", F.col("parent"))))
-    rows = rows.withColumns({"late": F.col("short").cast("int"), "home": F.when(F.col("hung"), F.col("parent")).otherwise(F.col("num"))}).drop("chunked", "lone3")
-    rows = rows.select("*", F.size("pieces").alias("n"), F.posexplode("pieces").alias("k", "piece")).drop("pieces")
-    part = F.when(F.col("n") > 1, F.concat(F.lit("（"), (F.col("k") + 1).cast("string"), F.lit("/"), F.col("n").cast("string"), F.lit("）"))).otherwise("")
-    rows = rows.withColumn("text", F.concat("num", F.lit(" "), "title", part, F.lit("\n"), "piece")).drop("piece")
-    at_home = Window.partitionBy("doc_id", "home")
-    rows = rows.withColumn("more", F.collect_list(F.when(F.col("hung"), F.struct("ord", "text"))).over(at_home))
-    rows = rows.filter(~F.col("hung"))
-    is_last = F.row_number().over(at_home.orderBy(F.desc("ord"), F.desc("k"))) == 1
-    rows = rows.withColumn("is_last", is_last)
-    more = F.when(F.col("is_last"), F.transform(F.array_sort("more"), lambda x: x.text)).otherwise(F.array().cast("array<string>"))
-    order = F.row_number().over(doc.orderBy("late", "ord", "k")) - 1
+    above = lambda what: F.when(F.col("level") == 4, F.last(F.when(F.col("level") == 3, what), True).over(so_far)).otherwise(F.last(F.when(F.col("level") == 2, what), True).over(so_far))
+    rows = rows.withColumn("parent", F.regexp_replace("num", r"\.[^.]*$", "")).withColumn("up", above(F.struct("num", "short")))
+    there = F.coalesce(F.col("up.num") == F.col("parent"), F.lit(False))
+    rows = rows.withColumn("lone", F.col("short") & ~(there & ~F.coalesce("up.short", F.lit(True)))).withColumn("up_lone", above(F.struct("num", "lone")))
+    taken = (F.col("level") == 4) & F.coalesce((F.col("up_lone.num") == F.col("parent")) & F.col("up_lone.lone"), F.lit(False))
+    rows = rows.withColumn("hung", F.col("short") & (~F.col("lone") | taken))
+    rows = rows.withColumns({"late": F.col("short").cast("int"), "home": F.when(F.col("hung"), F.col("parent")).otherwise(F.col("num"))}).drop("up", "up_lone")
+    # a home is one row: its own section, and the short ones it takes in
+    head = lambda part: F.concat("num", F.lit(" "), "title", part, F.lit("\n"))
+    n = F.size("pieces")
+    own = F.transform("pieces", lambda x, k: F.concat(head(F.when(n > 1, F.concat(F.lit("（"), (k + 1).cast("string"), F.lit("/"), n.cast("string"), F.lit("）"))).otherwise("")), x))
+    rows = rows.withColumn("texts", own)
+    held = F.struct("late", "ord", "num", "line_start", "line_end", "breadcrumb", "texts")
+    homes = rows.groupBy("doc_id", "home").agg(F.max(F.when(~F.col("hung"), held)).alias("s"), F.array_sort(F.collect_list(F.when(F.col("hung"), F.struct("ord", F.get("texts", F.lit(0)).alias("x"))))).alias("more"))
+    tail = F.array_join(F.concat(F.array(F.lit("")), F.transform("more", lambda m: m.x)), "\n\n")
+    texts = F.transform("s.texts", lambda x, k: F.concat(x, F.when(k == F.size("s.texts") - 1, tail).otherwise("")))
+    rows = homes.select("doc_id", "s.late", "s.ord", "s.num", "s.line_start", "s.line_end", "s.breadcrumb", F.posexplode(texts).alias("k", "text"))
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("late", "ord", "k")) - 1
     return rows.select(
         "doc_id", order.alias("ord"), F.lit("organized").alias("artifact"), F.col("num").alias("section_num"), F.concat(F.lit("organized:"), "num").alias("anchor"),
-        (F.col("line_start") + 1).alias("line_start"), (F.col("line_end") + 1).alias("line_end"), "breadcrumb", F.array_join(F.concat(F.array("text"), more), "\n\n").alias("text"), F.lit("section").alias("kind"),
+        (F.col("line_start") + 1).alias("line_start"), (F.col("line_end") + 1).alias("line_end"), "breadcrumb", "text", F.lit("section").alias("kind"),
     )
 
 
@@ -68,7 +77,7 @@ def chunk_blocks(df: DataFrame, artifact: str) -> DataFrame:
     )
 
 
-IMAGE = r"""(?i)!\[([^\]]*)\]\(([^)\s]+)\)|<img\b[^>]*?\bsrc=["']([^"']+)["'][^>]*>"""
+IMAGE = rf"""(?i)!\[([^\]]*)\]\(([^){SPACE[1:-1]}]+)\)|<img\b[^>]*?\bsrc=["']([^"']+)["'][^>]*>"""
 
 
 def chunk_images(df: DataFrame) -> DataFrame:

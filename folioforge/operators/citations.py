@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import SPACE, cite_numbers, valid_target, wrap_callout
-from folioforge.operators.lines import numbered_lines, strip_page_markers
+from folioforge.operators.lines import numbered_lines, strip_page_markers, with_line_ends
 
 CIRCLED = "①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳"
 #: Marks a callout at a section's end until the blank lines before it are settled.
@@ -64,8 +64,8 @@ def assemble(docs: DataFrame, summaries: DataFrame, blocks: DataFrame, entries:
     Invalid and missing numbers are left out. ``entries`` is the appendix. Blank lines before a callout at a section's end
     shrink to one. Each input is exchanged once, by document; the rest happens inside a document's row.
     """
-    numbered = numbered_lines(strip_page_markers(docs).select("doc_id", "text"), placed=True)
-    lined = numbered.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line", "level", "num", "title"))).alias("l"))
+    numbered = with_line_ends(numbered_lines(strip_page_markers(docs).select("doc_id", "text"), placed=True))
+    lined = numbered.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line", "level", "num", "title", "line_end"))).alias("l"))
     lined = lined.withColumn("h", F.filter("l", lambda x: x.num.isNotNull()))
     s = summaries.filter(valid_target(F.col("num"))).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("num", "content"))).alias("s"))
     order = F.struct("part", "num", "header", "content")
@@ -74,23 +74,17 @@ def assemble(docs: DataFrame, summaries: DataFrame, blocks: DataFrame, entries:
     notes = entries.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "line"))).alias("e")).select("doc_id", F.array_join(F.transform("e", lambda r: r.line), "\n").alias("notes"))
     rows = docs.drop("text").join(lined, "doc_id").join(s, "doc_id", "left").join(b, "doc_id", "left").join(notes, "doc_id", "left")
 
-    def end_of(x: Column) -> Column:
-        below = F.filter("h", lambda y: (y.line_no > x.line_no) & (y.level <= x.level))
-        return F.coalesce(F.array_min(F.transform(below, lambda y: y.line_no)) - 1, F.size("l") - 1)
-
-    none = F.array().cast("array<string>")
-    ends = F.map_from_entries(F.transform("h", lambda x: F.struct(x.num, end_of(x))))
-    rows = rows.withColumn("ends", ends)
-    rows = rows.withColumn("b", F.filter(F.transform("b", lambda x: F.struct(F.try_element_at("ends", x.num).alias("at"), F.concat(F.lit(SLOT), wrap_callout(x.header, x.content)).alias("x"))), lambda x: x["at"].isNotNull()))
-
-    def line(x: Column) -> Column:
-        own = F.filter("s", lambda y: y.num == x.num)
-        top = F.flatten(F.transform(own, lambda y: F.array(F.lit(""), wrap_callout(F.lit("> [!note] 本节摘要"), y.content), F.lit(""))))
-        slots = F.transform(F.filter("b", lambda y: y["at"] == x.line_no), lambda y: y.x)
-        after = F.when((F.size(slots) > 0) & (x.line_no < F.size("l") - 1), F.array(F.lit(""))).otherwise(none)
-        return F.concat(F.array(x.line), F.coalesce(top, none), F.coalesce(F.concat(slots, after), none))
-
-    body = F.array_join(F.flatten(F.transform("l", line)), "\n")
+    # every piece has its line, its rank there and its turn within that; one sort lays them out
+    piece = "array<struct<at: int, rank: int, turn: int, x: string>>"
+    none = F.array().cast(piece)
+    at = lambda c, n: F.try_element_at(c, n)
+    rows = rows.withColumns({c: F.map_from_entries(F.transform("h", lambda x: F.struct(x.num, x[f]))) for c, f in (("starts", "line_no"), ("ends", "line_end"))})  # noqa: B023
+    placed = lambda p, c, rank, text: F.filter(F.coalesce(F.transform(p, lambda x, i: F.struct(at(c, x.num).alias("at"), F.lit(rank).alias("rank"), i.alias("turn"), text(x).alias("x"))).cast(piece), none), lambda x: x["at"].isNotNull())
+    rows = rows.withColumn("b", placed("b", "ends", 2, lambda x: F.concat(F.lit(SLOT), wrap_callout(x.header, x.content))))
+    rows = rows.withColumn("s", placed("s", "starts", 1, lambda x: F.concat(F.lit("\n"), wrap_callout(F.lit("> [!note] 本节摘要"), x.content), F.lit("\n"))))
+    own = F.transform("l", lambda x: F.struct(x.line_no.alias("at"), F.lit(0).alias("rank"), F.lit(0).alias("turn"), x.line.alias("x"))).cast(piece)
+    after = F.transform(F.filter(F.array_distinct(F.transform("b", lambda x: x["at"])), lambda x: x < F.size("l") - 1), lambda x: F.struct(x.alias("at"), F.lit(3).alias("rank"), F.lit(0).alias("turn"), F.lit("").alias("x"))).cast(piece)
+    body = F.array_join(F.transform(F.array_sort(F.concat(own, F.col("s"), F.col("b"), after)), lambda x: x.x), "\n")
     body = F.regexp_replace(F.regexp_replace(body, rf"(?:\n{SPACE}*)?\n{SLOT}", "\n\n"), r"^\n+|\n+$", "")
     shown = F.array_join(F.transform("h", lambda x: F.concat(F.repeat(F.lit("  "), x.level - 2), F.lit("- "), x.num, F.lit(" "), x.title)), "\n")
     header = F.concat(F.lit("> [!info] 知识库："), "kb_name", F.lit(" ｜ 源文件：`"), "source_name", F.lit(f"` ｜ 生成：{generated}\n\n# "), "title", F.lit("\n\n"))

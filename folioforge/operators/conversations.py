@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import strip
+from folioforge.operators.catalog import number_rows
 
 
 def history(messages: DataFrame, n: int = 12) -> DataFrame:
@@ -69,4 +70,5 @@ def title_source(messages: DataFrame) -> DataFrame:
 
 
 def list_sessions(sessions: DataFrame) -> DataFrame:
-    return sessions.orderBy(F.desc("updated_at"), "id")
+    """Sessions with their place in the listing, from 1: newest ``updated_at`` first, then id (H6)."""
+    return number_rows(sessions, "place", F.desc("updated_at"), "id")

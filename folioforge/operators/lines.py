@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from folioforge.functions.text import SPACE, is_blank, num_of, rstrip, strip, unnumbered
 
+# fixed values: patterns of lines
 FENCE = rf"^{SPACE}*(```|~~~)"
-PAGE = r"^<!--\s*page:\s*(\d+)\s*-->\s*$"
-PAGE_TAIL = r"<!--\s*page:\s*(\d+)\s*-->\s*$"
-HEADING = r"^(#{2,4})\s+(\S.*?)\s*$"
-LEGACY_PAGE = r"[（(]\s*p\.\s*(\d+)(?:\s*[–—－\-~〜～−]\s*\d+)?\s*[）)]\s*$"
+PAGE = rf"(?d)^<!--{SPACE}*page:{SPACE}*(\d+){SPACE}*-->{SPACE}*$"
+PAGE_TAIL = rf"(?d)<!--{SPACE}*page:{SPACE}*(\d+){SPACE}*-->{SPACE}*$"
+HEADING = rf"(?d)^(#{{2,4}}){SPACE}+(.+?){SPACE}*$"
+LEGACY_PAGE = rf"(?d)[（(]{SPACE}*p\.{SPACE}*(\d+)(?:{SPACE}*[–—－\-~〜～−]{SPACE}*\d+)?{SPACE}*[）)]{SPACE}*$"
 
 
 def _doc():
@@ -115,15 +116,20 @@ def number_headings(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _joined(rows, "doc_id"), headings_of(rows)
 
 
-def section_spans(numbered: DataFrame) -> DataFrame:
-    """Headings with line_start and line_end; a section ends before the next heading of its level or above."""
+def with_line_ends(numbered: DataFrame) -> DataFrame:
+    """Adds line_end to a numbered line table: where the section of a heading ends, null on other lines."""
     last = F.max("line_no").over(Window.partitionBy("doc_id"))
-    rows = numbered.withColumn("last", last)
     nexts = [F.min(F.when(F.col("level") <= k, F.col("line_no"))).over(_after()) for k in (2, 3, 4)]
-    rows = rows.withColumns({"n2": nexts[0], "n3": nexts[1], "n4": nexts[2]}).filter(F.col("num").isNotNull())
-    following = F.when(F.col("level") == 2, F.col("n2")).when(F.col("level") == 3, F.col("n3")).otherwise(F.col("n4"))
-    ord_ = F.row_number().over(_doc()) - 1
-    return rows.select("doc_id", ord_.alias("ord"), "level", "num", "title", F.col("line_no").alias("line_start"), F.coalesce(following - 1, F.col("last")).alias("line_end"))
+    rows = numbered.withColumns({"_last": last, "_n2": nexts[0], "_n3": nexts[1], "_n4": nexts[2]})
+    following = F.when(F.col("level") == 2, F.col("_n2")).when(F.col("level") == 3, F.col("_n3")).otherwise(F.col("_n4"))
+    end = F.when(F.col("num").isNotNull(), F.coalesce(following - 1, F.col("_last")))
+    return rows.withColumn("line_end", end).select(*numbered.columns, "line_end")
+
+
+def section_spans(numbered: DataFrame) -> DataFrame:
+    """Headings with line_start and line_end; a section ends before the next heading of its level or above."""
+    rows = with_line_ends(numbered).filter(F.col("num").isNotNull())
+    return rows.select("doc_id", (F.row_number().over(_doc()) - 1).alias("ord"), "level", "num", "title", F.col("line_no").alias("line_start"), "line_end")
 
 
 def build_toc(headings: DataFrame) -> DataFrame:

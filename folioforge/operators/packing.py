@@ -7,12 +7,13 @@ row each until then, and nothing is shuffled for it.
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.functions.text import SPACE, estimate_tokens, is_blank, num_of, tail_by_tokens
+from folioforge.functions.text import SPACE, estimate_tokens, is_blank, let, num_of, tail_by_tokens
 from folioforge.operators.lines import explode_lines, heading_lines, recent_headings
 from folioforge.session import materialize, ship_package
 
@@ -120,13 +121,16 @@ def pack_windows(df: DataFrame, key: str, order: str, weight: Column, cap: int,
     return held.select(F.col("_key").alias(key), F.explode(F.arrays_zip("a", "w")).alias("x")).select(key, "x.a._r.*", F.col("x.w").alias("window_id"))
 
 
+def _cut(parts: Column, windows: Column, joined: Callable[[Column, Column], Column]) -> Column:
+    """``joined(parts of the window, window)`` for every window, in one walk: windows never fall, so each is a slice."""
+    starts = F.filter(F.transform(windows, lambda w, i: F.when((i == 0) | (w != F.get(windows, i - 1)), i)), lambda i: i.isNotNull())
+    slices = lambda at: F.transform(at, lambda s, k: joined(F.slice(parts, s + 1, F.coalesce(F.get(at, k + 1), F.size(parts)) - s), k))
+    return let(starts, slices)
+
+
 def _groups(parts: Column, windows: Column, sep: str) -> Column:
     """The parts of each window joined, in window order."""
-    zipped = F.arrays_zip(parts.alias("p"), windows.alias("w"))
-    return F.transform(
-        F.sequence(F.lit(0), F.coalesce(F.array_max(windows), F.lit(-1)) , F.lit(1)),
-        lambda k: F.array_join(F.transform(F.filter(zipped, lambda x: x["w"] == k), lambda x: x["p"]), sep),
-    )
+    return _cut(parts, windows, lambda own, _: F.array_join(own, sep))
 
 
 def para_windows(df: DataFrame, target_chars: int) -> DataFrame:
@@ -172,14 +176,11 @@ def pass2_items(df: DataFrame, max_tokens: int) -> DataFrame:
 def split_long_pieces(paras: Column, windows: Column) -> Column:
     """Pieces as the original joins them: a piece opened by an overflow starts with its paragraph and a blank line, so a
     second one follows after four line ends and a lone one keeps a trailing blank line."""
-    zipped = F.arrays_zip(paras.alias("p"), windows.alias("w"))
-
-    def piece(k: Column) -> Column:
-        own = F.transform(F.filter(zipped, lambda x: x["w"] == k), lambda x: x["p"])
+    def piece(own: Column, k: Column) -> Column:
         first = F.concat(F.get(own, F.lit(0)), F.when(k > 0, "\n\n").otherwise(""))
         return F.array_join(F.concat(F.array(first), F.slice(own, 2, 1 << 30)), "\n\n")
 
-    return F.transform(F.sequence(F.lit(0), F.array_max(windows)), piece)
+    return _cut(paras, windows, piece)
 
 
 def split_long(df: DataFrame, max_tokens: int = 1000) -> DataFrame:

@@ -1,7 +1,8 @@
 """Batch retrieval: vector top-k, thresholds, rerank scores, refusals, citations.
 
-Queries are a stated set against all chunks, taken in blocks: a block's vectors travel to the tasks, each task keeps the
-best k per query, and only those rows are exchanged.
+Queries are a stated set against all chunks, taken in blocks: both sides are gathered into matrices of bounded size inside
+their tasks, every pair of blocks is one matrix product, each task keeps the best k per query, and only those rows are
+exchanged. Nothing passes through the driver.
 """
 
 from __future__ import annotations
@@ -11,12 +12,16 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.session import ship_package
+from folioforge.session import broadcast_if_small, materialize, ship_package
 
 QUERY_BLOCK = 1024
+BLOCK_BYTES = 4 << 20
+#: Fixed value: the answer to a refused query.
+REFUSAL = "知识库中没有找到与这个问题相关的信息。"
 
 
 def _allowed(kb_ids: Column, kb: Column) -> Column:
@@ -25,14 +30,17 @@ def _allowed(kb_ids: Column, kb: Column) -> Column:
 
 def _top(rows: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    rows = rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return rows.select("query_id", "rank", "id", F.round("score", 4).alias("score"))
 
 
 def cosine_topk(queries: DataFrame, chunks: DataFrame, k: int = 20, exclude: DataFrame | None = None, method: str = "arrow") -> DataFrame:
     """[query_id, rank, id, score] of queries [query_id, vec, kb_ids] over chunks [id, kb_id, doc_id, embedding].
 
-    Null and zero vectors are skipped on both sides, an empty kb list means all; scores have four decimals, ties go by id.
-    ``exclude`` [doc_id] leaves documents out. ``method``: ``arrow`` multiplies matrices, ``sql`` is built-in expressions.
+    Null, zero and not finite vectors are skipped on both sides, vectors of different lengths are not compared, a null or
+    empty kb list means all. The similarity itself is ranked, ties (to twelve decimals, which hides the order of summing) go
+    by id, and the score is then rounded to four. ``exclude`` [doc_id] leaves documents out. ``method``: ``arrow`` multiplies
+    matrices, ``sql`` is built-in expressions. Ids may be numbers or texts.
     """
     chunks = chunks if exclude is None else chunks.join(exclude.select("doc_id").distinct(), "doc_id", "left_anti")
     return (_topk_arrow if method == "arrow" else _topk_sql)(queries, chunks, k)
@@ -41,61 +49,94 @@ def cosine_topk(queries: DataFrame, chunks: DataFrame, k: int = 20, exclude: Dat
 def _topk_sql(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     norm = lambda a: F.sqrt(dot(F.col(a), F.col(a)))
-    q = queries.select("query_id", "vec", "kb_ids", norm("vec").alias("qn")).filter("qn > 0")
-    c = chunks.select("id", "kb_id", "embedding", norm("embedding").alias("cn")).filter("cn > 0")
-    rows = c.join(F.broadcast(q), _allowed(F.col("kb_ids"), F.col("kb_id")))
-    return _top(rows.select("query_id", "id", F.round(dot(F.col("vec"), F.col("embedding")) / (F.col("qn") * F.col("cn")), 4).alias("score")), k)
+    finite = lambda c: (F.col(c) > 0) & (F.col(c) < float("inf"))
+    q = queries.select("query_id", "vec", "kb_ids", norm("vec").alias("qn")).filter(finite("qn"))
+    c = chunks.select("id", "kb_id", "embedding", norm("embedding").alias("cn")).filter(finite("cn"))
+    rows = c.join(broadcast_if_small(q, 10_000), _allowed(F.col("kb_ids"), F.col("kb_id")) & (F.size("vec") == F.size("embedding")))
+    return _top(rows.select("query_id", "id", F.round(dot(F.col("vec"), F.col("embedding")) / (F.col("qn") * F.col("cn")), 12).alias("score")), k)
+
+
+def _matrices(df: DataFrame, key: str, label: str, vec: str, rows: int | None = None) -> DataFrame:
+    """Usable vectors of equal length gathered into rows [dim, key array, label array, unit] inside their tasks; ``unit`` is the
+    matrix of their unit vectors as bytes, at most ``BLOCK_BYTES`` or ``rows`` rows of it."""
+    df = df.select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(vec).cast("array<double>").alias("vec"))
+    types = ", ".join(f"{c} array<{df.schema[c].dataType.simpleString()}>" for c in ("key", "label"))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            v = b.column("vec")
+            n = np.asarray(v.value_lengths().fill_null(0))
+            flat = v.flatten().to_numpy(zero_copy_only=False)  # null elements become nan
+            start = np.cumsum(n) - n
+            for dim in np.unique(n[n > 0]):
+                at = np.flatnonzero(n == dim)
+                for i in range(0, len(at), size := rows or max(1, BLOCK_BYTES // (8 * int(dim)))):
+                    own = at[i : i + size]
+                    m = flat[start[own, None] + np.arange(dim)]
+                    length = np.sqrt((m * m).sum(axis=1))
+                    ok = np.isfinite(length) & (length > 0)
+                    take = pa.array(own[ok])
+                    lists = [pa.ListArray.from_arrays(pa.array([0, len(take)], pa.int32()), b.column(c).take(take)) for c in ("key", "label")]
+                    yield pa.RecordBatch.from_arrays([pa.array([int(dim)], pa.int32()), *lists, pa.array([(m[ok] / length[ok, None]).tobytes()], pa.binary())], ["dim", "key", "label", "unit"])
+
+    return df.mapInArrow(run, f"dim int, {types}, unit binary").filter(F.size("key") > 0)
+
+
+def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of the k best finite scores of each column; rows are in the order that settles ties."""
+    n = len(scores)
+    if n > k:
+        least = np.partition(scores, n - k, axis=0)[n - k]
+        above, same = scores > least, scores == least
+        take = above | same & (np.cumsum(same, axis=0) <= k - above.sum(axis=0))
+    else:
+        take = np.ones(scores.shape, bool)
+    query, row = np.nonzero((take & np.isfinite(scores)).T)
+    return query, row
 
 
 def _topk_arrow(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    spark = queries.sparkSession
-    ship_package(spark)
-    id_type = chunks.schema["id"].dataType.simpleString()
-    q_type = queries.schema["query_id"].dataType.simpleString()
-    rows = chunks.select("id", F.col("kb_id").cast("string").alias("kb_id"), "embedding")
-    found: DataFrame | None = None
-    block: list = []
-
-    def search(block: list) -> DataFrame:
-        names = [r.query_id for r in block]
-        vecs = np.array([r.vec for r in block], np.float64)
-        vecs /= np.linalg.norm(vecs, axis=1, keepdims=True)
-        kbs = [set(map(str, r.kb_ids or ())) for r in block]
-        shared = spark.sparkContext.broadcast((names, vecs, kbs))
-
-        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, vecs, kbs = shared.value
-            best: list[pd.DataFrame] = [pd.DataFrame({"id": [], "score": []}) for _ in names]
-            for b in parts:
-                ids, kb = b.column("id").to_pylist(), b.column("kb_id").to_pylist()
-                m = [x for x in b.column("embedding").to_pylist()]
-                ok = np.array([x is not None and len(x) == vecs.shape[1] and all(y is not None for y in x) and any(x) for x in m], bool)
-                if not ok.any():
-                    continue
-                at = np.flatnonzero(ok)
-                mat = np.array([m[i] for i in at], np.float64)
-                scores = np.round((mat / np.linalg.norm(mat, axis=1, keepdims=True)) @ vecs.T, 4) + 0.0
-                own_kb = np.array([kb[i] for i in at], object)
-                own_id = np.array([ids[i] for i in at], object)
-                for j, wanted in enumerate(kbs):
-                    keep = np.isin(own_kb, list(wanted)) if wanted else slice(None)
-                    new = pd.DataFrame({"id": own_id[keep], "score": scores[keep, j]})
-                    both = pd.concat([best[j], new]) if len(best[j]) else new
-                    best[j] = both.sort_values(["score", "id"], ascending=[False, True]).head(k)
-            out = [(n, i, float(s)) for n, d in zip(names, best) for i, s in zip(d["id"], d["score"])]
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["query_id", "id", "score"]), preserve_index=False) if out else pa.RecordBatch.from_pylist([], schema=pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())]))
-
-        return rows.mapInArrow(run, f"query_id {q_type}, id {id_type}, score double")
-
-    wanted = queries.select("query_id", "vec", "kb_ids").filter("vec is not null and exists(vec, x -> x <> 0)")
-    for r in wanted.toLocalIterator():  # one block of vectors is held at a time
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            found, block = search(block) if found is None else found.unionByName(search(block)), []
-    if block or found is None:
-        part = search(block) if block else spark.createDataFrame([], f"query_id {q_type}, id {id_type}, score double")
-        found = part if found is None else found.unionByName(part)
-    return _top(found, k)
+    ship_package(queries.sparkSession)
+    queries = queries.withColumn("kb_ids", F.col("kb_ids").cast("array<string>")).repartition("query_id")
+    asked = materialize(_matrices(queries, "query_id", "kb_ids", "vec", QUERY_BLOCK))
+    held = _matrices(chunks.withColumn("kb_id", F.col("kb_id").cast("string")), "id", "kb_id", "embedding")
+    pairs = held.crossJoin(broadcast_if_small(asked.select(*(F.col(c).alias(f"q_{c}") for c in asked.columns)), 64)).filter("dim = q_dim")
+    kinds = {c: asked.schema["key"].dataType.elementType.simpleString() if c == "query_id" else held.schema["key"].dataType.elementType.simpleString() for c in ("query_id", "id")}
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.Table] = []
+
+        def best() -> pa.Table:
+            t = pa.concat_tables(kept).sort_by([("query_id", "ascending"), ("score", "descending"), ("id", "ascending")])
+            name = t.column("query_id").combine_chunks().dictionary_encode().indices.to_numpy()
+            first = np.flatnonzero(np.diff(name, prepend=-1))
+            place = np.arange(len(name)) - np.repeat(first, np.diff(first, append=len(name)))
+            return t.filter(pa.array(place < k))
+
+        for b in parts:
+            for i in range(b.num_rows):
+                dim = b.column("dim")[i].as_py()
+                ids, asks = b.column("key")[i].values, b.column("q_key")[i].values
+                order = pc.sort_indices(ids).to_numpy()
+                units = (np.frombuffer(b.column(c)[i].as_py(), np.float64).reshape(-1, dim) for c in ("unit", "q_unit"))
+                scores = np.round(next(units)[order] @ next(units).T, 12) + 0.0
+                kb = np.array(b.column("label")[i].as_py(), object)[order]
+                allowed: dict[tuple, list[int]] = {}
+                for j, wanted in enumerate(b.column("q_label")[i].as_py()):
+                    allowed.setdefault(tuple(wanted or ()), []).append(j)
+                for wanted, at in allowed.items():
+                    if wanted:
+                        scores[np.ix_(~np.isin(kb, [w for w in wanted if w is not None]), at)] = -np.inf
+                query, row = _best(scores, k)
+                kept.append(pa.table({"query_id": asks.take(pa.array(query)), "id": ids.take(pa.array(order[row])), "score": scores[row, query]}))
+                if sum(t.num_rows for t in kept) > 2_000_000:
+                    kept = [best()]
+                    if kept[0].num_rows > 1_000_000:  # too many queries to hold: what is there is passed on
+                        yield from kept.pop().to_batches(65536)
+        if kept:
+            yield from best().to_batches(65536)
+
+    return _top(pairs.mapInArrow(run, f"query_id {kinds['query_id']}, id {kinds['id']}, score double"), k)
 
 
 def retrieve(queries: DataFrame, chunks: DataFrame, disabled: DataFrame | None = None, scores: DataFrame | None = None, k: int = 20, min_score: float = 0.25, top_n: int = 6, method: str = "arrow") -> DataFrame:
@@ -119,13 +160,16 @@ def apply_rerank(hits: DataFrame, scores: DataFrame) -> DataFrame:
     return rows.select("query_id", order.alias("rank"), "id", F.coalesce("new", "score").alias("score"))
 
 
-def refusal_guard(queries: DataFrame, hits: DataFrame, chunks: DataFrame, answer: str = "没有找到可用的资料。") -> DataFrame:
-    """[query_id, refused, answer] (R4): a strict query without hits, or whose kbs hold no chunk, is refused."""
+def refusal_guard(queries: DataFrame, hits: DataFrame, chunks: DataFrame, answer: str = REFUSAL) -> DataFrame:
+    """[query_id, refused, answer] (R4): a strict query without hits, or whose kbs hold no chunk, is refused; a null or empty
+    kb list means all."""
     n_hits = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"))
     per_kb = chunks.groupBy(F.col("kb_id").cast("string").alias("kb")).agg(F.count(F.lit(1)).alias("n"))
     held = queries.select("query_id", F.explode("kb_ids").alias("kb")).withColumn("kb", F.col("kb").cast("string")).join(per_kb, "kb").groupBy("query_id").agg(F.sum("n").alias("n_chunks"))
-    rows = queries.join(n_hits, "query_id", "left").join(held, "query_id", "left")
-    refused = F.col("strict") & ((F.coalesce("n_hits", F.lit(0)) == 0) | (F.coalesce("n_chunks", F.lit(0)) == 0))
+    every = per_kb.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_all"))  # one row
+    rows = queries.join(n_hits, "query_id", "left").join(held, "query_id", "left").crossJoin(F.broadcast(every))
+    n_chunks = F.when(F.coalesce(F.size("kb_ids"), F.lit(0)) <= 0, F.col("n_all")).otherwise(F.coalesce("n_chunks", F.lit(0)))
+    refused = F.col("strict") & ((F.coalesce("n_hits", F.lit(0)) == 0) | (n_chunks == 0))
     return rows.select("query_id", refused.alias("refused"), F.when(refused, answer).alias("answer"))
 
 

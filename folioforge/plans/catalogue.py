@@ -29,20 +29,22 @@ def chunks_of(spark, sf) -> DataFrame:
 
 
 CHUNKS = """chunks as (select vec_id as id, label as kb_id, vec_id // 7 as doc_id, case when vec_id % 31 = 30 then null when vec_id % 37 = 36 then list_transform(embedding, lambda x: 0::float) else embedding end as embedding, 'text of ' || vec_id as text from embeddings),
-asked as (select vec_id as query_id, embedding as vec, case when vec_id % 2 = 0 then [] else [label] end as kb_ids, case when vec_id % 10 = 9 then ' ' else 'question' end as text, vec_id % 3 = 0 as strict from embeddings where vec_id < 20)"""
+asked as (select vec_id // 100 as query_id, embedding as vec, case when vec_id // 100 % 2 = 0 then [] else [label] end as kb_ids, case when vec_id // 100 % 10 = 9 then ' ' else 'question' end as text, vec_id // 100 % 3 = 0 as strict from embeddings where vec_id % 100 = 0)"""
 
 
 def asked_of(spark, sf) -> DataFrame:
-    return table(spark, sf, "embeddings").filter("vec_id < 20").selectExpr("vec_id as query_id", "embedding as vec", "case when vec_id % 2 = 0 then cast(array() as array<int>) else array(label) end as kb_ids", "case when vec_id % 10 = 9 then ' ' else 'question' end as text", "vec_id % 3 = 0 as strict")
+    """Every hundredth vector asks; ids and variants go by vec_id div 100."""
+    q = table(spark, sf, "embeddings").filter("vec_id % 100 = 0").selectExpr("vec_id div 100 as query_id", "embedding as vec", "label")
+    return q.selectExpr("query_id", "vec", "case when query_id % 2 = 0 then cast(array() as array<int>) else array(label) end as kb_ids", "case when query_id % 10 = 9 then ' ' else 'question' end as text", "query_id % 3 = 0 as strict")
 
 
 def _excluded(spark, sf) -> DataFrame:
     return chunks_of(spark, sf).select("doc_id").distinct().filter("doc_id % 5 = 4")
 
 
-_TOPK = CHUNKS + """, sc as (select query_id, id, round(list_inner_product(vec::double[], embedding::double[]) / sqrt(list_inner_product(vec::double[], vec::double[]) * list_inner_product(embedding::double[], embedding::double[])), 4) as score
+_TOPK = CHUNKS + """, sc as (select query_id, id, round(list_inner_product(vec::double[], embedding::double[]) / sqrt(list_inner_product(vec::double[], vec::double[]) * list_inner_product(embedding::double[], embedding::double[])), 12) as sim
   from asked join chunks on (len(kb_ids) = 0 or list_contains(kb_ids, kb_id)) where embedding is not null and list_inner_product(embedding::double[], embedding::double[]) > 0 and doc_id % 5 <> 4 {0}),
-topk as (select query_id, (row_number() over (partition by query_id order by score desc, id))::int as rank, id, score from sc qualify row_number() over (partition by query_id order by score desc, id) <= 20)"""
+topk as (select query_id, (row_number() over (partition by query_id order by sim desc, id))::int as rank, id, round(sim, 4) as score from sc qualify row_number() over (partition by query_id order by sim desc, id) <= 20)"""
 
 
 @query("with " + _TOPK.format("") + " select * from topk")
@@ -76,8 +78,8 @@ def r3_apply_rerank(spark, sf):
     return retrieval.apply_rerank(hits, scores)
 
 
-@query("with " + _HITS + """, n as (select query_id, count(*) as c from hits group by query_id), z as (select a.query_id, strict and (coalesce(c, 0) = 0 or not exists (select 1 from chunks k where list_contains(a.kb_ids, k.kb_id))) as refused from asked a left join n using (query_id))
-select query_id, refused, case when refused then '没有找到可用的资料。' end as answer from z""")
+@query("with " + _HITS + """, n as (select query_id, count(*) as c from hits group by query_id), z as (select a.query_id, strict and (coalesce(c, 0) = 0 or not exists (select 1 from chunks k where len(a.kb_ids) = 0 or list_contains(a.kb_ids, k.kb_id))) as refused from asked a left join n using (query_id))
+select query_id, refused, case when refused then '知识库中没有找到与这个问题相关的信息。' end as answer from z""")
 def r4_refusal_guard(spark, sf):
     return retrieval.refusal_guard(asked_of(spark, sf), hits_of(spark, sf), chunks_of(spark, sf))
 
@@ -99,57 +101,8 @@ def r5_context(spark, sf):
     return retrieval.context_text(hits_of(spark, sf), chunks_of(spark, sf), _names(spark, sf))
 
 
-def grown_asked_of(spark, sf) -> DataFrame:
-    """Every hundredth vector asks, so the queries grow with the table; ids and variants go by vec_id div 100."""
-    q = table(spark, sf, "embeddings").filter("vec_id % 100 = 0").selectExpr("vec_id div 100 as query_id", "embedding as vec", "label")
-    return q.selectExpr("query_id", "vec", "case when query_id % 2 = 0 then cast(array() as array<int>) else array(label) end as kb_ids", "case when query_id % 10 = 9 then ' ' else 'question' end as text", "query_id % 3 = 0 as strict")
-
-
-def _grown(name: str) -> str:
-    """The twin of a query of twenty, asked by every hundredth vector."""
-    asked = CHUNKS[CHUNKS.index("asked as") :]
-    return QUERIES[name][1].replace(asked, asked.replace("vec_id", "(vec_id // 100)").replace("(vec_id // 100) < 20", "vec_id % 100 = 0"))
-
-
-def _grown_hits(spark, sf) -> DataFrame:
-    return retrieval.retrieve(grown_asked_of(spark, sf), chunks_of(spark, sf), _excluded(spark, sf))
-
-
-@query(_grown("r1_cosine_topk"))
-def r1_cosine_topk_grown(spark, sf):
-    return retrieval.cosine_topk(grown_asked_of(spark, sf), chunks_of(spark, sf), 20, _excluded(spark, sf))
-
-
-@query(_grown("r1_cosine_topk_sql"))
-def r1_cosine_topk_sql_grown(spark, sf):
-    return retrieval.cosine_topk(grown_asked_of(spark, sf), chunks_of(spark, sf), 20, _excluded(spark, sf), method="sql")
-
-
-@query(_grown("r2_retrieve"))
-def r2_retrieve_grown(spark, sf):
-    return _grown_hits(spark, sf)
-
-
-@query(_grown("r3_apply_rerank"))
-def r3_apply_rerank_grown(spark, sf):
-    hits = _grown_hits(spark, sf)
-    scores = hits.selectExpr("query_id", "rank as pos", "7 - rank + case when query_id % 4 = 0 then 99 else 0 end as idx", "cast((rank * 11 % 7) / 10.0 as double) as relevance")
-    return retrieval.apply_rerank(hits, scores)
-
-
-@query(_grown("r4_refusal_guard"))
-def r4_refusal_guard_grown(spark, sf):
-    return retrieval.refusal_guard(grown_asked_of(spark, sf), _grown_hits(spark, sf), chunks_of(spark, sf))
-
-
-@query(_grown("r5_citations"))
-def r5_citations_grown(spark, sf):
-    return retrieval.citations(_grown_hits(spark, sf), chunks_of(spark, sf), _names(spark, sf))
-
-
-@query(_grown("r5_context"))
-def r5_context_grown(spark, sf):
-    return retrieval.context_text(_grown_hits(spark, sf), chunks_of(spark, sf), _names(spark, sf))
+# earlier names of the same queries
+QUERIES |= {f"{n}_grown": QUERIES[n] for n in ("r1_cosine_topk", "r1_cosine_topk_sql", "r2_retrieve", "r3_apply_rerank", "r4_refusal_guard", "r5_citations", "r5_context")}
 
 
 def _frags(spark, sf) -> DataFrame:
@@ -246,6 +199,13 @@ def k3_index_diff(spark, sf):
     return catalog.index_diff(*states(spark, sf))
 
 
+@query("with " + CATALOGUE + """ select d.id as doc_id, case d.id % 4 when 0 then even and doc_type = 'doc' when 1 then false when 2 then true else false end and d.id % 7 <> 1 as stale from docs d join kbs k on k.id = d.kb_id""")
+def k3_index_stale(spark, sf):
+    configs = catalog.effective_config(docs_of(spark, sf), kbs_of(spark, sf), _presets(spark), "index")
+    fps = docs_of(spark, sf).selectExpr("id", "case when id % 7 = 1 then sha2(text, 256) when id % 7 = 2 then null else 'old' end as index_fp", "sha2(text, 256) as fp")
+    return catalog.index_stale(configs, fps)
+
+
 @query("""select doc_id, s as stage, case when doc_id % 2 = 0 and doc_id % 3 <> 0 and doc_id % 5 <> s.length() then 'skip' else 'rerun' end as decision from documents, (values ('a'), ('bb')) v(s)""".replace("s.length()", "length(s)"))
 def k4_stage_decision(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.explode(F.array(F.lit("a"), F.lit("bb"))).alias("stage"))
@@ -342,6 +302,11 @@ def k9_backfill_order(spark, sf):
     return catalog.backfill_order(docs_of(spark, sf)).select("id", "sort_order")
 
 
+@query("with " + CATALOGUE + " select id, (1000 * row_number() over (order by created_at, id))::double as sort_order from kbs")
+def k9_backfill_kbs(spark, sf):
+    return catalog.backfill_kbs(kbs_of(spark, sf)).select("id", "sort_order")
+
+
 @query("with " + CATALOGUE + " select id, (row_number() over (order by sort_order, created_at desc, id))::int as place from docs where kb_id = 'src1'")
 def k10_list_docs(spark, sf):
     return catalog.list_docs(docs_of(spark, sf), "src1").select("id", "place")
@@ -362,11 +327,12 @@ def k12_active_docs(spark, sf):
 _BRIEF = """'- 《' || name || '》' || case when id % 4 = 0 then '（T' || id || '）' else '' end || case when id % 5 = 0 then '：D' else '' end || ' ｜ doc_id=' || id"""
 
 
-@query("with " + CATALOGUE + f""", c as (select id as cur, kb_id from docs where id % 40 = 0)
+@query("with " + CATALOGUE + f""", c as (select id as cur, kb_id from docs where id % 100 = 0)
 select cur as doc_id, string_agg({_BRIEF} || case when id = cur then '（本文档）' else '' end, chr(10) order by id = cur, created_at, id) as overview from c join docs using (kb_id) where id = cur or (id % 3 <> 0 and id % 7 <> 0 and id % 11 <> 0) group by cur""")
 def k13_kb_overview(spark, sf):
+    """Asked by every hundredth document."""
     d = _overview_docs(spark, sf)
-    return catalog.kb_overview(d, d.filter("id % 40 = 0").select(F.col("id").alias("doc_id")))
+    return catalog.kb_overview(d, d.filter("id % 100 = 0").select(F.col("id").alias("doc_id")))
 
 
 def _overview_docs(spark, sf) -> DataFrame:
@@ -397,11 +363,19 @@ def k15_dedupe_normalized(spark, sf):
     return catalog.dedupe_normalized(table(spark, sf, "documents"), F.col("text"), "source", "doc_id").select("source", "doc_id")
 
 
-@query("""with c as (select item_id as ord, 'n' || item_id as name, case when item_id % 3 = 0 then 'w' || item_id % 4 end as wid, 'Here  ' || item_id % 5 as wt from benchmark where item_id < 60),
+@query("select source, min(doc_id) as doc_id from documents group by source, case when doc_id % 3 = 2 then doc_id % 2 else -1 end, lang")
+def k15_dedupe_meta(spark, sf):
+    """Texts differ in meta lines that do not count (and, every third, in one that does)."""
+    meta = r"concat(case doc_id % 3 when 0 then concat('## meta\nname: ', doc_id, '\n where : x\n\n') when 1 then concat('\r\n## meta\r\nwhere:', doc_id, '\n') else concat('## meta\nrole: ', doc_id % 2, '\nname: y\n') end, '## body\n', lang) as text"
+    rows = table(spark, sf, "documents").selectExpr("source", "doc_id", meta)
+    return catalog.dedupe_normalized(rows, F.col("text"), "source", "doc_id", ("name", "where")).select("source", "doc_id")
+
+
+@query("""with c as (select item_id as ord, 'n' || item_id as name, case when item_id % 3 = 0 then 'w' || item_id % 4 end as wid, 'Here  ' || item_id % 5 as wt from benchmark),
 k as (select *, case when wid is not null then 'id:' || wid else 'own:here' || item_id_mod end as key from (select *, ord % 5 as item_id_mod from c)), g as (select key, min(ord) as first, string_agg(name, ',' order by ord) as members from k group by key)
 select (row_number() over (order by first))::int as grp, key, members from g""")
 def k16_group_components(spark, sf):
-    return _components(table(spark, sf, "benchmark").filter("item_id < 60"))
+    return _components(table(spark, sf, "benchmark"))
 
 
 def _components(items: DataFrame) -> DataFrame:
@@ -409,9 +383,7 @@ def _components(items: DataFrame) -> DataFrame:
     return catalog.group_components(c).select("grp", "key", F.array_join("members", ",").alias("members"))
 
 
-@query(QUERIES["k16_group_components"][1].replace(" where item_id < 60", ""))
-def k16_group_components_all(spark, sf):
-    return _components(table(spark, sf, "benchmark"))
+QUERIES["k16_group_components_all"] = QUERIES["k16_group_components"]  # an earlier name
 
 
 @query("with " + fx.BLOCKS + """, n as (select doc_id, count(*) filter (where type = 'explain') as e from blocks group by doc_id)

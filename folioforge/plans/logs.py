@@ -9,6 +9,8 @@ from folioforge.operators import blocks, citations, conversations
 from folioforge.plans import fixtures as fx
 from folioforge.plans.catalogue import chunks_of
 from folioforge.plans.fixtures import table
+from folioforge.plans.structure import title_sql
+from folioforge.plans.windows import _SECTIONS as SECTIONS
 from folioforge.session import materialize
 from folioforge.sources import io
 from folioforge.streaming import blocks as block_stream
@@ -73,7 +75,23 @@ def x2_numbered_blocks(spark, sf):
     return citations.number_citations(_parts(spark, sf), _part_refs(spark, sf))[0]
 
 
-@query()
+def _callout(header: str) -> str:
+    return f"array_to_string(list_concat(['{header}'], list_transform(string_split(content, chr(10)), lambda l: case when regexp_matches(l, '\\\\S') then '> ' || l else '>' end)), chr(10))".replace("\\\\", "\\")
+
+
+_ASSEMBLED = f"""{SECTIONS}, nb as ({QUERIES["x2_numbered_blocks"][1]}), en as ({QUERIES["x2_citation_entries"][1]}),
+sm as (select nb.doc_id, sp.line_no as at_, 1 as rank, row_number() over (partition by nb.doc_id order by num, content) as turn, chr(10) || {_callout('> [!note] 本节摘要')} || chr(10) as x from nb join sp on sp.doc_id = nb.doc_id and sp.num = nb.target where part = 1),
+ca as (select nb.doc_id, sp.line_end as at_, 2 as rank, row_number() over (partition by nb.doc_id order by num desc) as turn, chr(1) || {_callout('> [!tip] explain')} as x from nb join sp on sp.doc_id = nb.doc_id and sp.num = nb.target where part = 0),
+la as (select doc_id, max(line_no) as last from numbered group by doc_id),
+pc as (select doc_id, line_no as at_, 0 as rank, 0 as turn, line as x from numbered union all from sm union all from ca union all select distinct doc_id, at_, 3, 0, '' from ca join la using (doc_id) where at_ < last),
+bd as (select doc_id, regexp_replace(regexp_replace(string_agg(x, chr(10) order by at_, rank, turn), '(?:\\n\\s*)?\\n\\x01', chr(10) || chr(10), 'g'), '^\\n+|\\n+$', '', 'g') as body from pc group by doc_id),
+tc as (select doc_id, string_agg(repeat('  ', (level - 2)::int) || '- ' || num || ' ' || title, chr(10) order by ord) as toc from headings group by doc_id),
+nt as (select doc_id, string_agg(line, chr(10) order by idx) as notes from en group by doc_id)
+select d.doc_id, '> [!info] 知识库：' || source || ' ｜ 源文件：`' || lang || '` ｜ 生成：2024-01-01 00:00' || chr(10) || chr(10) || '# T' || d.doc_id || chr(10) || chr(10) || '## 目录' || chr(10) || chr(10) || coalesce(toc, '') || chr(10) || chr(10) || body || chr(10)
+  || case when notes is null then '' else chr(10) || '## 引用来源' || chr(10) || chr(10) || notes || chr(10) end as text from documents d join bd using (doc_id) left join tc using (doc_id) left join nt using (doc_id)"""
+
+
+@query(_ASSEMBLED)
 def x3_assemble(spark, sf):
     docs = fx.md_docs(spark, sf).selectExpr("doc_id", "concat('T', doc_id) as title", "source as kb_name", "lang as source_name", "text")
     texts, entries = citations.number_citations(_parts(spark, sf), _part_refs(spark, sf))
@@ -94,7 +112,8 @@ def x4_audit_citations(spark, sf):
 
 @query()
 def x5_resolve_images(spark, sf):
-    p = table(spark, sf, "pages").selectExpr("page_id % 50 as dir", "concat('img_in_chart_box_', page_id, '_', page_id * 7 % 100, '.jpg') as name", "page_id")
+    """Twenty images a directory: one directory is one document's images."""
+    p = table(spark, sf, "pages").selectExpr("page_id div 20 as dir", "concat('img_in_chart_box_', page_id, '_', page_id * 7 % 100, '.jpg') as name", "page_id")
     refs = p.select("dir", F.when(F.col("page_id") % 3 == 0, F.replace("name", F.lit("chart"), F.lit("image"))).when(F.col("page_id") % 3 == 1, "zzz").otherwise(F.col("name")).alias("name"))
     return citations.resolve_images(refs, p.select("dir", "name"))
 
@@ -123,6 +142,31 @@ def h2_branch(spark, sf):
     return conversations.branch(m, cuts)
 
 
+@query("with " + _MSG + " select sha256('n' || session_id || '|' || session_id || '|' || seq) as id, 'n' || session_id as session_id, seq, role, content from msg where session_id % 2 = 1 and seq < session_id % 5")
+def h2_branch_before(spark, sf):
+    m = _messages(spark, sf)
+    cuts = m.filter("session_id % 2 = 1").select("session_id").distinct().selectExpr("session_id", "session_id % 5 as cut_seq", "concat('n', session_id) as new_id")
+    return conversations.branch(m, cuts, inclusive=False)
+
+
+_SESSIONS = "select conv_id as id, case when conv_id % 3 = 0 then '' when conv_id % 3 = 1 then 'S' || conv_id end as title, max(turn) as updated_at from conversations group by conv_id"
+
+
+def _sessions(spark, sf) -> DataFrame:
+    rows = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.max("turn").alias("updated_at"))
+    return rows.selectExpr("id", "case when id % 3 = 0 then '' when id % 3 = 1 then concat('S', id) end as title", "updated_at")
+
+
+@query(f"select id, coalesce(nullif(title, ''), '会话') || '（分支）' as title, updated_at from ({_SESSIONS})")
+def h2_branch_titles(spark, sf):
+    return conversations.branch_title(_sessions(spark, sf))
+
+
+@query(f"select *, (row_number() over (order by updated_at desc, id))::int as place from ({_SESSIONS})")
+def h6_list_sessions(spark, sf):
+    return conversations.list_sessions(_sessions(spark, sf))
+
+
 @query("with " + _MSG + """, e as (select distinct session_id, session_id % 3 as edit_seq from msg where session_id % 2 = 1), ok as (select * from e semi join (select session_id, seq as edit_seq from msg where role = 'user') u using (session_id, edit_seq))
 select m.session_id, seq, role, case when seq = edit_seq then 'edited' else content end as content from msg m left join ok using (session_id) where edit_seq is null or seq <= edit_seq""")
 def h3_truncate_after(spark, sf):
@@ -139,9 +183,9 @@ def h4_merge_segments(spark, sf):
     return conversations.merge_segments(d.withColumn("delta", F.concat(F.length("kind").cast("string"), F.lit(":"))))
 
 
-@query("""select conv_id as session_id, turn as seq, concat_ws(';', case when turn % 2 = 0 then 'thinking=' || role end, case when turn % 3 = 0 then 'tool=' || case when turn % 2 = 0 then 'c' || turn else 'legacy-0' end || '/f' end, case when turn % 3 = 0 then 'tool=i1/' end, case when turn <> 3 then 'text=' || left(text, 10) end) as segments from conversations""")
+@query("""select conv_id as session_id, turn as seq, concat_ws(';', case when turn % 2 = 0 then 'thinking=' || role end, case when turn % 3 = 0 then 'tool=' || case when turn % 2 = 0 then 'c' || turn else 'legacy-0' end || '/f' end, case when turn % 3 = 0 then 'tool=i1/' end, case when turn <> 3 then 'text=' || text end) as segments from conversations""")
 def h5_legacy_segments(spark, sf):
-    m = _messages(spark, sf).selectExpr("session_id", "seq", "case when seq % 2 = 0 then role else '' end as reasoning", "left(content, 10) as content", """case when seq % 3 = 0 then concat('[{"callId":"', case when seq % 2 = 0 then concat('c', seq) else '' end, '","name":"f","arguments":"x"},{"id":"i1"}]') end as tool_calls""")
+    m = _messages(spark, sf).selectExpr("session_id", "seq", "case when seq % 2 = 0 then role else '' end as reasoning", "content", """case when seq % 3 = 0 then concat('[{"callId":"', case when seq % 2 = 0 then concat('c', seq) else '' end, '","name":"f","arguments":"x"},{"id":"i1"}]') end as tool_calls""")
     s = conversations.legacy_segments(m)
     shown = F.transform("segments", lambda x: F.when(x.kind == "tool", F.concat(F.lit("tool="), x.call_id, F.lit("/"), x["name"])).otherwise(F.concat(x.kind, F.lit("="), x.text)))
     return s.select("session_id", "seq", F.array_join(shown, ";").alias("segments"))
@@ -217,8 +261,18 @@ def t7_blocks_from_deltas(spark, sf):
     return block_stream.read_blocks(d, "pass2", ("explain", "summary"))
 
 
-@query("""with p as (select user_id as doc_id, max(case when event_type = 'signup' then event_id end) as r, max(case when event_type = 'error' then event_id end) as w from events group by user_id)
-select user_id as doc_id, event_id as _id from events join p on p.doc_id = user_id where event_id <= coalesce(r, w)""")
+@query(fx.blanks("with " + fx.FIRST_PASS + r""" select doc_id, (row_number() over (partition by doc_id order by seg) - 1)::int as ord, kind as type, case when kind = 'summary' then num else '' end as target, x as content from (
+  select *, case when kind = 'summary' then regexp_replace(content, '^{W}+|{W}+$', '', 'g') else trim(regexp_replace(content, '{W}+', ' ', 'g')) end as x from first_pass where kind = 'summary' or (kind in ('title', 'digest') and not late)) where x <> ''"""))
+def t7_first_pass_blocks(spark, sf):
+    """Texts cut every 11 characters."""
+    d = fx.first_pass_text(spark, sf).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?s).{1,11}"), F.lit(0))).alias("seq", "delta"))
+    return block_stream.read_blocks(d, "pass1")
+
+
+@query("""with w as (select user_id as doc_id, max(event_id) as w from events where event_type = 'error' group by user_id),
+r as (select user_id as doc_id, max(event_id) as r from events left join w on w.doc_id = user_id where event_type = 'signup' and event_id > coalesce(w, -1) group by user_id),
+p as (select doc_id, coalesce(r, w) as cut from w full join r using (doc_id))
+select user_id as doc_id, event_id as _id from events join p on p.doc_id = user_id where event_id <= cut""")
 def t8_rollback(spark, sf):
     points = table(spark, sf, "events").filter("event_type in ('signup', 'error')").selectExpr("user_id as doc_id", "event_id as _id", "case event_type when 'signup' then 'recovery' else 'window' end as kind")
     return ev.rollback(render_ops(spark, sf), points).select("doc_id", "_id")
@@ -272,9 +326,9 @@ def s5_ingest_pages(spark, sf):
 
 
 @query(r"""with p as (select case when page_id % 17 = 0 then 'ftp' || url else url end as url,
-  trim(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&#x27;', ''''), '&nbsp;', chr(160)), '&amp;', '&')) as title,
+  {title} as title,
   case when page_id % 17 = 0 then 'URL 无效（仅支持 http/https）' when page_id % 13 = 0 then '网页抓取失败：HTTP 404' when page_id % 11 = 0 then '链接不是网页' end as error from pages)
-select url, case when error is null and title <> '' then left(title, 120) else left(case when starts_with(url, 'ftp') then url else regexp_replace(regexp_extract(url, '^https?://([^/?#]+)', 1), '^www\.', '') end, 60) end as name, case when error is null then title end as title, error from p""")
+select url, case when error is null and title <> '' then left(title, 120) else left(case when starts_with(url, 'ftp') then url else regexp_replace(regexp_extract(url, '^https?://([^/?#]+)', 1), '^www\.', '') end, 60) end as name, case when error is null then title end as title, error from p""".replace("{title}", title_sql("html")))
 def s5_page_names(spark, sf):
     return io.ingest_pages(_crawled(spark, sf)).select("url", "name", "title", "error")
 

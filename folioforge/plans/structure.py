@@ -28,9 +28,9 @@ def est(c: str) -> str:
     return _EST.format(c)
 
 
-@query(f"select doc_id, {est('text')} as tokens, {est('cjk')} as cjk_tokens from (select *, replace(left(text, 400), 'e', '中') as cjk from documents)")
+@query(f"select doc_id, {est('text')} as tokens, {est('cjk')} as cjk_tokens from (select *, replace(text, 'e', '中') as cjk from documents)")
 def f1_estimate_tokens(spark, sf):
-    cjk = F.replace(F.left("text", F.lit(400)), F.lit("e"), F.lit("中"))
+    cjk = F.replace("text", F.lit("e"), F.lit("中"))
     return table(spark, sf, "documents").select("doc_id", t.estimate_tokens(F.col("text")).alias("tokens"), t.estimate_tokens(cjk).alias("cjk_tokens"))
 
 
@@ -48,10 +48,21 @@ def f3_norm_ws(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", t.norm_ws(F.col("text")).alias("norm"))
 
 
-@query(r"""select page_id, trim(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g'),
-  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&#x27;', ''''), '&nbsp;', chr(160)), '&amp;', '&')) as title from pages""")
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&nbsp;": "\u00a0", "&eacute;": "é", "&mdash;": "—", "&#8211;": "–", "&#x4e2d;": "中", "&amp;": "&"}
+MORE = " Caf&eacute; &mdash; A &#8211; B &#x4e2d;&amp;amp; &nosuch; "
+
+
+def title_sql(html: str) -> str:
+    """The twin of a title, for the entities that occur."""
+    t = f"regexp_replace(regexp_extract({html}, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')"
+    for name, char in ENTITIES.items():
+        t = f"replace({t}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return f"trim({t}, ' ' || chr(160))"
+
+
+@query(f"select page_id, {title_sql(f"replace(html, '</title>', '{MORE}</title>')")} as title from pages")
 def f4_html_title(spark, sf):
-    return table(spark, sf, "pages").select("page_id", t.html_title(F.col("html")).alias("title"))
+    return table(spark, sf, "pages").select("page_id", t.html_title(F.replace("html", F.lit("</title>"), F.lit(f"{MORE}</title>"))).alias("title"))
 
 
 _IMG = "array_to_string(list_transform(string_split(text, chr(10)), lambda l, i: case (i-1)%5 when 1 then '  ![a](x.png)' when 2 then concat(l, ' <IMG src=\"b.png\">') when 3 then concat(l, ' ![c](https://e.org/c.png)') else l end), chr(10))"
@@ -102,14 +113,22 @@ def f10_prompt_sections(spark, sf):
     return p.select("conv_id", "turn", F.col("s")["body"].alias("body"), F.col("s")["end"].alias("end"), F.col("s")["meta"].alias("meta"), F.col("m")["role"].alias("role"), F.col("m")["turn"].alias("meta_turn"), F.size("s").cast("long").alias("n"), F.size("m").cast("long").alias("n_meta"))
 
 
-@query("""select item_id % 4 as q, row_number() over (partition by item_id % 4 order by item_id) as rank, case when item_id % 3 = 0 then 'https://e.org/' || item_id else 'T' || item_id end as title,
-  'https://e.org/' || item_id as url, trim(left(text, 1200)) as snippet from benchmark qualify row_number() over (partition by item_id % 4 order by item_id) <= 5""")
+@query("""select item_id // 10 as q, row_number() over (partition by item_id // 10 order by item_id) as rank, case when item_id % 3 = 0 then 'https://e.org/' || item_id else 'T' || item_id end as title,
+  'https://e.org/' || item_id as url, trim(left(text, 1200)) as snippet from benchmark qualify row_number() over (partition by item_id // 10 order by item_id) <= 5""")
 def f11_search_dump(spark, sf):
-    rows = table(spark, sf, "benchmark").selectExpr("item_id", "item_id % 4 as q", r"concat(case when item_id % 3 = 0 then '' else concat('Title: T', item_id, ' \n') end, 'URL: https://e.org/', item_id, '\nHighlights:\n', text) as entry")
+    rows = table(spark, sf, "benchmark").selectExpr("item_id", "item_id div 10 as q", r"concat(case when item_id % 3 = 0 then '' else concat('Title: T', item_id, ' \n') end, 'URL: https://e.org/', item_id, '\nHighlights:\n', text) as entry")
     dump = rows.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("item_id", "entry"))).alias("a")).select("q", F.array_join(F.transform("a", lambda x: x.entry), "\n\n---\n\n").alias("text"))
     return parse_search_dump(dump, 5)
 
 
+@query("""select item_id, 'T' || item_id as title, case when item_id % 4 = 3 then '' else 'https://e.org/' || item_id end as url, case when item_id % 4 = 3 then '' else left(trim(regexp_replace(text, '\\s*\\n\\s*', ' ', 'g')) || ' URL: no end ', 1200) end as snippet from benchmark
+  union all select item_id, 'Last', '', '' from benchmark""")
+def f11_reader_lines(spark, sf):
+    head = "case item_id % 4 when 3 then 'URL : x' when 2 then concat('URL: \\nURL Source: https://e.org/', item_id) else concat('noise\\nURL: https://e.org/', item_id, ' ') end"
+    rows = table(spark, sf, "benchmark").selectExpr("item_id", f"concat('before\\r\\n\\r\\nTitle: T', item_id, ' \\n', {head}, '\\n\\n', text, '\\n  URL: no \\u2028 end\\nTitle: Last') as text")
+    return rows.select("item_id", F.inline(t.reader_entries(F.col("text"))))
+
+
 def parse_search_dump(df: DataFrame, k: int) -> DataFrame:
     """[q, rank, title, url, snippet]: at most k entries (1 to 8) of each dump."""
     k = max(1, min(k, 8))
@@ -127,24 +146,24 @@ def d1_lines(spark, sf):
     return lines.explode_lines(fx.fenced(spark, sf))
 
 
-@query("with " + fx.LINES + r""", b as (select *, sum(case when regexp_matches(line, '^<!--\s*page:\s*(\d+)\s*-->\s*$') then 1 else 0 end) over (partition by doc_id order by line_no) as ord from lines)
-select * from (select doc_id, ord::int as ord, max(nullif(regexp_extract(line, '^<!--\s*page:\s*(\d+)\s*-->\s*$', 1), '')::int) as page_no, string_agg(line, chr(10) order by line_no) as text from b group by doc_id, ord) where ord > 0 or regexp_matches(text, '\S')""")
+@query("with " + fx.LINES + fx.blanks(r""", b as (select *, sum(case when regexp_matches(line, '^<!--{W}*page:{W}*(\d+){W}*-->{W}*$') then 1 else 0 end) over (partition by doc_id order by line_no) as ord from lines)
+select * from (select doc_id, ord::int as ord, max(nullif(regexp_extract(line, '^<!--{W}*page:{W}*(\d+){W}*-->{W}*$', 1), '')::int) as page_no, string_agg(line, chr(10) order by line_no) as text from b group by doc_id, ord) where ord > 0 or regexp_matches(text, '\S')"""))
 def d2_page_blocks(spark, sf):
     return lines.page_blocks(fx.fenced(spark, sf)).withColumn("ord", F.col("ord").cast("int"))
 
 
-_STRIP = r""", m as (
-  select *, not in_fence and regexp_matches(trim(line), '^<!--\s*page:\s*(\d+)\s*-->\s*$') as whole from lines
+_STRIP = fx.blanks(r""", m as (
+  select *, not in_fence and regexp_matches(trim(line), '^<!--{W}*page:{W}*(\d+){W}*-->{W}*$') as whole from lines
 ), s as (
-  select *, not in_fence and not whole and regexp_matches(line, '<!--\s*page:\s*(\d+)\s*-->\s*$') as tail from m
+  select *, not in_fence and not whole and regexp_matches(line, '<!--{W}*page:{W}*(\d+){W}*-->{W}*$') as tail from m
 ), k as (
-  select doc_id, line_no, case when tail then rtrim(regexp_replace(line, '<!--\s*page:\s*(\d+)\s*-->\s*$', '')) else line end as line from s where not whole
+  select doc_id, line_no, case when tail then rtrim(regexp_replace(line, '<!--{W}*page:{W}*(\d+){W}*-->{W}*$', '')) else line end as line from s where not whole
 ), k2 as (
   select *, coalesce(sum(case when regexp_matches(line, '^\s*(```|~~~)') then 1 else 0 end) over (partition by doc_id order by line_no rows between unbounded preceding and 1 preceding), 0) % 2 = 1 as in_fence from k
 ), k3 as (select *, not in_fence and not regexp_matches(line, '\S') as blank from k2
 ), k4 as (select *, blank and coalesce(lag(blank) over (partition by doc_id order by line_no), false) as again from k3
 ), stripped as (select doc_id, string_agg(line, chr(10) order by line_no) as text from k4 where not again group by doc_id
-), n_stripped as (select doc_id, sum((whole or tail)::int)::int as n_stripped from s group by doc_id)"""
+), n_stripped as (select doc_id, sum((whole or tail)::int)::int as n_stripped from s group by doc_id)""")
 
 
 @query("with " + fx.LINES + _STRIP + " select doc_id, coalesce(text, '') as text, n_stripped from n_stripped left join stripped using (doc_id)")
@@ -170,8 +189,8 @@ def d6_toc(spark, sf):
     return lines.build_toc(lines.number_headings(fx.fenced(spark, sf))[1])
 
 
-@query("with " + fx.NUMBERED + r""", r as (select doc_id, line_no, repeat('#', level::int) || ' ' || regexp_extract(line, '^#{2,4}\s+(\S.*?)\s*$', 1) as x, row_number() over (partition by doc_id order by line_no desc) as back from h where level is not null)
-select doc_id, string_agg(x, chr(10) order by line_no) as headings from r where back <= 3 group by doc_id""")
+@query("with " + fx.NUMBERED + fx.blanks(r""", r as (select doc_id, line_no, repeat('#', level::int) || ' ' || regexp_extract(line, '^#{2,4}{W}+(.+?){W}*$', 1) as x, row_number() over (partition by doc_id order by line_no desc) as back from h where level is not null)
+select doc_id, string_agg(x, chr(10) order by line_no) as headings from r where back <= 3 group by doc_id"""))
 def d7_recent_headings(spark, sf):
     return lines.recent_headings(fx.fenced(spark, sf))
 
@@ -211,10 +230,10 @@ def d10_split_h3(spark, sf):
     return lines.split_sections(lines.number_headings(fx.fenced(spark, sf))[0], 3).withColumn("ord", F.col("ord").cast("int"))
 
 
-_ANCHORS = r""", a as (select *, case when not in_fence then nullif(regexp_extract(line, '<!--\s*page:\s*(\d+)\s*-->\s*$', 1), '')::int end as marker,
+_ANCHORS = fx.blanks(r""", a as (select *, case when not in_fence then nullif(regexp_extract(line, '<!--{W}*page:{W}*(\d+){W}*-->{W}*$', 1), '')::int end as marker,
     case when num is not null then nullif(regexp_extract(line, '\(p\.(\d+)\)$', 1), '')::int end as label, last_value(num ignore nulls) over (partition by doc_id order by line_no) as section_num from numbered),
 g as (select *, bool_or(marker is not null) over (partition by doc_id) as has from a)
-select doc_id, line_no::int as line_no, case when has then marker else label end as page, section_num, case when has then 'marker' else 'heading' end as src from g where case when has then marker else label end is not null"""
+select doc_id, line_no::int as line_no, case when has then marker else label end as page, section_num, case when has then 'marker' else 'heading' end as src from g where case when has then marker else label end is not null""")
 
 
 @query("with " + fx.NUMBERED.replace("from fenced)", "from (select doc_id, case when doc_id % 2 = 0 then text else regexp_replace(replace(text, '<!-- page:', '<!-- p:'), '(## [^\\n]*)', '\\1 (p.7)', 'g') end as text from fenced))") + _ANCHORS)
@@ -259,9 +278,9 @@ def d14_harvest_title_digest(spark, sf):
     return info.join(texts, "doc_id").select("doc_id", "title", "digest", "first", "second")
 
 
-_RAW = """, hh as (select *, case when not inside and not is_end and regexp_matches(line, '^##\\s+\\S') then trim(regexp_extract(line, '^##\\s+(\\S.*?)\\s*$', 1)) end as own from by_),
+_RAW = fx.blanks(r""", hh as (select *, case when not inside and not is_end and regexp_matches(line, '^##{W}+.') then trim(regexp_extract(line, '^##{W}+(.+?){W}*$', 1)) end as own from by_),
 hl as (select *, last_value(own ignore nulls) over (partition by doc_id order by line_no) as h2 from hh),
-inn as (select doc_id, seg, max(case when line_no = start then type end) as type, max(case when line_no = start then h2 end) as h2, trim(coalesce(string_agg(line, chr(10) order by line_no) filter (where line_no > start and not is_end), ''), chr(10) || ' ') as content from hl where inside group by doc_id, seg)"""
+inn as (select doc_id, seg, max(case when line_no = start then type end) as type, max(case when line_no = start then h2 end) as h2, trim(coalesce(string_agg(line, chr(10) order by line_no) filter (where line_no > start and not is_end), ''), chr(10) || ' ') as content from hl where inside group by doc_id, seg)""")
 
 
 @query("with " + fx.BLOCKS + _RAW + " select doc_id, (row_number() over (partition by doc_id order by seg) - 1)::int as ord, h2, content from inn where type = 'summary' and content <> ''")
@@ -276,7 +295,21 @@ def d15_raw_body(spark, sf):
     return blocks.split_raw(fx.blocks_text(spark, sf))[0]
 
 
-@query()
+_ASSIGN = "with recursive " + fx.BLOCKS + _RAW + """, su as (select doc_id, (row_number() over (partition by doc_id order by seg) - 1)::int as ord, h2, content from inn where type = 'summary' and content <> ''),
+fenced as (select doc_id, coalesce(string_agg(line, chr(10) order by line_no) filter (where not is_end and not inside), '') as text from by_ group by doc_id)""" + fx.NUMBERED[len(fx.FENCED) :] + fx.blanks(r""", nt as (
+  select doc_id, num, ord, trim(regexp_replace(regexp_replace(title, '^(\p{Nd}+(?:\.\p{Nd}+)*){W}+(.*)$', '\2'), '[（(]\s*p\.[^）)]*[）)]\s*$', '')) as t from headings where level = 2),
+hd as (select doc_id, list(num order by ord) as nums, list(t order by ord) as ts from nt group by doc_id),
+ws as (select doc_id, ord, trim(regexp_replace(regexp_replace(coalesce(h2, ''), '^(\p{Nd}+(?:\.\p{Nd}+)*){W}+(.*)$', '\2'), '[（(]\s*p\.[^）)]*[）)]\s*$', '')) as t, content from su),
+walk as (
+  select doc_id, -1 as ord, []::bigint[] as used, null::bigint as pick from hd
+  union all
+  select doc_id, ord, list_append(used, pick), pick from (
+    select w.doc_id, s.ord, w.used, coalesce(list_filter(range(1, len(ts) + 1), lambda k: not list_contains(w.used, k) and ts[k] = s.t)[1], list_filter(range(1, len(ts) + 1), lambda k: not list_contains(w.used, k))[1]) as pick
+    from walk w join ws s on s.doc_id = w.doc_id and s.ord = w.ord + 1 join hd on hd.doc_id = w.doc_id))
+select walk.doc_id, walk.ord, nums[pick] as num, content from walk join hd using (doc_id) join ws on ws.doc_id = walk.doc_id and ws.ord = walk.ord where pick is not null""")
+
+
+@query(_ASSIGN)
 def d15_assign_summaries(spark, sf):
     bodies, summaries = blocks.split_raw(fx.blocks_text(spark, sf))
     return blocks.assign_summaries(summaries, lines.number_headings(bodies)[1])

@@ -91,12 +91,12 @@ def p5_split_long(spark, sf):
 
 
 def _windows(spark, sf) -> DataFrame:
-    """Conversations as a window table: the reply is a window's output, its first 100 characters the summary."""
+    """Conversations as a window table: the text is a window's body, its summary and, under a heading, its output."""
     c = table(spark, sf, "conversations")
-    return c.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("window_id"), F.left("text", F.lit(50)).alias("body"), F.concat(F.lit("## "), F.left("text", F.lit(20)), F.lit("\n"), "text").alias("output"), F.left("text", F.lit(100)).alias("summary"))
+    return c.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("window_id"), F.col("text").alias("body"), F.concat(F.lit("## "), F.left("text", F.lit(20)), F.lit("\n"), "text").alias("output"), F.col("text").alias("summary"))
 
 
-@query(f"""with w as (select conv_id as doc_id, turn::int as window_id, left(text, 50) as body, '## ' || left(text, 20) || chr(10) || text as output, left(text, 100) as summary,
+@query(f"""with w as (select conv_id as doc_id, turn::int as window_id, text as body, '## ' || left(text, 20) || chr(10) || text as output, text as summary,
   '## ' || rtrim(regexp_extract(left(text, 20), '^[^\\n]*')) as head from conversations),
 s as (select a.doc_id, a.window_id, string_agg('【' || k || '】' || b.summary, chr(10) || chr(10) order by b.window_id) as past from w a join (select *, row_number() over (partition by doc_id order by window_id) as k from w) b on a.doc_id = b.doc_id and b.window_id < a.window_id group by a.doc_id, a.window_id),
 h as (select a.doc_id, a.window_id, string_agg(b.head, chr(10) order by b.window_id) as headings from w a join w b on a.doc_id = b.doc_id and b.window_id between a.window_id - 2 and a.window_id - 1 group by a.doc_id, a.window_id)
@@ -106,7 +106,8 @@ def p6_window_context(spark, sf):
     return packing.window_context(_windows(spark, sf))
 
 
-_SECTIONS = f"with recursive {fx.MD}, fenced as (select doc_id, text from md)" + fx.LINES[len(fx.FENCED):] + r""", m as (
+_MD = f"{fx.MD}, fenced as (select doc_id, text from md)"
+_SPANS = fx.LINES[len(fx.FENCED):] + r""", m as (
   select *, starts_with(line, '<!-- page:') as whole from lines
 ), k3 as (select doc_id, line_no as old_no, line, row_number() over (partition by doc_id order by line_no) as r, not regexp_matches(line, '\S') as blank from m where not whole
 ), k4 as (select *, blank and coalesce(lag(blank) over (partition by doc_id order by r), false) as again from k3
@@ -115,9 +116,10 @@ sp as (select a.doc_id, a.ord, a.level, a.num, a.title, a.line_no, coalesce((sel
 bo as (select sp.doc_id, sp.ord, any_value(sp.level) as level, any_value(sp.num) as num, any_value(sp.title) as title, any_value(sp.line_no) as l0, any_value(line_end) as l1, trim(string_agg(n.line, chr(10) order by n.line_no), chr(10) || ' ') as body
   from sp join numbered n on n.doc_id = sp.doc_id and n.line_no > sp.line_no and n.line_no <= sp.line_end group by sp.doc_id, sp.ord),
 be as (select *, {est("body")} as tokens from bo where body <> '')"""
+_SECTIONS = f"with recursive {_MD}{_SPANS}"
 
 
-@query(_SECTIONS + f""",
+_CHUNKS = f""",
 pp as (select doc_id, ord, list_filter(string_split(body, chr(10) || chr(10)), lambda p: regexp_matches(p, '\\S')) as a from be where tokens > 1000),
 pu as (select doc_id::varchar || '/' || ord as key, generate_subscripts(a, 1) as i, unnest(a) as p from pp),
 {_walk(f'items as (select key, i, p, {est("p")} as w from pu)', 1000)},
@@ -132,14 +134,22 @@ lone as (select s.* from short s where not exists (select 1 from base b where b.
 own as (select * from lone s where level = 3 or not exists (select 1 from lone o where o.level = 3 and o.doc_id = s.doc_id and o.num = s.parent)),
 every as (select doc_id, ord, k, num, l0, l1, text, 0 as late from base union all select doc_id, ord, 0, num, l0, l1, text, 1 from own),
 hung as (select s.doc_id, s.parent, string_agg(s.text, chr(10) || chr(10) order by s.ord) as more from short s anti join own o on o.doc_id = s.doc_id and o.ord = s.ord group by s.doc_id, s.parent),
-fin as (select *, row_number() over (partition by doc_id, num order by late desc, ord desc, k desc) = 1 as is_last, row_number() over (partition by doc_id order by late, ord, k) - 1 as place from every)
-select fin.doc_id, place::int as ord, num as section_num, (l0 + 1)::int as line_start, (l1 + 1)::int as line_end, case when is_last and more is not null then text || chr(10) || chr(10) || more else text end as text
-from fin left join hung on hung.doc_id = fin.doc_id and hung.parent = fin.num""")
+fin as (select *, row_number() over (partition by doc_id, num order by late desc, ord desc, k desc) = 1 as is_last, row_number() over (partition by doc_id order by late, ord, k) - 1 as place from every),
+cr as (select a.doc_id, a.num, b.ord as o, b.num || ' ' || b.title as x from headings a join headings b on a.doc_id = b.doc_id and b.ord <= a.ord and b.level <= a.level qualify row_number() over (partition by a.doc_id, a.ord order by b.ord desc) <= 3),
+crumb as (select doc_id, num, string_agg(x, ' > ' order by o) as breadcrumb from cr group by doc_id, num),
+chunked as (select fin.doc_id, place::int as ord, num as section_num, (l0 + 1)::int as line_start, (l1 + 1)::int as line_end, breadcrumb, case when is_last and more is not null then text || chr(10) || chr(10) || more else text end as text
+from fin join crumb using (doc_id, num) left join hung on hung.doc_id = fin.doc_id and hung.parent = fin.num)"""
+
+
+@query(_SECTIONS + _CHUNKS + " select * from chunked")
 def c1_section_chunks(spark, sf):
-    return chunks.chunk_sections(fx.md_docs(spark, sf)).select("doc_id", "ord", "section_num", "line_start", "line_end", "text")
+    return chunks.chunk_sections(fx.md_docs(spark, sf)).select("doc_id", "ord", "section_num", "line_start", "line_end", "breadcrumb", "text")
+
 
+_OF_BLOCKS = "with " + fx.BLOCKS + """ select doc_id, ord::int as ord, target as section_num, 'explain:' || target as anchor, content as text, 'plugin' as kind from blocks where content <> '' qualify row_number() over (partition by doc_id, target order by ord) = 1"""
 
-@query("with " + fx.BLOCKS + """ select doc_id, ord::int as ord, target as section_num, 'explain:' || target as anchor, content as text, 'plugin' as kind from blocks where content <> '' qualify row_number() over (partition by doc_id, target order by ord) = 1""")
+
+@query(_OF_BLOCKS)
 def c2_block_chunks(spark, sf):
     return chunks.chunk_blocks(fx.blocks_text(spark, sf), "explain").select("doc_id", "ord", "section_num", "anchor", "text", "kind")
 
@@ -151,14 +161,21 @@ def _pictured(spark, sf) -> DataFrame:
 _PIC = fx.MD + """, fenced as (select doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda l, i: case (i-1)%9 when 3 then concat('![', left(l, 5), '](i/', i-1, '.png) x ![](http://e.org/a.png)') when 7 then concat('<img class="a" src="i/', i-1, '.jpg" alt="b">') else l end), chr(10)) as text from md)"""
 
 
-@query("with " + _PIC + fx.NUMBERED[len(fx.FENCED):] + r""", at_ as (select *, last_value(num ignore nulls) over (partition by doc_id order by line_no) as sn, last_value(title ignore nulls) over (partition by doc_id order by line_no) as st from numbered),
-im as (select doc_id, line_no, coalesce(sn, '') as sn, coalesce(st, '') as st, case when starts_with(line, '![') then trim(regexp_extract(line, '^!\[([^\]]*)\]', 1)) else '' end as alt, case when starts_with(line, '![') then regexp_extract(line, '\]\((i/[^)]*)\)', 1) else regexp_extract(line, 'src="([^"]*)"', 1) end as src from at_ where regexp_matches(line, '^!\[[^\]]*\]\(i/') or starts_with(line, '<img class'))
-select doc_id, (line_no + 1)::int as line_start, sn as section_num, 'image:' || sn || ':' || src as anchor, '[图片] ' || case when alt <> '' then alt else sn || ' ' || st || ' 中的图片' end || '（位于 ' || sn || ' ' || st || '）' as text from im""")
+_IMAGES = "with " + _PIC + fx.NUMBERED[len(fx.FENCED):] + r""", at_ as (select *, last_value(num ignore nulls) over (partition by doc_id order by line_no) as sn, last_value(title ignore nulls) over (partition by doc_id order by line_no) as st from numbered),
+im as (select doc_id, line_no, coalesce(sn, '') as sn, coalesce(st, '') as st, case when starts_with(line, '![') then trim(regexp_extract(line, '^!\[([^\]]*)\]', 1)) else '' end as alt, case when starts_with(line, '![') then regexp_extract(line, '\]\((i/[^)]*)\)', 1) else regexp_extract(line, 'src="([^"]*)"', 1) end as src from at_ where regexp_matches(line, '^!\[[^\]]*\]\(i/') or starts_with(line, '<img class')),
+ic as (select doc_id, (line_no + 1)::int as line_start, sn as section_num, 'image:' || sn || ':' || src as anchor, '[图片] ' || case when alt <> '' then alt else sn || ' ' || st || ' 中的图片' end || '（位于 ' || sn || ' ' || st || '）' as text, trim(sn || ' ' || st) as breadcrumb from im)"""
+
+
+@query(_IMAGES + " select doc_id, line_start, section_num, anchor, text from ic")
 def c3_image_chunks(spark, sf):
     return chunks.chunk_images(_pictured(spark, sf)).select("doc_id", "line_start", "section_num", "anchor", "text")
 
 
-@query()
+@query(f"""select x.*, source as kb_id, 'p' as preset_id from (
+  select doc_id, ord, 'organized' as artifact, section_num, 'organized:' || section_num as anchor, line_start, line_end, breadcrumb, text, 'section' as kind from (with recursive {_PIC}{_SPANS}{_CHUNKS} select * from chunked)
+  union all select doc_id, ord, artifact, section_num, artifact || ':' || section_num, null, null, '', text, a.kind from ({_OF_BLOCKS}) b, (values ('summary', 'summary', 2), ('explain', 'plugin', 5)) a(artifact, kind, k) where doc_id % k = 0
+  union all select doc_id, (row_number() over (partition by doc_id order by line_start) - 1)::int, 'image', section_num, anchor, line_start, line_start, breadcrumb, text, 'image' from ({_IMAGES} select * from ic) where doc_id % 3 = 0
+) x join documents using (doc_id)""")
 def c4_document_chunks(spark, sf):
     docs = _pictured(spark, sf).select("doc_id", F.col("source").alias("kb_id"), F.lit("p").alias("preset_id"), "text")
     texts = fx.blocks_text(spark, sf)

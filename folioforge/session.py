@@ -29,19 +29,25 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (local mode)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary one, in local mode only: on a
+    cluster each machine would keep its own part of a table."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="shared-")
-        spark.sparkContext.setCheckpointDir(_own_dirs[app])
-    return _own_dirs[app]
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if sc.applicationId not in _own_dirs:
+        _own_dirs[sc.applicationId] = tempfile.mkdtemp(prefix="shared-")
+        sc.setCheckpointDir(_own_dirs[sc.applicationId])
+    return _own_dirs[sc.applicationId]
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends there and a lost executor costs no recompute."""
+    """Write ``df`` once to the shared folder and read it back: lineage ends there and a lost executor costs no recompute.
+
+    The tables stay until the folder's owner clears it, as plans that read them may run at any later time.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)

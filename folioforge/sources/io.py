@@ -20,29 +20,26 @@ def _newlines(c: Column) -> Column:
 
 def decode_markdown(df: DataFrame) -> DataFrame:
     """[path, text, n_bytes, encoding] of [path, content binary] (S1): UTF-8 without its mark, else GB18030, else UTF-8 with
-    replacement. The engine decodes the usual case; only the rest goes through the helper."""
+    replacement; a null file has a null text. One scan: the engine decodes the usual case, only the rest goes to the helper."""
 
-    @F.pandas_udf("string")
-    def gb18030(s: pd.Series) -> pd.Series:
+    @F.pandas_udf("text string, encoding string")
+    def other(s: pd.Series) -> pd.DataFrame:
         def one(b):
+            if b is None:
+                return None, None
             try:
-                return b.decode("gb18030")
+                return b.decode("gb18030"), "gb18030"
             except UnicodeDecodeError:
-                return None
-
-        return s.map(one, na_action="ignore")
+                return b.decode("utf-8", "replace"), "utf-8-replace"
 
-    @F.pandas_udf("string")
-    def lossy(s: pd.Series) -> pd.Series:
-        return s.map(lambda b: b.decode("utf-8", "replace"), na_action="ignore")
+        return pd.DataFrame([one(b) for b in s], columns=["text", "encoding"])
 
     utf8 = F.decode("content", "UTF-8")
-    valid = F.is_valid_utf8(F.col("content").cast("string"))
-    good = df.filter(valid).select("path", F.when(utf8.startswith("\ufeff"), F.substr(utf8, F.lit(2))).otherwise(utf8).alias("text"), F.length("content").alias("n_bytes"), F.lit("utf-8").alias("encoding"))
-    rest = df.filter(~valid).withColumn("g", gb18030("content"))
-    gb = rest.filter("g is not null").select("path", F.col("g").alias("text"), F.length("content").alias("n_bytes"), F.lit("gb18030").alias("encoding"))
-    bad = rest.filter("g is null").select("path", lossy("content").alias("text"), F.length("content").alias("n_bytes"), F.lit("utf-8-replace").alias("encoding"))
-    return good.unionByName(gb).unionByName(bad).withColumn("text", _newlines(F.col("text")))
+    valid = F.coalesce(F.is_valid_utf8(F.col("content").cast("string")), F.lit(True))
+    rows = df.select("path", "content", valid.alias("valid")).withColumn("other", other(F.when(~F.col("valid"), F.col("content"))))
+    plain = F.when(utf8.startswith("\ufeff"), F.substr(utf8, F.lit(2))).otherwise(utf8)
+    text = F.when(F.col("valid"), plain).otherwise(F.col("other.text"))
+    return rows.select("path", _newlines(text).alias("text"), F.length("content").alias("n_bytes"), F.when(F.col("valid"), "utf-8").otherwise(F.col("other.encoding")).alias("encoding"))
 
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:

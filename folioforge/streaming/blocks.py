@@ -1,8 +1,14 @@
 """Complete blocks from text deltas, wherever the text was cut.
 
-State per (document, stage) is the unfinished tail; a block is emitted when its end line is complete. ``pass2`` ignores
-fences and what is outside blocks; ``pass1`` minds fences and keeps summaries, and title and digest before the first of
-them. Duplicates and kinds not enabled are dropped; the tail is flushed at the end.
+State per (document, stage) is the unfinished tail; a block is emitted when its end line is complete; the tail is flushed
+at the end and what is unclosed then is dropped.
+
+``pass2``: fences and text outside blocks do not matter; repeated (type, target) and kinds not enabled are dropped.
+
+``pass1``: fences come first. A line of a fence, the fence lines themselves, and a page marker never start or end a block:
+inside a summary they are its content (a marker as an anchor element), anywhere else they are body text. Summaries are
+kept, their target is the number of the section they stand in; title and digest are kept, white space collapsed, until
+the first line of body text, heading, fence or page marker (an empty line is body text, too); other blocks are dropped.
 """
 
 from __future__ import annotations
@@ -16,21 +22,25 @@ from pyspark.sql import DataFrame
 
 from folioforge.session import ship_package
 
+# fixed values: patterns of lines
 OPEN, CLOSE, FENCE = re.compile(r"^@@([^\s@]+)(?:\s+(\S+))?\s*$"), re.compile(r"^@@\s*end$", re.I), re.compile(r"^\s*(```|~~~)")
-SCHEMA = "doc_id long, ord int, type string, target string, content string"
+PAGE, HEADING = re.compile(r"^<!--\s*page:\s*(\d+)\s*-->\s*$"), re.compile(r"^(#{2,4})\s+(.+?)\s*$")
+ANCHOR = '<span class="page-anchor" data-page="{}"></span>'
 
 
 class BlockReader:
     """Feed text in any pieces; ``take`` gives the blocks completed since."""
 
     def __init__(self, mode: str = "pass2", enabled: tuple[str, ...] | None = None, state: str | None = None):
-        self.mode, self.enabled = mode, ("summary",) if mode == "pass1" else enabled
+        self.mode, self.enabled = mode, enabled
         s = json.loads(state) if state else {}
-        self.tail, self.cur, self.fenced, self.seen, self.n = s.get("tail", ""), s.get("cur"), s.get("fenced", False), {tuple(x) for x in s.get("seen", [])}, s.get("n", 0)
+        self.tail, self.cur, self.n = s.get("tail", ""), s.get("cur"), s.get("n", 0)
+        self.seen = {tuple(x) for x in s.get("seen", [])}
+        self.fenced, self.body, self.counts = s.get("fenced", False), s.get("body", False), s.get("counts", [0, 0, 0])
         self.done: list[tuple] = []
 
     def state(self) -> str:
-        return json.dumps({"tail": self.tail, "cur": self.cur, "fenced": self.fenced, "seen": sorted(self.seen), "n": self.n})
+        return json.dumps({"tail": self.tail, "cur": self.cur, "n": self.n, "seen": sorted(self.seen), "fenced": self.fenced, "body": self.body, "counts": self.counts})
 
     def feed(self, text: str) -> None:
         *lines, self.tail = (self.tail + text).split("\n")
@@ -48,29 +58,58 @@ class BlockReader:
 
     def _line(self, line: str) -> None:
         s = line.strip()
-        if self.cur is None:
-            if self.mode == "pass1" and FENCE.match(line):
-                self.fenced = not self.fenced
-            elif not (self.fenced or CLOSE.match(s)) and (m := OPEN.match(s)):
-                self.cur = [m[1], m[2] or "", []]
-        elif CLOSE.match(s):
-            kind, target, lines = self.cur
-            self.cur = None
-            self._emit(kind, target, "\n".join(lines).strip())
+        if self.mode == "pass1":
+            fence, page = FENCE.match(line), None if self.fenced else PAGE.match(s)
+            if fence or self.fenced or page:
+                self.fenced ^= bool(fence)
+                self.body = True
+                if self.cur and self.cur[0] == "summary":
+                    self.cur[2].append(ANCHOR.format(page[1]) if page else line)
+                return
+        if self.cur is not None:
+            if CLOSE.match(s):
+                (kind, target, lines), self.cur = self.cur, None
+                self._emit(kind, target, lines)
+            else:
+                self.cur[2].append(line)
+        elif not CLOSE.match(s):
+            if m := OPEN.match(s):
+                self._open(m[1], m[2] or "")
+            else:
+                self.body = True
+                if self.mode == "pass1" and (h := HEADING.match(line)):
+                    k = len(h[1]) - 2
+                    self.counts = [*self.counts[:k], self.counts[k] + 1, *[0] * (2 - k)]
+
+    def _open(self, kind: str, target: str) -> None:
+        if self.mode == "pass1":
+            if kind in ("title", "digest") and not self.body:
+                target = ""
+            elif kind == "summary":
+                shown = max([k for k in range(3) if self.counts[k]], default=-1)
+                target = ".".join(map(str, self.counts[: shown + 1]))
+            else:
+                kind = ""
+        self.cur = [kind, target, []]
+
+    def _emit(self, kind: str, target: str, lines: list[str]) -> None:
+        content = "\n".join(lines).strip()
+        if self.mode == "pass1":
+            content = content if kind == "summary" else " ".join(content.split())
+            kept = bool(kind)
         else:
-            self.cur[2].append(line)
-
-    def _emit(self, kind: str, target: str, content: str) -> None:
-        early = self.mode == "pass1" and kind.lower() in ("title", "digest") and not any(k == "summary" for k, _ in self.seen)
-        if not content or not (early or self.enabled is None or kind in self.enabled):
-            return
-        key = (kind, target if self.mode == "pass2" or early else str(self.n))
-        if key not in self.seen:
-            self.seen.add(key)
+            kept = (self.enabled is None or kind in self.enabled) and (kind, target) not in self.seen
+        if content and kept:
+            if self.mode == "pass2":
+                self.seen.add((kind, target))
             self.done.append((self.n, kind, target, content))
             self.n += 1
 
 
+def _schema(deltas: DataFrame) -> str:
+    return f"doc_id {deltas.schema['doc_id'].dataType.simpleString()}, ord int, type string, target string, content string"
+
+
 def read_blocks(deltas: DataFrame, mode: str = "pass2", enabled: tuple[str, ...] | None = None) -> DataFrame:
     """[doc_id, ord, type, target, content] of deltas [doc_id, seq, delta], all at once."""
     ship_package(deltas.sparkSession)
@@ -80,9 +119,9 @@ def read_blocks(deltas: DataFrame, mode: str = "pass2", enabled: tuple[str, ...]
         for d in pdf.sort_values("seq")["delta"]:
             r.feed(d or "")
         r.flush()
-        return pd.DataFrame([(int(pdf["doc_id"].iloc[0]), *x) for x in r.take()], columns=["doc_id", "ord", "type", "target", "content"])
+        return pd.DataFrame([(pdf["doc_id"].iloc[0], *x) for x in r.take()], columns=["doc_id", "ord", "type", "target", "content"])
 
-    return deltas.select("doc_id", "seq", "delta").groupBy("doc_id").applyInPandas(run, SCHEMA)
+    return deltas.select("doc_id", "seq", "delta").groupBy("doc_id").applyInPandas(run, _schema(deltas))
 
 
 def blocks_stream(deltas: DataFrame, mode: str = "pass2", enabled: tuple[str, ...] | None = None) -> DataFrame:
@@ -99,6 +138,6 @@ def blocks_stream(deltas: DataFrame, mode: str = "pass2", enabled: tuple[str, ..
                     r.flush()
                 seen = int(d.seq)
         state.update((seen, r.state()))
-        yield pd.DataFrame([(int(key[0]), *x) for x in r.take()], columns=["doc_id", "ord", "type", "target", "content"])
+        yield pd.DataFrame([(key[0], *x) for x in r.take()], columns=["doc_id", "ord", "type", "target", "content"])
 
-    return deltas.groupBy("doc_id").applyInPandasWithState(run, SCHEMA, "seen long, reader string", "append", "NoTimeout")
+    return deltas.groupBy("doc_id").applyInPandasWithState(run, _schema(deltas), "seen long, reader string", "append", "NoTimeout")

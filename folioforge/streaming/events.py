@@ -51,7 +51,8 @@ def bounded_queue(df: DataFrame, cap: int = 2000) -> tuple[DataFrame, DataFrame]
 
 # render operations: [doc_id, _id, op, id, type, parent, props (JSON), text, nodes (JSON)]
 
-NODE = "doc_id long, id string, type string, parent string, props string, md string"
+def _node(ops: DataFrame) -> str:
+    return f"doc_id {ops.schema['doc_id'].dataType.simpleString()}, id string, type string, parent string, props string, md string"
 
 
 def new_tree() -> dict:
@@ -105,9 +106,9 @@ def fold_ops(ops: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
         nodes = new_tree()
         for op in _records(pdf):
             apply_op(nodes, op)
-        return _rows(int(pdf["doc_id"].iloc[0]), nodes)
+        return _rows(pdf["doc_id"].iloc[0], nodes)
 
-    return rows.groupBy("doc_id").applyInPandas(run, NODE)
+    return rows.groupBy("doc_id").applyInPandas(run, _node(ops))
 
 
 def fold_text(ops: DataFrame) -> DataFrame:
@@ -139,9 +140,9 @@ def fold_ops_stream(ops: DataFrame) -> DataFrame:
                 apply_op(nodes, op)
                 seen = int(op["_id"])
         state.update((seen, json.dumps(nodes)))
-        yield _rows(int(key[0]), nodes)
+        yield _rows(key[0], nodes)
 
-    return ops.groupBy("doc_id").applyInPandasWithState(run, NODE, "seen long, nodes string", "update", "NoTimeout")
+    return ops.groupBy("doc_id").applyInPandasWithState(run, _node(ops), "seen long, nodes string", "update", "NoTimeout")
 
 
 def apply_after(snapshot: DataFrame, ops: DataFrame, watermark: int) -> DataFrame:
@@ -155,7 +156,7 @@ def latest_status(events: DataFrame) -> DataFrame:
 
 
 def rollback(ops: DataFrame, checkpoints: DataFrame) -> DataFrame:
-    """Operations up to each document's last recovery point [doc_id, _id, kind], else its window checkpoint; documents
-    with neither lose all (T8)."""
-    p = checkpoints.groupBy("doc_id").agg(F.max(F.when(F.col("kind") == "recovery", F.col("_id"))).alias("r"), F.max(F.when(F.col("kind") == "window", F.col("_id"))).alias("w"))
-    return ops.join(p.select("doc_id", F.coalesce("r", "w").alias("_cut")), "doc_id").filter(F.col("_id") <= F.col("_cut")).select(ops.columns)
+    """Operations up to each document's latest point [doc_id, _id, kind]: a window checkpoint clears the recovery points before
+    it, so whichever kind came last counts; documents without any lose all (T8)."""
+    p = checkpoints.filter(F.col("kind").isin("recovery", "window")).groupBy("doc_id").agg(F.max("_id").alias("_cut"))
+    return ops.join(p, "doc_id").filter(F.col("_id") <= F.col("_cut")).select(ops.columns)

@@ -194,3 +194,54 @@ def test_document_chunks_follow_the_config(spark):
     config = spark.createDataFrame([(1, True, True, ["tip"]), (2, False, False, [])], "doc_id long, summary boolean, images boolean, plugins array<string>")
     got = {(r.doc_id, r.anchor, r.kind) for r in chunks.chunk_documents(docs, arts, config).collect()}
     assert got == {(1, "organized:1", "section"), (1, "summary:1", "summary"), (1, "tip:1", "plugin"), (1, "image:1:i.png", "image"), (2, "organized:1", "section")}
+
+
+def test_markers_with_unicode_white_space(spark):
+    text = "##　第一章\n### 7.3　小节　\n##   Report x\n##​no\n#　no\n##　"
+    assert lines.number_headings(one(spark, text))[0].first().text == "## 1 第一章\n### 1.1 小节\n## 2 Report x\n##​no\n#　no\n##　"
+    pages = lines.page_blocks(one(spark, "<!--　page: 7　-->　\na\n<!-- page:8 -->")).orderBy("ord").collect()
+    assert [r.page_no for r in pages] == [7, 8]
+    b, residue = blocks.parse_blocks(one(spark, "@@summary　1\nA\n　@@ END\nx\n@@tip 2.1　\nB\n@@end"))
+    assert [(r.type, r.target, r.content) for r in b.orderBy("ord").collect()] == [("summary", "1", "A"), ("tip", "2.1", "B")]
+    assert residue.first().text == "x"
+    r = spark.range(1).select(t.num_of(F.lit("1.2　题")).alias("a"), t.num_of(F.lit("1.2")).alias("b"), t.unnumbered(F.lit("2024 Report")).alias("c")).first()
+    assert (r.a, r.b, r.c) == ("1.2", None, "Report")
+
+
+def test_titles_with_entities(spark):
+    html = {"<TITLE lang=en>Caf&eacute; &mdash; A&nbsp;\n B &#8211; &#x4E2D;&amp;amp; &nosuch; &lt;b&gt;</title><title>two</title>": "Café — A  B – 中&amp; &nosuch; <b>", "<title>　 plain 　</title>": "plain", "none": "", "<title>&nbsp;</title>": ""}
+    df = spark.createDataFrame([(k,) for k in html] + [(None,)], "h string").select("h", t.html_title(F.col("h")).alias("t"))
+    assert {r.h: r.t for r in df.collect()} == {**html, None: None}
+
+
+def test_search_ranks_by_the_similarity_itself(spark):
+    unit = lambda c: [c, (1 - c * c) ** 0.5]
+    q = spark.createDataFrame([(1, [2.0, 0.0], []), (2, [0.0, 0.0], []), (3, None, []), (4, [1.0, 0.0, 0.0], None), (5, [1.0, 0.0], ["k2"]), (6, [float("nan"), 1.0], [])], "query_id long, vec array<double>, kb_ids array<string>")
+    rows = [("a", "k1", unit(0.80001)), ("b", "k1", unit(0.80004)), ("c", "k1", [0.0, 0.0]), ("d", "k1", None), ("e", "k1", [0.0, 0.0, 3.0]), ("f", "k2", [1.0, None]), ("g", "k2", [-1.0, 0.0]), ("h", "k1", unit(0.80004)), ("i", None, [float("inf"), 0.0])]
+    c = spark.createDataFrame([(i, kb, 1, v) for i, kb, v in rows], "id string, kb_id string, doc_id long, embedding array<double>")
+    for method in ("arrow", "sql"):
+        got = {}
+        for k in (1, 2, 20):
+            for r in retrieval.cosine_topk(q, c, k, method=method).orderBy("query_id", "rank").collect():
+                got.setdefault((k, r.query_id), []).append((r.id, r.score))
+        assert got[1, 1] == [("b", 0.8)] and got[2, 1] == [("b", 0.8), ("h", 0.8)], method
+        assert got[20, 1] == [("b", 0.8), ("h", 0.8), ("a", 0.8), ("g", -1.0)], method
+        assert got[20, 4] == [("e", 0.0)] and got[20, 5] == [("g", -1.0)], method
+        assert {x for _, x in got} == {1, 4, 5}
+        assert retrieval.cosine_topk(q.limit(0), c, method=method).count() == retrieval.cosine_topk(q, c.limit(0), method=method).count() == 0
+
+
+def test_equal_vectors_in_a_large_block_are_ordered_by_id(spark):
+    c = spark.range(20000).selectExpr("20000 - id as id", "'k' as kb_id", "id as doc_id", "case when id % 3 = 0 then array(1.0, 0.0, 0.0) else array(rand(7), rand(8), rand(9)) end as embedding")
+    q = spark.range(3).selectExpr("id as query_id", "array(1.0, 0.0, 0.0) as vec", "cast(array() as array<string>) as kb_ids")
+    got = retrieval.cosine_topk(q, c, 5)
+    assert {(r.query_id, r["rank"], r.id) for r in got.collect()} == {(i, k + 1, 3 * k + 2) for i in range(3) for k in range(5)}
+
+
+def test_empty_kb_list_means_all(spark):
+    q = spark.createDataFrame([(1, [], True), (2, ["k"], True), (3, ["none"], True), (4, None, True), (5, [], False)], "query_id long, kb_ids array<string>, strict boolean")
+    hits = spark.createDataFrame([(i, 1, "a", 0.9) for i in (1, 2, 3)], "query_id long, rank int, id string, score double")
+    c = spark.createDataFrame([("a", "k")], "id string, kb_id string")
+    got = {r.query_id: r.refused for r in retrieval.refusal_guard(q, hits, c).collect()}
+    assert got == {1: False, 2: False, 3: True, 4: True, 5: False}
+    assert {r.refused for r in retrieval.refusal_guard(q, hits, c.limit(0)).filter("strict").collect()} == {True}

@@ -100,3 +100,19 @@ def test_block_stream(spark, tmp_path):
 def test_criticality(spark):
     df = spark.createDataFrame([("doc.status",), ("job.x",), ("render.op",), ("session.",), (None,), ("doc.statuses",)], "c string")
     assert [r[0] for r in df.select(events.is_critical(F.col("c"))).collect()] == [True, True, False, True, False, False]
+
+
+def test_rollback_to_whichever_point_came_last(spark):
+    ops_ = spark.createDataFrame([(d, i) for d in ("a", "b", "c", "d") for i in range(1, 13)], "doc_id string, _id long")
+    points = spark.createDataFrame([("a", 5, "recovery"), ("a", 10, "window"), ("b", 5, "window"), ("b", 8, "recovery"), ("b", 6, "recovery"), ("c", 3, "window"), ("d", 9, "note")], "doc_id string, _id long, kind string")
+    got = events.rollback(ops_, points).groupBy("doc_id").agg(F.max("_id").alias("m"))
+    assert {r.doc_id: r.m for r in got.collect()} == {"a": 10, "b": 8, "c": 3}
+
+
+def test_document_ids_may_be_texts(spark):
+    df = spark.createDataFrame(ops(BASE), OP).withColumn("doc_id", F.lit("doc-é"))
+    folded = events.fold_ops(df)
+    assert {(r.doc_id, r.id, r.md) for r in folded.collect()} == {("doc-é", "n1", "Zc"), ("doc-é", "n2", "")}
+    assert events.apply_after(folded, df, 100).filter("doc_id = 'doc-é'").count() == 2
+    d = spark.createDataFrame([("x", 0, "@@tip 1\nA\n@@end")], "doc_id string, seq long, delta string")
+    assert [tuple(r) for r in blocks.read_blocks(d).collect()] == [("x", 0, "tip", "1", "A")]
