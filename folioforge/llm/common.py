@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from folioforge.session import broadcast_if_small, materialize, ship_package
 
@@ -28,7 +29,7 @@ def documents(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def map_arrow(df: DataFrame, fn, schema: str, rows: int = 512) -> DataFrame:
+def map_arrow(df: DataFrame, fn, schema: str | StructType, rows: int = 512) -> DataFrame:
     """``mapInArrow`` over slices of ``rows`` rows, which bounds the Python objects alive at a time.
 
     Texts can be very long, so where the session still has Spark's default of 10000 rows a batch, it is set to 1000.
@@ -70,16 +71,30 @@ def unsigned_hex(c: Column) -> Column:
     return F.lpad(F.lower(F.hex(c)), 16, "0")
 
 
-def drop_losers(docs: DataFrame, losers: DataFrame, repeated: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``losers``; of the ids in ``repeated`` one row stays.
+def drop_losers(docs: DataFrame, found: DataFrame, winners: DataFrame, keys, key_type: str) -> DataFrame:
+    """``docs`` without its losing rows. ``found`` [doc_id, kept] has one row per document; ``winners`` [doc_id, key] names
+    the rows that stay by the key that ``keys`` computes from a batch's texts.
 
-    Ids travel, texts do not: both lists are broadcast when their counted size allows, else joined by shuffle.
-    Rows with a null id are kept.
+    Ids travel, texts do not: an id none of whose rows stays goes by its id, in a broadcast where the counted size allows,
+    else by shuffle. Only where rows share an id that stays is each judged by its own key; of those with one id and key
+    the longest text stays. Rows with a null id are kept.
     """
     cols = docs.columns
-    kept = docs.join(broadcast_if_small(losers), "doc_id", "left_anti")
-    if repeated.isEmpty():
+    ids = found.filter("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
+    ids = materialize(ids.filter("not stays or n > 1").select("doc_id", "stays"))
+    kept = docs.join(broadcast_if_small(ids.filter("not stays").select("doc_id")), "doc_id", "left_anti")
+    shared = ids.filter("stays").select("doc_id")
+    if shared.isEmpty():
         return kept.select(cols)
-    again = broadcast_if_small(repeated.select("doc_id").distinct())
-    once = kept.join(again, "doc_id", "left_anti")
-    return once.select(cols).unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(cols))
+    shared = broadcast_if_small(shared)
+    once = kept.join(shared, "doc_id", "left_anti").select(cols)
+    rows = kept.join(shared, "doc_id", "left_semi").select(F.struct(*cols).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def keyed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), keys(b)], ["row", "doc_id", "key"])
+
+    schema = StructType([rows.schema["row"], rows.schema["doc_id"]]).add("key", key_type)
+    own = map_arrow(rows, keyed, schema).join(winners.join(shared, "doc_id", "left_semi"), ["doc_id", "key"], "left_semi")
+    best = own.groupBy("doc_id", "key").agg(F.max_by("row", F.coalesce(F.char_length("row.text"), F.lit(0))).alias("row"))
+    return once.unionByName(best.select("row.*"))

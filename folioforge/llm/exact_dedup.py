@@ -26,14 +26,17 @@ from folioforge.llm.common import SPACES, documents, drop_losers, first_ordinal,
 HEAVY = 2048
 
 
+def _text_digests(b: pa.RecordBatch) -> pa.Array:
+    return pa.array([hashlib.sha256(t.translate(None, SPACES)).digest() for t in raw_texts(b)], pa.binary())
+
+
 def _digests(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at = first_ordinal()
     for b in parts:
-        sums = [hashlib.sha256(t.translate(None, SPACES)).digest() for t in raw_texts(b)]
         chars = pc.fill_null(pc.utf8_length(b.column("text")), 0).cast(pa.int64())
         ords = pa.array(range(at, at + b.num_rows), pa.int64())
         at += b.num_rows
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sums, pa.binary()), chars, ords], ["doc_id", "digest", "n_chars", "ord"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), _text_digests(b), chars, ords], ["doc_id", "digest", "n_chars", "ord"])
 
 
 def digest_rows(docs: DataFrame) -> DataFrame:
@@ -99,9 +102,6 @@ def exact_dedup(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
 
 
 def keep_first_copies(docs: DataFrame) -> DataFrame:
-    """The documents whose row stays, with all their columns."""
-    found = exact_dedup(docs)
-    found = materialize(found.filter("group_size > 1").select("doc_id", "keep_id", "kept"))
-    losers = found.filter("not kept and doc_id is not null and doc_id <> keep_id").select("doc_id").distinct()
-    repeated = found.filter("not kept and doc_id = keep_id").select("doc_id")
-    return drop_losers(docs, losers, repeated)
+    """The documents whose row stays, with all their columns. Rows that share an id but not the text are judged apart."""
+    found = materialize(exact_dedup(docs).select("doc_id", "kept", F.unhex("text_sha256").alias("key")))
+    return drop_losers(docs, found, found.filter("kept").select("doc_id", "key"), _text_digests, "binary")

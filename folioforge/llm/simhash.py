@@ -46,10 +46,13 @@ def fingerprint(text: bytes, n: int = 3, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def _text_fingerprints(b: pa.RecordBatch) -> pa.Array:
+    return pa.array(np.fromiter((fingerprint(t) for t in raw_texts(b)), np.uint64, b.num_rows).view(np.int64))
+
+
 def _fingerprints(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in parts:
-        f = np.fromiter((fingerprint(t) for t in raw_texts(b)), np.uint64, b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(f.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), _text_fingerprints(b)], ["doc_id", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -171,21 +174,26 @@ def links(fps: DataFrame, radius: int = 2, pair_limit: int = PAIR_LIMIT) -> Data
     return near.unionByName(_long_way(crowded, radius))
 
 
-def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
-    """[doc_id, fingerprint, component_id]; component_id is the smallest doc_id reachable over links."""
+def _components(docs: DataFrame, radius: int = 2) -> DataFrame:
+    """[doc_id, fp, component_id, root], one row per document; root tells apart components that share a repeated id."""
     rows = fingerprints(docs)
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     comps = connected_components(links(distinct.select("fp"), radius))
     found = comps.select(F.col("node").alias("fp"), "root").join(distinct, "fp")
     named = found.groupBy("root").agg(F.min("least").alias("component_id"))
-    moved = found.join(named, "root").select("fp", "component_id")
-    of_fp = materialize(distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
-    return rows.join(of_fp, "fp").select("doc_id", unsigned_hex(F.col("fp")).alias("fingerprint"), "component_id")
+    moved = found.join(named, "root").select("fp", "component_id", "root")
+    of_fp = distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return rows.join(materialize(of_fp), "fp").select("doc_id", "fp", "component_id", "root")
+
+
+def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
+    """[doc_id, fingerprint, component_id]; component_id is the smallest doc_id reachable over links."""
+    return _components(docs, radius).select("doc_id", unsigned_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest id, with all its columns."""
-    found = materialize(near_duplicates(docs).select("doc_id", "component_id"))
-    losers = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    repeated = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    return drop_losers(docs, losers, repeated)
+    """One document of each component, the one with the smallest id, with all its columns. Rows that share an id but not
+    the component are judged apart; where several rows of a component have its smallest id, the least fingerprint stays."""
+    found = materialize(_components(docs).select("doc_id", "fp", "root", (F.col("doc_id") == F.col("component_id")).alias("kept")))
+    winners = found.filter("kept").groupBy("doc_id", "root").agg(F.min("fp").alias("key"))
+    return drop_losers(docs, found.select("doc_id", "kept"), winners.select("doc_id", "key"), _text_fingerprints, "long")

@@ -28,3 +28,12 @@ def test_small_table_both_ways(spark):
     kept = exact_dedup.keep_first_copies(df)
     assert kept.columns == df.columns
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 2, 7, 8, 9]
+
+
+def test_rows_that_share_an_id_are_judged_apart(spark):
+    rows = [(1, "a b c", "x"), (2, "own text", "x"), (2, "abc", "x"), (2, "own  text", "y"), (3, "abc", "x"), (4, None, "x"), (4, "", "y"), (4, "z", "z"), (None, "z", "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string").selectExpr("*", "1 as row", "'k' as n")
+    got = exact_dedup.keep_first_copies(df)
+    assert got.columns == df.columns
+    left = sorted(((r.doc_id or 0, r.text or "") for r in got.collect()))
+    assert left == [(0, "z"), (1, "a b c"), (2, "own  text"), (4, ""), (4, "z")]

@@ -85,3 +85,11 @@ def test_edge_rows(spark):
     assert sorted(r.doc_id or 0 for r in simhash.keep_one_of_each(df).collect()) == [0, 1, 4, 5]
     assert simhash.keep_one_of_each(df).columns == df.columns
     assert df.filter(F.col("doc_id") == 4).count() == 2
+
+
+def test_rows_that_share_an_id_are_judged_apart(spark):
+    rows = [(1, "one two three", "a"), (2, "ONE two  three", "b"), (2, "quite another text of its own", "c"), (3, "one Two three", "d"), (2, "quite another text of its  own", "e"), (1, "a third text with its words", "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string").selectExpr("*", "1 as row")
+    got = simhash.keep_one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id, r.key) for r in got.collect()) == [(1, "a"), (1, "f"), (2, "e")]
