@@ -104,20 +104,27 @@ def audit_citations(texts: DataFrame, refs: DataFrame, chunks: DataFrame) -> Dat
     return both.select("doc_id", "block", "n", F.when(F.col("r").isNull(), "dangling").otherwise("unused").alias("problem")).unionByName(stale.select("doc_id", "block", "n", F.lit("stale").alias("problem")))
 
 
-def resolve_images(refs: DataFrame, manifest: DataFrame, cutoff: float = 0.85) -> DataFrame:
-    """[dir, name, resolved] (X5): the exact name, else the most similar one of the same directory, else null. Only what
-    has no exact match goes through the similarity helper."""
+def resolve_images(refs: DataFrame, manifest: DataFrame, cutoff: float = 0.85, block_names: int = 512) -> DataFrame:
+    """[dir, name, resolved] (X5): the exact name, else the most similar one of the same directory (of equals the greatest),
+    else null. Only what has no exact match goes through the similarity helper, beside blocks of about ``block_names`` names
+    whose length lets the ratio reach ``cutoff``, so no row holds a directory. A null dir or name resolves to null."""
     m = manifest.select("dir", "name").distinct()
     exact = refs.join(m, ["dir", "name"], "left_semi").select("dir", "name", F.col("name").alias("resolved"))
-    names = m.groupBy("dir").agg(F.sort_array(F.collect_list("name")).alias("names"))
-    rest = refs.join(m, ["dir", "name"], "left_anti").join(names, "dir", "left")
-
-    @F.pandas_udf("string")
-    def closest(name: pd.Series, names: pd.Series) -> pd.Series:
-        found = [difflib.get_close_matches(n, [] if c is None else list(c), n=1, cutoff=cutoff) for n, c in zip(name, names)]
-        return pd.Series([f[0] if f else None for f in found], dtype=object)
-
-    return exact.unionByName(rest.select("dir", "name", closest("name", "names").alias("resolved")))
+    rest = refs.join(m, ["dir", "name"], "left_anti").select("dir", "name")
+    sized = m.withColumn("size", F.char_length("name"))
+    blocks = sized.groupBy("dir", "size").agg(F.ceil(F.count(F.lit(1)) / block_names).alias("n_blocks"))
+    named = sized.join(blocks, ["dir", "size"]).groupBy("dir", "size", F.pmod(F.xxhash64("name"), "n_blocks").alias("block")).agg(F.sort_array(F.collect_list("name")).alias("names"))
+
+    @F.pandas_udf("score double, name string")
+    def closest(name: pd.Series, names: pd.Series) -> pd.DataFrame:
+        found = [difflib.get_close_matches(n, list(c), n=1, cutoff=cutoff) for n, c in zip(name, names)]
+        rows = [(difflib.SequenceMatcher(None, f[0], n).ratio(), f[0]) if f else (None, None) for n, f in zip(name, found)]
+        return pd.DataFrame({"score": pd.Series([r[0] for r in rows], dtype="float64"), "name": pd.Series([r[1] for r in rows], dtype=object)})
+
+    own = F.char_length("name")
+    near = rest.distinct().join(named, "dir").filter(2 * F.least(own, "size") >= cutoff * (own + F.col("size")) - 1e-9)
+    best = near.select("dir", "name", closest("name", "names").alias("c")).filter("c.name is not null").groupBy("dir", "name").agg(F.max("c").alias("c"))
+    return exact.unionByName(rest.join(best, ["dir", "name"], "left").select("dir", "name", F.col("c.name").alias("resolved")))
 
 
 def image_names(df: DataFrame) -> DataFrame:

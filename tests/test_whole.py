@@ -1,11 +1,12 @@
 """Queries over all of their tables: what a constant set of ids would leave out."""
 
+import difflib
 import random
 
 import duckdb
 from pyspark.sql import functions as F
 
-from folioforge.operators import catalog, packing, retrieval
+from folioforge.operators import catalog, citations, packing, retrieval
 from folioforge.plans import registry
 
 
@@ -75,3 +76,19 @@ def test_a_large_group_lies_in_no_single_row(spark):
     assert {k: len(v) for k, v in found.items()} == {None: 1000, "hot": 2000}
     for v in found.values():
         assert [n for _, n in v] == packing._greedy([t for t, _ in v], 200, 0)
+
+
+def test_similar_names_do_not_depend_on_blocks(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abé图") for _ in range(rng.randint(0, 9)))
+    names = sorted({(d, word()) for _ in range(400) for d in "xy"})
+    asked = [(rng.choice("xyz"), word()) for _ in range(300)] + [("x", None), (None, "ab"), ("x", "aéaéaéaé!"), ("x", "aéaéaéaé!")]
+    want = []
+    for d, n in asked:
+        own = [b for a, b in names if a == d]
+        close = [n] if n in own else difflib.get_close_matches(n, own, n=1, cutoff=0.6) if n is not None else []
+        want.append((d, n, close[0] if close else None))
+    refs, manifest = spark.createDataFrame(asked, "dir string, name string"), spark.createDataFrame(names, "dir string, name string")
+    for size in (512, 3):
+        got = [tuple(r) for r in citations.resolve_images(refs, manifest, 0.6, size).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
