@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm import bpe, chat_format, common, exact_dedup, license_scan, packing, quality, secret_scan, simhash, token_counts, url_filter
+from folioforge.llm import best_fit, bpe, chat_format, common, exact_dedup, license_scan, packing, quality, secret_scan, simhash, token_counts, url_filter
 
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
+WORD_BPE = "word_bpe_49k.json"
 
 
 def op1_token_counts(spark, sf_dir: str) -> DataFrame:
@@ -59,6 +60,10 @@ def op10_chat_format(spark, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(rows.unionByName(tricky)))
 
 
+def op13_best_fit(spark, sf_dir: str) -> DataFrame:
+    return best_fit.pack_best_fit(common.table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), with_ids=False)
+
+
 _OP7 = r"""
 with d as (
   select doc_id, length(coalesce(text, '')) as n,
