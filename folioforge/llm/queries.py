@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm import best_fit, bpe, chat_format, common, exact_dedup, license_scan, packing, quality, secret_scan, simhash, token_counts, url_filter
+from folioforge.llm import best_fit, bpe, chat_format, common, exact_dedup, license_scan, merkle, packing, quality, secret_scan, simhash, token_counts, url_filter
 
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -60,6 +60,15 @@ def op10_chat_format(spark, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(rows.unionByName(tricky)))
 
 
+def op12_merkle_manifest(spark, sf_dir: str) -> DataFrame:
+    """Every document's proof; where three divides the id's CRC-32 the text is tampered with by lower-casing A to Z."""
+    docs = common.table(spark, sf_dir, "documents")
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    touched = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    manifest = merkle.build_manifest(docs, F.when(touched, F.translate("text", upper, upper.lower())).otherwise(F.col("text")))
+    return merkle.prove(manifest, with_paths=False).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def op13_best_fit(spark, sf_dir: str) -> DataFrame:
     return best_fit.pack_best_fit(common.table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), with_ids=False)
 
@@ -96,9 +105,64 @@ from e group by conv_id
 """
 
 
+_OP12 = r"""
+with recursive d as (
+  select *, list_reduce(
+    list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+    lambda s, c: list_reduce(list_prepend(xor(s, c), [1, 2, 3, 4, 5, 6, 7, 8]::bigint[]),
+                             lambda r, k: xor(r >> 1, case when r & 1 = 1 then 3988292384 else 0 end))) as crc
+  from documents
+), t as (
+  select *, case when xor(crc, 4294967295) % 3 = 0 then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end as changed from d
+), f as (
+  select doc_id, lang, coalesce('=' || lang, '') as tree,
+         coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') as head,
+         coalesce(strlen(text) || ':' || text, '-') as body, coalesce(strlen(changed) || ':' || changed, '-') as changed
+  from t
+), leaves as (
+  select doc_id, tree, sha256(head || body) as leaf, sha256(head || changed) as now,
+         row_number() over (partition by tree order by doc_id nulls first, sha256(head || body)) - 1 as pos, count(*) over (partition by tree) as n
+  from f
+), nodes as (
+  select 0 as lvl, tree, pos, n, leaf as h from leaves
+  union all
+  select lvl + 1, tree, pos // 8, (max(n) + 7) // 8, sha256(string_agg(h, '' order by pos)) from nodes where n > 1 group by lvl, tree, pos // 8
+), subroots as (
+  select tree as name, h, row_number() over (order by tree) - 1 as pos, count(*) over () as n from nodes where n = 1
+), tops as (
+  select 0 as lvl, '' as tree, pos, n, h from subroots
+  union all
+  select lvl + 1, tree, pos // 8, (max(n) + 7) // 8, sha256(string_agg(h, '' order by pos)) from tops where n > 1 group by lvl, tree, pos // 8
+), every as (
+  select 1 as top, lvl, tree, pos, n, h from tops union all select 0, lvl, tree, pos, n, h from nodes
+), sides as (
+  select a.top, a.lvl, a.tree, a.pos,
+         coalesce(string_agg(b.h, '' order by b.pos) filter (where b.pos < a.pos), '') as before,
+         coalesce(string_agg(b.h, '' order by b.pos) filter (where b.pos > a.pos), '') as after
+  from every a join every b on a.top = b.top and a.lvl = b.lvl and a.tree = b.tree and a.pos // 8 = b.pos // 8
+  where a.n > 1 group by all
+), steps as (
+  select l.doc_id, l.leaf, l.pos as place, l.tree, s.before, s.after, row_number() over (partition by l.tree, l.pos order by s.top, s.lvl) as step
+  from leaves l join subroots r on l.tree = r.name
+  join sides s on (s.top = 0 and s.tree = l.tree and s.pos = l.pos // (8 ** s.lvl)::bigint) or (s.top = 1 and s.pos = r.pos // (8 ** s.lvl)::bigint)
+), proofs as (
+  select tree, place, sha256(string_agg(before || after, '' order by step)) as proof, max(step) as height from steps group by all
+), folded as (
+  select tree, pos, 0 as step, now as h from leaves
+  union all
+  select f.tree, f.pos, f.step + 1, sha256(s.before || f.h || s.after) from folded f join steps s on s.tree = f.tree and s.place = f.pos and s.step = f.step + 1
+)
+select l.doc_id, l.leaf, r.h as subroot, t.h as root, coalesce(p.proof, sha256('')) as proof_sha256, f.h as folded_root, f.h = t.h as verified
+from leaves l join subroots r on l.tree = r.name join (select h from tops where n = 1) t on true
+left join proofs p on p.tree = l.tree and p.place = l.pos
+join folded f on f.tree = l.tree and f.pos = l.pos and f.step = coalesce(p.height, 0)
+"""
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict:
-    return {"op7_exact_dedup": _OP7, "op10_chat_format": _OP10}
+    return {"op7_exact_dedup": _OP7, "op10_chat_format": _OP10, "op12_merkle_manifest": _OP12}
