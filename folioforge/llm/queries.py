@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm import best_fit, bpe, chat_format, common, exact_dedup, license_scan, merkle, packing, quality, secret_scan, simhash, token_counts, url_filter
+from folioforge.llm import best_fit, bpe, chat_format, common, exact_dedup, hard_negatives, license_scan, merkle, packing, quality, secret_scan, simhash, token_counts, url_filter
 
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -60,6 +60,10 @@ def op10_chat_format(spark, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(rows.unionByName(tricky)))
 
 
+def op11_hard_negatives(spark, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(common.table(spark, sf_dir, "embeddings").withColumn("label", hard_negatives.shifted_label()))
+
+
 def op12_merkle_manifest(spark, sf_dir: str) -> DataFrame:
     """Every document's proof; where three divides the id's CRC-32 the text is tampered with by lower-casing A to Z."""
     docs = common.table(spark, sf_dir, "documents")
@@ -105,6 +109,26 @@ from e group by conv_id
 """
 
 
+_OP11 = r"""
+with r as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)) as q
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select a.vec_id as anchor_id, r.vec_id, r.label = a.label as same, list_inner_product(a.q, r.q)::bigint as score
+  from r a join r on a.vec_id % 100 = 0 and (r.label <> a.label or r.vec_id <> a.vec_id)
+), p as (
+  select * from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+), n as (
+  select p.anchor_id, p.vec_id as positive_id, row_number() over (partition by p.anchor_id, p.vec_id order by s.score desc, s.vec_id) as rank,
+         s.vec_id as negative_id, p.score as positive_score, s.score as negative_score
+  from p join s on s.anchor_id = p.anchor_id and not s.same and 80 * p.score <= 100 * s.score and s.score <= p.score
+)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n where rank <= 5
+"""
+
+
 _OP12 = r"""
 with recursive d as (
   select *, list_reduce(
@@ -165,4 +189,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op7_exact_dedup": _OP7, "op10_chat_format": _OP10, "op12_merkle_manifest": _OP12}
+    return {"op7_exact_dedup": _OP7, "op10_chat_format": _OP10, "op11_hard_negatives": _OP11, "op12_merkle_manifest": _OP12}
