@@ -306,3 +306,75 @@ def test_planted_layers_against_a_naive_unwrapper(spark, sf):
         assert all(any(s <= y and x <= e for x, _, y in want) for s, _, e in got - want), (r.doc_id, got - want)
         hits += any(a <= s and e <= b for s, _, e in got)
     assert hits == len(rows)
+
+
+def nested(word, order):
+    """``word`` escaped by the kinds of ``order``, innermost first."""
+    for kind in order:
+        word = "".join(kind % ord(c) if rank % 2 == 0 or not c.isalnum() else c for rank, c in enumerate(word))
+    return word
+
+
+def test_words_nested_in_random_orders_of_both_kinds():
+    rng = random.Random(7)
+    for n in (1, 20):
+        words, kinds = [], ("%%%02x", "\\x%02x", "\\u%04x")
+        while sum(map(len, words)) < 500 * n:
+            words.append(nested(rng.choice(["token=abcdef12", "plain", "api_key:zzzzzz9"]), [rng.choice(kinds) for _ in range(rng.randint(1, 3))]))
+        text = " ".join(words)
+        began = time.time()
+        found = secret_scan.scan(text.encode())[1]
+        assert time.time() - began < 5
+        at = 0
+        for w in words:
+            inner = w
+            while (less := re.sub(r"%([0-9a-f]{2})|\\x([0-9a-f]{2})|\\u([0-9a-f]{4})", lambda m: chr(int(m[m.lastindex], 16)), inner)) != inner:
+                inner = less
+            if inner != "plain":
+                assert any(s == at and k == 0 and e == at + len(w) for s, k, e in found), w
+            at += len(w) + 1
+
+
+def test_one_kind_views_beside_the_joint_ones():
+    text = "token=abcdef%41\\x42\\u0043-"
+    naive = naive_spans(text)
+    found = set(secret_scan.scan(text.encode())[1])
+    assert {(0, 0, 15), (0, 0, 12)} <= found and max(naive, key=lambda x: x[2]) in found
+
+
+def test_skipped_depths_have_the_finds_of_every_depth(monkeypatch):
+    for text in ("%" + "25" * 60 + "74oken=abcdef1234", "a %" + "25" * 30 + "41 \\" + "x5c" * 20 + "x41 %" + "25" * 45 + "0a1b2c3d0a1b2c3d0a1b2c3d z", "\\" + "u005c" * 30 + "u0074oken=abcdef1234\n%2525"):
+        fast = secret_scan.decoded_spans(text)
+        with monkeypatch.context() as m:
+            m.setattr(secret_scan, "_skipped", lambda layer, found: None)
+            assert secret_scan.decoded_spans(text) == fast
+    assert naive_spans("%" + "25" * 30 + "74oken=abcdef1234") <= secret_scan.decoded_spans("%" + "25" * 30 + "74oken=abcdef1234")
+
+
+def test_packed_data_across_window_edges(monkeypatch):
+    monkeypatch.setattr(secret_scan, "WINDOW", 1 << 16)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 1 << 10)
+    rng = random.Random(2)
+    hidden = zlib.compress((SECRET + " ").encode() + rng.randbytes(70_000), 0)  # longer than window and overlap
+    letters = base64.b64encode(hidden).decode()
+    forms = [hidden, letters.encode(), "\n".join(letters[i : i + 76] for i in range(0, len(letters), 76)).encode(), "".join(f"%{b:02x}" for b in hidden[:50_000]).encode(), gzip.compress(hidden[:60_000], 0, mtime=0), letters.encode("utf-16-le")]
+    for form in forms:
+        for before in (0, (1 << 16) - 100, 270_000):
+            plain = b"ab. " * (before // 4) + b" " + form + b" cd. " * 20_000
+            assert shown(base64.b64encode(zlib.compress(plain)).decode()), (form[:20], before)
+
+
+def test_bzip2_and_submitted_fields():
+    import bz2
+
+    data = bz2.compress(("x " + SECRET).encode())
+    assert shown(base64.b64encode(data).decode()) and shown("".join(f"%{b:02x}" for b in data)) and shown(base64.b64encode(data[:-3]).decode()) is not None
+    assert shown("q=1&password+%3D+hunter2hunter2")
+
+
+def test_long_base64_runs_need_no_lists_of_places():
+    text = base64.b64encode(random.Random(1).randbytes(3_000_000) + (" " + SECRET + " ").encode()).decode()
+    began = time.time()
+    (part,) = shown("see " + text)
+    assert text.rstrip("=").endswith(part[:-4]) or part in text
+    assert time.time() - began < 60
