@@ -294,10 +294,11 @@ def mine(rows: DataFrame, every: int = 100, positives: int = 5, negatives: int =
     blocks = materialize(table.mapInArrow(_blocks(min(block_rows, 1 << 13)), BLOCK))
     anchors = materialize(blocks.mapInArrow(_anchors(every), ANCHOR))
     tasks = max(1, min(blocks.count(), 4 * spark.sparkContext.defaultParallelism))
-    dealt = blocks.repartition(max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))) if tasks > 1 else blocks
+    dealt = blocks.repartition(tasks)
 
     def met(asked: DataFrame, job: Callable) -> DataFrame:
-        return dealt.crossJoin(_gathered(asked)).mapInArrow(_pairs(job), FOUND)
+        # written once more: the size of the files, not a guess, decides between a broadcast and a grid of partitions
+        return dealt.crossJoin(materialize(_gathered(asked))).mapInArrow(_pairs(job), FOUND)
 
     def least(p: int) -> int:
         return -(-percent * p // 100)
