@@ -12,6 +12,9 @@ up to 16 shingles        1     12  over 0.999999995, and 0.99998
 longer                   2     24  over 0.99999999997, and 0.99997
 ====================  ====  =====  =====================================================
 
+Notices of fewer than eight shingles (four of the templates have 1, 3, 4 and 7) move shingle by shingle and have few values
+to hash: for them retrieval is a plain look-up of their shingles, and containment alone decides.
+
 A copy in which a fifth of the shingles is replaced, as far as possible from a window's start, has s = 0.6; eight or more
 windows see it. A MinHash can only agree if the window holds the very shingle that is the template's minimum, so windows
 without those of a whole band are passed over, which loses none; they are found by one look-up per shingle, however many
@@ -97,19 +100,19 @@ def _let(value: Column, then) -> Column:
 
 def containment(h: Column, hits: Column, t: Column) -> Column:
     """Best verified containment of template ``t`` in the shingles ``h``; null where no window is retrieved. ``hits`` are places and
-    values of the shingles that lead some MinHash."""
+    values of the shingles that lead some MinHash. Every window that holds one is looked at once, and only its own shingles are, so
+    the work grows with the text, however often a notice is repeated in it."""
     def around(own: Column) -> Column:
         starts = lambda y: F.sequence(F.floor(F.greatest(y.i - t.length + 1, F.lit(0)) / t.step).cast("int") * t.step, y.i, t.step)
-        return _let(F.array_distinct(F.flatten(F.transform(own, starts))), lambda s: F.array_max(F.transform(F.filter(s, lambda x: collides(x, own)), held)))
+        return _let(F.array_distinct(F.flatten(F.transform(own, starts))), lambda s: F.array_max(F.transform(F.filter(s, collides), held)))
 
-    def collides(s: Column, own: Column) -> Column:
+    def collides(s: Column) -> Column:
         def agrees(window: Column, seen: Column) -> Column:
             led = lambda band: F.forall(band, lambda r: F.array_contains(seen, r.leader))
             least = lambda band: F.forall(band, lambda r: F.array_min(F.transform(window, lambda x: _banded(x, r.seed))) == r.value)
             return F.exists(t.bands, lambda band: F.when(led(band), least(band)).otherwise(F.lit(False)))
 
-        seen = F.transform(F.filter(own, lambda y: (y.i >= s) & (y.i < s + t.length)), lambda y: y.x)
-        return _let(F.struct(F.slice(h, s + 1, t.length).alias("window"), seen.alias("seen")), lambda p: agrees(p.window, p.seen))
+        return _let(F.slice(h, s + 1, t.length), lambda window: _let(F.array_intersect(window, t.leaders), lambda seen: agrees(window, seen)))
 
     def held(s: Column) -> Column:
         first = F.greatest(s - t.step, F.lit(0))

@@ -89,3 +89,9 @@ def test_long_licenses_are_told_apart(spark):
     got = {r.doc_id: r.licenses.split(",") for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), license_scan.prepare(spark)).collect()}
     assert all(n in got[i] for i, n in enumerate(whole)) and len(whole) >= 5
     assert all(sum(x in whole for x in got[i]) == 1 for i in got)
+
+
+def test_many_notices_in_one_text(spark):
+    rows = [(1, "Released under the MIT License. " * 20_000), (2, license_scan.TEMPLATES["mit-header"] * 300)]
+    got = {r.doc_id: r.licenses for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), license_scan.prepare(spark)).collect()}
+    assert got[1] == brute("Released under the MIT License. " * 3) and "mit-header" in got[2]
