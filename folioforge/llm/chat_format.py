@@ -6,11 +6,11 @@ stretch is the turn's span; where it does not, the template has rewritten histor
 conversation without spans. Where in a span the turn's text lies is found by rendering the turn with two probe texts:
 they differ first where the text starts.
 
-Every prefix of a long conversation costs its length squared, so beyond ``WINDOW`` turns a turn is added to the ``WINDOW - 1``
-before it, and the added stretches, laid end to end, are held against whole prefixes: all of the first ``WINDOW`` lengths,
-those of each doubled length, and the whole conversation. If one differs, every prefix is rendered in full. So the spans always
-lie on the very output, and a rewriting is seen if it still shows at the end or at one of those lengths; one that a template
-undoes before the next of them is seen only with a wider ``window``.
+Every prefix is rendered whole, so a rewriting shows at whatever turn it happens, even if a later turn undoes it. That costs a
+conversation's length times its turns; ``ControlTemplate`` keeps what it wrote for each turn, so rendering a prefix again only
+joins strings. A template known to look at no more than its last turns may be given a ``window``: a turn is then rendered after
+the turns before it in the window, and the stretches, laid end to end, are held against the whole output and some whole
+prefixes. Nothing uses that unless asked to.
 
 ``ControlTemplate`` marks turns by control strings and escapes every control string inside texts and roles with a
 backslash, reversibly. Rows of a conversation are ordered by turn, then role and text.
@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.common import batches, map_arrow
 
-WINDOW = 32
+#: Turns whose written form a template keeps.
+KEPT_TURNS = 100_000
 Turn = tuple[str, str]
 Span = tuple[int, int]
 
@@ -46,6 +47,7 @@ class ControlTemplate:
         self.open, self.close = open, close
         controls = sorted({open, close, *others}, key=len, reverse=True)
         self._control = re.compile("|".join(f"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in controls))
+        self._written: dict[Turn, str] = {}
         self._turn = re.compile(rf"{re.escape(open)}((?:\\.|[^\\\n])*)\n(.*?){re.escape(close)}", re.S)
 
     def escape(self, text: str) -> str:
@@ -58,17 +60,30 @@ class ControlTemplate:
     def _role(self, role: str) -> str:
         return self.escape(role).replace("\n", "\\\n")  # no bare line end
 
+    def _write(self, turn: Turn) -> str:
+        out = self._written.get(turn)
+        if out is None:
+            if len(self._written) >= KEPT_TURNS:
+                self._written.clear()
+            role, text = turn
+            out = self._written[turn] = f"{self.open}{self._role(role)}\n{self.escape(text)}{self.close}"
+        return out
+
+    def forget(self) -> None:
+        """Drops what was kept; called between conversations."""
+        self._written.clear()
+
     def render(self, turns: list[Turn]) -> str:
-        return "".join([f"{self.open}{self._role(r)}\n{self.escape(t)}{self.close}" for r, t in turns])
+        return "".join(map(self._write, turns))
 
     def parse(self, output: str) -> list[Turn]:
         return [(self.unescape(r), self.unescape(t)) for r, t in self._turn.findall(output)]
 
 
-def turn_spans(render: Callable[[list[Turn]], str], turns: list[Turn], window: int = WINDOW) -> tuple[str, list[Span] | None, list[int]]:
+def turn_spans(render: Callable[[list[Turn]], str], turns: list[Turn], window: int | None = None) -> tuple[str, list[Span] | None, list[int]]:
     """(output, span of each turn, turns at which history was rewritten); spans are None after a rewriting."""
     full = render(turns)
-    if len(turns) > window:
+    if window and len(turns) > window:
         added, at, due = [], 0, window
         for k in range(len(turns)):
             past = turns[max(0, k - window + 1) : k]
@@ -89,7 +104,7 @@ def turn_spans(render: Callable[[list[Turn]], str], turns: list[Turn], window: i
         after = render(turns[:k])
         if not after.startswith(before):
             rewritten.append(k - 1)
-        added.append(len(after) - len(commonprefix([before, after])))
+        added.append(len(after) - len(before))
         before = after
     return full, None if rewritten else _laid_out(added), rewritten
 
@@ -102,7 +117,7 @@ def _laid_out(lengths: list[int]) -> list[Span]:
     return out
 
 
-def text_spans(render: Callable[[list[Turn]], str], turns: list[Turn], spans: list[Span], output: str, roles: frozenset[str], window: int = WINDOW) -> list[Span]:
+def text_spans(render: Callable[[list[Turn]], str], turns: list[Turn], spans: list[Span], output: str, roles: frozenset[str]) -> list[Span]:
     """Where the texts of the turns with one of ``roles`` lie in the output."""
     found, frames = [], {}
     for k, ((role, _), (start, end)) in enumerate(zip(turns, spans)):
@@ -111,7 +126,7 @@ def text_spans(render: Callable[[list[Turn]], str], turns: list[Turn], spans: li
         key = (role, turns[k - 1][0] if k else None)
         for fresh in (False, True):  # the frame of an earlier like turn is tried first
             if fresh or key not in frames:
-                past = turns[max(0, k - window + 1) : k]
+                past = turns[:k]
                 base = render(past) if past else ""
                 x, y = (render([*past, (role, probe)])[len(base) :] for probe in ("x", "y"))
                 head = len(commonprefix([x, y]))
@@ -138,12 +153,15 @@ def format_conversations(rows: DataFrame, template=None, trained_roles: tuple[st
     """[conv_id, formatted, turn_spans, loss_spans, rewritten]: one row per conversation, places in code points."""
     template, roles = template or ControlTemplate(), frozenset(trained_roles)
     schema = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("turn_spans", _SPANS), ("loss_spans", _SPANS), ("rewritten", pa.list_(pa.int32()))])
+    forget = getattr(template, "forget", None)
     as_rows = lambda spans: None if spans is None else [{"start": a, "end": b} for a, b in spans]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def one(conv, turns):
             out, spans, rewritten = turn_spans(template.render, turns)
             loss = None if spans is None else text_spans(template.render, turns, spans, out, roles)
+            if forget:
+                forget()
             return {"conv_id": conv, "formatted": out, "turn_spans": as_rows(spans), "loss_spans": as_rows(loss), "rewritten": rewritten}
 
         yield from batches((one(c, t) for c, t in _conversations(parts)), schema, 256)

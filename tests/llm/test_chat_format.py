@@ -89,3 +89,19 @@ def test_edge_rows(spark):
     got = {r.conv_id: tuple(r)[1:5] for r in chat_format.read_back(chat_format.format_conversations(df)).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256").collect()}
     assert got == brute(rows)
     assert chat_format.read_back(chat_format.format_conversations(df.limit(0))).count() == 0
+
+
+def test_a_rewriting_that_the_next_turn_undoes():
+    turns = [(("user", "assistant")[i % 2], f"t{i}") for i in range(90)]
+    say = lambda ts: "".join(f"[{r}] {x}\n" for r, x in ts)
+    for n in (33, 45, 71):
+        render = lambda ts: "old\n" * (len(ts) == n) + say(ts)  # noqa: B023, E731
+        assert chat_format.turn_spans(render, turns) == (say(turns), None, [n - 1, n])
+
+
+def test_thousands_of_turns_by_every_prefix():
+    turns = [(("user", "assistant")[i % 2], f"turn {i} <|end|> " * 5) for i in range(4000)]
+    t = chat_format.ControlTemplate()
+    out, spans, rewritten = chat_format.turn_spans(t.render, turns)
+    loss = chat_format.text_spans(t.render, turns, spans, out, frozenset(["assistant"]))
+    assert rewritten == [] and [t.unescape(out[a:b]) for a, b in loss] == [x for r, x in turns if r == "assistant"]
