@@ -168,8 +168,24 @@ def _greedy(wanted: Column, offered: Column) -> Column:
     return run(wanted, offered)
 
 
-def keep_first_blocks(blocks: DataFrame, keys: list[str], order: list[str], allowed: DataFrame | None = None) -> DataFrame:
-    """The first non-empty block of each document and key, of allowed types only (D16); ``allowed`` has a column type."""
-    rows = blocks if allowed is None else blocks.join(broadcast_if_small(allowed, 10_000), "type", "left_semi")
-    rows = rows.filter("content <> ''").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", *keys).orderBy(*order)))
-    return rows.filter("_n = 1").drop("_n").select(blocks.columns)
+def _judged(blocks: DataFrame, keys: list[str], order: list[str], allowed: DataFrame | None, skip_empty: bool) -> DataFrame:
+    """``blocks`` with ``_why`` a block is dropped, null where it stays."""
+    rows = blocks.withColumn("_known", F.lit(True))
+    if allowed is not None:
+        known = broadcast_if_small(allowed.select("type").distinct().withColumn("_known", F.lit(True)), 10_000)
+        rows = blocks.join(known, "type", "left").withColumn("_known", F.col("_known").isNotNull())
+    rows = rows.withColumn("_out", F.when(~F.col("_known"), "unknown").when(F.lit(skip_empty) & (F.coalesce("content", F.lit("")) == ""), "empty"))
+    place = F.row_number().over(Window.partitionBy("doc_id", F.col("_out").isNull(), *keys).orderBy(*order))
+    return rows.withColumn("_why", F.coalesce("_out", F.when(place > 1, "repeated")))
+
+
+def keep_first_blocks(blocks: DataFrame, keys: list[str], order: list[str], allowed: DataFrame | None = None, skip_empty: bool = True) -> DataFrame:
+    """The first block of each document and key, of allowed types only (D16); ``allowed`` has a column type. Chunking and
+    assembly pass over empty blocks; the second pass keeps the first of a key, empty or not (``skip_empty=False``)."""
+    return _judged(blocks, keys, order, allowed, skip_empty).filter("_why is null").select(blocks.columns)
+
+
+def dropped_blocks(blocks: DataFrame, keys: list[str], order: list[str], allowed: DataFrame | None = None, skip_empty: bool = True) -> DataFrame:
+    """[doc_id, unknown, empty, repeated]: how many blocks ``keep_first_blocks`` drops from each document that has any, and why."""
+    why = [F.count(F.when(F.col("_why") == w, 1)).alias(w) for w in ("unknown", "empty", "repeated")]
+    return _judged(blocks, keys, order, allowed, skip_empty).groupBy("doc_id").agg(*why)

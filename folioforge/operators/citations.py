@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import difflib
+import re
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions.text import SPACE, cite_numbers, valid_target, wrap_callout
 from folioforge.operators.lines import numbered_lines, strip_page_markers, with_line_ends
+from folioforge.session import broadcast_if_small, materialize
 
 CIRCLED = "①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳"
 #: Marks a callout at a section's end until the blank lines before it are settled.
@@ -104,16 +107,45 @@ def audit_citations(texts: DataFrame, refs: DataFrame, chunks: DataFrame) -> Dat
     return both.select("doc_id", "block", "n", F.when(F.col("r").isNull(), "dangling").otherwise("unused").alias("problem")).unionByName(stale.select("doc_id", "block", "n", F.lit("stale").alias("problem")))
 
 
+def assembly_warnings(docs: DataFrame, pieces: DataFrame) -> DataFrame:
+    """[doc_id, num, problem] (X3): pieces [doc_id, num] that ``assemble`` leaves out of docs [doc_id, text], as their number is
+    ``invalid`` or ``missing``, one row for each piece."""
+    held = numbered_lines(strip_page_markers(docs).select("doc_id", "text")).filter("num is not null").select("doc_id", "num").distinct()
+    bad = pieces.filter(~F.coalesce(valid_target(F.col("num")), F.lit(False))).select("doc_id", "num", F.lit("invalid").alias("problem"))
+    gone = pieces.filter(valid_target(F.col("num"))).join(held, ["doc_id", "num"], "left_anti").select("doc_id", "num", F.lit("missing").alias("problem"))
+    return bad.unionByName(gone)
+
+
+def _rare_first(names: DataFrame, cutoff: float, often: DataFrame) -> DataFrame:
+    """[dir, name, size, token]: the rarest characters of each name, as many as leave out no pair. A ratio of ``cutoff`` takes so many
+    common characters (equal ones counted) that two such names must share one among the rarest of both."""
+    chars = F.split("name", "")
+    token = F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == c)).cast("string")))
+    rows = names.select("dir", "name", F.char_length("name").alias("size"), F.explode(token).alias("token"))
+    rows = rows.join(broadcast_if_small(often, 100_000), "token", "left")
+    place = F.row_number().over(Window.partitionBy("dir", "name").orderBy(F.coalesce("n", F.lit(0)), "token"))
+    shared = F.greatest(F.ceil(F.col("size") * (cutoff / (2 - cutoff)) - 1e-9), F.lit(1))
+    return rows.withColumn("place", place).filter(F.col("place") <= F.col("size") - shared + 1).select("dir", "name", "size", "token")
+
+
+def near_candidates(refs: DataFrame, manifest: DataFrame, cutoff: float) -> DataFrame:
+    """[dir, name, other]: distinct pairs within a directory among which are all whose ratio reaches ``cutoff``."""
+    chars = F.split("name", "")
+    token = F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == c)).cast("string")))
+    often = materialize(manifest.select(F.explode(token).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    asked, held = _rare_first(refs, cutoff, often), _rare_first(manifest, cutoff, often)
+    pairs = asked.join(held.select("dir", F.col("name").alias("other"), F.col("size").alias("o"), "token"), ["dir", "token"])
+    return pairs.filter(2 * F.least("size", "o") >= cutoff * (F.col("size") + F.col("o")) - 1e-9).select("dir", "name", "other").distinct()
+
+
 def resolve_images(refs: DataFrame, manifest: DataFrame, cutoff: float = 0.85, block_names: int = 512) -> DataFrame:
     """[dir, name, resolved] (X5): the exact name, else the most similar one of the same directory (of equals the greatest),
-    else null. Only what has no exact match goes through the similarity helper, beside blocks of about ``block_names`` names
-    whose length lets the ratio reach ``cutoff``, so no row holds a directory. A null dir or name resolves to null."""
+    else null. What has no exact match is compared with the names that share a rare character with it (``near_candidates``), at
+    most ``block_names`` of them in a row, so neither rows nor comparisons grow with the square of a directory of unlike names. A
+    null dir or name resolves to null."""
     m = manifest.select("dir", "name").distinct()
     exact = refs.join(m, ["dir", "name"], "left_semi").select("dir", "name", F.col("name").alias("resolved"))
     rest = refs.join(m, ["dir", "name"], "left_anti").select("dir", "name")
-    sized = m.withColumn("size", F.char_length("name"))
-    blocks = sized.groupBy("dir", "size").agg(F.ceil(F.count(F.lit(1)) / block_names).alias("n_blocks"))
-    named = sized.join(blocks, ["dir", "size"]).groupBy("dir", "size", F.pmod(F.xxhash64("name"), "n_blocks").alias("block")).agg(F.sort_array(F.collect_list("name")).alias("names"))
 
     @F.pandas_udf("score double, name string")
     def closest(name: pd.Series, names: pd.Series) -> pd.DataFrame:
@@ -121,15 +153,115 @@ def resolve_images(refs: DataFrame, manifest: DataFrame, cutoff: float = 0.85, b
         rows = [(difflib.SequenceMatcher(None, f[0], n).ratio(), f[0]) if f else (None, None) for n, f in zip(name, found)]
         return pd.DataFrame({"score": pd.Series([r[0] for r in rows], dtype="float64"), "name": pd.Series([r[1] for r in rows], dtype=object)})
 
-    own = F.char_length("name")
-    near = rest.distinct().join(named, "dir").filter(2 * F.least(own, "size") >= cutoff * (own + F.col("size")) - 1e-9)
+    near = near_candidates(rest.dropna().distinct(), m, cutoff)
+    block = ((F.row_number().over(Window.partitionBy("dir", "name").orderBy("other")) - 1) / block_names).cast("int")
+    near = near.withColumn("block", block).groupBy("dir", "name", "block").agg(F.sort_array(F.collect_list("other")).alias("names"))
     best = near.select("dir", "name", closest("name", "names").alias("c")).filter("c.name is not null").groupBy("dir", "name").agg(F.max("c").alias("c"))
     return exact.unionByName(rest.join(best, ["dir", "name"], "left").select("dir", "name", F.col("c.name").alias("resolved")))
 
 
+def _free_names(bases: list[str]) -> list[str]:
+    """Each base in turn, or with the first of _2, _3, ... that no name before it has."""
+    used, last, out = set(), {}, []
+    for base in bases:
+        name, k = base, last.get(base, 1)
+        while name in used:
+            k += 1
+            name = f"{base}_{k}"
+        last[base] = k
+        used.add(name)
+        out.append(name)
+    return out
+
+
 def image_names(df: DataFrame) -> DataFrame:
-    """[doc_id, rel, file]: local names of images [doc_id, stem, rel], longest reference first; equal names get _2, _3."""
-    base = F.regexp_replace(F.concat("stem", F.lit("_"), F.regexp_extract(F.replace("rel", F.lit("\\"), F.lit("/")), "([^/]*)$", 1)), r'[<>:"/\\|?*\x00-\x1f]', "_")
-    w = Window.partitionBy("doc_id", "base").orderBy(F.desc(F.length("rel")), "rel")
-    rows = df.withColumn("base", base).withColumn("k", F.row_number().over(w))
-    return rows.select("doc_id", "rel", F.concat("base", F.when(F.col("k") > 1, F.concat(F.lit("_"), F.col("k").cast("string"))).otherwise("")).alias("file"))
+    """[doc_id, rel, file]: local names of images [doc_id, stem, rel], longest reference first; a name that is taken gets _2, _3 and so
+    on until it is free. A reference without a name counts as ``img``. Names can only meet where they are equal up to
+    numbers at their ends; where such a group holds one base only, as nearly all do, a row number settles it, and the others
+    go through a small helper."""
+    path = F.regexp_replace(F.replace("rel", F.lit("\\"), F.lit("/")), r"(?:/+\.?)+$", "")
+    name = F.regexp_extract(path, "([^/]*)$", 1)
+    base = F.regexp_replace(F.concat("stem", F.lit("_"), F.when(name.isin("", "."), "img").otherwise(name)), r'[<>:"/\\|?*\x00-\x1f]', "_")
+    rows = df.withColumn("base", base).withColumn("root", F.regexp_replace("base", r"(?:_[0-9]+)+$", ""))
+    order = [F.desc(F.char_length("rel")), F.col("rel")]
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "root", "base").orderBy(*order)))
+    group = Window.partitionBy("doc_id", "root")
+    rows = rows.withColumn("mixed", (F.max("k").over(group) > 1) & (F.min("base").over(group) != F.max("base").over(group)))
+
+    @F.pandas_udf("array<string>")
+    def free(bases: pd.Series) -> pd.Series:
+        return pd.Series([_free_names(list(b)) for b in bases], dtype=object)
+
+    numbered = F.concat("base", F.when(F.col("k") > 1, F.concat(F.lit("_"), F.col("k").cast("string"))).otherwise(""))
+    plain = rows.filter("not mixed").select("doc_id", "rel", numbered.alias("file"))
+    item = F.struct((-F.char_length("rel")).alias("n"), "rel", "base")
+    met = rows.filter("mixed").groupBy("doc_id", "root").agg(F.array_sort(F.collect_list(item)).alias("x"))
+    met = met.withColumn("files", free(F.transform("x", lambda r: r.base)))
+    both = met.select("doc_id", F.explode(F.arrays_zip("x", "files")).alias("z")).select("doc_id", F.col("z.x.rel").alias("rel"), F.col("z.files").alias("file"))
+    return plain.unionByName(both)
+
+
+IMAGE = re.compile(r"!\[[^\]]*\]\(\s*|src=[\"']")
+
+
+def _targets(names: list[dict]) -> tuple[dict[str, list[int]], list[str]]:
+    """Every spelling of every reference, with its turns; what each turn writes. Longer references come first, a reference's own
+    spellings before its address."""
+    turns: dict[str, list[int]] = {}
+    local = []
+    for n in sorted(names, key=lambda n: -len(n["rel"])):
+        spellings = {n["rel"], quote(n["rel"]), unquote(n["rel"])}
+        for group in (spellings, {n["url"] or ""}):
+            for s in group - {""}:
+                turns.setdefault(s, []).append(len(local))
+            local.append(n["local"])
+    return turns, local
+
+
+def _rewritten(text: str, names: list[dict]) -> str:
+    turns, local = _targets(names)
+    longest = max(map(len, turns), default=0)
+
+    def settled(target: str) -> str:
+        turn = -1
+        while (later := next((t for t in turns.get(target, ()) if t > turn), None)) is not None:
+            turn, target = later, local[later]
+        return target
+
+    out, at = [], 0
+    for m in IMAGE.finditer(text):
+        if m.start() < at:
+            continue
+        if m[0].startswith("src"):
+            ends = [i for q in "\"'" if (i := text.find(q, m.end(), m.end() + longest + 1)) >= 0]
+            found = next(((i, text[m.end() : i]) for i in sorted(ends) if text[m.end() : i] in turns), None)
+            if found:
+                out += [text[at : m.start()], f'src="{settled(found[1])}"']
+                at = found[0] + 1
+            continue
+        close, best = text.find(")", m.end()), None
+        while close >= 0 and len(text[m.end() : close].rstrip()) <= longest:
+            target = text[m.end() : close].rstrip()
+            if target in turns and (best is None or turns[target][0] < turns[best[1]][0]):
+                best = close, target
+            close = text.find(")", close + 1)
+        if best:
+            out += [text[at : m.start()], f"![]({settled(best[1])})"]
+            at = best[0] + 1
+    return "".join([*out, text[at:]])
+
+
+def rewrite_refs(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """[doc_id, text] of docs [doc_id, text] (X5): image references, markdown or HTML, that name one of the document's images
+    [doc_id, rel, local, url] become its local name. An image goes by its reference as it stands, percent-quoted or unquoted, and by its
+    address; where several images could be meant the longest reference comes first, as one name may be the start of another; what
+    one of them has written a later one may write again. A text is read once, however many images it has."""
+    own = names.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rel", "local", "url"))).alias("names"))
+
+    @F.pandas_udf("string")
+    def run(text: pd.Series, held: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else _rewritten(t, list(n)) for t, n in zip(text, held)], dtype=object)
+
+    rows = docs.select("doc_id", "text").join(own, "doc_id", "left")
+    touched = F.col("names").isNotNull() & (F.contains("text", F.lit("![")) | F.contains("text", F.lit("src=")))
+    return rows.select("doc_id", F.coalesce(run(F.when(touched, F.col("text")), "names"), F.col("text")).alias("text"))

@@ -174,17 +174,24 @@ def refusal_guard(queries: DataFrame, hits: DataFrame, chunks: DataFrame, answer
 
 
 def citations(hits: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """The hits' chunks with document names, idx from 1, text cut to 160; a missing name is the id."""
+    """The hits' chunks with document names and all that is needed to open them again: [query_id, idx, doc_id, kb_id, doc_name,
+    artifact, section_num, breadcrumb, anchor, text, score]. idx counts from 1, texts are cut to 160, a missing name is the id, missing
+    texts are empty."""
     names = docs.select(F.col("id").alias("doc_id"), F.col("name").alias("doc_name"))
     rows = hits.join(chunks, "id").join(names, "doc_id", "left")
-    return rows.select("query_id", F.col("rank").alias("idx"), "doc_id", "kb_id", F.coalesce("doc_name", F.col("doc_id").cast("string")).alias("doc_name"), F.left("text", F.lit(160)).alias("text"), "score")
+    shown = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    name = F.coalesce("doc_name", F.col("doc_id").cast("string")).alias("doc_name")
+    return rows.select("query_id", F.col("rank").alias("idx"), "doc_id", "kb_id", name, "artifact", *map(shown, ("section_num", "breadcrumb", "anchor")), F.left(F.coalesce("text", F.lit("")), F.lit(160)).alias("text"), "score")
 
 
 def context_text(hits: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """[query_id, context]: ``[i] 【document】`` and the text of each hit, in order."""
+    """[query_id, context]: ``[i] 【document head】`` and the text of each hit, in order. The head is the breadcrumb, else the section's
+    number, else nothing, and a blank stands before it in any case; a document without a name is called 文档."""
     names = docs.select(F.col("id").alias("doc_id"), F.col("name").alias("doc_name"))
     rows = hits.join(chunks, "id").join(names, "doc_id", "left")
-    one = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] 【"), F.coalesce("doc_name", F.col("doc_id").cast("string")), F.lit("】\n"), "text")
+    some = lambda c: F.nullif(F.col(c), F.lit(""))
+    head = F.coalesce(some("breadcrumb"), some("section_num"), F.lit(""))
+    one = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] 【"), F.coalesce("doc_name", F.lit("文档")), F.lit(" "), head, F.lit("】\n"), F.coalesce("text", F.lit("")))
     return rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", one.alias("x")))), lambda r: r.x), "\n\n").alias("context"))
 
 

@@ -25,10 +25,11 @@ def chunks_of(spark, sf) -> DataFrame:
     return table(spark, sf, "embeddings").selectExpr(
         "vec_id as id", "label as kb_id", "vec_id div 7 as doc_id",
         "case when vec_id % 31 = 30 then null when vec_id % 37 = 36 then transform(embedding, x -> cast(0 as float)) else embedding end as embedding", "concat('text of ', vec_id) as text",
+        "'organized' as artifact", "case when vec_id % 3 = 0 then null else cast(vec_id % 9 as string) end as section_num", "case when vec_id % 4 = 0 then concat('A > ', vec_id % 5) else '' end as breadcrumb", "concat('organized:', vec_id % 9) as anchor",
     )
 
 
-CHUNKS = """chunks as (select vec_id as id, label as kb_id, vec_id // 7 as doc_id, case when vec_id % 31 = 30 then null when vec_id % 37 = 36 then list_transform(embedding, lambda x: 0::float) else embedding end as embedding, 'text of ' || vec_id as text from embeddings),
+CHUNKS = """chunks as (select vec_id as id, label as kb_id, vec_id // 7 as doc_id, case when vec_id % 31 = 30 then null when vec_id % 37 = 36 then list_transform(embedding, lambda x: 0::float) else embedding end as embedding, 'text of ' || vec_id as text, 'organized' as artifact, case when vec_id % 3 = 0 then null else (vec_id % 9)::varchar end as section_num, case when vec_id % 4 = 0 then 'A > ' || (vec_id % 5) else '' end as breadcrumb, 'organized:' || (vec_id % 9) as anchor from embeddings),
 asked as (select vec_id // 100 as query_id, embedding as vec, case when vec_id // 100 % 2 = 0 then [] else [label] end as kb_ids, case when vec_id // 100 % 10 = 9 then ' ' else 'question' end as text, vec_id // 100 % 3 = 0 as strict from embeddings where vec_id % 100 = 0)"""
 
 
@@ -88,23 +89,19 @@ def _names(spark, sf) -> DataFrame:
     return chunks_of(spark, sf).select(F.col("doc_id").alias("id")).distinct().filter("id % 3 <> 0").selectExpr("id", "concat('doc ', id) as name")
 
 
-_CITE = _HITS + ", cited as (select query_id, rank as idx, doc_id, kb_id, case when doc_id % 3 <> 0 then 'doc ' || doc_id else doc_id::varchar end as doc_name, left(text, 160) as text, score from hits join chunks using (id))"
+_CITE = _HITS + ", cited as (select query_id, rank as idx, doc_id, kb_id, case when doc_id % 3 <> 0 then 'doc ' || doc_id else doc_id::varchar end as doc_name, case when doc_id % 3 <> 0 then 'doc ' || doc_id else '文档' end as shown_name, artifact, coalesce(section_num, '') as section_num, breadcrumb, anchor, left(text, 160) as text, score from hits join chunks using (id))"
 
 
-@query("with " + _CITE + " select * from cited")
+@query("with " + _CITE + " select * exclude (shown_name) from cited")
 def r5_citations(spark, sf):
     return retrieval.citations(hits_of(spark, sf), chunks_of(spark, sf), _names(spark, sf))
 
 
-@query("with " + _CITE + " select query_id, string_agg('[' || idx || '] 【' || doc_name || '】' || chr(10) || text, chr(10) || chr(10) order by idx) as context from cited group by query_id")
+@query("with " + _CITE + " select query_id, string_agg('[' || idx || '] 【' || shown_name || ' ' || case when breadcrumb <> '' then breadcrumb else section_num end || '】' || chr(10) || text, chr(10) || chr(10) order by idx) as context from cited group by query_id")
 def r5_context(spark, sf):
     return retrieval.context_text(hits_of(spark, sf), chunks_of(spark, sf), _names(spark, sf))
 
 
-# earlier names of the same queries
-QUERIES |= {f"{n}_grown": QUERIES[n] for n in ("r1_cosine_topk", "r1_cosine_topk_sql", "r2_retrieve", "r3_apply_rerank", "r4_refusal_guard", "r5_citations", "r5_context")}
-
-
 def _frags(spark, sf) -> DataFrame:
     return table(spark, sf, "events").selectExpr("user_id as session_id", "event_id as seq", "event_id % 3 as doc_id", "case when event_id % 11 = 0 then '' else concat('organized:', event_id % 13) end as anchor")
 
@@ -383,9 +380,6 @@ def _components(items: DataFrame) -> DataFrame:
     return catalog.group_components(c).select("grp", "key", F.array_join("members", ",").alias("members"))
 
 
-QUERIES["k16_group_components_all"] = QUERIES["k16_group_components"]  # an earlier name
-
-
 @query("with " + fx.BLOCKS + """, n as (select doc_id, count(*) filter (where type = 'explain') as e from blocks group by doc_id)
 select doc_id, concat_ws('; ', case when doc_id % 100 > 50 then 'stray characters: ' || doc_id % 100 end, case when coalesce(e, 0) <> doc_id % 4 then 'explain: ' || coalesce(e, 0) || ' blocks, ' || doc_id % 4 || ' leaf sections' end,
   case when doc_id % 3 = 0 then 'summaries lost: 2' end, case when doc_id % 6 = 0 then 'single second-level heading' end) as warnings from documents left join n using (doc_id)""")

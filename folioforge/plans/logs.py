@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,14 +112,60 @@ def x4_audit_citations(spark, sf):
     return citations.audit_citations(texts, refs, chunks_of(spark, sf).withColumn("anchor", F.lit("a")))
 
 
+@query("with " + fx.NUMBERED + """, pc as (select doc_id, k, case k when 5 then '1.x' when 6 then '99' when 7 then '' else '1.' || k end as num from documents, range(1, 8) g(k))
+select doc_id, num, case when regexp_full_match(num, '\\d+(\\.\\d+)*') then 'missing' else 'invalid' end as problem from pc where not exists (select 1 from headings h where h.doc_id = pc.doc_id and h.num = pc.num)""")
+def x3_assembly_warnings(spark, sf):
+    pieces = table(spark, sf, "documents").select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("k")).selectExpr("doc_id", "case k when 5 then '1.x' when 6 then '99' when 7 then '' else concat('1.', k) end as num")
+    return citations.assembly_warnings(fx.fenced(spark, sf), pieces)
+
+
+def _shots(spark, sf) -> DataFrame:
+    return table(spark, sf, "pages").selectExpr("page_id % 50 as dir", "concat('img_in_chart_box_', page_id, '_', page_id * 7 % 100, '.jpg') as name", "page_id")
+
+
 @query()
 def x5_resolve_images(spark, sf):
-    """Twenty images a directory: one directory is one document's images."""
-    p = table(spark, sf, "pages").selectExpr("page_id div 20 as dir", "concat('img_in_chart_box_', page_id, '_', page_id * 7 % 100, '.jpg') as name", "page_id")
+    """Fifty directories that grow with the table; a third of the references is worded otherwise, a third is unlike all."""
+    p = _shots(spark, sf)
     refs = p.select("dir", F.when(F.col("page_id") % 3 == 0, F.replace("name", F.lit("chart"), F.lit("image"))).when(F.col("page_id") % 3 == 1, "zzz").otherwise(F.col("name")).alias("name"))
     return citations.resolve_images(refs, p.select("dir", "name"))
 
 
+@query("""with p as (select page_id % 50 as dir, 'img_in_chart_box_' || page_id || '_' || (page_id * 7 % 100) || '.jpg' as name, page_id from pages)
+select dir, case when page_id % 2 = 0 then name else 'zzz' || page_id end as name, case when page_id % 2 = 0 then name end as resolved from p""")
+def x5_exact_images(spark, sf):
+    """References that are a name as it stands or unlike every name."""
+    p = _shots(spark, sf)
+    return citations.resolve_images(p.select("dir", F.when(F.col("page_id") % 2 == 0, F.col("name")).otherwise(F.concat(F.lit("zzz"), F.col("page_id").cast("string"))).alias("name")), p.select("dir", "name"))
+
+
+#: (reference, its percent-quoted form, local name, address)
+_IMAGES = (("pics/b c.jpg", "pics/b%20c.jpg", "b c.jpg", "https://h/y.jpg?d=1"), ("imgs/a.png", "imgs/a.png", "a.png", ""), ("imgs/a", "imgs/a", "a", "http://h/imgs/a"))
+_SHOWN = ("![x](imgs/a.png)", "![](  imgs/a )", '<img src="pics/b%20c.jpg">', "![q](https://h/y.jpg?d=1)", '<img src="imgs/a">', "![z](other.png) ![w](http://h/imgs/a)", "![u](pics/b c.jpg) ![v](imgs/a.pn)")
+
+
+def _rewritten_sql() -> str:
+    t = "t"
+    for rel, quoted, local, url in _IMAGES:
+        for spelling in [rel, *([quoted] if quoted != rel else []), *([url] if url else [])]:
+            pattern = re.escape(spelling)
+            for find, put in ((rf"!\[[^\]]*\]\(\s*{pattern}\s*\)", f"'![](imgs/S' || doc_id || '_{local})'"), (rf"src=[\"'']{pattern}[\"'']", f"'src=\"imgs/S' || doc_id || '_{local}\"'")):
+                t = f"regexp_replace({t}, '{find}', {put}, 'g')"
+    shown = " ".join(f"when {i} then '{x}'" for i, x in enumerate(_SHOWN))
+    return f"with d as (select doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda l, i: left(l, 40) || case (i - 1) % 7 {shown} end), chr(10)) as t from documents) select doc_id, {t} as text from d"
+
+
+@query(_rewritten_sql())
+def x5_rewrite_refs(spark, sf):
+    """Lines that show images by reference, quoted reference and address, one reference being the start of another."""
+    d = table(spark, sf, "documents")
+    shown = " ".join(f"when {i} then '{x}'" for i, x in enumerate(_SHOWN))
+    docs = d.selectExpr("doc_id", f"array_join(transform(split(text, '\\n'), (l, i) -> concat(left(l, 40), case i % 7 {shown} end)), '\\n') as text")
+    images = spark.createDataFrame([(rel, local, url) for rel, _, local, url in _IMAGES], "rel string, name string, url string")
+    names = d.select("doc_id").crossJoin(F.broadcast(images)).select("doc_id", "rel", F.concat(F.lit("imgs/S"), F.col("doc_id").cast("string"), F.lit("_"), "name").alias("local"), "url")
+    return citations.rewrite_refs(docs, names)
+
+
 @query("select conv_id as doc_id, role || turn % 2 as rel, case when row_number() over (partition by conv_id, role || turn % 2 order by turn) > 1 then 'S_' || role || turn % 2 || '_' || row_number() over (partition by conv_id, role || turn % 2 order by turn) else 'S_' || role || turn % 2 end as file from conversations")
 def x5_image_names(spark, sf):
     return citations.image_names(table(spark, sf, "conversations").selectExpr("conv_id as doc_id", "'S' as stem", "concat(role, turn % 2) as rel"))

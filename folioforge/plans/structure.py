@@ -319,3 +319,27 @@ def d15_assign_summaries(spark, sf):
 def d16_first_blocks(spark, sf):
     allowed = spark.range(1).select(F.explode(F.array(F.lit("explain"), F.lit("summary"))).alias("type"))
     return blocks.keep_first_blocks(blocks.parse_blocks(fx.blocks_text(spark, sf))[0], ["type", "target"], ["ord"], allowed)
+
+
+def _two_kinds(spark) -> DataFrame:
+    return spark.range(1).select(F.explode(F.array(F.lit("explain"), F.lit("summary"))).alias("type"))
+
+
+def _emptied(spark, sf) -> DataFrame:
+    """Every third block without content."""
+    return blocks.parse_blocks(fx.blocks_text(spark, sf))[0].withColumn("content", F.when(F.col("ord") % 3 == 0, "").otherwise(F.col("content")))
+
+
+_EMPTIED = fx.BLOCKS + ", em as (select doc_id, ord, type, target, case when ord % 3 = 0 then '' else content end as content from blocks)"
+
+
+@query("with " + _EMPTIED + " select doc_id, ord::int as ord, type, target, content from em where type in ('explain', 'summary') qualify row_number() over (partition by doc_id, type, target order by ord) = 1")
+def d16_second_pass_blocks(spark, sf):
+    return blocks.keep_first_blocks(_emptied(spark, sf), ["type", "target"], ["ord"], _two_kinds(spark), skip_empty=False)
+
+
+@query("with " + _EMPTIED + """, why as (select *, case when type not in ('explain', 'summary') then 'unknown' when content = '' then 'empty' end as out_ from em),
+numbered as (select *, row_number() over (partition by doc_id, out_ is null, type, target order by ord) as k from why)
+select doc_id, count(*) filter (where out_ = 'unknown') as unknown, count(*) filter (where out_ = 'empty') as empty, count(*) filter (where out_ is null and k > 1) as repeated from numbered group by doc_id""")
+def d16_dropped_blocks(spark, sf):
+    return blocks.dropped_blocks(_emptied(spark, sf), ["type", "target"], ["ord"], _two_kinds(spark))

@@ -245,3 +245,77 @@ def test_empty_kb_list_means_all(spark):
     got = {r.query_id: r.refused for r in retrieval.refusal_guard(q, hits, c).collect()}
     assert got == {1: False, 2: False, 3: True, 4: True, 5: False}
     assert {r.refused for r in retrieval.refusal_guard(q, hits, c.limit(0)).filter("strict").collect()} == {True}
+
+
+def test_context_heads_and_citation_fields(spark):
+    """Names and heads as the original writes them: breadcrumb, else section number, else nothing after the blank."""
+    hits = spark.createDataFrame([(1, 1, 10, 0.9), (1, 2, 11, 0.8), (1, 3, 12, 0.7)], "query_id long, rank int, id long, score double")
+    chunks = spark.createDataFrame(
+        [(10, "k", 1, "organized", "2.1", "A > B", "organized:2.1", "t1"), (11, "k", 2, "summary", "3", "", "summary:3", "x" * 200), (12, None, 3, "organized", None, None, None, None)],
+        "id long, kb_id string, doc_id long, artifact string, section_num string, breadcrumb string, anchor string, text string",
+    )
+    docs = spark.createDataFrame([(1, "Doc"), (2, "Two")], "id long, name string")
+    assert retrieval.context_text(hits, chunks, docs).first().context == "[1] 【Doc A > B】\nt1\n\n[2] 【Two 3】\n" + "x" * 200 + "\n\n[3] 【文档 】\n"
+    got = sorted(retrieval.citations(hits, chunks, docs).collect(), key=lambda r: r.idx)
+    assert [(r.doc_name, r.artifact, r.section_num, r.breadcrumb, r.anchor, len(r.text)) for r in got] == [("Doc", "organized", "2.1", "A > B", "organized:2.1", 2), ("Two", "summary", "3", "", "summary:3", 160), ("3", "organized", "", "", "", 0)]
+
+
+def test_image_names_are_free(spark):
+    rels = ["a/x", "b/x", "x_2", "", "..", "c/", "img", "d\\y?.png", "e/y?.png", "x_2_2", "q/x_2", "longer/x"]
+    got = {(r.doc_id, r.rel): r.file for r in citations.image_names(spark.createDataFrame([(d, "S", r) for d in (1, 2) for r in rels], "doc_id long, stem string, rel string")).collect()}
+    used, want = set(), {}
+    for rel in sorted(rels, key=lambda r: (-len(r), r)):
+        name = rel.replace("\\", "/").rstrip("/").rsplit("/", 1)[-1] or "img"
+        base = "S_" + name.replace("?", "_")
+        file, k = base, 1
+        while file in used:
+            k, file = k + 1, f"{base}_{k + 1}"
+        used.add(file)
+        want[rel] = file
+    assert got == {(d, r): f for d in (1, 2) for r, f in want.items()}
+    assert len(set(want.values())) == len(rels)
+
+
+def test_references_are_rewritten_as_one_after_the_other(spark):
+    """Against the plain reading: every image in turn, every spelling, two patterns each over the whole text."""
+    import random
+    import re
+    from urllib.parse import quote, unquote
+
+    def plain(text, names):
+        for rel, local, url in sorted(names, key=lambda n: -len(n[0])):
+            for v in sorted({rel, quote(rel), unquote(rel)}, key=len, reverse=True) + [url]:
+                if v:
+                    text = re.sub(rf"!\[[^\]]*\]\(\s*{re.escape(v)}\s*\)", lambda m: f"![]({local})", text)
+                    text = re.sub(rf"""src=["']{re.escape(v)}["']""", lambda m: f'src="{local}"', text)
+        return text
+
+    rng = random.Random(6)
+    rels = ["imgs/a", "imgs/a.png", "imgs/b c.jpg", "图/一(1).png", "x%20y", "imgs/S_1.png", "p)q"]
+    rows, images = [], []
+    for d in range(60):
+        own = [(r, rng.choice([f"imgs/S_{k}.png", "imgs/a"]), rng.choice(["", f"https://h/{k}?a=(1)"])) for k, r in enumerate(rng.sample(rels, rng.randint(0, 6)))]
+        spelled = [*rels, *map(quote, rels), *(u for _, _, u in own if u), "other", "imgs/S_2.png"]
+        parts = [rng.choice(['![a]({})', '![]( {}\n)', '<img src="{}">', "<img src='{}'/>", "![q]({} ", "({})", 'src="{}', "![x ![y]({})"]).format(rng.choice(spelled)) for _ in range(12)]
+        rows.append((d, " ".join(parts)))
+        images += [(d, *n) for n in own]
+    rows.append((99, None))
+    got = {r.doc_id: r.text for r in citations.rewrite_refs(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(images, "doc_id long, rel string, local string, url string")).collect()}
+    assert got == {d: t if t is None else plain(t, [n[1:] for n in images if n[0] == d]) for d, t in rows}
+
+
+def test_few_names_are_compared(spark):
+    names = [("d", f"img_in_chart_box_{i}_{i * 7 % 100}.jpg") for i in range(1200)]
+    refs = spark.createDataFrame([("d", f"photo {i}.png") for i in range(200)] + [("d", "img_in_image_box_77_39.jpg")], "dir string, name string")
+    pairs = citations.near_candidates(refs, spark.createDataFrame(names, "dir string, name string"), 0.85).filter("name like 'photo%'").count()
+    assert pairs < 200 * 1200 / 20
+
+
+def test_first_blocks_of_the_second_pass(spark):
+    rows = [(1, 0, "a", "1", ""), (1, 1, "a", "1", "late"), (1, 2, "z", "1", "x"), (1, 3, "a", "2", "y"), (1, 4, "a", "2", "y2")]
+    df = spark.createDataFrame(rows, "doc_id long, ord int, type string, target string, content string")
+    allowed = spark.createDataFrame([("a",)], "type string")
+    kept = lambda **kw: sorted((r.target, r.ord) for r in blocks.keep_first_blocks(df, ["type", "target"], ["ord"], allowed, **kw).collect())
+    assert kept() == [("1", 1), ("2", 3)] and kept(skip_empty=False) == [("1", 0), ("2", 3)]
+    assert tuple(blocks.dropped_blocks(df, ["type", "target"], ["ord"], allowed).first()) == (1, 1, 1, 1)
+    assert tuple(blocks.dropped_blocks(df, ["type", "target"], ["ord"], allowed, skip_empty=False).first()) == (1, 1, 0, 2)

@@ -13,20 +13,20 @@ from folioforge.plans import registry
 def test_queries_grow_with_the_table_and_fill_several_blocks(spark, sf, monkeypatch):
     sf = sf.replace("0.001", "0.1")
     monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
-    got = {tuple(r) for r in registry.queries()["r1_cosine_topk_grown"](spark, sf).select("query_id", "rank", "id").collect()}
+    got = {tuple(r) for r in registry.queries()["r1_cosine_topk"](spark, sf).select("query_id", "rank", "id").collect()}
     con = duckdb.connect()
     con.execute(f"create view embeddings as select * from '{sf}/embeddings.parquet'")
-    want = set(con.execute(f"select query_id, rank, id from ({registry.oracle_sql()['r1_cosine_topk_grown']})").fetchall())
+    want = set(con.execute(f"select query_id, rank, id from ({registry.oracle_sql()['r1_cosine_topk']})").fetchall())
     asked = con.execute("select count(*) from embeddings where vec_id % 100 = 0").fetchone()[0]
     assert got == want and len({q for q, _, _ in got}) == asked > 2 * 7
 
 
 def test_components_of_the_whole_table(spark, sf):
     sf = sf.replace("0.001", "0.1")
-    got = registry.queries()["k16_group_components_all"](spark, sf).collect()
+    got = registry.queries()["k16_group_components"](spark, sf).collect()
     con = duckdb.connect()
     con.execute(f"create view benchmark as select * from '{sf}/benchmark.parquet'")
-    assert {tuple(r) for r in got} == set(con.execute(registry.oracle_sql()["k16_group_components_all"]).fetchall())
+    assert {tuple(r) for r in got} == set(con.execute(registry.oracle_sql()["k16_group_components"]).fetchall())
     assert sum(len(r.members.split(",")) for r in got) == con.execute("select count(*) from benchmark").fetchone()[0] > 60
 
 
