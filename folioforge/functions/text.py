@@ -42,9 +42,19 @@ def is_blank(c: Column) -> Column:
     return ~c.rlike(NO_SPACE)
 
 
+def marked(c: Column, markers: str | tuple[str, ...], pattern: str, at_start: bool = False) -> Column:
+    """Whether a line has a pattern that cannot be without one of the markers: those are looked for first, which is much cheaper."""
+    test = F.startswith if at_start else F.contains
+    first, *rest = [test(c, F.lit(m)) for m in ((markers,) if isinstance(markers, str) else markers)]
+    for other in rest:
+        first = first | other
+    return first & c.rlike(pattern)
+
+
 def estimate_tokens(c: Column) -> Column:
-    """Tokens of a text: 0.8 for each CJK character, one for 3.5 others, cut to a whole number."""
-    other = F.length(F.regexp_replace(c, CJK, ""))
+    """Tokens of a text: 0.8 for each CJK character, one for 3.5 others, cut to a whole number. Where every character is one byte
+    there is no CJK to look for."""
+    other = F.when(F.octet_length(c) == F.length(c), F.length(c)).otherwise(F.length(F.regexp_replace(c, CJK, "")))
     return ((F.length(c) - other) * F.lit(0.8) + other / F.lit(3.5)).cast("int")
 
 

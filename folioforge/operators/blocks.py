@@ -25,8 +25,8 @@ def _before():
 
 def _lines(df: DataFrame) -> DataFrame:
     rows = df.select("doc_id", "text").repartition("doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    s = strip(F.col("line"))
-    rows = rows.withColumns({"is_end": s.rlike(END), "type": F.nullif(F.regexp_extract(s, START, 1), F.lit("")), "target": F.regexp_extract(s, START, 2)})
+    s, at = strip(F.col("line")), F.contains("line", F.lit("@@"))
+    rows = rows.withColumns({"is_end": at & s.rlike(END), "type": F.when(at, F.nullif(F.regexp_extract(s, START, 1), F.lit(""))), "target": F.when(at, F.regexp_extract(s, START, 2)).otherwise("")})
     return rows.withColumn("type", F.when(~F.col("is_end"), F.col("type")))
 
 
@@ -40,7 +40,7 @@ def _cut(rows: DataFrame, opens: Column, ends: Column) -> DataFrame:
 
 
 def _text(*by: str, name: str = "text", value: str | Column = "line"):
-    rows = F.array_sort(F.collect_list(F.struct("line_no", (F.col(value) if isinstance(value, str) else value).alias("x"))))
+    rows = F.sort_array(F.collect_list(F.struct("line_no", (F.col(value) if isinstance(value, str) else value).alias("x"))))
     return F.array_join(F.transform(rows, lambda r: r.x), "\n").alias(name)
 
 
@@ -53,7 +53,7 @@ def parse_blocks(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     head = F.when(F.col("line_no") == F.col("start"), F.struct("type", "target"))
     inner = rows.filter(F.col("inside") & F.col("closed"))
     body = F.when((F.col("line_no") > F.col("start")) & ~F.col("is_end"), F.struct("line_no", "line"))
-    blocks = inner.groupBy("doc_id", "seg").agg(F.max(head).alias("h"), F.array_sort(F.collect_list(body)).alias("b"))
+    blocks = inner.groupBy("doc_id", "seg").agg(F.max(head).alias("h"), F.sort_array(F.collect_list(body)).alias("b"))
     blocks = blocks.select("doc_id", "seg", "h.type", "h.target", strip(F.array_join(F.transform("b", lambda r: r.line), "\n")).alias("content"))
     blocks = blocks.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("seg")) - 1)
     rest = rows.filter(~F.col("is_end") & ~(F.col("inside") & F.col("closed")))
@@ -66,7 +66,7 @@ def parse_blocks(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 def serialize_blocks(blocks: DataFrame) -> DataFrame:
     """[doc_id, text]: blocks in order, one blank line between; the inverse of parsing."""
     tag = F.concat(F.lit("@@"), "type", F.when(F.coalesce("target", F.lit("")) != "", F.concat(F.lit(" "), "target")).otherwise(""))
-    rows = F.array_sort(F.collect_list(F.struct("ord", F.concat_ws("\n", tag, "content", F.lit("@@end")).alias("x"))))
+    rows = F.sort_array(F.collect_list(F.struct("ord", F.concat_ws("\n", tag, "content", F.lit("@@end")).alias("x"))))
     return blocks.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda r: r.x), "\n\n").alias("text"))
 
 
@@ -78,7 +78,7 @@ def cut_after_last_block(df: DataFrame, block_type: str) -> DataFrame:
     rows = rows.withColumn("mark", mark).withColumn("prev", F.last("mark", ignorenulls=True).over(_before()))
     last = F.max(F.when((F.col("mark") == "end") & (F.col("prev") == "this"), F.col("line_no"))).over(Window.partitionBy("doc_id"))
     rows = rows.withColumn("last", last)
-    return rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("line_no") <= F.col("last"), F.struct("line_no", "line")))).alias("r"), F.max("last").alias("last")).select(
+    return rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.when(F.col("line_no") <= F.col("last"), F.struct("line_no", "line")))).alias("r"), F.max("last").alias("last")).select(
         "doc_id", F.when(F.col("last").isNotNull(), F.array_join(F.transform("r", lambda x: x.line), "\n")).alias("text")
     )
 
@@ -95,7 +95,7 @@ def harvest_title_digest(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     cleaned = rows.select("doc_id").distinct().join(kept, "doc_id", "left").select("doc_id.doc_id", "doc_id.part", F.coalesce("text", F.lit("")).alias("text"))
     inner = rows.filter(F.col("taken") & F.col("closed") & (F.col("doc_id.part") == 1))
     body = F.when((F.col("line_no") > F.col("start")) & ~F.col("is_end"), F.struct("line_no", "line"))
-    found = inner.groupBy("doc_id", "seg").agg(F.max(F.when(F.col("line_no") == F.col("start"), F.col("kind"))).alias("kind"), F.array_sort(F.collect_list(body)).alias("b"))
+    found = inner.groupBy("doc_id", "seg").agg(F.max(F.when(F.col("line_no") == F.col("start"), F.col("kind"))).alias("kind"), F.sort_array(F.collect_list(body)).alias("b"))
     value = strip(F.regexp_replace(F.array_join(F.transform("b", lambda r: r.line), "\n"), f"{SPACE}+", " "))
     found = found.select(F.col("doc_id.doc_id").alias("doc_id"), "seg", "kind", value.alias("value")).filter("value <> ''")
     first = lambda k: F.min_by(F.when(F.col("kind") == k, F.col("value")), F.when(F.col("kind") == k, F.col("seg")))
@@ -122,7 +122,7 @@ def split_raw(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.withColumn("h2", F.last(h2, ignorenulls=True).over(_doc().rowsBetween(Window.unboundedPreceding, 0)))
     head = F.when(F.col("line_no") == F.col("start"), F.struct("type", "h2"))
     body = F.when((F.col("line_no") > F.col("start")) & ~F.col("is_end"), F.struct("line_no", "line"))
-    inner = rows.filter("inside").groupBy("doc_id", "seg").agg(F.max(head).alias("h"), F.array_sort(F.collect_list(body)).alias("b"))
+    inner = rows.filter("inside").groupBy("doc_id", "seg").agg(F.max(head).alias("h"), F.sort_array(F.collect_list(body)).alias("b"))
     inner = inner.select("doc_id", "seg", "h.type", "h.h2", strip(F.array_join(F.transform("b", lambda r: r.line), "\n")).alias("content"))
     is_summary = (F.col("type") == "summary") & (F.col("content") != "")
     summaries = inner.filter(is_summary).withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("seg")) - 1)
@@ -141,8 +141,8 @@ def _norm_title(c: Column) -> Column:
 def assign_summaries(summaries: DataFrame, headings: DataFrame) -> DataFrame:
     """[doc_id, ord, num, content]: each summary goes to the first unused ``##`` with its normalised title, else to the
     first unused one, else nowhere. Greedy, so one small Arrow helper walks the two short lists of a document."""
-    s = summaries.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", _norm_title(F.col("h2")).alias("t"), "content"))).alias("s"))
-    h = headings.filter("level = 2").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "num", _norm_title(F.col("title")).alias("t")))).alias("h"))
+    s = summaries.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", _norm_title(F.col("h2")).alias("t"), "content"))).alias("s"))
+    h = headings.filter("level = 2").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", "num", _norm_title(F.col("title")).alias("t")))).alias("h"))
     both = s.join(h, "doc_id")
     wanted, offered = F.transform("s", lambda x: x.t), F.transform("h", lambda x: x.t)
     both = both.withColumn("to", _greedy(wanted, offered))

@@ -198,7 +198,7 @@ def kb_overview(docs: DataFrame, current: DataFrame) -> DataFrame:
     own = F.col("id") == F.col("cur")
     rows = rows.filter(own | (F.coalesce("enabled", F.lit(True)) & F.col("preset_id").isNotNull() & F.col("organized")))
     line = F.struct(own.alias("own"), F.when(~own, F.col("created_at")).alias("t"), "id", _brief(own).alias("x"))
-    return rows.groupBy(F.col("cur").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda r: r.x), "\n").alias("overview"))
+    return rows.groupBy(F.col("cur").alias("doc_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda r: r.x), "\n").alias("overview"))
 
 
 def kb_lines(docs: DataFrame) -> DataFrame:
@@ -222,17 +222,21 @@ def lookup_summary(blocks: DataFrame, headings: DataFrame, allowed: DataFrame, m
     rows = rows.join(headings.select("doc_id", F.col("num").alias("target"), "title"), ["doc_id", "target"], "left")
     label = F.coalesce("title", F.nullif("target", F.lit("")), F.lit("（未编号节）"))
     x = F.struct("ord", F.concat(F.lit("### "), label, F.lit("\n"), F.trim("content")).alias("x"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(x)), lambda r: r.x), "\n\n")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(x)), lambda r: r.x), "\n\n")
     return rows.groupBy("doc_id").agg(F.left(text, F.lit(most)).alias("summary"))
 
 
 def dedupe_normalized(df: DataFrame, text: Column, kind: str, order: str, ignore: tuple[str, ...] = ()) -> DataFrame:
     """The first row of each kind and normalised text (K15), not minding the meta lines with a key of ``ignore``. Copies meet
     in one aggregate, combined before the exchange; the winners come back by a semi-join. Of rows equal in kind, text and
-    order one stays."""
-    rows = df.withColumn("_h", F.sha2(norm_ws(cut_meta_keys(text, ignore) if ignore else text), 256))
-    first = rows.groupBy(kind, "_h").agg(F.min(order).alias(order))
-    return rows.join(first, [kind, "_h", order], "left_semi").dropDuplicates([kind, "_h", order]).drop("_h")
+    order one stays. Hashes are taken once and kept beside kind and order; only where rows share both are they taken again, to
+    tell those rows apart."""
+    own = F.sha2(norm_ws(cut_meta_keys(text, ignore) if ignore else text), 256)
+    hashes = materialize(df.select(kind, order, own.alias("_h")))
+    first = hashes.groupBy(kind, "_h").agg(F.min(order).alias(order))
+    if hashes.groupBy(kind, order).count().filter("count > 1").isEmpty():
+        return df.join(first.select(kind, order), [kind, order], "left_semi")
+    return df.withColumn("_h", own).join(first, [kind, "_h", order], "left_semi").dropDuplicates([kind, "_h", order]).drop("_h")
 
 
 def number_rows(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
@@ -256,7 +260,7 @@ def group_components(df: DataFrame) -> DataFrame:
     """[grp, key, members] of [ord, name, where_id, where_text] (K16): by id if set, else by normalised text; groups and
     members in order of first appearance."""
     key = F.when(F.coalesce("where_id", F.lit("")) != "", F.concat(F.lit("id:"), "where_id")).otherwise(F.concat(F.lit("own:"), norm_ws(F.coalesce("where_text", F.lit("")))))
-    rows = df.groupBy(key.alias("key")).agg(F.min("ord").alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]).alias("members"))
+    rows = df.groupBy(key.alias("key")).agg(F.min("ord").alias("first"), F.transform(F.sort_array(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]).alias("members"))
     return number_rows(rows, "grp", "first").select("grp", "key", "members")
 
 
@@ -277,7 +281,7 @@ def quality_report(blocks: DataFrame, leaves: DataFrame, residue: DataFrame, sum
 def artifacts_fp(manifest: DataFrame) -> DataFrame:
     """[doc_id, fp] of [doc_id, name, size, mtime]; documents without their main text have none."""
     row = F.struct("name", F.concat(F.col("name"), F.lit("\n"), F.col("size").cast("string"), F.lit(":"), F.col("mtime").cast("string"), F.lit("\n")).alias("x"))
-    agg = manifest.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("a"), F.max(F.col("name") == "organized.md").alias("ok"))
+    agg = manifest.groupBy("doc_id").agg(F.sort_array(F.collect_list(row)).alias("a"), F.max(F.col("name") == "organized.md").alias("ok"))
     return agg.filter("ok").select("doc_id", F.sha2(F.array_join(F.transform("a", lambda r: r.x), ""), 256).alias("fp"))
 
 

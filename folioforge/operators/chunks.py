@@ -21,11 +21,11 @@ def section_bodies(df: DataFrame) -> DataFrame:
     numbered = numbered_lines(strip_page_markers(df).select("doc_id", "text"), placed=True)
     spans = breadcrumbs(section_spans(numbered))
     cols = ["ord", "level", "num", "title", "line_start", "line_end", "breadcrumb"]
-    heads = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("h"))
-    held = numbered.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l")).select("doc_id", F.transform("l", lambda x: x.line).alias("l"))
-    body = lambda x: strip(F.array_join(F.slice("l", x.line_start + 2, x.line_end - x.line_start), "\n"))
+    heads = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("h"))
+    held = numbered.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("l")).select("doc_id", F.transform("l", lambda x: x.line).alias("l"))
+    body = lambda x: F.array_join(F.slice("l", x.line_start + 2, x.line_end - x.line_start), "\n")
     found = F.transform("h", lambda x: F.struct(*(x[c].alias(c) for c in cols), body(x).alias("body")))
-    rows = heads.join(held, "doc_id").select("doc_id", F.inline(found)).filter("body <> ''")
+    rows = heads.join(held, "doc_id").select("doc_id", F.inline(found)).withColumn("body", strip(F.col("body"))).filter("body <> ''")
     return rows.withColumn("tokens", estimate_tokens(F.col("body")))
 
 
@@ -55,7 +55,7 @@ def chunk_sections(df: DataFrame) -> DataFrame:
     own = F.transform("pieces", lambda x, k: F.concat(head(F.when(n > 1, F.concat(F.lit("（"), (k + 1).cast("string"), F.lit("/"), n.cast("string"), F.lit("）"))).otherwise("")), x))
     rows = rows.withColumn("texts", own)
     held = F.struct("late", "ord", "num", "line_start", "line_end", "breadcrumb", "texts")
-    homes = rows.groupBy("doc_id", "home").agg(F.max(F.when(~F.col("hung"), held)).alias("s"), F.array_sort(F.collect_list(F.when(F.col("hung"), F.struct("ord", F.get("texts", F.lit(0)).alias("x"))))).alias("more"))
+    homes = rows.groupBy("doc_id", "home").agg(F.max(F.when(~F.col("hung"), held)).alias("s"), F.sort_array(F.collect_list(F.when(F.col("hung"), F.struct("ord", F.get("texts", F.lit(0)).alias("x"))))).alias("more"))
     tail = F.array_join(F.concat(F.array(F.lit("")), F.transform("more", lambda m: m.x)), "\n\n")
     texts = F.transform("s.texts", lambda x, k: F.concat(x, F.when(k == F.size("s.texts") - 1, tail).otherwise("")))
     rows = homes.select("doc_id", "s.late", "s.ord", "s.num", "s.line_start", "s.line_end", "s.breadcrumb", F.posexplode(texts).alias("k", "text"))

@@ -30,7 +30,7 @@ def block_refs(blocks: DataFrame, fragments: DataFrame) -> DataFrame:
     marks = blocks.withColumn("n", F.explode(F.array_distinct(cite_numbers(F.col("content"))))).select("doc_id", "window_id", "ord", "type", "target", "n")
     hit = marks.join(fragments, ["doc_id", "window_id", "n"])
     ref = F.struct(*(F.left("text", F.lit(160)).alias("text") if c == "text" else F.col(c) for c in REF))
-    own = hit.groupBy("doc_id", "type", "target", "window_id", "ord").agg(F.array_sort(F.collect_list(ref)).alias("refs"))
+    own = hit.groupBy("doc_id", "type", "target", "window_id", "ord").agg(F.sort_array(F.collect_list(ref)).alias("refs"))
     return own.groupBy("doc_id", "type", "target").agg(F.min_by("refs", F.struct("window_id", "ord")).alias("refs"))
 
 
@@ -68,13 +68,13 @@ def assemble(docs: DataFrame, summaries: DataFrame, blocks: DataFrame, entries:
     shrink to one. Each input is exchanged once, by document; the rest happens inside a document's row.
     """
     numbered = with_line_ends(numbered_lines(strip_page_markers(docs).select("doc_id", "text"), placed=True))
-    lined = numbered.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line", "level", "num", "title", "line_end"))).alias("l"))
+    lined = numbered.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "line", "level", "num", "title", "line_end"))).alias("l"))
     lined = lined.withColumn("h", F.filter("l", lambda x: x.num.isNotNull()))
-    s = summaries.filter(valid_target(F.col("num"))).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("num", "content"))).alias("s"))
+    s = summaries.filter(valid_target(F.col("num"))).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("num", "content"))).alias("s"))
     order = F.struct("part", "num", "header", "content")
     by_place = lambda a, b: F.when(a.part != b.part, F.when(a.part < b.part, -1).otherwise(1)).when(a.num > b.num, -1).when(a.num < b.num, 1).otherwise(0)
     b = blocks.filter(valid_target(F.col("num"))).groupBy("doc_id").agg(F.array_sort(F.collect_list(order), by_place).alias("b"))
-    notes = entries.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "line"))).alias("e")).select("doc_id", F.array_join(F.transform("e", lambda r: r.line), "\n").alias("notes"))
+    notes = entries.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("idx", "line"))).alias("e")).select("doc_id", F.array_join(F.transform("e", lambda r: r.line), "\n").alias("notes"))
     rows = docs.drop("text").join(lined, "doc_id").join(s, "doc_id", "left").join(b, "doc_id", "left").join(notes, "doc_id", "left")
 
     # every piece has its line, its rank there and its turn within that; one sort lays them out
@@ -87,7 +87,7 @@ def assemble(docs: DataFrame, summaries: DataFrame, blocks: DataFrame, entries:
     rows = rows.withColumn("s", placed("s", "starts", 1, lambda x: F.concat(F.lit("\n"), wrap_callout(F.lit("> [!note] 本节摘要"), x.content), F.lit("\n"))))
     own = F.transform("l", lambda x: F.struct(x.line_no.alias("at"), F.lit(0).alias("rank"), F.lit(0).alias("turn"), x.line.alias("x"))).cast(piece)
     after = F.transform(F.filter(F.array_distinct(F.transform("b", lambda x: x["at"])), lambda x: x < F.size("l") - 1), lambda x: F.struct(x.alias("at"), F.lit(3).alias("rank"), F.lit(0).alias("turn"), F.lit("").alias("x"))).cast(piece)
-    body = F.array_join(F.transform(F.array_sort(F.concat(own, F.col("s"), F.col("b"), after)), lambda x: x.x), "\n")
+    body = F.array_join(F.transform(F.sort_array(F.concat(own, F.col("s"), F.col("b"), after)), lambda x: x.x), "\n")
     body = F.regexp_replace(F.regexp_replace(body, rf"(?:\n{SPACE}*)?\n{SLOT}", "\n\n"), r"^\n+|\n+$", "")
     shown = F.array_join(F.transform("h", lambda x: F.concat(F.repeat(F.lit("  "), x.level - 2), F.lit("- "), x.num, F.lit(" "), x.title)), "\n")
     header = F.concat(F.lit("> [!info] 知识库："), "kb_name", F.lit(" ｜ 源文件：`"), "source_name", F.lit(f"` ｜ 生成：{generated}\n\n# "), "title", F.lit("\n\n"))
@@ -195,7 +195,7 @@ def image_names(df: DataFrame) -> DataFrame:
     numbered = F.concat("base", F.when(F.col("k") > 1, F.concat(F.lit("_"), F.col("k").cast("string"))).otherwise(""))
     plain = rows.filter("not mixed").select("doc_id", "rel", numbered.alias("file"))
     item = F.struct((-F.char_length("rel")).alias("n"), "rel", "base")
-    met = rows.filter("mixed").groupBy("doc_id", "root").agg(F.array_sort(F.collect_list(item)).alias("x"))
+    met = rows.filter("mixed").groupBy("doc_id", "root").agg(F.sort_array(F.collect_list(item)).alias("x"))
     met = met.withColumn("files", free(F.transform("x", lambda r: r.base)))
     both = met.select("doc_id", F.explode(F.arrays_zip("x", "files")).alias("z")).select("doc_id", F.col("z.x.rel").alias("rel"), F.col("z.files").alias("file"))
     return plain.unionByName(both)
@@ -256,7 +256,7 @@ def rewrite_refs(docs: DataFrame, names: DataFrame) -> DataFrame:
     [doc_id, rel, local, url] become its local name. An image goes by its reference as it stands, percent-quoted or unquoted, and by its
     address; where several images could be meant the longest reference comes first, as one name may be the start of another; what
     one of them has written a later one may write again. A text is read once, however many images it has."""
-    own = names.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rel", "local", "url"))).alias("names"))
+    own = names.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("rel", "local", "url"))).alias("names"))
 
     @F.pandas_udf("string")
     def run(text: pd.Series, held: pd.Series) -> pd.Series:

@@ -43,7 +43,7 @@ def merge_segments(deltas: DataFrame) -> DataFrame:
     w = Window.partitionBy("session_id").orderBy("seq")
     new = (F.col("kind") == "tool") | ~F.col("kind").eqNullSafe(F.lag("kind").over(w))
     rows = deltas.withColumn("segment", F.sum(new.cast("int")).over(w) - 1)
-    parts = F.array_sort(F.collect_list(F.struct("seq", "delta")))
+    parts = F.sort_array(F.collect_list(F.struct("seq", "delta")))
     return rows.groupBy("session_id", "segment", "kind").agg(F.array_join(F.transform(parts, lambda x: x.delta), "").alias("text"))
 
 

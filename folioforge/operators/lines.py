@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.functions.text import SPACE, is_blank, num_of, rstrip, strip, unnumbered
+from folioforge.functions.text import SPACE, is_blank, marked, num_of, rstrip, strip, unnumbered
 
 # fixed values: patterns of lines
 FENCE = rf"^{SPACE}*(```|~~~)"
@@ -41,12 +41,12 @@ def _count(test: Column, w) -> Column:
 
 def _fenced(lines: DataFrame) -> DataFrame:
     """in_fence: an odd number of earlier lines opens or closes a fence."""
-    return lines.withColumn("in_fence", _count(F.col("line").rlike(FENCE), _before()) % 2 == 1)
+    return lines.withColumn("in_fence", _count(marked(F.col("line"), ("```", "~~~"), FENCE), _before()) % 2 == 1)
 
 
 def _joined(lines: DataFrame, *keys: str, text: str = "line", name: str = "text") -> DataFrame:
     """Lines put together again, in order, per key."""
-    rows = F.array_sort(F.collect_list(F.struct("line_no", F.col(text).alias("x"))))
+    rows = F.sort_array(F.collect_list(F.struct("line_no", F.col(text).alias("x"))))
     return lines.groupBy(*keys).agg(F.array_join(F.transform(rows, lambda r: r.x), "\n").alias(name))
 
 
@@ -61,9 +61,9 @@ def explode_lines(df: DataFrame, placed: bool = False) -> DataFrame:
 def page_blocks(df: DataFrame) -> DataFrame:
     """[doc_id, ord, page_no, text]: blocks that start at full-line page markers; fences do not matter."""
     lines = df.select("doc_id", "text").repartition("doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("ord", _count(F.col("line").rlike(PAGE), _so_far()))
-    page = F.nullif(F.regexp_extract("line", PAGE, 1), F.lit("")).cast("int")
-    rows = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    lines = lines.withColumn("ord", _count(marked(F.col("line"), "<!--", PAGE), _so_far()))
+    page = F.when(F.contains("line", F.lit("<!--")), F.nullif(F.regexp_extract("line", PAGE, 1), F.lit("")).cast("int"))
+    rows = F.sort_array(F.collect_list(F.struct("line_no", "line")))
     blocks = lines.withColumn("page", page).groupBy("doc_id", "ord").agg(F.max("page").alias("page_no"), F.array_join(F.transform(rows, lambda r: r.line), "\n").alias("text"))
     return blocks.filter((F.col("ord") > 0) | ~is_blank(F.col("text"))).select("doc_id", "ord", "page_no", "text")
 
@@ -73,20 +73,20 @@ def strip_page_markers(df: DataFrame) -> DataFrame:
 
     Markers never open or close a fence, so the fence flags of what is left are those of the lines before.
     """
-    whole = ~F.col("in_fence") & strip(F.col("line")).rlike(PAGE)
-    tail = ~F.col("in_fence") & ~F.col("whole") & F.col("line").rlike(PAGE_TAIL)
+    whole = ~F.col("in_fence") & F.contains("line", F.lit("<!--")) & strip(F.col("line")).rlike(PAGE)
+    tail = ~F.col("in_fence") & ~F.col("whole") & marked(F.col("line"), "<!--", PAGE_TAIL)
     rows = explode_lines(df).withColumn("whole", whole).withColumn("tail", tail)
     rows = rows.withColumn("line", F.when(F.col("tail"), rstrip(F.regexp_replace("line", PAGE_TAIL, ""))).otherwise(F.col("line")))
     rows = rows.withColumn("blank", F.when(~F.col("whole"), ~F.col("in_fence") & is_blank(F.col("line"))))
     again = F.coalesce(F.last("blank", ignorenulls=True).over(_before()), F.lit(False)) & F.col("blank")
     kept = F.when(~F.col("whole") & ~F.col("again"), F.struct("line_no", "line"))
-    out = rows.withColumn("again", again).groupBy("doc_id").agg(F.array_sort(F.collect_list(kept)).alias("l"), F.sum((F.col("whole") | F.col("tail")).cast("int")).cast("int").alias("n_stripped"))
+    out = rows.withColumn("again", again).groupBy("doc_id").agg(F.sort_array(F.collect_list(kept)).alias("l"), F.sum((F.col("whole") | F.col("tail")).cast("int")).cast("int").alias("n_stripped"))
     return out.select("doc_id", F.array_join(F.transform("l", lambda x: x.line), "\n").alias("text"), "n_stripped")
 
 
 def heading_lines(lines: DataFrame) -> DataFrame:
     """Adds level (2 to 4, null elsewhere) and title to a line table."""
-    is_heading = ~F.col("in_fence") & F.col("line").rlike(HEADING)
+    is_heading = ~F.col("in_fence") & marked(F.col("line"), "##", HEADING, at_start=True)
     return lines.withColumns({"level": F.when(is_heading, F.length(F.regexp_extract("line", HEADING, 1))), "title": F.when(is_heading, F.regexp_extract("line", HEADING, 2))})
 
 
@@ -135,7 +135,7 @@ def section_spans(numbered: DataFrame) -> DataFrame:
 def build_toc(headings: DataFrame) -> DataFrame:
     """[doc_id, toc]."""
     row = F.concat(F.repeat(F.lit("  "), F.col("level") - 2), F.lit("- "), F.col("num"), F.lit(" "), F.col("title"))
-    rows = F.array_sort(F.collect_list(F.struct("ord", row.alias("x"))))
+    rows = F.sort_array(F.collect_list(F.struct("ord", row.alias("x"))))
     return headings.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda r: r.x), "\n").alias("toc"))
 
 
@@ -165,7 +165,7 @@ def breadcrumbs(headings: DataFrame, mode: str = "reference", depth: int = 3) ->
     rows = rows.withColumns({f"_l{k}s": F.last(F.when(F.col("level") == k, F.col("_own")), ignorenulls=True).over(up) for k in (2, 3, 4)})
     none = F.array().cast("array<struct<ord: int, x: string>>")
     seen = F.concat(*(F.when(F.col("level") >= k, F.coalesce(F.col(f"_l{k}s"), none)).otherwise(none) for k in (2, 3, 4)))
-    last = F.reverse(F.slice(F.reverse(F.array_sort(seen)), 1, depth))
+    last = F.reverse(F.slice(F.reverse(F.sort_array(seen)), 1, depth))
     rows = rows.withColumn("breadcrumb", F.array_join(F.transform(last, lambda x: x.x), " > "))
     return rows.select(*headings.columns, "breadcrumb")
 
@@ -190,7 +190,7 @@ def split_sections(df: DataFrame, level: int = 2) -> DataFrame:
     first_level = F.first("level").over(Window.partitionBy("doc_id", "ord").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
     own = num_of(F.when((F.col("ord") > 0) | ((first_level == 2) & F.lit(level == 3)), start))
     lines = lines.withColumn("num", own)
-    rows = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    rows = F.sort_array(F.collect_list(F.struct("line_no", "line")))
     parts = lines.groupBy("doc_id", "ord").agg(F.max("num").alias("num"), F.max("n").alias("n"), F.array_join(F.transform(rows, lambda r: r.line), "\n").alias("content"))
     keep = (F.col("ord") > 0) | ~is_blank(F.col("content")) & (F.col("n") > 0)
     keep = keep | (F.col("n") == 0) if level == 2 else keep

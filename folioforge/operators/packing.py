@@ -91,16 +91,19 @@ def _from(weights, window: int, used: int, cap: int, joiner: int) -> list[int]:
     return out
 
 
-def pack_windows(df: DataFrame, key: str, order: str, weight: Column, cap: int, joiner: int = 0) -> DataFrame:
+def pack_windows(df: DataFrame, key: str, order: str, weight: Column, cap: int, joiner: int = 0, whole: int = 50_000) -> DataFrame:
     """``df`` with window_id: rows of a key packed in order (P1, P2). Give it no more columns than are asked for.
 
-    A key may have any number of rows: they lie in ranges by key and order. Each stretch is summed up as the windows it makes
-    of any start; the few tables of a key give the true starts, and the stretches are packed from those.
+    A key may have any number of rows: where one has more than ``whole``, rows lie in ranges by key and order. Each stretch is
+    summed up as the windows it makes of any start; the few tables of a key give the true starts, and the stretches are packed
+    from those. Where all keys are smaller, a key is one stretch. Weights are taken once, before either.
     """
     cols = [c for c in df.columns if c != key]
     ship_package(df.sparkSession)
-    rows = materialize(df.withColumn("_w", weight).repartitionByRange(key, order).withColumn("_p", F.spark_partition_id()))
-    held = rows.groupBy(F.col(key).alias("_key"), "_p").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.col("_w"), F.struct(*cols).alias("_r")))).alias("a"))
+    rows = materialize(df.withColumn("_w", weight))
+    large = not rows.groupBy(key).count().filter(F.col("count") > whole).isEmpty()
+    rows = materialize(rows.repartitionByRange(key, order).withColumn("_p", F.spark_partition_id())) if large else rows.withColumn("_p", F.lit(0))
+    held = rows.groupBy(F.col(key).alias("_key"), "_p").agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("_o"), F.col("_w"), F.struct(*cols).alias("_r")))).alias("a"))
     weights = F.transform("a", lambda x: x["_w"])
 
     @F.pandas_udf("need array<bigint>, windows array<bigint>, used array<bigint>, total bigint")
@@ -115,7 +118,10 @@ def pack_windows(df: DataFrame, key: str, order: str, weight: Column, cap: int,
     def run(w: pd.Series, window: pd.Series, used: pd.Series) -> pd.Series:
         return pd.Series([_from([int(y) for y in x], a, b, cap, joiner) for x, a, b in zip(w, window, used)], dtype=object)
 
-    starts = held.select("_key", "_p", tables(weights).alias("t")).groupBy("_key").agg(entries(F.array_sort(F.collect_list(F.struct(F.col("_p").alias("p"), "t.need", "t.windows", "t.used", "t.total")))).alias("e"))
+    if not large:
+        held = held.withColumn("w", run(weights, F.lit(-1), F.lit(0)))
+        return held.select(F.col("_key").alias(key), F.explode(F.arrays_zip("a", "w")).alias("x")).select(key, "x.a._r.*", F.col("x.w").alias("window_id"))
+    starts = held.select("_key", "_p", tables(weights).alias("t")).groupBy("_key").agg(entries(F.sort_array(F.collect_list(F.struct(F.col("_p").alias("p"), "t.need", "t.windows", "t.used", "t.total")))).alias("e"))
     starts = starts.select(F.col("_key").alias("_k"), F.inline("e"))
     held = held.join(starts, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_p") == F.col("p"))).withColumn("w", run(weights, "window", "used"))
     return held.select(F.col("_key").alias(key), F.explode(F.arrays_zip("a", "w")).alias("x")).select(key, "x.a._r.*", F.col("x.w").alias("window_id"))
@@ -151,12 +157,12 @@ def pass2_items(df: DataFrame, max_tokens: int) -> DataFrame:
     is_ = lambda k: F.coalesce(F.col("level") == k, F.lit(False)).cast("int")
     lines = lines.withColumn("o2", F.sum(is_(2)).over(doc.orderBy("line_no").rowsBetween(so_far, 0)))
     lines = lines.withColumn("o3", F.sum(is_(3)).over(sec.orderBy("line_no").rowsBetween(so_far, 0)))
-    rows = F.array_sort(F.collect_list(F.struct("line_no", "line", "level", "title")))
+    rows = F.sort_array(F.collect_list(F.struct("line_no", "line", "level", "title")))
     parts = lines.groupBy("doc_id", "o2", "o3").agg(rows.alias("l"))
     head = F.get("l", F.lit(0))
     starts = F.coalesce(head.level == F.when(F.col("o3") > 0, 3).otherwise(2), F.lit(False))
     parts = parts.select("doc_id", "o2", "o3", F.when(starts, num_of(head.title)).alias("num"), F.array_join(F.transform("l", lambda x: x.line), "\n").alias("content"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o3", "content")).over(sec)), lambda x: x.content), "\n")
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o3", "content")).over(sec)), lambda x: x.content), "\n")
     parts = parts.withColumns({"whole": whole, "num2": F.max(F.when(F.col("o3") == 0, F.col("num"))).over(sec), "n3": F.max("o3").over(sec), "n2": F.max("o2").over(doc)})
     parts = parts.withColumn("counts", (F.col("n3") > 0) & ((F.col("o3") > 0) | ~is_blank(F.col("content"))))
     parts = parts.withColumn("n", F.sum(F.col("counts").cast("int")).over(sec))

@@ -192,7 +192,7 @@ def context_text(hits: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFra
     some = lambda c: F.nullif(F.col(c), F.lit(""))
     head = F.coalesce(some("breadcrumb"), some("section_num"), F.lit(""))
     one = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] 【"), F.coalesce("doc_name", F.lit("文档")), F.lit(" "), head, F.lit("】\n"), F.coalesce("text", F.lit("")))
-    return rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", one.alias("x")))), lambda r: r.x), "\n\n").alias("context"))
+    return rows.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", one.alias("x")))), lambda r: r.x), "\n\n").alias("context"))
 
 
 def number_fragments(frags: DataFrame, key: str = "anchor") -> DataFrame:

@@ -117,7 +117,7 @@ def f10_prompt_sections(spark, sf):
   'https://e.org/' || item_id as url, trim(left(text, 1200)) as snippet from benchmark qualify row_number() over (partition by item_id // 10 order by item_id) <= 5""")
 def f11_search_dump(spark, sf):
     rows = table(spark, sf, "benchmark").selectExpr("item_id", "item_id div 10 as q", r"concat(case when item_id % 3 = 0 then '' else concat('Title: T', item_id, ' \n') end, 'URL: https://e.org/', item_id, '\nHighlights:\n', text) as entry")
-    dump = rows.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("item_id", "entry"))).alias("a")).select("q", F.array_join(F.transform("a", lambda x: x.entry), "\n\n---\n\n").alias("text"))
+    dump = rows.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("item_id", "entry"))).alias("a")).select("q", F.array_join(F.transform("a", lambda x: x.entry), "\n\n---\n\n").alias("text"))
     return parse_search_dump(dump, 5)
 
 

@@ -81,7 +81,7 @@ def read_page_json(df: DataFrame) -> DataFrame:
 def pages_to_document(pages: DataFrame) -> DataFrame:
     """[doc_id, text]: pages with their markers, a blank line between."""
     x = F.struct("page_no", F.concat(F.lit("<!-- page:"), F.col("page_no").cast("string"), F.lit(" -->\n"), "text").alias("x"))
-    return pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(x)), lambda r: r.x), "\n\n").alias("text"))
+    return pages.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(x)), lambda r: r.x), "\n\n").alias("text"))
 
 
 class _Markdown(HTMLParser):

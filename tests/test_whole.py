@@ -78,6 +78,12 @@ def test_a_large_group_lies_in_no_single_row(spark):
         assert [n for _, n in v] == packing._greedy([t for t, _ in v], 200, 0)
 
 
+def test_windows_over_ranges_and_over_whole_keys_agree(spark):
+    rows = spark.range(5000).selectExpr("case when id % 5 = 0 then null else id % 3 end as source", "id as doc_id", "id * 37 % 90 as tokens").repartition(6)
+    small, large = ({tuple(r) for r in packing.pack_windows(rows, "source", "doc_id", F.col("tokens"), 200, whole=n).collect()} for n in (50_000, 100))
+    assert small == large and len(small) == 5000
+
+
 def test_similar_names_do_not_depend_on_blocks(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abé图") for _ in range(rng.randint(0, 9)))
