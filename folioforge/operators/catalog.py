@@ -293,6 +293,12 @@ def stale_snapshots(fps: DataFrame, configs: DataFrame, snapshots: DataFrame, ve
 
 
 def evict_exports(df: DataFrame, keep: int = 3) -> DataFrame:
-    """Cached exports [doc_id, name, mtime] beyond the newest ``keep`` of a document."""
+    """Cached exports [doc_id, name, mtime] beyond the newest ``keep`` of a document (K19). Names are unique to a document; a null
+    time is the oldest. Every task keeps that many of a document before the exchange, and only the last one that stays is joined
+    back."""
     w = Window.partitionBy("doc_id").orderBy(F.desc("mtime"), "name")
-    return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") > keep).drop("_n")
+    last = df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= keep).filter(F.col("_n") == keep)
+    last = last.select(F.col("doc_id").alias("_d"), F.col("mtime").alias("_t"), F.col("name").alias("_l"))
+    rows = df.join(broadcast_if_small(last), F.col("doc_id").eqNullSafe(F.col("_d")))
+    older = F.coalesce(F.col("mtime") < F.col("_t"), F.col("mtime").isNull() & F.col("_t").isNotNull())
+    return rows.filter(older | (F.col("mtime").eqNullSafe(F.col("_t")) & (F.col("name") > F.col("_l")))).select(df.columns)

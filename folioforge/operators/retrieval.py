@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.operators.catalog import number_within
 from folioforge.session import broadcast_if_small, materialize, ship_package
 
 QUERY_BLOCK = 1024
@@ -197,12 +198,15 @@ def context_text(hits: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFra
 
 def number_fragments(frags: DataFrame, key: str = "anchor") -> DataFrame:
     """Adds n (R6) to [session_id, seq, doc_id, anchor]: a known anchor keeps its number, an empty one is always new.
-    ``key='doc_anchor'`` tells equal anchors of two documents apart."""
+    ``key='doc_anchor'`` tells equal anchors of two documents apart. The first place of each key is an aggregate, the keys are
+    numbered over ranges and joined back, so no session meets in one task."""
     own = F.when(F.coalesce("anchor", F.lit("")) == "", F.concat(F.lit("seq:"), F.col("seq").cast("string")))
     named = F.col("anchor") if key == "anchor" else F.concat_ws("\u0000", F.col("doc_id").cast("string"), "anchor")
     rows = frags.withColumn("_key", F.coalesce(own, F.concat(F.lit("a:"), named)))
-    rows = rows.withColumn("_first", F.min("seq").over(Window.partitionBy("session_id", "_key")))
-    return rows.withColumn("n", F.dense_rank().over(Window.partitionBy("session_id").orderBy("_first"))).drop("_key", "_first")
+    first = rows.groupBy(F.col("session_id").alias("_session"), F.col("_key").alias("_anchor")).agg(F.min("seq").alias("_first"))
+    numbers = number_within(first, "n", "_session", "_first", "_anchor")
+    same = F.col("session_id").eqNullSafe(F.col("_session")) & (F.col("_key") == F.col("_anchor"))
+    return rows.join(broadcast_if_small(numbers.select("_session", "_anchor", F.col("n").cast("int").alias("n"))), same).select(*frags.columns, "n")
 
 
 def embed(df: DataFrame, text: str, fn: Callable[[list[str]], list[list[float]]], batch: int = 8, out: str = "embedding") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import html_title, strip
+from folioforge.session import broadcast_if_small
 
 MAX_BYTES = 2 * 1024 * 1024
 MIN_CONTENT = 50
@@ -51,18 +52,26 @@ OCR = "result struct<layoutParsingResults: array<struct<markdown: struct<text: s
 
 def ocr_pages(lines: DataFrame) -> DataFrame:
     """[doc_id, page_no, text, images] of JSON lines [doc_id, line_no, value] (S2): unreadable lines are skipped, pages count
-    from 1 over the whole file, images without an address are dropped."""
-    rows = lines.select("doc_id", "line_no", F.from_json("value", OCR).alias("j")).filter("j.result is not null")
-    rows = rows.select("doc_id", "line_no", F.posexplode("j.result.layoutParsingResults").alias("pos", "p"))
-    no = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no", "pos"))
+    from 1 over the whole file, images without an address are dropped. Where lines carry the stretch of the file they come from as
+    ``block``, pages are counted by stretch and the counts added up, so a file need not meet in one task."""
+    block = F.col("block") if "block" in lines.columns else F.lit(0).cast("long")
+    rows = lines.select("doc_id", block.alias("block"), "line_no", F.from_json("value", OCR).alias("j")).filter("j.result is not null")
+    rows = rows.select("doc_id", "block", "line_no", F.posexplode("j.result.layoutParsingResults").alias("pos", "p"))
+    no = F.row_number().over(Window.partitionBy("doc_id", "block").orderBy("line_no", "pos"))
+    if "block" in lines.columns:
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        counts = rows.groupBy("doc_id", "block").agg(F.count(F.lit(1)).alias("n")).select("doc_id", "block", before.alias("before"))
+        rows = rows.withColumn("no", no).join(broadcast_if_small(counts), ["doc_id", "block"])
+        no = (F.col("no") + F.col("before")).cast("int")
     images = F.map_filter(F.coalesce("p.markdown.images", F.create_map().cast("map<string,string>")), lambda _, v: F.coalesce(v, F.lit("")) != "")
     return rows.select("doc_id", no.alias("page_no"), F.coalesce("p.markdown.text", F.lit("")).alias("text"), images.alias("images"))
 
 
 def read_ocr_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of OCR result files. A file is one text value, so its lines keep their order."""
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("doc_id"), F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
-    return ocr_pages(files)
+    """Pages of OCR result files. Files are read in lines and may be split among tasks: a line's place is where its stretch of
+    the file starts, and its turn in that."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return ocr_pages(lines.select(F.col("_metadata.file_path").alias("doc_id"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no"), "value"))
 
 
 PAGE = "array<struct<markdown: string, content: string>>"

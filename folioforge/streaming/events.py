@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.session import ship_package
+from folioforge.streaming.queues import bounded_queue, bounded_queue_stream  # noqa: F401
 
 #: Channels that must be delivered even when a queue is full.
 CRITICAL_CHANNELS = ("doc.status", "doc.generated", "doc.paused", "doc.resumed", "doc.error", "doc.parsed", "index.done", "index.error", "export.done", "export.error")
@@ -43,12 +44,6 @@ def drop_report(drops: DataFrame, every: str = "60 seconds", delay: str | None =
     return out.select("subscriber", F.col("w.start").alias("minute"), "dropped", "critical")
 
 
-def bounded_queue(df: DataFrame, cap: int = 2000) -> tuple[DataFrame, DataFrame]:
-    """(kept, dropped) of a burst [subscriber, _id, ..] (T3): the newest ``cap`` of each subscriber stay."""
-    rows = df.withColumn("_n", F.row_number().over(Window.partitionBy("subscriber").orderBy(F.desc("_id"))))
-    return rows.filter(F.col("_n") <= cap).drop("_n"), rows.filter(F.col("_n") > cap).drop("_n")
-
-
 # render operations: [doc_id, _id, op, id, type, parent, props (JSON), text, nodes (JSON)]
 
 def _node(ops: DataFrame) -> str:
@@ -123,7 +118,7 @@ def fold_text(ops: DataFrame) -> DataFrame:
     rows = rows.withColumn("last", F.max("life").over(Window.partitionBy("doc_id", "id"))).filter("life = last and not dead and born is not null and _id >= born")
     rows = rows.withColumn("set", F.max(F.when(F.col("op") == "setmd", F.col("_id"))).over(own))
     piece = F.when(F.col("op").isin("append", "setmd") & (F.col("set").isNull() | (F.col("_id") >= F.col("set"))), F.struct("_id", "text"))
-    out = rows.groupBy("doc_id", "id").agg(F.array_sort(F.collect_list(piece)).alias("p"))
+    out = rows.groupBy("doc_id", "id").agg(F.sort_array(F.collect_list(piece)).alias("p"))
     return out.select("doc_id", "id", F.array_join(F.transform("p", lambda x: x.text), "").alias("md"))
 
 

@@ -1,5 +1,7 @@
 """Hand-made cases with known answers."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -319,3 +321,35 @@ def test_first_blocks_of_the_second_pass(spark):
     assert kept() == [("1", 1), ("2", 3)] and kept(skip_empty=False) == [("1", 0), ("2", 3)]
     assert tuple(blocks.dropped_blocks(df, ["type", "target"], ["ord"], allowed).first()) == (1, 1, 1, 1)
     assert tuple(blocks.dropped_blocks(df, ["type", "target"], ["ord"], allowed, skip_empty=False).first()) == (1, 1, 0, 2)
+
+
+def test_ocr_file_in_many_tasks(spark, tmp_path):
+    page = lambda i: json.dumps({"result": {"layoutParsingResults": [{"markdown": {"text": f"p{i} " + "x" * (i % 90), "images": {"a": "u", "b": ""}}}] * (1 + i % 2)}})
+    (tmp_path / "big.jsonl").write_text("\n".join("{bad" if i % 11 == 5 else "" if i % 13 == 7 else page(i) for i in range(4000)))
+    (tmp_path / "small.jsonl").write_text(page(1) + "\n" + page(2))
+    want = [f"p{i} " + "x" * (i % 90) for i in range(4000) if i % 11 != 5 and i % 13 != 7 for _ in range(1 + i % 2)]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert spark.read.text(str(tmp_path / "big.jsonl")).rdd.getNumPartitions() > 10
+        pages = io.read_ocr_jsonl(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    big = sorted((r.page_no, r.text) for r in pages if r.doc_id.endswith("big.jsonl"))
+    assert big == list(enumerate(want, 1)) and all(dict(r.images) == {"a": "u"} for r in pages)
+    assert sorted((r.page_no, r.text[:2]) for r in pages if r.doc_id.endswith("small.jsonl")) == [(1, "p1"), (2, "p1"), (3, "p2")]
+
+
+def test_numbers_and_evictions_without_a_window_over_the_key(spark):
+    rows = [("s", i, i % 3, "" if i % 5 == 0 else f"a{i * 7 % 4}") for i in range(60)] + [(None, 1, 0, "x"), (None, 0, 0, None)]
+    df = spark.createDataFrame(rows, "session_id string, seq int, doc_id int, anchor string")
+    for key in ("anchor", "doc_anchor"):
+        names, want = {}, {}
+        for s, seq, d, a in sorted(rows, key=lambda r: r[1]):
+            k = (s, seq) if not a else (s, a) if key == "anchor" else (s, d, a)
+            names.setdefault(s, {}).setdefault(k if a else ("own", *k), len(names[s]) + 1)
+            want[s, seq] = names[s][k if a else ("own", *k)]
+        assert {(r.session_id, r.seq): r.n for r in retrieval.number_fragments(df, key).collect()} == want
+    files = [("d", f"n{i}", t) for i, t in enumerate([5, 5, 9, None, 1, None])] + [("e", "only", 1), (None, "x", 1)]
+    got = catalog.evict_exports(spark.createDataFrame(files, "doc_id string, name string, mtime int"), 3).collect()
+    assert sorted(r.name for r in got) == ["n3", "n4", "n5"]

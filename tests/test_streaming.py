@@ -1,11 +1,12 @@
 """Streams give what their batch twins give, whatever the cuts and restarts."""
 
+import json
 import random
 
 from pyspark.sql import functions as F
 
 from folioforge.plans import logs
-from folioforge.streaming import blocks, events
+from folioforge.streaming import blocks, events, trees
 
 OP = "doc_id long, _id long, op string, id string, type string, parent string, props string, text string, nodes string"
 
@@ -116,3 +117,67 @@ def test_document_ids_may_be_texts(spark):
     assert events.apply_after(folded, df, 100).filter("doc_id = 'doc-é'").count() == 2
     d = spark.createDataFrame([("x", 0, "@@tip 1\nA\n@@end")], "doc_id string, seq long, delta string")
     assert [tuple(r) for r in blocks.read_blocks(d).collect()] == [("x", 0, "tip", "1", "A")]
+
+
+def plain_tree(rows):
+    """Nodes after the operations, with whole copies at every point."""
+    nodes, point = events.new_tree(), None
+    for r in rows:
+        op = dict(zip(("doc_id", "_id", "op", "id", "type", "parent", "props", "text", "nodes"), r))
+        if op["op"] in ("checkpoint", "recovery"):
+            point = json.dumps(nodes)
+        elif op["op"] == "rollback":
+            nodes = nodes if point is None else json.loads(point)
+        else:
+            events.apply_op(nodes, op)
+    return {(i, n["parent"], json.dumps(n["props"], sort_keys=True, separators=(",", ":")), "".join(n["md"])) for i, n in nodes.items()}
+
+
+def test_tree_stream_with_points_rollbacks_and_restarts(spark, tmp_path):
+    rng = random.Random(9)
+    rows = {d: [] for d in (1, 2)}
+    for d in rows:
+        for k in range(240):
+            op = rng.choice(["insert"] * 3 + ["append"] * 6 + ["setmd", "update", "remove", "recovery", "checkpoint", "rollback", "rollback"] + ["replace"] * (k % 60 == 0))
+            i = f"n{rng.randint(0, 5)}"
+            rows[d].append((d, k, op, i, "t", rng.choice([None, "n0", "n1"]), json.dumps({rng.choice("ab"): k}), f"[{k}]", '{"n0":{"type":"t","parent":"root","md":"r"}}' if op == "replace" else None))
+    src, out, ckpt = (str(tmp_path / x) for x in ("in", "out", "ckpt"))
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for a, b in ((0, 90), (90, 91), (91, 240)):
+            spark.createDataFrame([r for d in rows for r in rows[d][max(a - 5, 0) : b]], OP).coalesce(1).write.mode("append").parquet(src)  # five repeated
+            run_stream(spark, trees.fold_tree_stream(spark.readStream.schema(OP).parquet(src)), out, ckpt, "update")
+            held = {}
+            for r in sorted(spark.read.parquet(out).collect(), key=lambda r: r.batch):
+                held[r.doc_id, r.id] = None if r.gone else (r.id, r.parent, r.props, r.md)
+            for d in rows:
+                assert {v for (x, _), v in held.items() if x == d and v} == plain_tree(rows[d][:b]), (d, b)
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    assert spark.read.parquet(out).filter("batch = 1").count() <= 4  # one operation a document changes few nodes
+
+
+def test_queue_stream_drops_what_the_batch_drops(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [("hot" if i % 3 else f"s{i % 5}", i, rng.choice(["doc.status", "render", None])) for i in range(900)]
+    schema = "subscriber string, _id long, channel string"
+    want = {tuple(r) for r in events.bounded_queue(spark.createDataFrame(rows, schema), 40)[1].collect()}
+    assert want == {r for r in rows if sum(x[0] == r[0] and x[1] > r[1] for x in rows) >= 40}
+    rng.shuffle(rows)
+    src, out, ckpt = (str(tmp_path / x) for x in ("in", "out", "ckpt"))
+    for a, b in ((0, 200), (200, 210), (210, 900)):
+        spark.createDataFrame(rows[a:b], schema).coalesce(1).write.mode("append").parquet(src)
+        run_stream(spark, events.bounded_queue_stream(spark.readStream.schema(schema).parquet(src), 40), out, ckpt)
+    got = [tuple(r)[:3] for r in spark.read.parquet(out).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_a_hot_subscriber_costs_its_cap_a_task(spark):
+    df = spark.range(0, 40_000, 1, 8).selectExpr("'hot' as subscriber", "id as _id")
+    kept, dropped = events.bounded_queue(df, 50)
+    assert sorted(r._id for r in kept.collect()) == list(range(39_950, 40_000)) and dropped.count() == 39_950
+    from folioforge.streaming import queues
+
+    plan = queues.newest_ids(df, "subscriber", "_id", 50)._jdf.queryExecution().toString().split("Physical Plan")[1]
+    assert plan.index("Exchange") < plan.index("MapInArrow")  # the tasks' own choice comes before the exchange (plans read upwards)
