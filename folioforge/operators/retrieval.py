@@ -21,6 +21,8 @@ from folioforge.session import broadcast_if_small, materialize, ship_package
 
 QUERY_BLOCK = 1024
 BLOCK_BYTES = 4 << 20
+#: Query matrices up to this size are sent to every executor, larger ones meet the chunks partition by partition.
+BROADCAST_BYTES = 64 << 20
 #: Fixed value: the answer to a refused query.
 REFUSAL = "知识库中没有找到与这个问题相关的信息。"
 
@@ -101,7 +103,9 @@ def _topk_arrow(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     queries = queries.withColumn("kb_ids", F.col("kb_ids").cast("array<string>")).repartition("query_id")
     asked = materialize(_matrices(queries, "query_id", "kb_ids", "vec", QUERY_BLOCK))
     held = _matrices(chunks.withColumn("kb_id", F.col("kb_id").cast("string")), "id", "kb_id", "embedding")
-    pairs = held.crossJoin(broadcast_if_small(asked.select(*(F.col(c).alias(f"q_{c}") for c in asked.columns)), 64)).filter("dim = q_dim")
+    named = asked.select(*(F.col(c).alias(f"q_{c}") for c in asked.columns))
+    size = asked.agg(F.sum(F.length("unit"))).first()[0] or 0  # bytes of the query matrices
+    pairs = held.crossJoin(F.broadcast(named) if size <= BROADCAST_BYTES else named).filter("dim = q_dim")
     kinds = {c: asked.schema["key"].dataType.elementType.simpleString() if c == "query_id" else held.schema["key"].dataType.elementType.simpleString() for c in ("query_id", "id")}
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

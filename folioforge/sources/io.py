@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from folioforge.functions.text import html_title, strip
 from folioforge.session import broadcast_if_small
@@ -174,6 +177,69 @@ def write_chunks(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kb_id").parquet(path)
 
 
+MANIFEST = "manifest.json"
+
+
+def _manifest(spark: SparkSession, path: str) -> list[dict]:
+    jvm = spark._jvm
+    file = jvm.org.apache.hadoop.fs.Path(f"{path}/{MANIFEST}")
+    if not file.getFileSystem(spark._jsc.hadoopConfiguration()).exists(file):
+        return []
+    return json.loads("\n".join(r.value for r in spark.read.option("wholetext", True).text(f"{path}/{MANIFEST}").collect()))
+
+
+def _swap_manifest(spark: SparkSession, path: str, entries: list[dict]) -> None:
+    """Written beside the old one and put in its place in one step."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    files = fs.FileContext.getFileContext(fs.Path(path).toUri(), spark._jsc.hadoopConfiguration())
+    staged, final = fs.Path(f"{path}/{MANIFEST}.{uuid.uuid4().hex}"), fs.Path(f"{path}/{MANIFEST}")
+    out = staged.getFileSystem(spark._jsc.hadoopConfiguration()).create(staged)
+    out.write(json.dumps(entries).encode())
+    out.close()
+    rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    files.rename(staged, final, how)
+
+
+def read_chunks(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of a table kept by ``replace_chunks``; None where it has none. Rows read are those of the manifest at that moment."""
+    held = _manifest(spark, path)
+    return spark.read.parquet(*(f"{path}/{e['dir']}" for e in held)) if held else None
+
+
+def replace_chunks(path: str, new: DataFrame, scope: DataFrame) -> bool:
+    """``upsert_chunks`` into a table at ``path`` that may be read meanwhile (S6). Whether anything had to be written.
+
+    Each kb has a folder of its own, and a manifest names the folder of each. Only kbs that lose or gain rows are written anew,
+    into folders of a new version; the manifest is swapped at the end, so a failure before that leaves the old rows, and readers
+    see all of a change or nothing. If the scope's rows are the new ones already, nothing is written. Folders of older versions stay
+    for their readers until the owner clears them. The manifest is as long as the list of kbs.
+    """
+    spark = new.sparkSession
+    held = _manifest(spark, path)
+    new = new.withColumn("text", F.left("text", F.lit(8000)))
+    kbs = lambda df: {r.kb_id for r in df.select("kb_id").distinct().collect()}  # noqa: E731  config-sized
+    touched = kbs(new)
+    result = new
+    if held:
+        old = read_chunks(spark, path)
+        inside = old.join(scope.distinct(), scope.columns, "left_semi").select(new.columns)
+        if inside.exceptAll(new).isEmpty() and new.exceptAll(inside).isEmpty():
+            return False
+        touched |= kbs(inside)
+        dirs = [f"{path}/{e['dir']}" for e in held if e["kb_id"] in touched]
+        result = upsert_chunks(spark.read.parquet(*dirs).select(new.columns), new, scope) if dirs else new
+    version = f"v-{uuid.uuid4().hex}"
+    slot = F.lower(F.hex(F.xxhash64(F.coalesce(F.col("kb_id").cast("string"), F.lit("\u0000")))))
+    result.withColumn("slot", slot).write.partitionBy("slot").parquet(f"{path}/{version}")
+    kept = StructType([result.schema["kb_id"], StructField("slot", StringType())])
+    written = spark.read.schema(kept).parquet(f"{path}/{version}").distinct().collect()
+    fresh = [{"kb_id": r.kb_id, "dir": f"{version}/slot={r.slot}"} for r in written]
+    _swap_manifest(spark, path, [e for e in held if e["kb_id"] not in touched] + fresh)
+    return True
+
+
 def safe_name(c: Column) -> Column:
     name = strip(F.regexp_replace(c, r'[<>:"/\\|?*\x00-\x1f]', "_"))
     return F.when(name == "", "doc").otherwise(name)

@@ -353,3 +353,26 @@ def test_numbers_and_evictions_without_a_window_over_the_key(spark):
     files = [("d", f"n{i}", t) for i, t in enumerate([5, 5, 9, None, 1, None])] + [("e", "only", 1), (None, "x", 1)]
     got = catalog.evict_exports(spark.createDataFrame(files, "doc_id string, name string, mtime int"), 3).collect()
     assert sorted(r.name for r in got) == ["n3", "n4", "n5"]
+
+
+def test_chunks_are_replaced_where_they_are_read(spark, tmp_path):
+    path = str(tmp_path / "chunks")
+    rows = lambda *r: spark.createDataFrame(r, "kb_id string, doc_id int, artifact string, text string")
+    held = lambda: sorted((r.kb_id or "", r.doc_id, r.artifact, r.text) for r in io.read_chunks(spark, path).collect())
+    assert io.read_chunks(spark, path) is None
+    first = rows(("k1", 1, "a", "old"), ("k1", 2, "a", "stays"), ("k2", 3, "a", "x" * 9000), (None, 4, "a", "no kb"))
+    assert io.replace_chunks(path, first, first.select("doc_id"))
+    assert held()[0] == ("", 4, "a", "no kb") and held()[-1] == ("k2", 3, "a", "x" * 8000)
+    before, reader = held(), io.read_chunks(spark, path)
+    assert io.replace_chunks(path, rows(("k1", 1, "a", "new"), ("k1", 1, "b", "more")), rows(("k1", 1, "", "")).select("doc_id"))
+    assert held() == sorted([x for x in before if x[1] != 1] + [("k1", 1, "a", "new"), ("k1", 1, "b", "more")])
+    assert sorted((r.kb_id or "", r.doc_id, r.artifact, r.text) for r in reader.collect()) == before
+    files = sorted(str(p) for p in (tmp_path / "chunks").rglob("*"))
+    assert not io.replace_chunks(path, rows(("k1", 2, "a", "stays")), rows(("k1", 2, "", "")).select("doc_id"))
+    assert files == sorted(str(p) for p in (tmp_path / "chunks").rglob("*"))
+    before = held()
+    broken = rows(("k1", 2, "a", "lost")).withColumn("text", F.when(F.col("doc_id") == 2, F.raise_error(F.lit("halfway"))).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="halfway"):
+        io.replace_chunks(path, broken, broken.select("doc_id"))
+    assert held() == before
+    assert io.replace_chunks(path, rows(), rows(("k2", 3, "", "")).select("doc_id")) and [r[0] for r in held()] == ["", "k1", "k1", "k1"]
