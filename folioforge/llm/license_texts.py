@@ -75,6 +75,10 @@ def _deed(name: str) -> str:
     return f"This work is licensed under a Creative Commons {name} International License."
 
 
+_WHOLE = {f"{p.stem}-text": p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
+if not _WHOLE:  # the package was shipped without its texts
+    raise FileNotFoundError("the folder of whole license texts is missing")
+
 TEMPLATES = {
     # whole texts
     "0bsd-text": f"{_FEE}.\n\n{_ISC_END}",
@@ -85,7 +89,7 @@ TEMPLATES = {
     "mit-text": f"{_GRANT}\n{_AS_IS}",
     "unlicense-text": _UNLICENSE,
     "zlib-text": _ZLIB,
-    **{f"{p.stem}-text": p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))},
+    **_WHOLE,
     # notices and opening sentences
     "agpl-3-header": _gnu("Affero General Public License", "3"),
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",

@@ -65,3 +65,27 @@ def test_edge_rows_and_no_python_in_the_plan(spark, weights):
     assert url_filter.judge_urls(df.limit(0), weights).count() == 0
     assert url_filter.train(url_filter.default_examples(spark).limit(0)) == [0.0] * (2 * url_filter.BUCKETS + 1)
     assert df.filter(F.col("url").isNull()).count() == 1
+
+
+def test_training_against_a_plain_version(spark):
+    """The same gradient steps on a dense matrix."""
+    import numpy as np
+
+    table = url_filter.default_examples(spark).filter("url like '%page%' or label = 1")
+    rows = [(r.url, r.label) for r in table.collect()]
+    x = np.zeros((len(rows), 2 * url_filter.BUCKETS))
+    for i, (url, _) in enumerate(rows):
+        for part, salt, base in zip(cut(url), ("host", "path"), (0, url_filter.BUCKETS)):
+            s = f"^{part}$"
+            grams = [s[k : k + n] for n in url_filter.SIZES for k in range(max(len(s) - n + 1, 1))] if part else []
+            for g in grams:
+                h = xxhash.xxh64_intdigest(g.encode(), xxhash.xxh64_intdigest(salt.encode(), 42))
+                x[i, (h - 2**64 if h >= 2**63 else h) % url_filter.BUCKETS + base] += 1 / len(grams)
+    y, n, ridge = np.array([y for _, y in rows], float), len(rows), 2e-5
+    w, bias = np.zeros(x.shape[1]), 0.0
+    curve = x.sum(axis=0) * 0.5 / n + ridge
+    for _ in range(20):
+        off = (1 / (1 + np.exp(-(x @ w + bias))) - y) / n
+        w, bias = w - (x.T @ off + ridge * w) / curve, bias - off.sum()
+    got = url_filter.train(table)
+    assert len(rows) > 100 and np.abs(np.array(got) - np.append(w, bias)).max() < 1e-8
