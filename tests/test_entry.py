@@ -29,6 +29,9 @@ def test_the_rest_stands_without_the_subpackage(tmp_path):
     assert (n_op, pipeline) == ("0", "False") and int(n) > 100
     (copy / "corpus_pipeline.py").unlink()
     assert names(copy) == [n_op, n, pipeline]
+    run = [sys.executable, "-B", "-m", "pytest", "-q", "-p", "no:cacheprovider", "tests"]
+    assert subprocess.run([*run, "--collect-only"], cwd=copy, capture_output=True).returncode == 0
+    assert subprocess.run([*run, "-k", "tokens or criticality or d4_number"], cwd=copy, capture_output=True).returncode == 0
 
 
 def test_scratch_tables_need_a_shared_folder(spark, monkeypatch):
