@@ -148,12 +148,16 @@ def reorder(docs: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def backfill_order(docs: DataFrame) -> DataFrame:
-    """Docs with sort_order from status group, then newest first within a status, then id; one window per kb."""
+    """Docs with sort_order from status group, then newest first within a status, then id (K9). Places within a status are counted over
+    ranges, and the documents of the groups before are a sum over the few counts of a kb, so a kb may be of any size."""
     group = F.when(F.col("status").isin("parsing", "generating"), 0).when(F.col("status") == "pending", 1).when(F.col("status") == "ready", 2).when(F.col("status") == "done", 3).otherwise(4)
-    rows = docs.withColumn("_g", group)
-    before = F.rank().over(Window.partitionBy("kb_id").orderBy("_g"))
-    own = F.row_number().over(Window.partitionBy("kb_id", "status").orderBy(F.desc("created_at"), "id"))
-    return rows.withColumn("sort_order", 1000.0 * (before + own - 1)).select(docs.columns)
+    rows = docs.withColumn("_g", group).withColumn("_ks", F.struct("kb_id", "status"))
+    counts = rows.groupBy(F.col("kb_id").alias("_kb"), F.col("_g").alias("_gr")).agg(F.count(F.lit(1)).alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy("_kb").orderBy("_gr").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = counts.select("_kb", "_gr", before.alias("_before"))
+    placed = number_within(rows, "_own", "_ks", F.desc("created_at"), "id")
+    placed = placed.join(broadcast_if_small(before), F.col("kb_id").eqNullSafe(F.col("_kb")) & (F.col("_g") == F.col("_gr")))
+    return placed.withColumn("sort_order", 1000.0 * (F.col("_before") + F.col("_own"))).select(docs.columns)
 
 
 def backfill_kbs(kbs: DataFrame) -> DataFrame:
@@ -256,11 +260,22 @@ def number_within(df: DataFrame, name: str, key: str, *order: str | Column) -> D
     return rows.join(broadcast_if_small(first), F.col(key).eqNullSafe(F.col("_key"))).select(*df.columns, (F.col("_n") - F.col("_f") + 1).alias(name))
 
 
+def _component_keys(df: DataFrame) -> DataFrame:
+    key = F.when(F.coalesce("where_id", F.lit("")) != "", F.concat(F.lit("id:"), "where_id")).otherwise(F.concat(F.lit("own:"), norm_ws(F.coalesce("where_text", F.lit("")))))
+    return df.select(key.alias("key"), "ord", "name")
+
+
+def component_rows(df: DataFrame) -> DataFrame:
+    """[grp, key, ord, name] of [ord, name, where_id, where_text] (K16), a row for each member, so a group may be of any size."""
+    rows = _component_keys(df)
+    first = number_rows(rows.groupBy("key").agg(F.min("ord").alias("first")), "grp", "first")
+    return rows.join(broadcast_if_small(first.select("grp", "key")), "key").select("grp", "key", "ord", "name")
+
+
 def group_components(df: DataFrame) -> DataFrame:
     """[grp, key, members] of [ord, name, where_id, where_text] (K16): by id if set, else by normalised text; groups and
-    members in order of first appearance."""
-    key = F.when(F.coalesce("where_id", F.lit("")) != "", F.concat(F.lit("id:"), "where_id")).otherwise(F.concat(F.lit("own:"), norm_ws(F.coalesce("where_text", F.lit("")))))
-    rows = df.groupBy(key.alias("key")).agg(F.min("ord").alias("first"), F.transform(F.sort_array(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]).alias("members"))
+    members in order of first appearance. A group is one row here; ``component_rows`` gives its members as rows."""
+    rows = _component_keys(df).groupBy("key").agg(F.min("ord").alias("first"), F.transform(F.sort_array(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]).alias("members"))
     return number_rows(rows, "grp", "first").select("grp", "key", "members")
 
 

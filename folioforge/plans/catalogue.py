@@ -375,9 +375,18 @@ def k16_group_components(spark, sf):
     return _components(table(spark, sf, "benchmark"))
 
 
+def _located(items: DataFrame) -> DataFrame:
+    return items.selectExpr("item_id as ord", "concat('n', item_id) as name", "case when item_id % 3 = 0 then concat('w', item_id % 4) end as where_id", "concat('Here  ', item_id % 5) as where_text")
+
+
 def _components(items: DataFrame) -> DataFrame:
-    c = items.selectExpr("item_id as ord", "concat('n', item_id) as name", "case when item_id % 3 = 0 then concat('w', item_id % 4) end as where_id", "concat('Here  ', item_id % 5) as where_text")
-    return catalog.group_components(c).select("grp", "key", F.array_join("members", ",").alias("members"))
+    return catalog.group_components(_located(items)).select("grp", "key", F.array_join("members", ",").alias("members"))
+
+
+@query("""with k as (select event_id as ord, 'n' || event_id as name, case when event_id % 3 = 0 then 'id:w' || event_id % 4 else 'own:here' || event_id % 5 end as key from events),
+g as (select key, row_number() over (order by min(ord)) as grp from k group by key) select grp::int as grp, key, ord, name from k join g using (key)""")
+def k16_component_rows(spark, sf):
+    return catalog.component_rows(_located(table(spark, sf, "events").withColumnRenamed("event_id", "item_id")))
 
 
 @query("with " + fx.BLOCKS + """, n as (select doc_id, count(*) filter (where type = 'explain') as e from blocks group by doc_id)
