@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -151,11 +153,20 @@ def assign_summaries(summaries: DataFrame, headings: DataFrame) -> DataFrame:
 
 
 def _assign(wanted: list[str], offered: list[str]) -> list[int]:
-    free, out = list(range(len(offered))), []
-    for w in wanted:
-        at = next((i for i in free if offered[i] == w), free[0] if free else -1)
+    """A queue of places per title and a pointer to the first free place, so every place is passed once."""
+    places: dict[str, deque[int]] = {}
+    for i, title in enumerate(offered):
+        places.setdefault(title, deque()).append(i)
+    used, first, out = [False] * len(offered), 0, []
+    for title in wanted:
+        own = places.get(title, ())
+        while own and used[own[0]]:
+            own.popleft()
+        while first < len(offered) and used[first]:
+            first += 1
+        at = own.popleft() if own else first if first < len(offered) else -1
         if at >= 0:
-            free.remove(at)
+            used[at] = True
         out.append(at)
     return out
 

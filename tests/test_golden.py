@@ -376,3 +376,25 @@ def test_chunks_are_replaced_where_they_are_read(spark, tmp_path):
         io.replace_chunks(path, broken, broken.select("doc_id"))
     assert held() == before
     assert io.replace_chunks(path, rows(), rows(("k2", 3, "", "")).select("doc_id")) and [r[0] for r in held()] == ["", "k1", "k1", "k1"]
+
+
+def test_summaries_are_assigned_in_linear_time():
+    import random
+    import time
+
+    def plain(wanted, offered):
+        free, out = list(range(len(offered))), []
+        for w in wanted:
+            at = next((i for i in free if offered[i] == w), free[0] if free else -1)
+            if at >= 0:
+                free.remove(at)
+            out.append(at)
+        return out
+
+    rng = random.Random(1)
+    for _ in range(500):
+        wanted, offered = ([rng.choice("abcde") for _ in range(rng.randint(0, 12))] for _ in range(2))
+        assert blocks._assign(wanted, offered) == plain(wanted, offered)
+    many = [f"t{i % 1000}" for i in range(100_000)]
+    began = time.time()
+    assert sorted(blocks._assign(many[::-1], many)) == list(range(100_000)) and time.time() - began < 5

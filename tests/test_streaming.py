@@ -181,3 +181,27 @@ def test_a_hot_subscriber_costs_its_cap_a_task(spark):
 
     plan = queues.newest_ids(df, "subscriber", "_id", 50)._jdf.queryExecution().toString().split("Physical Plan")[1]
     assert plan.index("Exchange") < plan.index("MapInArrow")  # the tasks' own choice comes before the exchange (plans read upwards)
+
+
+def test_an_idle_document_leaves_no_state(spark, tmp_path):
+    import time
+
+    src, out, ckpt = (str(tmp_path / x) for x in ("in", "out", "ckpt"))
+    row = lambda k, op, text=None: (1, k, op, "n", None, None, None, text, None)
+    put = lambda *rows: spark.createDataFrame(rows, OP).coalesce(1).write.mode("append").parquet(src)
+    put(row(0, "insert"), row(1, "append", "a"))
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    keep = lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("append").parquet(out)
+    q = trees.fold_tree_stream(spark.readStream.schema(OP).parquet(src), 2000).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", ckpt).trigger(processingTime="500 milliseconds").start()
+    try:
+        for _ in range(120):
+            time.sleep(0.5)
+            sizes = [x["numRowsTotal"] for p in q.recentProgress for x in p["stateOperators"]]
+            if sizes and max(sizes) > 0 and sizes[-1] == 0:
+                break
+        assert max(sizes) > 0 and sizes[-1] == 0
+    finally:
+        q.stop()
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    assert [(r.id, r.md) for r in spark.read.parquet(out).collect()] == [("n", "a")]
