@@ -8,7 +8,9 @@ at line feeds.
 from __future__ import annotations
 
 import html
+import re
 from collections.abc import Callable
+from html import entities
 
 import pandas as pd
 from pyspark.sql import Column
@@ -76,13 +78,16 @@ def norm_ws(c: Column) -> Column:
     return F.lower(F.translate(c, SPACES, ""))
 
 
-def html_title(c: Column) -> Column:
+def html_title(c: Column, unfinished: bool = True) -> Column:
     """Text of the first title element: white space collapsed, entities and character references resolved, trimmed. Only
-    titles with ``&`` go through the standard library's table of entities, in Arrow batches."""
+    titles with ``&`` go through the standard library's table of entities, in Arrow batches. ``unfinished``: those without
+    a semicolon (``&amp``, as where a title was cut) are resolved too, as browsers do; else they stay."""
+    pattern = re.compile("&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);")
 
     @F.pandas_udf("string")
     def resolved(s: pd.Series) -> pd.Series:
-        return s.map(html.unescape, na_action="ignore")
+        one = lambda m: html.unescape(m[0]) if m[0][1] == "#" else entities.html5.get(m[0][1:], m[0])
+        return s.map(html.unescape if unfinished else lambda x: pattern.sub(one, x), na_action="ignore")
 
     t = F.regexp_replace(F.regexp_extract(c, r"(?is)<title[^>]*>(.*?)</title>", 1), f"{SPACE}+", " ")
     return strip(F.coalesce(resolved(F.when(F.contains(t, F.lit("&")), t)), t))

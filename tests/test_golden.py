@@ -216,6 +216,12 @@ def test_titles_with_entities(spark):
     assert {r.h: r.t for r in df.collect()} == {**html, None: None}
 
 
+def test_unfinished_entities_are_resolved_or_stay(spark):
+    df = spark.createDataFrame([("<title>the&amp;&amp;&amp</title>",), ("<title>a&notit; &lt;&#65;&#x42;&#67</title>",)], "h string")
+    got = [tuple(r) for r in df.select(t.html_title(F.col("h")), t.html_title(F.col("h"), unfinished=False)).collect()]
+    assert got == [("the&&&", "the&&&amp"), ("a¬it; <ABC", "a&notit; <AB&#67")]
+
+
 def test_search_ranks_by_the_similarity_itself(spark):
     unit = lambda c: [c, (1 - c * c) ** 0.5]
     q = spark.createDataFrame([(1, [2.0, 0.0], []), (2, [0.0, 0.0], []), (3, None, []), (4, [1.0, 0.0, 0.0], None), (5, [1.0, 0.0], ["k2"]), (6, [float("nan"), 1.0], [])], "query_id long, vec array<double>, kb_ids array<string>")
