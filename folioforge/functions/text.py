@@ -62,16 +62,21 @@ def estimate_tokens(c: Column) -> Column:
 
 def tail_by_tokens(c: Column, max_tokens: int) -> Column:
     """The whole text if it fits, else its longest fitting suffix of a multiple of 1000 characters, at least 1000, from
-    the line after the first line end if that comes within 200 characters."""
-    def fits(k: Column) -> Column:
-        return estimate_tokens(F.right(c, k)) <= max_tokens
-
-    steps = F.when(F.length(c) > 1000, F.sequence(F.lit(1000), F.length(c) - 1, F.lit(1000))).otherwise(F.array().cast("array<int>"))
-    best = F.coalesce(F.array_max(F.filter(steps, fits)), F.lit(1000))
-    tail = F.right(c, best)
-    at = F.instr(tail, "\n")
-    cut = F.when((at > 1) & (at <= 200), F.substr(tail, at + 1)).otherwise(tail)
-    return F.when(estimate_tokens(c) <= max_tokens, c).otherwise(cut)
+    the line after the first line end if that comes within 200 characters. A character counts 1/3.5 tokens at least, so nothing
+    longer than ``far`` fits, and only the last ``far`` characters are measured."""
+    far = max(int((max_tokens + 1) * 3.5) + 1, 1000)
+    fits = lambda x: estimate_tokens(x) <= max_tokens
+
+    def last(x: Column) -> Column:
+        steps = F.when(x.n > 1000, F.sequence(F.lit(1000), F.least(x.n - 1, F.lit(far)), F.lit(1000))).otherwise(F.array().cast("array<int>"))
+        best = F.coalesce(F.array_max(F.filter(steps, lambda k: fits(F.right(x.end, k)))), F.lit(1000))
+        return F.when((x.n <= far) & fits(x.end), x.end).otherwise(let(F.right(x.end, best), cut))
+
+    def cut(tail: Column) -> Column:
+        at = F.instr(tail, "\n")
+        return F.when((at > 1) & (at <= 200), F.substr(tail, at + 1)).otherwise(tail)
+
+    return let(F.when(c.isNotNull(), F.struct(F.length(c).alias("n"), F.right(c, F.lit(far)).alias("end"))), last)
 
 
 def norm_ws(c: Column) -> Column:

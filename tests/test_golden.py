@@ -1,6 +1,7 @@
 """Hand-made cases with known answers."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -216,6 +217,13 @@ def test_titles_with_entities(spark):
     assert {r.h: r.t for r in df.collect()} == {**html, None: None}
 
 
+def test_the_tail_of_a_long_text_is_measured_alone(spark):
+    df = one(spark, "é" * 4_000_000).select(t.tail_by_tokens(F.col("text"), 500).alias("x"), t.tail_by_tokens(F.col("text"), 600).alias("y"))
+    start = time.monotonic()
+    r = df.first()
+    assert (len(r.x), len(r.y)) == (1000, 2000) and time.monotonic() - start < 30
+
+
 def test_unfinished_entities_are_resolved_or_stay(spark):
     df = spark.createDataFrame([("<title>the&amp;&amp;&amp</title>",), ("<title>a&notit; &lt;&#65;&#x42;&#67</title>",)], "h string")
     got = [tuple(r) for r in df.select(t.html_title(F.col("h")), t.html_title(F.col("h"), unfinished=False)).collect()]
