@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -11,6 +12,20 @@ from folioforge.streaming import blocks, events, trees
 OP = "doc_id long, _id long, op string, id string, type string, parent string, props string, text string, nodes string"
 
 
+def test_a_long_line_in_small_pieces_is_read_once(spark):
+    n = 400_000
+    d = spark.range(n).selectExpr("1L as doc_id", "id as seq", f"case when id = 0 then '@@tip 1\n' when id = {n - 1} then '\n@@end' when id % 9 = 3 then null else 'abcdefg' end as delta")
+    start = time.monotonic()
+    r = blocks.read_blocks(d).first()
+    assert (r.type, r.target, len(r.content)) == ("tip", "1", 7 * sum(i % 9 != 3 for i in range(1, n - 1))) and time.monotonic() - start < 30
+
+
+def test_lines_that_only_start_like_a_marker(spark):
+    text = "``x\n@ @tip\n@@ x\n@@tip 1\n<!-x\n #a\n@@ END \n <!-- page:1 -->\n@@\n@@end"
+    got = {m: [tuple(r) for r in blocks.read_blocks(spark.createDataFrame([(None, 0, text)], "doc_id long, seq int, delta string"), m).collect()] for m in ("pass1", "pass2")}
+    assert got == {"pass1": [], "pass2": [(None, 0, "tip", "1", "<!-x\n #a")]}
+
+
 def ops(rows):
     return [(1, i, *(r.get(k) for k in ("op", "id", "type", "parent", "props", "text", "nodes"))) for i, r in enumerate(rows)]
 
