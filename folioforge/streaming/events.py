@@ -9,6 +9,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,9 +78,13 @@ def apply_op(nodes: dict, op: dict) -> None:
                 del nodes[c]
 
 
+def _columns(nodes: dict) -> dict[str, list]:
+    shown = {"type": lambda v: v["type"], "parent": lambda v: v["parent"], "props": lambda v: json.dumps(v["props"], sort_keys=True, separators=(",", ":")), "md": lambda v: "".join(v["md"])}
+    return {"id": list(nodes)} | {c: [f(v) for v in nodes.values()] for c, f in shown.items()}
+
+
 def _rows(doc_id, nodes: dict) -> pd.DataFrame:
-    rows = [(doc_id, k, v["type"], v["parent"], json.dumps(v["props"], sort_keys=True, separators=(",", ":")), "".join(v["md"])) for k, v in nodes.items()]
-    return pd.DataFrame(rows, columns=["doc_id", "id", "type", "parent", "props", "md"])
+    return pd.DataFrame({"doc_id": [doc_id] * len(nodes)} | _columns(nodes))
 
 
 def _records(pdf: pd.DataFrame) -> list[dict]:
@@ -87,7 +92,8 @@ def _records(pdf: pd.DataFrame) -> list[dict]:
 
 
 def fold_ops(ops: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
-    """Nodes of every document after its operations in ``_id`` order, from nothing or from a snapshot (T4, T5)."""
+    """Nodes of every document after its operations in ``_id`` order, from nothing or from a snapshot (T4, T5). A document's
+    operations are gathered and sorted by the engine, which costs nothing for each document in Python but the folding."""
     ship_package(ops.sparkSession)
     cols = ["doc_id", "_id", "op", "id", "type", "parent", "props", "text", "nodes"]
     rows = ops.select(cols)
@@ -97,13 +103,21 @@ def fold_ops(ops: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
         none = F.lit(None).cast("string")
         rows = rows.unionByName(start.select("doc_id", F.lit(-1).cast("long").alias("_id"), F.lit("replace").alias("op"), *(none.alias(c) for c in ("id", "type", "parent", "props", "text")), "nodes"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = new_tree()
-        for op in _records(pdf):
-            apply_op(nodes, op)
-        return _rows(pdf["doc_id"].iloc[0], nodes)
-
-    return rows.groupBy("doc_id").applyInPandas(run, _node(ops))
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "type", "parent", "props", "md"]
+        for b in parts:
+            at, out = [], []
+            for i, held in enumerate(b.column("ops")):
+                nodes = new_tree()
+                for op in held.as_py():
+                    apply_op(nodes, op)
+                out.append(_columns(nodes))
+                at += [i] * len(nodes)
+            cols = [pa.array([v for p in out for v in p[c]], pa.string()) for c in names]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), *cols], ["doc_id", *names])
+
+    own = F.sort_array(F.collect_list(F.struct(*cols[1:])))
+    return rows.groupBy("doc_id").agg(own.alias("ops")).mapInArrow(run, _node(ops))
 
 
 def fold_text(ops: DataFrame) -> DataFrame:

@@ -26,6 +26,14 @@ def test_lines_that_only_start_like_a_marker(spark):
     assert got == {"pass1": [], "pass2": [(None, 0, "tip", "1", "<!-x\n #a")]}
 
 
+def test_documents_are_folded_in_batches(spark, sf, capsys):
+    folded = events.fold_ops(logs.render_ops(spark, sf))
+    folded.explain()
+    assert "FlatMapGroupsInPandas" not in capsys.readouterr().out
+    rows = spark.createDataFrame([(None, 1, "append", "n1", None, None, None, "b", None), (None, 0, "insert", "n1", None, None, None, None, None), (7, 2, "remove", "n1", None, None, None, None, None)], OP)
+    assert [tuple(r) for r in events.fold_ops(rows).collect()] == [(None, "n1", None, "root", "{}", "b")]
+
+
 def ops(rows):
     return [(1, i, *(r.get(k) for k in ("op", "id", "type", "parent", "props", "text", "nodes"))) for i, r in enumerate(rows)]
 
