@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions.text import NO_SPACE, SPACE, strip, unnumbered
 from folioforge.operators.lines import HEADING
-from folioforge.session import broadcast_if_small
+from folioforge.session import broadcast_if_small, spread
 
 # fixed values: patterns of lines, without the white space around them
 END = rf"(?i)^@@{SPACE}*end$"
@@ -26,7 +26,7 @@ def _before():
 
 
 def _lines(df: DataFrame) -> DataFrame:
-    rows = df.select("doc_id", "text").repartition("doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    rows = spread(df.select("doc_id", "text"), "doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     s, at = strip(F.col("line")), F.contains("line", F.lit("@@"))
     rows = rows.withColumns({"is_end": at & s.rlike(END), "type": F.when(at, F.nullif(F.regexp_extract(s, START, 1), F.lit(""))), "target": F.when(at, F.regexp_extract(s, START, 2)).otherwise("")})
     return rows.withColumn("type", F.when(~F.col("is_end"), F.col("type")))

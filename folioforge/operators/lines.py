@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import SPACE, is_blank, marked, num_of, rstrip, strip, unnumbered
+from folioforge.session import spread
 
 # fixed values: patterns of lines
 FENCE = rf"^{SPACE}*(```|~~~)"
@@ -54,13 +55,13 @@ def explode_lines(df: DataFrame, placed: bool = False) -> DataFrame:
     """[doc_id, line_no, line, in_fence], line numbers from 0 (D1). ``placed``: the documents already lie by doc_id, so
     they are not exchanged first."""
     docs = df.select("doc_id", "text")
-    docs = docs if placed else docs.repartition("doc_id")
+    docs = docs if placed else spread(docs, "doc_id")
     return _fenced(docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")))
 
 
 def page_blocks(df: DataFrame) -> DataFrame:
     """[doc_id, ord, page_no, text]: blocks that start at full-line page markers; fences do not matter."""
-    lines = df.select("doc_id", "text").repartition("doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = spread(df.select("doc_id", "text"), "doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     lines = lines.withColumn("ord", _count(marked(F.col("line"), "<!--", PAGE), _so_far()))
     page = F.when(F.contains("line", F.lit("<!--")), F.nullif(F.regexp_extract("line", PAGE, 1), F.lit("")).cast("int"))
     rows = F.sort_array(F.collect_list(F.struct("line_no", "line")))

@@ -6,7 +6,8 @@ import random
 import duckdb
 from pyspark.sql import functions as F
 
-from folioforge.operators import catalog, citations, packing, retrieval
+from folioforge import session
+from folioforge.operators import catalog, citations, lines, packing, retrieval
 from folioforge.plans import registry
 
 
@@ -62,6 +63,23 @@ def test_windows_do_not_depend_on_the_cut_into_stretches():
         assert all(len(t["need"]) <= cap + 2 for t in tables)
 
 
+def test_exchanges_by_document_grow_with_the_files(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    parts = lambda: lines.explode_lines(docs).select(F.spark_partition_id()).distinct().count()
+    few = parts()
+    monkeypatch.setattr(session, "PART_BYTES", 5000)
+    assert few <= spark.sparkContext.defaultParallelism and parts() > 30
+    assert lines.explode_lines(spark.createDataFrame([(1, "a\nb")], "doc_id long, text string")).count() == 2
+
+
+def test_top_k_does_not_depend_on_how_much_a_task_holds(spark, sf, monkeypatch):
+    run = lambda: {tuple(r) for r in registry.queries()["r1_cosine_topk"](spark, sf).collect()}
+    want = run()
+    monkeypatch.setattr(retrieval, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(retrieval, "KEPT_ROWS", 50)
+    assert run() == want and want
+
+
 def test_line_ends_of_files_stay_apart(spark, tmp_path):
     texts = [(0, "a\nb"), (3, "aa\n\nea\n"), (2, "a\n"), (5, "xe\n"), (6, None)]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
