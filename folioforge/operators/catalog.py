@@ -9,6 +9,8 @@ from folioforge.functions.text import cut_meta_keys, norm_ws
 from folioforge.session import broadcast_if_small, materialize
 
 RUNNING = ("parsing", "generating", "fetching")
+#: Lines of a block of an overview, bytes of overviews a task writes, bytes of lines that are broadcast, shares of a kb beyond that.
+OVERVIEW_LINES, OVERVIEW_BYTES, BROADCAST_BYTES, SHARES = 256, 128 << 20, 64 << 20, 32
 
 
 def list_kbs(kbs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -196,13 +198,34 @@ def _brief(own: Column | None = None) -> Column:
 def kb_overview(docs: DataFrame, current: DataFrame) -> DataFrame:
     """[doc_id, overview] for current documents [doc_id] (K13), from docs [id, kb_id, name, title, digest, enabled, preset_id,
     organized, created_at]: a line for every other document of the kb that is not explicitly disabled and has a preset
-    and a text, oldest first, the current one last."""
-    cur = current.select(F.col("doc_id").alias("cur")).join(docs.select(F.col("id").alias("cur"), "kb_id"), "cur")
-    rows = cur.join(docs, "kb_id")
-    own = F.col("id") == F.col("cur")
-    rows = rows.filter(own | (F.coalesce("enabled", F.lit(True)) & F.col("preset_id").isNotNull() & F.col("organized")))
-    line = F.struct(own.alias("own"), F.when(~own, F.col("created_at")).alias("t"), "id", _brief(own).alias("x"))
-    return rows.groupBy(F.col("cur").alias("doc_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda r: r.x), "\n").alias("overview"))
+    and a text, oldest first, the current one last.
+
+    An overview holds its kb's lines, so the result grows with documents asked times lines. The lines are joined once, in blocks of
+    ``OVERVIEW_LINES``; a current document puts its own block together anew and takes the others as they are. Current documents are
+    dealt out by the bytes they will write. ``kb_lines`` gives the same without copies.
+    """
+    lines = materialize(kb_lines(docs.filter("kb_id is not null")).withColumn("block", ((F.col("place") - 1) / OVERVIEW_LINES).cast("int")))
+    text = lambda order, x: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("k"), F.col(x).alias("x")))), lambda r: r.x), "\n")
+    shown = lines.filter("place is not null")
+    blocks = shown.groupBy("kb_id", "block").agg(text("place", "line").alias("text"))
+    kept = F.transform(F.sort_array(F.collect_list(F.struct("block", "text"))), lambda r: r.text)
+    kbs = materialize(blocks.groupBy("kb_id").agg(kept.alias("texts"), F.sum(F.octet_length("text")).alias("bytes")))
+    asked = materialize(current.select("doc_id").distinct().join(lines.drop("line"), "doc_id"))
+    others = shown.select("kb_id", "block", F.col("place").alias("p"), "line")
+    own = asked.join(others, ["kb_id", "block"]).filter("p <> place").groupBy("doc_id").agg(text("p", "line").alias("rest"))
+    rows = asked.join(own, "doc_id", "left")
+    size = asked.groupBy("kb_id").count().join(kbs, "kb_id").agg(F.sum(F.col("count") * F.col("bytes"))).first()[0] or 0
+    parts = max(-(-size // OVERVIEW_BYTES), asked.sparkSession.sparkContext.defaultParallelism)
+    if (kbs.agg(F.sum("bytes")).first()[0] or 0) <= BROADCAST_BYTES:
+        rows = rows.repartition(parts, "doc_id").join(F.broadcast(kbs), "kb_id", "left")
+    else:  # copies of a kb's blocks meet shares of its documents
+        share = F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)).cast("int")
+        copies = kbs.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+        rows = rows.withColumn("share", share).repartition(parts, "kb_id", "share").join(copies.hint("shuffle_hash"), ["kb_id", "share"], "left")
+    texts = F.coalesce("texts", F.array().cast("array<string>"))
+    before, after = F.slice("texts", F.lit(1), F.col("block")), F.slice("texts", F.col("block") + 2, F.size("texts"))
+    pieces = F.when(F.col("block").isNull(), texts).otherwise(F.concat(before, F.array("rest"), after))
+    return rows.select("doc_id", F.array_join(F.array_append(pieces, F.col("own_line")), "\n").alias("overview"))
 
 
 def kb_lines(docs: DataFrame) -> DataFrame:

@@ -80,6 +80,23 @@ def test_top_k_does_not_depend_on_how_much_a_task_holds(spark, sf, monkeypatch):
     assert run() == want and want
 
 
+def test_overviews_are_dealt_out_by_their_bytes(spark, monkeypatch):
+    docs = spark.range(900).selectExpr("id", "case when id % 10 = 9 then null else 'k' end as kb_id", "concat('n', id) as name", "cast(null as string) as title", "'' as digest", "id % 3 <> 0 as enabled", "'p' as preset_id", "id % 2 = 0 as organized", "cast(id div 2 as string) as created_at")
+    asked = docs.selectExpr("id as doc_id")
+    line = lambda r, own="": f"- 《{r.name}》 ｜ doc_id={r.id}{own}"
+    held = [r for r in docs.collect() if r.kb_id]
+    shown = sorted((r for r in held if r.enabled and r.organized), key=lambda r: (r.created_at, r.id))
+    want = {r.id: "\n".join([*(line(x) for x in shown if x.id != r.id), line(r, "（本文档）")]) for r in held}
+    monkeypatch.setattr(catalog, "OVERVIEW_BYTES", 100_000)
+    for n, most in ((256, 1 << 20), (7, 0), (1, 0)):
+        monkeypatch.setattr(catalog, "OVERVIEW_LINES", n)
+        monkeypatch.setattr(catalog, "BROADCAST_BYTES", most)
+        got = catalog.kb_overview(docs, asked)
+        assert {r.doc_id: r.overview for r in got.collect()} == want
+        if most:
+            assert got.select(F.spark_partition_id()).distinct().count() > 20
+
+
 def test_line_ends_of_files_stay_apart(spark, tmp_path):
     texts = [(0, "a\nb"), (3, "aa\n\nea\n"), (2, "a\n"), (5, "xe\n"), (6, None)]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
