@@ -140,3 +140,15 @@ def test_similar_names_do_not_depend_on_blocks(spark):
     for size in (512, 3):
         got = [tuple(r) for r in citations.resolve_images(refs, manifest, 0.6, size).collect()]
         assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_few_pairs_are_scored_and_sorted(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "HEAD", 6)
+    vec = lambda n, seed: "array(" + ", ".join(f"randn({seed + i})" for i in range(n)) + ")"
+    rows = spark.range(6000).selectExpr("id", "concat('k', id % 3) as kb_id", "id as doc_id", f"case when id % 1000 = 7 then array(1e-80D, 2e-80D) when id % 3 = 2 then {vec(8, 0)} else {vec(5, 200)} end as embedding")
+    q = rows.filter("id % 300 in (0, 2, 7)").selectExpr("id as query_id", "embedding as vec", "case when id % 2 = 0 then array(kb_id) else array() end as kb_ids")
+    rows, q = session.materialize(rows), session.materialize(q)
+    pairs = retrieval._sql_pairs(q, rows, 3).filter("size(vec) = 5")
+    assert pairs.count() < q.filter("size(vec) = 5").count() * 4000 / 4
+    found = [{tuple(r) for r in retrieval.cosine_topk(q, rows, 3, method=m).collect()} for m in ("sql", "arrow")]
+    assert found[0] == found[1] and len(found[0]) == 3 * q.count()
