@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import itertools
 import re
 from urllib.parse import quote, unquote
 
@@ -17,6 +18,8 @@ from folioforge.session import broadcast_if_small, materialize
 CIRCLED = "①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳"
 #: Marks a callout at a section's end until the blank lines before it are settled.
 SLOT = "\u0001"
+#: Similar names meet by chosen digits where no name has more choices than this.
+CHOICES = 64
 REF = ["n", "chunk_id", "kb_id", "ref_doc", "doc_name", "anchor", "breadcrumb", "section_num", "text", "kind"]
 
 
@@ -116,33 +119,83 @@ def assembly_warnings(docs: DataFrame, pieces: DataFrame) -> DataFrame:
     return bad.unionByName(gone)
 
 
+def _counted(text: Column) -> Column:
+    """The characters of a text, equal ones counted, so that two texts share as many of these as they share characters."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    return F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == c)).cast("string")))
+
+
 def _rare_first(names: DataFrame, cutoff: float, often: DataFrame) -> DataFrame:
-    """[dir, name, size, token]: the rarest characters of each name, as many as leave out no pair. A ratio of ``cutoff`` takes so many
-    common characters (equal ones counted) that two such names must share one among the rarest of both."""
-    chars = F.split("name", "")
-    token = F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == c)).cast("string")))
-    rows = names.select("dir", "name", F.char_length("name").alias("size"), F.explode(token).alias("token"))
+    """[dir, name, size, token, rare]: the rarest characters of each name, as many as leave out no pair, one a row and all of them in
+    order. A ratio of ``cutoff`` takes so many common characters (equal ones counted) that two such names must share one among the
+    rarest of both."""
+    rows = names.select("dir", "name", F.char_length("name").alias("size"), F.explode(_counted(F.col("name"))).alias("token"))
     rows = rows.join(broadcast_if_small(often, 100_000), "token", "left")
     place = F.row_number().over(Window.partitionBy("dir", "name").orderBy(F.coalesce("n", F.lit(0)), "token"))
     shared = F.greatest(F.ceil(F.col("size") * (cutoff / (2 - cutoff)) - 1e-9), F.lit(1))
-    return rows.withColumn("place", place).filter(F.col("place") <= F.col("size") - shared + 1).select("dir", "name", "size", "token")
+    rows = rows.withColumn("place", place).filter(F.col("place") <= F.col("size") - shared + 1)
+    every = Window.partitionBy("dir", "name").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return rows.select("dir", "name", "size", "token", F.collect_list("token").over(every).alias("rare"))
+
+
+def _near_shapes(refs: DataFrame, manifest: DataFrame, cutoff: float) -> DataFrame:
+    """[dir, name, other]: distinct pairs among which are all whose ratio can reach ``cutoff``, each made where its first shared rare
+    character is, so that no pairs are exchanged."""
+    often = materialize(manifest.select(F.explode(_counted(F.col("name"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    asked, held = _rare_first(refs, cutoff, often), _rare_first(manifest, cutoff, often)
+    pairs = asked.join(held.select("dir", F.col("name").alias("other"), F.col("size").alias("o"), "token", F.col("rare").alias("own")), ["dir", "token"])
+    long = 2 * F.least("size", "o") >= cutoff * (F.col("size") + F.col("o")) - 1e-9
+    return pairs.filter(long & (F.get(F.array_intersect("rare", "own"), F.lit(0)) == F.col("token"))).select("dir", "name", "other")
+
+
+def _near_blocks(refs: DataFrame, manifest: DataFrame, cutoff: float, block_names: int) -> DataFrame:
+    """[dir, name, names]: each name with those of its directory, at most ``block_names`` in a row, among which are all whose ratio
+    reaches ``cutoff``.
+
+    Names are first compared by shape, in which every digit is a 0. What two shapes can share of other characters tells how many digits
+    two names must share, in order; names meet by each choice of so many of their digits, where there are at most ``CHOICES``. Else
+    all names of both shapes meet, block by block. Only names and numbers of blocks are exchanged, never pairs.
+    """
+    shaped = lambda df: materialize(df.select("dir", "name", F.regexp_replace("name", "[0-9]", "0").alias("shape"), F.regexp_replace("name", "[^0-9]", "").alias("digits")).dropna())
+    asked, held = shaped(refs), shaped(manifest)
+    shapes = lambda df: df.select("dir", F.col("shape").alias("name")).distinct()
+    other = lambda c: F.replace(c, F.lit("0"), F.lit(""))
+    digits = lambda c: F.char_length(c) - F.char_length(other(c))
+    ways = lambda n: F.when(n == F.col("need"), 1).otherwise(F.coalesce(F.factorial(n) / (F.factorial("need") * F.factorial(n - F.col("need"))), F.lit(float("inf"))))
+    pairs = _near_shapes(shapes(asked), shapes(held), cutoff).withColumns({"n": digits("name"), "o": digits("other")})
+    shared = F.size(F.array_intersect(_counted(other("name")), _counted(other("other"))))
+    need = F.ceil((F.char_length("name") + F.char_length("other")) * (cutoff / 2) - 1e-9) - shared
+    pairs = pairs.withColumn("need", F.greatest(need, F.lit(0)).cast("int")).filter(F.col("need") <= F.least("n", "o"))
+    few = (F.col("need") > 1) & (F.greatest(ways(F.col("n")), ways(F.col("o"))) <= CHOICES)
+    pairs = materialize(pairs.select("dir", F.col("name").alias("shape"), F.col("other").alias("held"), F.when(few, F.col("need")).otherwise(0).alias("need")))
+
+    @F.pandas_udf("array<string>")
+    def choices(digits: pd.Series, need: pd.Series) -> pd.Series:
+        return pd.Series([sorted({"".join(c) for c in itertools.combinations(d, n)}) for d, n in zip(digits, need)], dtype=object)
+
+    key = F.explode(choices("digits", "need")).alias("key")
+    asked = asked.join(broadcast_if_small(pairs), ["dir", "shape"]).select("dir", "name", "held", "need", key)
+    kinds = pairs.select("dir", "held", "need").distinct()
+    held = held.withColumnRenamed("shape", "held").join(broadcast_if_small(kinds), ["dir", "held"]).select("dir", "name", "held", "need", key)
+    at = ["dir", "held", "need", "key"]
+    block = ((F.row_number().over(Window.partitionBy(*at).orderBy("name")) - 1) / block_names).cast("int")
+    blocks = materialize(held.withColumn("block", block).groupBy(*at, "block").agg(F.sort_array(F.collect_list("name")).alias("names")))
+    last = blocks.groupBy(*at).agg(F.max("block").alias("last"))
+    met = asked.join(last, at).select("name", *at, F.explode(F.sequence(F.lit(0), F.col("last"))).alias("block"))
+    spark = refs.sparkSession  # a stated number of parts is not merged again: a row stands for many comparisons
+    met = met.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *at, "block")
+    return met.join(blocks, [*at, "block"]).select("dir", "name", "names")
 
 
 def near_candidates(refs: DataFrame, manifest: DataFrame, cutoff: float) -> DataFrame:
     """[dir, name, other]: distinct pairs within a directory among which are all whose ratio reaches ``cutoff``."""
-    chars = F.split("name", "")
-    token = F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == c)).cast("string")))
-    often = materialize(manifest.select(F.explode(token).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")))
-    asked, held = _rare_first(refs, cutoff, often), _rare_first(manifest, cutoff, often)
-    pairs = asked.join(held.select("dir", F.col("name").alias("other"), F.col("size").alias("o"), "token"), ["dir", "token"])
-    return pairs.filter(2 * F.least("size", "o") >= cutoff * (F.col("size") + F.col("o")) - 1e-9).select("dir", "name", "other").distinct()
+    return _near_blocks(refs, manifest, cutoff, 512).select("dir", "name", F.explode("names").alias("other")).distinct()
 
 
 def resolve_images(refs: DataFrame, manifest: DataFrame, cutoff: float = 0.85, block_names: int = 512) -> DataFrame:
     """[dir, name, resolved] (X5): the exact name, else the most similar one of the same directory (of equals the greatest),
-    else null. What has no exact match is compared with the names that share a rare character with it (``near_candidates``), at
-    most ``block_names`` of them in a row, so neither rows nor comparisons grow with the square of a directory of unlike names. A
-    null dir or name resolves to null."""
+    else null. What has no exact match is compared with the names whose digits and other characters can be alike enough
+    (``_near_blocks``), at most ``block_names`` of them in a row. A null dir or name resolves to null."""
     m = manifest.select("dir", "name").distinct()
     exact = refs.join(m, ["dir", "name"], "left_semi").select("dir", "name", F.col("name").alias("resolved"))
     rest = refs.join(m, ["dir", "name"], "left_anti").select("dir", "name")
@@ -153,9 +206,7 @@ def resolve_images(refs: DataFrame, manifest: DataFrame, cutoff: float = 0.85, b
         rows = [(difflib.SequenceMatcher(None, f[0], n).ratio(), f[0]) if f else (None, None) for n, f in zip(name, found)]
         return pd.DataFrame({"score": pd.Series([r[0] for r in rows], dtype="float64"), "name": pd.Series([r[1] for r in rows], dtype=object)})
 
-    near = near_candidates(rest.dropna().distinct(), m, cutoff)
-    block = ((F.row_number().over(Window.partitionBy("dir", "name").orderBy("other")) - 1) / block_names).cast("int")
-    near = near.withColumn("block", block).groupBy("dir", "name", "block").agg(F.sort_array(F.collect_list("other")).alias("names"))
+    near = _near_blocks(rest.distinct(), m, cutoff, block_names)
     best = near.select("dir", "name", closest("name", "names").alias("c")).filter("c.name is not null").groupBy("dir", "name").agg(F.max("c").alias("c"))
     return exact.unionByName(rest.join(best, ["dir", "name"], "left").select("dir", "name", F.col("c.name").alias("resolved")))
 

@@ -152,3 +152,27 @@ def test_few_pairs_are_scored_and_sorted(spark, monkeypatch):
     assert pairs.count() < q.filter("size(vec) = 5").count() * 4000 / 4
     found = [{tuple(r) for r in retrieval.cosine_topk(q, rows, 3, method=m).collect()} for m in ("sql", "arrow")]
     assert found[0] == found[1] and len(found[0]) == 3 * q.count()
+
+
+def test_similar_names_with_digits(spark):
+    rng = random.Random(5)
+    kinds = ("img_in_chart_box_{}_{}.jpg", "img_in_image_box_{}_{}.jpg", "p{}_{}", "{}{}", "😀{}é{}.png", "scan {} of {}", "{}_{}_a_b_c_d_e_f_g_h")
+    word = lambda: rng.choice(kinds).format(rng.randrange(10 ** rng.randint(1, 12)), rng.randrange(30))
+    names = sorted({(d, word()) for _ in range(300) for d in "xy"})
+    near = lambda n: "".join(rng.choice("0123456789") if c.isdigit() and rng.random() < 0.1 else c for c in n).replace("chart", "image")
+    asked = sorted({(rng.choice("xy"), near(n) if i % 3 else word()) for i, (_, n) in enumerate(names)}) + [("x", ""), ("x", None)]
+    refs, manifest = spark.createDataFrame(asked, "dir string, name string"), spark.createDataFrame([*names, ("x", None), (None, "1")], "dir string, name string")
+    for cutoff, size in ((0.85, 512), (0.85, 7), (0.6, 512)):
+        want = []
+        for d, n in asked:
+            own = [b for a, b in names if a == d]
+            close = [n] if n in own else difflib.get_close_matches(n, own, n=1, cutoff=cutoff) if n is not None else []
+            want.append((d, n, close[0] if close else None))
+        assert sum(w[2] not in (None, w[1]) for w in want) > 50
+        assert sorted(map(tuple, citations.resolve_images(refs, manifest, cutoff, size).collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_like_names_meet_by_their_digits(spark):
+    rows = spark.range(100_000, 104_000).selectExpr("id % 2 as dir", "concat('_box_', id, '_', id * 7 % 100, '.jpg') as name")
+    refs, manifest = (rows.selectExpr("dir", f"concat('img_in_{kind}', name) as name") for kind in ("image", "chart"))
+    assert citations.near_candidates(refs, manifest, 0.85).count() < 4 * 4000
