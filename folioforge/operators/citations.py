@@ -140,7 +140,7 @@ def _rare_first(names: DataFrame, cutoff: float, often: DataFrame) -> DataFrame:
 
 def _near_shapes(refs: DataFrame, manifest: DataFrame, cutoff: float) -> DataFrame:
     """[dir, name, other]: distinct pairs among which are all whose ratio can reach ``cutoff``, each made where its first shared rare
-    character is, so that no pairs are exchanged."""
+    character is, so that they need no exchange here."""
     often = materialize(manifest.select(F.explode(_counted(F.col("name"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")))
     asked, held = _rare_first(refs, cutoff, often), _rare_first(manifest, cutoff, often)
     pairs = asked.join(held.select("dir", F.col("name").alias("other"), F.col("size").alias("o"), "token", F.col("rare").alias("own")), ["dir", "token"])
@@ -154,7 +154,8 @@ def _near_blocks(refs: DataFrame, manifest: DataFrame, cutoff: float, block_name
 
     Names are first compared by shape, in which every digit is a 0. What two shapes can share of other characters tells how many digits
     two names must share, in order; names meet by each choice of so many of their digits, where there are at most ``CHOICES``. Else
-    all names of both shapes meet, block by block. Only names and numbers of blocks are exchanged, never pairs.
+    all names of both shapes meet, block by block. Pairs of shapes are written and exchanged, which for names without digits are pairs of
+    names; else only names and numbers of blocks are.
     """
     shaped = lambda df: materialize(df.select("dir", "name", F.regexp_replace("name", "[0-9]", "0").alias("shape"), F.regexp_replace("name", "[^0-9]", "").alias("digits")).dropna())
     asked, held = shaped(refs), shaped(manifest)
