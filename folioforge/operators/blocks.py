@@ -85,9 +85,10 @@ def cut_after_last_block(df: DataFrame, block_type: str) -> DataFrame:
     )
 
 
-def harvest_title_digest(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def harvest_title_digest(parts: DataFrame, empty: bool = False) -> tuple[DataFrame, DataFrame]:
     """(parts[doc_id, part, text], info[doc_id, title, digest]) (D14): title and digest blocks leave every part, the first
-    complete non-empty one of part 1 counts; an unclosed one is dropped to the end of its part."""
+    complete non-empty one of part 1 counts; an unclosed one is dropped to the end of its part. ``empty``: a complete one
+    without text counts too, as an empty title or digest."""
     rows = parts.select(F.struct("doc_id", "part").alias("doc_id"), "text")
     rows = _lines(rows)
     kind = F.lower(F.regexp_extract(strip(F.col("line")), r"(?i)^@@(title|digest)$", 1))
@@ -99,7 +100,8 @@ def harvest_title_digest(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     body = F.when((F.col("line_no") > F.col("start")) & ~F.col("is_end"), F.struct("line_no", "line"))
     found = inner.groupBy("doc_id", "seg").agg(F.max(F.when(F.col("line_no") == F.col("start"), F.col("kind"))).alias("kind"), F.sort_array(F.collect_list(body)).alias("b"))
     value = strip(F.regexp_replace(F.array_join(F.transform("b", lambda r: r.line), "\n"), f"{SPACE}+", " "))
-    found = found.select(F.col("doc_id.doc_id").alias("doc_id"), "seg", "kind", value.alias("value")).filter("value <> ''")
+    found = found.select(F.col("doc_id.doc_id").alias("doc_id"), "seg", "kind", value.alias("value"))
+    found = found if empty else found.filter("value <> ''")
     first = lambda k: F.min_by(F.when(F.col("kind") == k, F.col("value")), F.when(F.col("kind") == k, F.col("seg")))
     info = found.groupBy("doc_id").agg(first("title").alias("title"), first("digest").alias("digest"))
     return cleaned, parts.select("doc_id").distinct().join(info, "doc_id", "left")

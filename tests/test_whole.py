@@ -7,7 +7,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from folioforge import session
-from folioforge.operators import catalog, citations, lines, packing, retrieval
+from folioforge.operators import blocks, catalog, citations, lines, packing, retrieval
 from folioforge.plans import registry
 
 
@@ -176,3 +176,21 @@ def test_like_names_meet_by_their_digits(spark):
     rows = spark.range(100_000, 104_000).selectExpr("id % 2 as dir", "concat('_box_', id, '_', id * 7 % 100, '.jpg') as name")
     refs, manifest = (rows.selectExpr("dir", f"concat('img_in_{kind}', name) as name") for kind in ("image", "chart"))
     assert citations.near_candidates(refs, manifest, 0.85).count() < 4 * 4000
+
+
+def test_titles_without_text_are_those_of_the_sql(spark, tmp_path):
+    texts = ["", " \n ", None, "A.", "a\n  b\n", " " * 45 + "late", "\n" * 41 + "z"]
+    rows = [(5 * i + k, lang, source, t) for i, t in enumerate(texts) for k, lang, source in ((0, "en", "s"), (1, "en", "s"), (2, None, "s"), (3, "", None))]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in registry.queries()["d14_harvest_title_digest"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == set(con.execute(registry.oracle_sql()["d14_harvest_title_digest"]).fetchall()) and len(got) == len(rows)
+
+
+def test_blocks_without_text_count_where_asked(spark):
+    parts = spark.createDataFrame([(1, 1, "@@title\n \n@@end\n@@TITLE\nT\n@@end\nx"), (2, 1, "@@title\n@@end\n@@digest\nD")], "doc_id long, part int, text string")
+    for empty, want in ((False, {(1, "T", None), (2, None, None)}), (True, {(1, "", None), (2, "", None)})):
+        cleaned, info = blocks.harvest_title_digest(parts, empty)
+        assert {tuple(r) for r in info.collect()} == want
+        assert {tuple(r) for r in cleaned.collect()} == {(1, 1, "x"), (2, 1, "")}
