@@ -94,8 +94,7 @@ def harvest_title_digest(parts: DataFrame, empty: bool = False) -> tuple[DataFra
     kind = F.lower(F.regexp_extract(strip(F.col("line")), r"(?i)^@@(title|digest)$", 1))
     rows = rows.withColumn("kind", F.nullif(kind, F.lit("")))
     rows = _cut_open(rows)
-    kept = rows.filter(~F.col("taken")).groupBy("doc_id").agg(_text())
-    cleaned = rows.select("doc_id").distinct().join(kept, "doc_id", "left").select("doc_id.doc_id", "doc_id.part", F.coalesce("text", F.lit("")).alias("text"))
+    cleaned = rows.groupBy("doc_id").agg(_text(value=F.when(~F.col("taken"), F.col("line")))).select("doc_id.doc_id", "doc_id.part", "text")
     inner = rows.filter(F.col("taken") & F.col("closed") & (F.col("doc_id.part") == 1))
     body = F.when((F.col("line_no") > F.col("start")) & ~F.col("is_end"), F.struct("line_no", "line"))
     found = inner.groupBy("doc_id", "seg").agg(F.max(F.when(F.col("line_no") == F.col("start"), F.col("kind"))).alias("kind"), F.sort_array(F.collect_list(body)).alias("b"))

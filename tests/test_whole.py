@@ -179,7 +179,7 @@ def test_like_names_meet_by_their_digits(spark):
 
 
 def test_titles_without_text_are_those_of_the_sql(spark, tmp_path):
-    texts = ["", " \n ", None, "A.", "a\n  b\n", " " * 45 + "late", "\n" * 41 + "z"]
+    texts = ["", " \n ", None, "A.", "a\n  b\n", " " * 45 + "late", "\n" * 41 + "z", "b\n@@end\n@@title\nc", "@@@-@\n" * 9]
     rows = [(5 * i + k, lang, source, t) for i, t in enumerate(texts) for k, lang, source in ((0, "en", "s"), (1, "en", "s"), (2, None, "s"), (3, "", None))]
     spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {tuple(r) for r in registry.queries()["d14_harvest_title_digest"](spark, str(tmp_path)).collect()}
